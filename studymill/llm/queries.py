@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, sharding, token_counts, topk
+from . import bpe, media, mixing, near_dedup, sharding, token_counts, topk
 from .common import documents
 
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op2_bpe": op2,
     "op5_source_mix": mixing.op5,
     "op7_media_png": media.op7,
+    "op8_near_dedup": near_dedup.op8,
     "op9_ring_sharding": sharding.op9,
     "op10_topk_search": topk.op10,
 }
