@@ -44,6 +44,16 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b).astype(np.int64)
 
 
+def products(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b, of the living pairs at least: one by one where they are few."""
+    qi, xi = np.nonzero(alive)
+    if len(qi) * 32 > alive.size:
+        return a @ b.T
+    out = np.full(alive.shape, -np.inf)
+    out[qi, xi] = np.einsum("ij,ij->i", a[qi], b[xi])
+    return out
+
+
 def search_cell(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query ids, ids, scores) of the k best rows of each query, and the number of exact products. x sorted by id."""
     dim, n_q = q.shape[1], len(q)
@@ -52,19 +62,27 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     best_s, best_i = np.full((n_q, k), np.iinfo(np.int64).min), np.full((n_q, k), -1)
     have = np.zeros(n_q, dtype=np.int64)
     tested = 0
+    small = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dim < EXACT  # then doubles are exact
     for at in range(0, len(x), STEP):
+        part, stats = x[at : at + STEP], [v[at : at + STEP] for v in x_stats]
         low = np.where(have >= k, best_s[:, -1].astype(float), -np.inf)
-        bound = q_stats[0] @ x_stats[0][at : at + STEP].T
-        slack = 1e-9 * (1 + np.abs(low)) + 1e-9 * np.abs(bound).max(initial=0) + 1e-3
-        qi, xi = np.nonzero(bound >= (np.where(np.isinf(low), -np.inf, low - slack))[:, None])
-        xi = xi + at
-        for a, b in zip(q_stats[1:], x_stats[1:]):
-            keep = np.einsum("ij,ij->i", a[qi], b[xi]) >= np.where(np.isinf(low), -np.inf, low - slack)[qi]
-            qi, xi = qi[keep], xi[keep]
-        keep = q_ids[qi] != ids[xi]
-        qi, xi = qi[keep], xi[keep]
-        tested += len(qi)
-        got = np.concatenate([exact_products(q[qi[p : p + 65536]], x[xi[p : p + 65536]]) for p in range(0, len(qi), 65536)] or [np.empty(0, np.int64)])
+        alive = q_ids[:, None] != ids[None, at : at + STEP]
+        for a, b in zip(q_stats, stats):
+            bound = products(a, b, alive)
+            finite = low > -np.inf
+            slack = np.where(finite, 1e-9 * (np.abs(np.where(finite, low, 0)) + np.abs(bound, where=np.isfinite(bound), out=np.zeros_like(bound)).max(initial=0)) + 1e-3, 0)
+            alive &= bound >= (low - slack)[:, None]
+        tested += int(alive.sum())
+        if small:
+            score = np.where(alive, products(q, part, alive), -np.inf)
+            if score.shape[1] > k:  # less than the k-th best of this block can't be an answer
+                low = np.maximum(low, np.partition(score, -k, axis=1)[:, -k])
+            qi, xi = np.nonzero(alive & (score >= low[:, None]))
+            got, xi = score[qi, xi].astype(np.int64), xi + at
+        else:
+            qi, xi = np.nonzero(alive)
+            xi = xi + at
+            got = np.concatenate([exact_products(q[qi[p : p + 65536]], x[xi[p : p + 65536]]) for p in range(0, len(qi), 65536)] or [np.empty(0, np.int64)])
         # the k best of the old and the new, ties to the smaller id
         all_q = np.concatenate([np.repeat(np.arange(n_q), k), qi])
         all_s, all_i = np.concatenate([best_s.ravel(), got]), np.concatenate([best_i.ravel(), xi])
