@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, near_dedup, sharding, substring_dedup, token_counts, topk
+from . import bpe, media, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
 from .common import documents
 
 
@@ -17,8 +17,10 @@ def op2(spark, sf_dir):
 QUERIES = {
     "op1_token_counts": op1,
     "op2_bpe": op2,
+    "op3_toxicity": toxicity.op3,
     "op4_substring_dedup": substring_dedup.op4,
     "op5_source_mix": mixing.op5,
+    "op6_quality_classifier": quality.op6,
     "op7_media_png": media.op7,
     "op8_near_dedup": near_dedup.op8,
     "op9_ring_sharding": sharding.op9,
