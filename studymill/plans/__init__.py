@@ -1 +1 @@
-
+"""Named relational plans over the study-content tables."""
