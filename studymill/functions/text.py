@@ -27,6 +27,11 @@ MECHANISMS = "filtration reabsorption secretion regulation compliance excretion
 SINGLE_QUOTES, DOUBLE_QUOTES, DASHES = "‘’‚‛′‵", "“”„‟″‶", "–—―"
 
 
+def bound(value: Column, f) -> Column:
+    """f of the value, which is computed once and not again for each use within a lambda function."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{S}+|{S}+$", "")
 
@@ -221,11 +226,14 @@ def evidence(quote: Column, source: Column) -> Column:
 def is_copied_stem(stem: Column, source: Column) -> Column:
     """WIN06: a run of min(28, max(18, 45 % of its words)) words of a question stem stands in the source."""
     asks = stem.rlike(rf"\?|(?i){L}which of the following{R}|(?i){L}what is (the )?most likely{R}|(?i){L}most likely to be (recorded|observed|seen|found|present){R}")
-    s, text = copy_text(stem), F.concat(F.lit(" "), copy_text(source), F.lit(" "))
-    tokens = F.split(s, " ")
-    run = F.least(F.lit(28), F.greatest(F.lit(18), F.floor(F.size(tokens) * 0.45))).cast("int")
-    starts = F.when(F.size(tokens) >= run, F.sequence(F.lit(1), F.size(tokens) - run + 1)).otherwise(F.array().cast("array<int>"))
-    return asks & (F.length(s) >= 80) & (F.contains(text, s) | F.exists(starts, lambda i: F.contains(text, F.array_join(F.slice(tokens, i, run), " "))))
+    def held(x: Column) -> Column:
+        tokens, text = F.split(x["stem"], " "), x["text"]
+        run = F.least(F.lit(28), F.greatest(F.lit(18), F.floor(F.size(tokens) * 0.45))).cast("int")
+        starts = F.when(F.size(tokens) >= run, F.sequence(F.lit(1), F.size(tokens) - run + 1)).otherwise(F.array().cast("array<int>"))
+        return (F.length(x["stem"]) >= 80) & (F.contains(text, x["stem"]) | F.exists(starts, lambda i: F.contains(text, F.array_join(F.slice(tokens, i, run), " "))))
+
+    forms = F.struct(copy_text(stem).alias("stem"), F.concat(F.lit(" "), copy_text(source), F.lit(" ")).alias("text"))
+    return asks & bound(forms, held)
 
 
 def length_fault(options: Column, answer: Column) -> Column:
