@@ -48,7 +48,7 @@ CASES = {
     "length_fine": (lambda: T.length_fault(A("abcd", "efgh", "ijkl", "mnop"), L(0)), False),
     "flags": (lambda: T.option_flags(A("Sodium ion level", "Potassium ion level", "Calcium ion level", "Chloride (x) ion level"), L(3)), ["UNIQUE_QUALIFIER", "SHARED_SUFFIX", "DESCRIPTOR_SUFFIX"]),
     "flags_mix": (lambda: T.option_flags(A("the renal vein", "Renal artery filtration", "glomerulus secretion", "All of the above"), L(0)), ["NONE_ALL_OF_ABOVE", "ANATOMY_MECHANISM_MIX"]),
-    "flags_overlap": (lambda: T.option_flags(A("cardiac output rises", "cardiac output falls", "other"), L(2)), ["OPTION_OVERLAP_0_1"]),
+    "flags_overlap": (lambda: T.option_flags(A("cardiac output rises", "cardiac output falls", "other option"), L(2)), ["OPTION_OVERLAP_0_1"]),
     "answer_letter": (lambda: T.answer_index(L(" b ")), 1),
     "answer_number": (lambda: T.answer_index(L("3")), 3),
     "answer_other": (lambda: T.answer_index(L("x")), 0),
