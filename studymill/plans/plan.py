@@ -30,7 +30,7 @@ MARKERS = {
     "PUT": (r"concat(\1, array(\2))", r"list_append(\1, \2)"),
     "ONE": (r"array(\1)", r"[\1]"),
     "UPTO": (r"sequence(\1, \2)", r"generate_series(\1, \2)"),
-    "UNIQUE": (r"array_distinct(\1)", r"list_distinct(\1)"),
+    "UNIQUE": (r"array_distinct(\1)", r"list_filter(\1, lambda x, i: list_position(\1, x) = i)"),
     "ALLOF": (r"regexp_extract_all(\1, \2, 0)", r"regexp_extract_all(\1, \2)"),
     "DISTANCE": (r"levenshtein(\1, \2)", r"levenshtein(\1, \2)"),
     "PICK": (r"regexp_extract(\1, \2, 1)", r"regexp_extract(\1, \2, 1)"),
