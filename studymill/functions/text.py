@@ -18,6 +18,7 @@ STOP_WORDS = """a an the and or but of to in on for with by at from into during
 despite towards upon about over under after before between without within along following across behind beyond plus
 except up out around down off above near is are was were be been being which what how why when where who whom this that
 these those his her their its your our best most likely""".split()
+EVIDENCE_STOP_WORDS = "which their there these those because during through between within without about after before under above below other into from that this with have been they them than then".split()
 DESCRIPTORS = "level levels rate rates measurement measurements evaluation testing analysis profiling assessment concentration value reading index ratio".split()
 BROAD_LABELS = "activity control function mechanism mechanisms process processes regulation response structure structures".split()
 ACTIONS = "administer give start stop order perform refer consult monitor treat".split()
@@ -210,19 +211,96 @@ def clause_match(quote: Column, source: Column) -> Column:
     return F.when((F.size(clauses) >= 2) & ((F.size(hit) == F.size(clauses)) | (share >= 0.85)), F.greatest(F.lit(0.84), F.least(F.lit(0.9), share)))
 
 
-def evidence(quote: Column, source: Column) -> Column:
-    """ALG05, the first three steps: struct of type and confidence."""
+def evidence_words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(rf"{L}[a-z0-9][a-z0-9'-]*(?<=[a-z0-9]){R}"), 0)
+
+
+def content_words(tokens: Column) -> Column:
+    return F.filter(tokens, lambda w: (F.length(w) >= 3) & ~w.isin(*EVIDENCE_STOP_WORDS))
+
+
+def pairs_of(tokens: Column) -> Column:
+    """WIN05: neighbouring words."""
+    return bound(tokens, lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))).otherwise(F.array().cast("array<string>")))
+
+
+def fuzzy_ratio(quote: Column, source: Column) -> Column:
+    """WIN04: the best share of the quote's content word pairs that a window of its length holds. Pairs in the window count as often as they stand there, so it may exceed 1."""
+
+    def best(x: Column) -> Column:
+        q, s, wanted = x["q"], x["s"], x["pairs"]
+        size = F.size(q)
+        step = F.greatest(F.lit(1), F.floor(size * 0.25)).cast("int")
+        hits = lambda i: F.size(F.filter(pairs_of(content_words(F.slice(s, i, size))), lambda p: F.array_contains(wanted, p)))
+        rates = F.transform(F.sequence(F.lit(1), F.size(s) - size + 1, step), lambda i: hits(i) / F.size(wanted))
+        fit = (size >= 4) & (F.size(s) >= size) & (F.size(wanted) >= 1)
+        return F.when(fit, F.array_max(rates)).otherwise(0.0)
+
+    q = evidence_words(evidence_text(quote))
+    return bound(F.struct(q.alias("q"), evidence_words(evidence_text(source)).alias("s"), F.array_distinct(pairs_of(content_words(q))).alias("pairs")), best)
+
+
+def anchor_support(anchor: Column, source: Column) -> Column:
+    """STR29: two shared words, or half of the anchor's."""
+    tokens = lambda c: F.array_distinct(content_words(F.split(evidence_text(c), " ")))
+    a, b = tokens(anchor), tokens(source)
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & ((shared >= 2) | (shared / F.size(a) >= 0.5)), F.lit(False))
+
+
+def evidence(quote: Column, source: Column, fuzzy: bool = True) -> Column:
+    """ALG05 without offsets: struct of type and confidence. exact, normalized, by clauses, fuzzy from 0.6."""
     q, clause = evidence_text(quote), clause_match(quote, source)
     made = lambda t, c: F.struct(F.lit(t).alias("type"), (F.lit(c) if isinstance(c, float) else c).alias("confidence"))
-    return (
-        F.when(quote.isNull() | (quote == "UNGROUNDED") | (F.length(trimmed(quote)) < 15) | source.isNull(), made("none", 0.0))
-        .when(F.contains(source, trimmed(quote)), made("exact", 1.0))
+    found = (
+        F.when(quote.isNull() | (quote == "UNGROUNDED") | (F.length(quote) < 15) | source.isNull() | (source == ""), made("none", 0.0))
+        .when(F.contains(source, quote), made("exact", 1.0))
         .when(F.contains(evidence_text(source), q), made("normalized", 0.9))
-        .when(clause.isNotNull(), made("clauses", clause))
-        .otherwise(made("none", 0.0))
+        .when(clause.isNotNull(), made("normalized", clause))
+    )
+    if fuzzy:
+        ratio = fuzzy_ratio(quote, source)
+        found = found.when((F.length(quote) >= 20) & (ratio >= 0.6), made("fuzzy", ratio))
+    return found.otherwise(made("none", 0.0))
+
+
+def verdict(issues: Column) -> Column:
+    """ALG14: the first group of rules that an issue belongs to; null without issues, DETERMINISTIC_VALIDATION (a rejection) if none fits."""
+    low = F.transform(issues, F.lower)
+    has = lambda *ps: F.exists(low, lambda i: i.rlike("|".join(ps)))
+    return (
+        F.when(F.size(issues) == 0, None)
+        .when(has("source quote", "grounded source quote", "quoted pdf evidence", "deciding clue is not clearly supported", "correct answer is not clearly supported"), "EVIDENCE_GROUNDING")
+        .when(has("option lengths create", "correct answer.*longer than average", "trim the correct answer", "expand distractors"), "OPTION_SET_HOMOGENEITY")
+        .when(has("unique qualifier", "overly overlapping", "mix conceptual categories", "all of the above", "most tempting distractor"), "OPTION_SET_HOMOGENEITY")
+        .when(has("decision target metadata", "deciding clue metadata", "whytempting", "whyfails", "explanation is too short"), "CLINICAL_PEDAGOGY")
+        .when(has("level 1 questions should avoid negation", "level 3 questions must open", "under-specified"), "STEM_LEVEL_FIDELITY")
+        .otherwise("DETERMINISTIC_VALIDATION")
     )
 
 
+def key_mismatch(options: Column, answer: Column, explanation: Column) -> Column:
+    """ALG15: the option that an explanation speaks for though another one is the key; null if none."""
+    first = F.get(F.split(explanation, rf"(?<=[.!?]){S}+"), 0)
+    praises = first.rlike(rf"(?i){L}(is correct|correct because|best answer|primarily responsible|primarily explains|directly affects|defined as|refers to){R}")
+    blames = first.rlike(rf"(?i){L}(tempting|fails because|incorrect|wrong|whereas|however|unlike|in contrast|not because){R}")
+    text, lead = plain(explanation), plain(first)
+
+    def facts(o: Column, i: Column) -> Column:
+        return bound(option_aliases(o), lambda al: F.struct(
+            i.alias("i"), o.alias("option"), F.size(F.filter(al, lambda a: mentions(text, a))).alias("n"), F.exists(al, lambda a: mentions(lead, a)).alias("early"),
+            F.exists(al, lambda a: F.startswith(F.concat(lead, F.lit(" ")), F.concat(a, F.lit(" ")))).alias("starts")))
+
+    def told(m: Column) -> Column:
+        key, others = F.get(m, answer), F.filter(m, lambda x: x["i"] != answer)
+        leads = F.filter(others, lambda x: x["starts"] | (x["early"] & praises))
+        most = F.array_max(F.transform(others, lambda x: x["n"]))
+        main = F.get(F.filter(others, lambda x: x["n"] == most), 0)["option"]
+        return F.when(key.isNull() | (text == ""), None).when((F.size(leads) > 0) & ~blames & ~key["early"], F.get(leads, 0)["option"]).when((key["n"] == 0) & (F.length(text) > 20) & (most > 0), main)
+
+    return bound(F.transform(options, facts), told)
+
+
 def is_copied_stem(stem: Column, source: Column) -> Column:
     """WIN06: a run of min(28, max(18, 45 % of its words)) words of a question stem stands in the source."""
     asks = stem.rlike(rf"\?|(?i){L}which of the following{R}|(?i){L}what is (the )?most likely{R}|(?i){L}most likely to be (recorded|observed|seen|found|present){R}")

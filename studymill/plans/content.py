@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from studymill.functions import text as T
 from studymill.functions.jsonrepair import repair_json
-from studymill.operators import chunking, dedup, scheduling
+from studymill.operators import chunking, concepts, dedup, scheduling
 from studymill.sources.fixtures import FIXTURES
 from studymill.streaming.states import latest_states
 
@@ -109,7 +109,25 @@ def job_states(spark, sf_dir):
     return latest_states(table("process_events")(spark, sf_dir))
 
 
+def raw_concepts(spark, sf_dir):
+    one = lambda c: F.array(F.col(c))
+    c = table("concepts")(spark, sf_dir)
+    return c.select("pdf_id", "pos", "name", "category", "importance", one("fact").alias("facts"), F.array("category").alias("associations"), F.concat("name", F.lit(" matters")).alias("relevance"), F.array(F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("chunk_ids"))
+
+
+def inventory(spark, sf_dir):
+    got = concepts.merged_inventory(raw_concepts(spark, sf_dir))
+    return got.select("pdf_id", "merge_key", "importance", F.array_join("facts", ",").alias("facts"), F.size("chunk_ids").cast("long").alias("chunks"))
+
+
+def canonical_concepts(spark, sf_dir):
+    got = concepts.canonicalised(concepts.merged_inventory(raw_concepts(spark, sf_dir)))
+    return got.select("pdf_id", "place", "name", "importance", F.array_join("aliases", "; ").alias("aliases"))
+
+
 QUERIES = {
+    "agg25_inventory": inventory,
+    "alg04_canonical_concepts": canonical_concepts,
     "alg08_sm2_fold": sm2_fold,
     "win01_word_windows": word_windows,
     "win01_word_windows_of_pages": word_windows_pages,
@@ -126,6 +144,14 @@ QUERIES = {
 }
 
 ORACLE = {
+    "agg25_inventory": """
+        WITH c AS (
+          SELECT p_partkey % 40 AS pdf_id, p_partkey AS pos, concat(substring(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 1, 30), '|', substring(regexp_replace(lower(p_type), '[^a-z]', '', 'g'), 1, 10)) AS merge_key,
+            CASE WHEN p_size > 33 THEN 3 WHEN p_size > 16 THEN 2 ELSE 1 END AS rank, p_brand AS fact, p_partkey % 7 AS chunk FROM part),
+        f AS (SELECT pdf_id, merge_key, fact, row_number() OVER (PARTITION BY pdf_id, merge_key ORDER BY min(pos)) AS n FROM c GROUP BY pdf_id, merge_key, fact),
+        g AS (SELECT pdf_id, merge_key, string_agg(fact, ',' ORDER BY n) AS facts FROM f WHERE n <= 6 GROUP BY pdf_id, merge_key)
+        SELECT c.pdf_id, c.merge_key, CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS importance, any_value(g.facts) AS facts, count(DISTINCT chunk) AS chunks
+        FROM c JOIN g ON g.pdf_id = c.pdf_id AND g.merge_key = c.merge_key GROUP BY c.pdf_id, c.merge_key""",
     "alg08_sm2_fold": Plan(SQL["alg08_sm2_fold"], FIXTURES).duckdb(),
     "win01_word_windows": r"""
         WITH d AS (SELECT doc_id AS pdf_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents),

@@ -6,7 +6,7 @@ import time
 import pytest
 
 from studymill.functions.jsonrepair import repaired
-from studymill.operators import chunking, dedup, scheduling
+from studymill.operators import chunking, concepts, dedup, scheduling
 from studymill.streaming import states
 
 
@@ -117,3 +117,21 @@ def test_latest_states(spark):
     rows = [(1, 1, 10, "a", 5), (1, 2, 20, "b", 0), (2, 1, 5, "c", None)]
     got = states.latest_states(spark.createDataFrame(rows, "job_id long, seq long, pct long, phase string, metric long"))
     assert sorted(map(tuple, got.collect())) == [(1, 20, "b", 2, 5), (2, 5, "c", 1, None)]
+
+
+def test_inventories_merge_by_key(spark):
+    schema = "pdf_id long, pos long, name string, category string, importance string, facts array<string>, associations array<string>, relevance string, chunk_ids array<string>"
+    rows = [(1, 0, "Left Ventricle", "Heart", "low", ["a", "b"], None, "pumps", ["c1"]), (1, 1, "left-ventricle", "heart 2", "high", ["b", "c", "d", "e", "f", "g"], ["x"], "Pumps blood", ["c2", "c1"]), (1, 2, "Other", None, None, None, None, None, None)]
+    got = {r.pos: r for r in concepts.merged_inventory(spark.createDataFrame(rows, schema)).collect()}
+    assert (got[0].name, got[0].importance, got[0].facts, got[0].associations, got[0].chunk_ids) == ("Left Ventricle", "high", list("abcdef"), ["x"], ["c1", "c2"])
+    assert got[0].relevance == "pumps Pumps blood" and got[2].importance == "low" and got[2].facts == []
+    assert concepts.canonicalised(concepts.merged_inventory(spark.createDataFrame(rows, schema))).count() == 2
+
+
+def test_canonical_names_absorb_and_cap():
+    c = lambda name, imp="low", cat="x": {"name": name, "category": cat, "importance": imp, "facts": [name], "associations": [], "relevance": ""}
+    got = concepts.canonical([c("Gastric ulcer"), c("ulcer", "high"), c("Gastric ulcer", cat="y")])
+    assert [(g["name"], g["importance"], g["aliases"]) for g in got] == [("Gastric ulcer", "high", ["ulcer"]), ("Gastric ulcer", "low", [])]
+    got = concepts.canonical([c(f"Esophageal {k}", "high" if k == "zz" else "low", k) for k in ("aa", "bb", "cc", "dd", "ee", "zz")])
+    assert [g["name"] for g in got] == ["Esophageal aa", "Esophageal bb", "Esophageal cc", "Esophageal zz"]
+    assert got[-1]["aliases"] == ["Esophageal dd", "Esophageal ee"]

@@ -53,6 +53,16 @@ CASES = {
     "answer_number": (lambda: T.answer_index(L("3")), 3),
     "answer_other": (lambda: T.answer_index(L("x")), 0),
     "level": (lambda: T.question_level(L("L2")), 2),
+    "anchor": (lambda: T.anchor_support(L("CHF causes RV strain"), L("RV strain can develop in CHF")), True),
+    "no_anchor": (lambda: T.anchor_support(L("venous constriction raises return"), L("the liver stores glycogen")), False),
+    "fuzzy": (lambda: F.round(T.fuzzy_ratio(L("cardiac output depends on heart rate and stroke volume"), L("Cardiac output primarily depends on heart rate and stroke volume during exercise.")), 3) >= 0.6, True),
+    "no_fuzzy": (lambda: T.fuzzy_ratio(L("cardiac output depends on heart rate"), L("The liver stores glycogen and iron for the body every day")), 0.0),
+    "verdict_evidence": (lambda: T.verdict(A("Length fine", "Source quote missing")), "EVIDENCE_GROUNDING"),
+    "verdict_options": (lambda: T.verdict(A("Options are overly overlapping")), "OPTION_SET_HOMOGENEITY"),
+    "verdict_pedagogy": (lambda: T.verdict(A("whyTempting missing", "Explanation is too short")), "CLINICAL_PEDAGOGY"),
+    "verdict_reject": (lambda: T.verdict(A("something else")), "DETERMINISTIC_VALIDATION"),
+    "key_matches": (lambda: T.key_mismatch(A("Aldosterone", "ADH", "ANP", "Renin"), L(1), L("ADH is correct because it raises water reabsorption.")), None),
+    "key_differs": (lambda: T.key_mismatch(A("Aldosterone", "ADH", "ANP", "Renin"), L(1), L("Aldosterone is correct because it raises sodium reabsorption.")), "Aldosterone"),
     "copied": (lambda: T.is_copied_stem(L(STEM), L(f"xx {SOURCE} yy")), True),
     "not_copied": (lambda: T.is_copied_stem(L(STEM), L("nothing of it")), False),
 }
@@ -66,6 +76,7 @@ def test_literal_cases(spark):
 @pytest.mark.parametrize("quote,source,kind", [
     ("Cardiac output depends on rate.", "So: Cardiac output depends on rate.", "exact"),
     ("Cardiac output depends on rate.", "x cardiac  output depends on rate. y", "normalized"),
+    ("cardiac output depends on heart rate and stroke volume", "Cardiac output primarily depends on heart rate and stroke volume during exercise.", "fuzzy"),
     ("UNGROUNDED", "anything", "none"),
     ("Cardiac output depends on rate.", None, "none"),
     ("Too short", "Too short", "none"),
