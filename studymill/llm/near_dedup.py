@@ -11,9 +11,10 @@ linked partner may be above the limit have both sketches, so any two sets that c
 
 No pairs of a whole group: documents with equal sets are one node. In a bucket of the blocking table only the pairs with
 a centre are tested (first the smallest id, then the one of the least hash). Buckets whose rows are then still in
-several components are searched completely - small ones by pairs, large ones in blocks of registers within bounded
-tasks, which emit the pairs whose estimate passes - but for pairs within one component, which can't change the result.
-So a group of near copies costs in proportion to its size, and no link between components is left out.
+several components are searched completely, but for pairs within one component, which can't change the result: small
+ones by pairs; large ones in blocks within bounded tasks, which estimate, verify on full sets, and return only links
+that join components. So a group of near copies costs rows in proportion to its size, and no link between components
+is left out.
 
 Probability that a pair at the threshold 0.8 shares no band of 5 registers among 36: 6e-7; that its estimate falls below
 the threshold less 5 standard deviations: 3e-7.
@@ -38,7 +39,7 @@ BANDS, ROWS = 36, 5
 M = BANDS * ROWS
 FILL, MANTISSA = 16, 10
 #: Rows of a bucket that is searched by pairs in the plan; larger ones are searched in blocks of BLOCK rows.
-SMALL, BLOCK = 24, 256
+SMALL, BLOCK = 24, 128
 #: Bits of the filter that keeps texts of no candidate pair out of the shuffle; 16 MB at most.
 FILTER_BITS = 1 << 27
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -200,36 +201,91 @@ def star_pairs(bands: DataFrame, labels: DataFrame | None, centre) -> DataFrame:
     return met.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
 
 
-def block_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the rows (band, doc_id, component, n) of large buckets whose estimates pass, from blocks of bounded size."""
+def few_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of up to SMALL rows (band, doc_id, component, n)."""
+    few = rows.where(F.col("n") <= SMALL)
+    other = few.select("band", F.col("doc_id").alias("other"), F.col("component").alias("other_component"))
+    return few.join(other, "band").where("doc_id < other and component <> other_component").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def exact_similar(sets: list[np.ndarray], wanted: np.ndarray, percent: int) -> np.ndarray:
+    """Of a square table of wanted pairs, those whose full sets reach the threshold."""
+    size = np.array([len(x) for x in sets])
+    value, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = (times > 1)[place]
+    row, column = row[keep], shared[place[keep]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(shared[-1]) + 1 if len(value) else 0, 4096):
+        here = (column >= at) & (column < at + 4096)
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[here], column[here] - at] = 1
+        both += part @ part.T
+    return wanted & (both * 100 >= (size[:, None] + size[None, :] - both) * percent)
+
+
+def forest(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Numbers of the links (a, b), of rows, that join components not joined by the ones before."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(component[a].tolist(), component[b].tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def block_edges(rows: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b), verified on the full sets, among the rows (band, doc_id, component, n) of large buckets.
+
+    A bucket is dealt into blocks of about BLOCK rows, and each two blocks meet in one bounded group. There, pairs of
+    different components are estimated, what may reach the threshold is verified, and only links that join components
+    not yet joined in the group are returned: fewer than it has rows, however many pairs are similar.
+    """
     least = floor_of(percent)
+    crowded = stored(rows.select(F.col("doc_id").alias("id")).distinct(), "crowded")
+    sets = shingle_sets(docs, crowded, width).withColumnRenamed("doc_id", "of")
+    known = nodes.join(sets, nodes["doc_id"] == sets["of"]).select("doc_id", "n_shingles", "small", "large", "shingles")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     cell = mine.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "doc_id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    cell = cell.join(nodes.select("doc_id", "n_shingles", "small", "large"), "doc_id")
+    cell = cell.join(known, "doc_id")
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp, part, n = (t[c].to_numpy() for c in ("doc_id", "component", "mine", "n_shingles"))
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        wanted = np.triu(comp[:, None] != comp[None, :], 1)
+        if i != j:
+            wanted &= part[:, None] != part[None, :]
+        may = np.zeros_like(wanted)
         for kind, share in (("small", 1.0), ("large", 1.0 / M)):
-            has = np.array([x is not None for x in t[kind].to_pylist()])
-            at = np.flatnonzero(has)
+            regs = t[kind].to_pylist()
+            at = np.flatnonzero([x is not None for x in regs])
             if not len(at):
                 continue
-            regs = np.frombuffer(b"".join(x for x in t[kind].to_pylist() if x is not None), np.uint16).reshape(-1, M)
-            for x in range(len(at)):
-                ok = np.arange(len(at)) > x if i == j else part[at] != part[at[x]]
-                ok &= comp[at] != comp[at[x]]
-                if i != j:
-                    ok &= part[at[x]] == i
-                y = np.flatnonzero(ok)
-                if len(y):
-                    e = estimates((regs[y] == regs[x]).sum(axis=1), n[at[y]] * share, np.full(len(y), n[at[x]] * share))
-                    y = y[e >= least]
-                    out.append((np.full(len(y), ids[at[x]]), ids[at[y]]))
-        a = np.concatenate([o[0] for o in out]) if out else np.empty(0, np.int64)
-        b = np.concatenate([o[1] for o in out]) if out else np.empty(0, np.int64)
+            table = np.frombuffer(b"".join(regs[k] for k in at), np.uint16).reshape(-1, M)
+            for x, row in zip(at, table):
+                y = wanted[x, at]
+                if y.any():
+                    e = estimates((table[y] == row).sum(axis=1), n[at[y]] * share, np.full(int(y.sum()), n[x] * share))
+                    may[x, at[y]] |= e >= least
+        used = np.flatnonzero(may.any(axis=0) | may.any(axis=1))
+        a = b = np.empty(0, np.int64)
+        if len(used):
+            lists = t["shingles"].take(used).combine_chunks()
+            flat, cuts = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            sure = exact_similar([flat[p:q] for p, q in zip(cuts, cuts[1:])], may[np.ix_(used, used)], percent)
+            a, b = (used[x] for x in np.nonzero(sure))
+            keep = forest(a, b, comp)
+            a, b = ids[a[keep]], ids[b[keep]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return cell.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -255,13 +311,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     rows = labelled(bands, labels)
     open_bands = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
     rest = stored(rows.join(open_bands, "band"), "open")
-    few = rest.where(F.col("n") <= SMALL)
-    other = few.select("band", F.col("doc_id").alias("other"), F.col("component").alias("other_component"))
-    by_pairs = few.join(other, "band").where("doc_id < other and component <> other_component").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    last = estimated(by_pairs, nodes, percent).unionByName(block_pairs(rest.where(F.col("n") > SMALL), nodes, percent))
-    last = stored(last.distinct(), "pairs")
-    if not last.isEmpty():
-        found = stored(verified(last, docs, width, percent), "edges")
+    last = stored(estimated(few_pairs(rest), nodes, percent), "pairs")
+    found = stored(verified(last, docs, width, percent).unionByName(block_edges(rest.where(F.col("n") > SMALL), nodes, docs, width, percent)), "edges")
+    if not found.isEmpty():
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
     out = table.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left")
