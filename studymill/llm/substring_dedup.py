@@ -23,50 +23,50 @@ own sake; a text of which nothing stays is the empty text.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, WordHashes, documents, mixed, stored
+from .common import MIX_A, Memo, documents, mixed, stored
 
 LEAST, LONG, PICK = 20, 8, 4
 ENDS = ".!?。！？…"
 CLOSING = "\"')]}»”’"
 
 
+def word_code(word: str) -> int:
+    """62 bits of the word's hash | whether it ends a sentence | whether it begins with a capital."""
+    bare = word.rstrip(CLOSING)
+    return xxhash.xxh3_64_intdigest(word.encode()) & ~3 | (bare[-1:] in ENDS and bare != "") << 1 | word[0].isupper()
+
+
 class Sentences:
     """Cuts texts into sentences, and hashes words."""
 
     def __init__(self):
-        self.hashed = WordHashes()
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of the words, index of each sentence's first word, whether a line's end precedes each word)."""
-        words: list[str] = []
-        fresh: list[int] = []
-        for line in text.split("\n"):
-            got = line.split()
-            if got:
-                fresh.append(len(words))
-                words += got
-        n = len(words)
+        self.code = Memo(word_code, 400_000).__getitem__
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the words, index of each sentence's first word)."""
+        lines = [x for x in map(str.split, text.split("\n")) if x]
+        n = sum(map(len, lines))
         if not n:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        h = self.hashed([w.encode() for w in words])
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        h = np.fromiter(map(self.code, itertools.chain.from_iterable(lines)), np.uint64, n)
+        upper, ends = (h & np.uint64(1)).astype(bool), (h & np.uint64(2)).astype(bool)
         begins = np.zeros(n, bool)
-        begins[fresh] = True
-        upper = np.fromiter((w[0].isupper() for w in words), bool, n)
-        # a word in capitals after another one is no new sentence
-        begins |= upper & ~np.r_[False, upper[:-1]]
-        ends = np.fromiter((w[-1] in ENDS or (w[-1] in CLOSING and w.rstrip(CLOSING)[-1:] in ENDS) for w in words), bool, n)
-        begins[1:] |= ends[:-1]
-        begins[0] = True
+        begins[np.cumsum([0, *map(len, lines)])[:-1]] = True
+        begins[0] |= upper[0]
+        begins[1:] |= ends[:-1] | (upper[1:] & ~upper[:-1])  # a word in capitals after another one is no new sentence
+        h = mixed(h >> np.uint64(2))
         place = np.arange(n)
         far = place - np.maximum.accumulate(np.where(begins, place, 0)) >= LONG
         begins[1:] |= far[1:] & (h[:-1] % np.uint64(PICK) == 0)
-        at = np.flatnonzero(begins)
-        return h, at, np.array(fresh)
+        return h, np.flatnonzero(begins)
 
 
 def runs_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,12 +78,9 @@ def runs_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     ok = last < len(at)
     first, last = np.flatnonzero(ok), last[ok]
     # hash of words [a, b): difference of sums of hash * power, times the power that moves it to a common place
-    powers = np.full(n, np.uint64(MIX_A))
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.r_[np.uint64(0), np.cumsum(mixed(h) * powers, dtype=np.uint64)]
+    powers, back = (np.cumprod(np.full(n, np.uint64(x)), dtype=np.uint64) for x in (MIX_A, pow(MIX_A, -1, 1 << 64)))
+    sums = np.r_[np.uint64(0), np.cumsum(h * powers, dtype=np.uint64)]
     a, b = at[first], ends[last]
-    inverse = np.uint64(pow(MIX_A, -1, 1 << 64))
-    back = np.cumprod(np.full(n, inverse), dtype=np.uint64)
     value = (sums[b] - sums[a]) * back[a]
     return mixed(value ^ (b - a).astype(np.uint64)).view(np.int64), first, last - first + 1
 
@@ -98,7 +95,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
                 part = x.slice(at, 64)
                 spans, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    h, starts, _ = cut(t)
+                    h, starts = cut(t)
                     span = np.unique(runs_of(h, starts)[0]) if len(starts) > 1 else spans[0]
                     spans.append(span)
                     ids.append(np.full(len(span), i, np.int64))
@@ -117,7 +114,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def without(text: str, spans: list[int] | None, cut: Sentences) -> tuple[str, int, int]:
     """(the text without the sentences of these runs and of its own repeated runs, sentences it had, words removed)."""
-    h, at, _ = cut(text)
+    h, at = cut(text)
     if len(at) < 2:
         return text, len(at), 0
     value, first, n = runs_of(h, at)
