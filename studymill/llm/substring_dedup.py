@@ -106,7 +106,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(gone_id, spans): the runs of each document that a document of a smaller id has too."""
-    spans = span_rows(docs)
+    spans = stored(span_rows(docs), "spans")  # both sides of the join; the texts are cut once
     shared = spans.groupBy("span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("span", "lo")
     later = spans.join(stored(shared, "repeated"), "span").where("doc_id > lo")
     return later.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("span").alias("spans"))
