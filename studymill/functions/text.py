@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space, and edges of ASCII words.
-S = r"[ \t\n\r\f\x0B  -     　﻿]"
+S = r"[ \t\n\r\f\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 L, R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 # The word lists of the rules.
