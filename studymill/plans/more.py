@@ -45,8 +45,8 @@ SQL = {
     "fil20_fact_check": "SELECT id, NOT flagged AND n_options = 4 AS accurate, stem IS NOT NULL AND stem <> 'UNGROUNDED' AS sourced FROM {questions}",
     "joi05_point_lookup": "SELECT q.id, q.level, s.times_reviewed, p.processed FROM (SELECT * FROM {questions} WHERE id = 42) q LEFT JOIN {srs_state} s ON s.question_id = q.id AND s.user_id = 8 LEFT JOIN {pdfs} p ON p.id = q.pdf_id",
     "joi08_scoped_states": "SELECT user_id, question_id FROM {srs_state} s WHERE user_id = 8 AND EXISTS (SELECT 1 FROM {pdfs} p WHERE p.id = s.pdf_id AND p.processed)",
-    "joi18_association_peers": "SELECT a.id, b.id AS peer FROM (SELECT id, name, ITEM(WORDS(name), 1) AS association FROM {concepts} WHERE id < 60) a JOIN (SELECT id, name FROM {concepts} WHERE id < 60) b ON a.id <> b.id AND HOLDS(lower(b.name), lower(a.association))",
-    "joi21_exemplars": "SELECT query_id, id, place FROM (SELECT c.id AS query_id, q.id, CAST(row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN q.level = 2 THEN 0 ELSE 1 END, q.id) AS BIGINT) AS place FROM (SELECT * FROM {concepts} WHERE id < 20) c JOIN {questions} q ON q.concept_id = c.id) AS x WHERE place <= 2",
+    "joi18_association_peers": "SELECT a.id, b.id AS peer FROM (SELECT x.association, y.name FROM (SELECT DISTINCT ITEM(WORDS(name), 1) AS association FROM {concepts}) x JOIN (SELECT DISTINCT name FROM {concepts}) y ON HOLDS(lower(y.name), lower(x.association))) p JOIN (SELECT id, ITEM(WORDS(name), 1) AS association FROM {concepts}) a ON a.association = p.association JOIN {concepts} b ON b.name = p.name AND a.id <> b.id",
+    "joi21_exemplars": "SELECT query_id, id, place FROM (SELECT c.id AS query_id, q.id, CAST(row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN q.level = 2 THEN 0 ELSE 1 END, q.id) AS BIGINT) AS place FROM {concepts} c JOIN {questions} q ON q.concept_id = c.id) AS x WHERE place <= 2",
     "agg05_mean_time": "SELECT question_id, " + ROUND("CAST(sum(time_spent_ms) AS DOUBLE) / count(*)") + " AS mean_ms FROM {attempts} GROUP BY question_id",
     "agg12_accuracy": "SELECT user_id, CASE WHEN count(*) > 0 THEN " + ROUND("100.0e0 * count(CASE WHEN is_correct THEN 1 END) / count(*)") + " END AS accuracy FROM {attempts} GROUP BY user_id",
     "agg14_all_mastery": "SELECT concept_id, count(*) AS users, min(overall) AS lowest, max(overall) AS highest FROM {mastery} GROUP BY concept_id",
@@ -56,7 +56,7 @@ SQL = {
     "agg35_max_number": "SELECT id, CASE WHEN MATCHES(s, '[0-9]') THEN greatest(0, CAST(coalesce(nullif(PICK(s, '([0-9]+)[^0-9]*$'), ''), '0') AS BIGINT)) ELSE 0 END AS last_number FROM {samples}",
     "agg37_upper_median": "SELECT id, " + THIRD + " AS upper_median FROM {option_lengths}",
     "agg38_confusable": "SELECT category, name, id FROM (SELECT category, name, id, row_number() OVER (PARTITION BY category, name ORDER BY pos) AS first_kept FROM {concepts}) AS x WHERE first_kept = 1",
-    "win05_bigrams": "SELECT id, concat(a, ' ', b) AS bigram, count(*) AS n FROM (SELECT id, ITEM(ws, i) AS a, ITEM(ws, i + 1) AS b FROM (SELECT id, ws, EXPLODED(UPTO(0, CAST(SIZE(ws) AS INT) - 2)) AS i FROM (SELECT id, WORDS(" + PLAIN("text") + ") AS ws FROM {chunks} WHERE id < 60) AS t WHERE SIZE(ws) >= 2) AS u) AS x GROUP BY id, concat(a, ' ', b)",
+    "win05_bigrams": "SELECT id, concat(a, ' ', b) AS bigram, count(*) AS n FROM (SELECT id, ITEM(ws, i) AS a, ITEM(ws, i + 1) AS b FROM (SELECT id, ws, EXPLODED(UPTO(0, CAST(SIZE(ws) AS INT) - 2)) AS i FROM (SELECT id, WORDS(" + PLAIN("text") + ") AS ws FROM {chunks}) AS t WHERE SIZE(ws) >= 2) AS u) AS x GROUP BY id, concat(a, ' ', b)",
     "win08_rank_positions": "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS place FROM {bm25}",
     "win15_headings": "SELECT doc_id, line_no, CAST(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS next_heading FROM (SELECT c_custkey % 20 AS doc_id, c_custkey AS line_no FROM {customer} WHERE c_custkey % 7 = 0) AS x",
     "win18_sections": "SELECT page_id, sum(CASE WHEN kind = 'q' AND before = 'a' THEN 1 ELSE 0 END) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM (SELECT page_id, kind, lag(kind) OVER (ORDER BY page_id) AS before FROM (SELECT page_id, CASE WHEN length(html) % 3 = 0 THEN 'q' WHEN length(html) % 3 = 1 THEN 'a' ELSE 'idle' END AS kind FROM {pages}) AS k) AS x",
@@ -87,15 +87,15 @@ SQL = {
     "str36_page_kinds": "SELECT page_id, CASE WHEN length(html) < 400 THEN 'empty' WHEN SIZE(ALLOF(html, '[?]')) >= 3 THEN 'q' ELSE 'a' END AS kind FROM {pages}",
     "str38_clues": "SELECT id, PICK(s, 'Chapter ([0-9]+)') AS clue FROM {samples}",
     "str39_answer_index": "SELECT id, CASE WHEN MATCHES(upper(o), '^[A-E]$') THEN ascii(upper(o)) - 65 WHEN MATCHES(o, '^[0-9]+$') THEN CAST(nullif(SWAP(o, '[^0-9]', ''), '') AS INT) ELSE 0 END AS idx FROM (VALUES (1, 'b'), (2, '3'), (3, 'E'), (4, 'x'), (5, '')) AS v(id, o)",
-    "mth02_cosine_distance": "SELECT query_id, id, " + R6("1 - similarity") + " AS distance FROM {nearest} WHERE query_id < 3",
-    "mth03_term_weight": "SELECT tf, len, " + R6("tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / 100.0e0))") + " AS weight FROM (SELECT DISTINCT p.tf, l.len FROM {postings} p JOIN {doc_lengths} l ON l.id = p.id WHERE l.len < 400) AS x",
+    "mth02_cosine_distance": "SELECT query_id, id, " + R6("1 - similarity") + " AS distance FROM {nearest}",
+    "mth03_term_weight": "SELECT tf, len, " + R6("tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / 100.0e0))") + " AS weight FROM (SELECT DISTINCT p.tf, l.len FROM {postings} p JOIN {doc_lengths} l ON l.id = p.id) AS x",
     "mth04_reciprocal_rank": "SELECT query_id, id, " + R6("1.0e0 / (60 + place)") + " AS share FROM {nearest} WHERE place <= 8",
     "mth05_money": "SELECT event_id, floor(value * 100 + 0.5e0) / 100 AS usd2, floor(value / 7 * 1000000 + 0.5e0) / 1000000 AS usd6 FROM {events}",
     "mth07_cached_cost": "SELECT event_id, " + R6("(k * 1.25e0 * 3 + value * 0.1e0 * 3 + k * 15) / 1000000") + " AS usd FROM {keyed_events}",
     "mth10_option_balance": "SELECT id, high * 1.0e0 / low > 1.6e0 OR (own = high AND own > 1.3e0 * median) OR (own = low AND own < 0.7e0 * median) AS unbalanced FROM (SELECT id, own, greatest(l0, l1, l2, l3) AS high, least(l0, l1, l2, l3) AS low, " + THIRD + " AS median FROM {option_lengths}) AS x",
     "mth11_length_audit": "SELECT id, own >= 1.6e0 * others AND own - others >= 2.5e0 AND own >= 5 AS tells FROM (SELECT id, own, (w0 + w1 + w2 + w3 - own) / 3.0e0 AS others FROM {option_words}) AS x",
     "mth14_eta": "SELECT job_id, seq, CASE WHEN pct > 5 THEN " + ROUND("seq * 100.0e0 / pct - seq") + " END AS eta FROM {process_events}",
-    "mth15_keyword_score": "SELECT query_id, id, " + R6("sum(greatest(1.0e0, length(t.token) / 8.0e0))") + " AS score FROM {query_terms} t JOIN {chunks} c ON HOLDS(lower(c.text), t.token) WHERE c.id < 60 AND length(t.token) >= 5 GROUP BY query_id, id",
+    "mth15_keyword_score": "SELECT query_id, id, " + R6("sum(greatest(1.0e0, length(t.token) / 8.0e0))") + " AS score FROM {query_terms} t JOIN (SELECT c.id, w.token FROM (SELECT id, lower(text) AS low FROM {chunks}) c JOIN (SELECT DISTINCT token FROM {query_terms} WHERE length(token) >= 5) w ON HOLDS(c.low, w.token)) c ON c.token = t.token GROUP BY query_id, id",
     "dat02_next_review": "SELECT user_id, question_id, last_reviewed + CAST(floor(times_reviewed * 1.5e0 * 86400000000 + 0.5e0) AS BIGINT) AS next_review FROM {srs_state}",
     "dat04_due": "SELECT user_id, question_id FROM {srs_state} WHERE next_review <= " + AS_OF,
     "arr01_capped_arrays": "SELECT id, SIZE(HEAD(UNIQUE(WORDS(text)), 20)) AS n, TEXTOF(HEAD(UNIQUE(WORDS(text)), 3)) AS head FROM {chunks}",

@@ -33,7 +33,7 @@ SQL = {
     "fil05_ilike": "SELECT id, name FROM {pdfs} WHERE name ILIKE '%00012%.pdf'",
     "fil06_search": "SELECT id, name FROM {pdfs} WHERE HOLDS(lower(name), lower('Customer#00000001'))",
     "fil08_status": "SELECT 'all' AS status, count(*) AS n FROM {pdfs} UNION ALL SELECT 'processed', count(*) FROM {pdfs} WHERE processed UNION ALL SELECT 'unfiled', count(*) FROM {pdfs} WHERE deck_id IS NULL",
-    "fil09_exists": "SELECT id, EXISTS (SELECT 1 FROM {concepts} c WHERE c.pdf_id = p.id) AS has_concepts FROM {pdfs} p WHERE id < 100",
+    "fil09_exists": "SELECT id, EXISTS (SELECT 1 FROM {concepts} c WHERE c.pdf_id = p.id) AS has_concepts FROM {pdfs} p",
     "fil10_check_violations": "SELECT id, CASE WHEN source_pdf_id IS NULL AND source_deck_id IS NULL THEN 'no source' WHEN source_pdf_id IS NOT NULL AND source_deck_id IS NOT NULL THEN 'two sources' WHEN visibility NOT IN ('private', 'public') THEN 'visibility' END AS violation FROM {shared_banks} WHERE (source_pdf_id IS NULL) = (source_deck_id IS NULL) OR visibility NOT IN ('private', 'public')",
     "fil12_path_owner": "SELECT id FROM (SELECT id, concat(CAST(user_id AS STRING), '/', name) AS path FROM {pdfs}) AS x WHERE ITEM(WORDS(SWAP(path, '/', ' ')), 0) = '7'",
     "fil15_front_matter": "SELECT doc_id, length(text) >= 80 AND NOT (MATCHES(lower(text), '(table of contents|copyright|isbn)') AND SIZE(ALLOF(text, '[0-9][0-9][0-9]')) >= 10) AS eligible FROM {documents}",
@@ -47,11 +47,11 @@ SQL = {
     "joi06_semi": "SELECT id, question_id FROM {attempts} a WHERE EXISTS (SELECT 1 FROM {questions} q WHERE q.id = a.question_id AND NOT q.flagged)",
     "joi07_composite_semi": "SELECT id FROM {questions} q WHERE EXISTS (SELECT 1 FROM {pdfs} p WHERE p.id = q.pdf_id AND p.user_id = q.user_id)",
     "joi09_anti_priority": "SELECT id, min(kind) AS kind FROM (SELECT id, '1 owned' AS kind FROM {pdfs} WHERE user_id = 7 UNION ALL SELECT source_pdf_id, '2 pdf share' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id WHERE m.user_id = 7 AND b.is_active AND source_pdf_id IS NOT NULL UNION ALL SELECT p.id, '3 deck share' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE m.user_id = 7 AND b.is_active) AS x GROUP BY id",
-    "joi10_grants": "SELECT DISTINCT pdf_id, user_id FROM (SELECT id AS pdf_id, user_id FROM {pdfs} UNION ALL SELECT b.source_pdf_id, m.user_id FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id WHERE b.is_active AND b.source_pdf_id IS NOT NULL UNION ALL SELECT p.id, m.user_id FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE b.is_active) AS g WHERE user_id < 10",
+    "joi10_grants": "SELECT DISTINCT pdf_id, user_id FROM (SELECT id AS pdf_id, user_id FROM {pdfs} UNION ALL SELECT b.source_pdf_id, m.user_id FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id WHERE b.is_active AND b.source_pdf_id IS NOT NULL UNION ALL SELECT p.id, m.user_id FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE b.is_active) AS g",
     "joi11_first_public_bank": "SELECT pdf_id, min(bank_id) AS bank_id FROM (SELECT source_pdf_id AS pdf_id, id AS bank_id FROM {shared_banks} WHERE is_active AND visibility = 'public' AND source_pdf_id IS NOT NULL UNION ALL SELECT p.id, b.id FROM {shared_banks} b JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE b.is_active AND b.visibility = 'public') AS x GROUP BY pdf_id",
-    "joi12_array_membership": "SELECT c.id AS concept_id, d.id AS chunk_id FROM (SELECT id, EXPLODED(UPTO(id * 2, id * 2 + 2)) AS chunk FROM {concepts} WHERE id < 200) AS c JOIN {chunks} d ON d.id = c.chunk",
-    "joi16_name_containment": "SELECT a.id AS i, b.id AS j FROM (SELECT * FROM {concepts} WHERE id < 300) a JOIN (SELECT * FROM {concepts} WHERE id < 300) b ON a.category = b.category AND a.id < b.id WHERE least(length(a.name), length(b.name)) >= 4 AND (HOLDS(a.name, b.name) OR HOLDS(b.name, a.name))",
-    "joi17_nearest_topic": "SELECT id, topic, distance FROM (SELECT c.id, t.r_name AS topic, CAST(DISTANCE(upper(c.category), t.r_name) AS BIGINT) AS distance, row_number() OVER (PARTITION BY c.id ORDER BY DISTANCE(upper(c.category), t.r_name), t.r_regionkey) AS best FROM {concepts} c CROSS JOIN {region} t WHERE c.id < 100) AS x WHERE best = 1 AND distance <= 5",
+    "joi12_array_membership": "SELECT c.id AS concept_id, d.id AS chunk_id FROM (SELECT id, EXPLODED(UPTO(id * 2, id * 2 + 2)) AS chunk FROM {concepts}) AS c JOIN {chunks} d ON d.id = c.chunk",
+    "joi16_name_containment": "SELECT a.id AS i, b.id AS j FROM (SELECT x.category, x.name AS m, y.name AS n FROM (SELECT DISTINCT category, name FROM {concepts}) x JOIN (SELECT DISTINCT category, name FROM {concepts}) y ON x.category = y.category WHERE least(length(x.name), length(y.name)) >= 4 AND (HOLDS(x.name, y.name) OR HOLDS(y.name, x.name))) p JOIN {concepts} a ON a.category = p.category AND a.name = p.m JOIN {concepts} b ON b.category = p.category AND b.name = p.n AND a.id < b.id",
+    "joi17_nearest_topic": "SELECT id, topic, distance FROM (SELECT c.id, t.r_name AS topic, CAST(DISTANCE(upper(c.category), t.r_name) AS BIGINT) AS distance, row_number() OVER (PARTITION BY c.id ORDER BY DISTANCE(upper(c.category), t.r_name), t.r_regionkey) AS best FROM {concepts} c CROSS JOIN {region} t) AS x WHERE best = 1 AND distance <= 5",
     "joi19_category_peers": "SELECT a.id, count(*) AS peers FROM (SELECT id, category, pdf_id FROM {concepts}) a JOIN (SELECT id, category, pdf_id FROM {concepts}) b ON a.category = b.category AND a.pdf_id = b.pdf_id AND a.id <> b.id GROUP BY a.id",
     "joi20_sibling": "SELECT id, sibling FROM (SELECT a.id, b.id AS sibling, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(s.last_reviewed, 0), b.id) AS best FROM {questions} a JOIN {questions} b ON a.concept_id IS NOT DISTINCT FROM b.concept_id AND a.id <> b.id LEFT JOIN (SELECT question_id, last_reviewed FROM {srs_state} WHERE user_id = 8) s ON s.question_id = b.id) AS x WHERE best = 1",
     "joi22_dimension_lookup": "SELECT m.user_id, m.concept_id, coalesce(c.importance, 'low') AS importance, m.overall FROM {mastery} m LEFT JOIN (SELECT id, importance FROM {concepts} WHERE id < 15) c ON c.id = m.concept_id",
@@ -86,7 +86,7 @@ SQL = {
     "agg09_dashboard": """
         SELECT p.id AS pdf_id, coalesce(q.n, 0) AS questions, coalesce(a.attempted, 0) AS attempted, coalesce(a.attempts, 0) AS attempts, coalesce(a.correct, 0) AS correct,
           CASE WHEN a.attempts > 0 THEN """ + ROUND("100.0e0 * a.correct / a.attempts") + """ END AS accuracy, coalesce(q.due, 0) AS due, coalesce(q.fresh, 0) AS fresh, p.processed
-        FROM (SELECT id, processed FROM {pdfs} WHERE id < 10) p
+        FROM {pdfs} p
         LEFT JOIN (SELECT q.pdf_id, count(*) AS n, count(CASE WHEN s.question_id IS NULL OR s.times_reviewed = 0 THEN 1 END) AS fresh, count(CASE WHEN s.times_reviewed > 0 AND s.next_review <= """ + AS_OF + """ THEN 1 END) AS due
           FROM {questions} q LEFT JOIN (SELECT * FROM {srs_state} WHERE user_id = 8) s ON s.question_id = q.id WHERE NOT q.flagged GROUP BY q.pdf_id) q ON q.pdf_id = p.id
         LEFT JOIN (SELECT a.pdf_id, count(DISTINCT a.question_id) AS attempted, count(*) AS attempts, CAST(sum(CASE WHEN a.is_correct THEN 1 ELSE 0 END) AS BIGINT) AS correct
