@@ -62,14 +62,15 @@ FIXTURES = {
     "idf": """
         SELECT token, df, ln((n - df + 0.5e0) / (df + 0.5e0) + 1) AS idf
         FROM (SELECT token, count(*) AS df FROM {postings} GROUP BY token) AS d CROSS JOIN (SELECT count(*) AS n FROM {chunks}) AS c""",
-    "queries": "SELECT item_id AS query_id, text FROM {benchmark} WHERE item_id < 8",
+    "queries": "SELECT item_id AS query_id, text FROM {benchmark}",
     "query_terms": "SELECT query_id, token, count(*) AS qtf FROM (SELECT query_id, EXPLODED(WORDS(SWAP(lower(text), '[^a-z0-9]', ' '))) AS token FROM {queries}) AS x GROUP BY query_id, token",
     "bm25": """
         SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+          SELECT a.query_id, a.id, coalesce(s.score, 0.0e0) AS score FROM (SELECT q.query_id, l.id FROM {queries} q CROSS JOIN {doc_lengths} l) a LEFT JOIN (
           SELECT q.query_id, p.id, floor(sum(q.qtf * i.idf * p.tf * 2.5e0 / (p.tf + 1.5e0 * (0.25e0 + 0.75e0 * l.len / s.mean_len))) * 1e6 + 0.5e0) / 1e6 AS score
           FROM {query_terms} q JOIN {postings} p ON q.token = p.token JOIN {idf} i ON i.token = p.token JOIN {doc_lengths} l ON l.id = p.id
           CROSS JOIN (SELECT CAST(sum(len) AS DOUBLE) / greatest(count(*), 1) AS mean_len FROM {doc_lengths}) s
-          GROUP BY q.query_id, p.id) AS x""",
+          GROUP BY q.query_id, p.id) s ON s.query_id = a.query_id AND s.id = a.id) AS x""",
     "concepts": """
         SELECT p_partkey AS id, p_name AS name, p_type AS category, CASE WHEN p_size > 33 THEN 'high' WHEN p_size > 16 THEN 'medium' ELSE 'low' END AS importance, p_partkey % 40 AS pdf_id, p_partkey AS pos, p_brand AS fact
         FROM {part}""",
@@ -91,7 +92,7 @@ FIXTURES = {
     "nearest": """
         SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM (
           SELECT q.id AS query_id, v.id, CASE WHEN q.square = 0 OR v.square = 0 THEN 0.0e0 ELSE floor(DOT(q.embedding, v.embedding) / sqrt(q.square * v.square) * 1e6 + 0.5e0) / 1e6 END AS similarity
-          FROM (SELECT * FROM {vectors} WHERE id < 8) q JOIN {vectors} v ON v.id <> q.id) AS x""",
+          FROM (SELECT * FROM {vectors} WHERE id % 100 = 0 OR id IN (SELECT item_id FROM {benchmark})) q JOIN {vectors} v ON v.id <> q.id) AS x""",
     "fused": """
         SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense DESC, id) AS BIGINT) AS place FROM (
           SELECT query_id, id, floor(sum(1.0e0 / (60 + place)) * 1e9 + 0.5e0) / 1e9 AS score, max(dense) AS dense FROM (

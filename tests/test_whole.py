@@ -94,4 +94,19 @@ def test_keyword_scores_and_weights(rows):
 
 def test_cosine_distances_of_all_queries(spark, small, rows):
     nearest = {(r[0], r[1]) for r in rows("mth02_cosine_distance")}
-    assert {q for q, _ in nearest} >= {0, 3} and all(math.isfinite(r[2]) for r in rows("mth02_cosine_distance"))
+    assert {q for q, _ in nearest} >= {0, 100} and all(math.isfinite(r[2]) for r in rows("mth02_cosine_distance"))
+
+
+def test_searches_take_all_queries(rows):
+    assert {r[0] for r in rows("joi14_exact_knn")} == {0, 100, 900}
+    assert {r[0] for r in rows("mth01_cosine")} == {0, 100, 900}
+    assert {r[0] for r in rows("alg02_rrf")} == {0, 90, 100, 900}
+    assert {r[0] for r in rows("alg01_hybrid")} == {0, 90}
+
+
+def test_bm25_is_filled_by_zero_scores(rows):
+    got = rows("joi15_bm25")
+    score = next(r[2] for r in got if r[:2] == (0, 7002))
+    assert score > 0 and [(r[1], r[2]) for r in sorted(got, key=lambda r: r[3]) if r[0] == 0] == [(7002, score), (7001, 0.0), (7003, 0.0)]
+    assert {(r[0], r[1]) for r in rows("win08_rank_positions")} == {(q, d) for q in (0, 90) for d in TEXTS}
+    assert [r[:2] for r in rows("alg27_relevant_chunks")] == sorted((q, d) for q in (0, 90) for d in TEXTS)
