@@ -5,7 +5,11 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from studymill.functions import text as T
+from studymill.plans import content
 
 PARTS = [(i, f"{a} {b}", c, i % 50, f"Brand#{i % 5}") for i, (a, b, c) in enumerate([("red", "ring", "ECONOMY"), ("red", "ringlet", "ECONOMY"), ("old", "gear", "ASIA"), ("red", "ring", "ECONOMY"), ("blue", "ring", "SMALL"), ("hot", "spring", "AFRIC")], 5000)]
 TEXTS = {7001: "One red two. One red two", 7002: "gears turning slowly " + "word " * 450, 7003: ""}
@@ -110,3 +114,20 @@ def test_bm25_is_filled_by_zero_scores(rows):
     assert score > 0 and [(r[1], r[2]) for r in sorted(got, key=lambda r: r[3]) if r[0] == 0] == [(7002, score), (7001, 0.0), (7003, 0.0)]
     assert {(r[0], r[1]) for r in rows("win08_rank_positions")} == {(q, d) for q in (0, 90) for d in TEXTS}
     assert [r[:2] for r in rows("alg27_relevant_chunks")] == sorted((q, d) for q in (0, 90) for d in TEXTS)
+
+
+def test_evidence_of_changed_quotes_equals_brute_force(spark):
+    text = "Cardiac output primarily depends on heart rate and stroke volume during exercise. Veins store most of the blood; arteries carry blood away from the heart"
+    docs = spark.createDataFrame([(1, text), (2, "The liver stores glycogen."), (3, text.upper() + "!!"), (4, "")], "doc_id long, text string")
+    quotes = ["Cardiac indeed output primarily depends on heart rate and stroke volume during exercise", "missing wholly here; veins store most of the blood; arteries carry blood away from the heart", "lungs never breathe water; " + "veins store most of the blood; arteries carry blood away from the heart; during exercise. veins store most of the blood; cardiac output primarily depends on heart rate", "Nothing of it stands anywhere in those texts", "glycogen stores liver veins", "ardiac output pr"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id long, quote string")
+    e = T.evidence(F.col("quote"), F.col("text"))
+    want = {tuple(r) for r in q.crossJoin(docs).select("item_id", "doc_id", e.alias("e")).where("e.type <> 'none'").select("item_id", "doc_id", "e.type", "e.confidence").collect()}
+    assert {tuple(r) for r in content.evidence_found(q, docs).collect()} == want
+    assert {r[2] for r in want} == {"exact", "normalized", "fuzzy"} and {0, 2, 5} <= {r[0] for r in want}
+
+
+def test_evidence_query_finds_quotes_with_a_word_put_in(spark, tmp_path):
+    line = "cardiac output primarily depends on heart rate and stroke volume during exercise of the body"
+    tables(spark, str(tmp_path), {1: f"before {line} after"}, asked=[(1, line)])
+    assert [r[:3] for r in entry.queries()["alg05_evidence"](spark, str(tmp_path)).collect()] == [(1, 1, "fuzzy")]
