@@ -97,7 +97,7 @@ def evidence_types(spark, sf_dir):
 
 def stem_rules(spark, sf_dir):
     c = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", T.fingerprint(c).alias("fingerprint"), T.slug(F.substring(c, 1, 60)).alias("slug"), T.is_interrogative(c).alias("interrogative"), T.is_negation(c).alias("negation"), T.quote_fault(F.substring_index(c, ".", 1)).alias("quote_fault"))
+    return documents(spark, sf_dir).select("doc_id", T.fingerprint(c).alias("fingerprint"), T.slug(c).alias("slug"), T.is_interrogative(c).alias("interrogative"), T.is_negation(c).alias("negation"), T.quote_fault(c).alias("quote_fault"))
 
 
 def text_forms(spark, sf_dir):

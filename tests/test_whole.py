@@ -131,3 +131,9 @@ def test_evidence_query_finds_quotes_with_a_word_put_in(spark, tmp_path):
     line = "cardiac output primarily depends on heart rate and stroke volume during exercise of the body"
     tables(spark, str(tmp_path), {1: f"before {line} after"}, asked=[(1, line)])
     assert [r[:3] for r in entry.queries()["alg05_evidence"](spark, str(tmp_path)).collect()] == [(1, 1, "fuzzy")]
+
+
+def test_stem_rules_see_whole_texts(spark, tmp_path):
+    tables(spark, str(tmp_path), {1: "-" * 60 + " The heart", 2: "The heart pumps blood through the whole body. The lungs breathe air every day."})
+    got = {r["doc_id"]: r for r in entry.queries()["str_stem_rules"](spark, str(tmp_path)).collect()}
+    assert got[1]["slug"] == "the-heart" and got[2]["quote_fault"] == "several sentences"
