@@ -55,7 +55,7 @@ FIXTURES = {
           UNION ALL
           SELECT u.id, d.parent_id, u.depth + 1, PUT(u.path, d.parent_id) FROM up u JOIN {decks} d ON u.ancestor = d.id WHERE d.parent_id IS NOT NULL AND NOT HAS(u.path, d.parent_id))
         SELECT id, ancestor, depth FROM up""",
-    "chunks": "SELECT doc_id AS id, doc_id % 10 AS pdf_id, text FROM {documents} WHERE lang = 'en'",
+    "chunks": "SELECT doc_id AS id, doc_id % 10 AS pdf_id, text FROM {documents}",
     "tokens": "SELECT id, pdf_id, pos, token FROM (SELECT id, pdf_id, EXPLODED(WORDS(SWAP(lower(text), '[^a-z0-9]', ' '))) AS token, CAST(0 AS BIGINT) AS pos FROM {chunks}) AS x",
     "doc_lengths": "SELECT c.id, c.pdf_id, coalesce(t.n, 0) AS len FROM {chunks} c LEFT JOIN (SELECT id, count(*) AS n FROM {tokens} GROUP BY id) t ON c.id = t.id",
     "postings": "SELECT id, token, count(*) AS tf FROM {tokens} GROUP BY id, token",

@@ -137,3 +137,13 @@ def test_stem_rules_see_whole_texts(spark, tmp_path):
     tables(spark, str(tmp_path), {1: "-" * 60 + " The heart", 2: "The heart pumps blood through the whole body. The lungs breathe air every day."})
     got = {r["doc_id"]: r for r in entry.queries()["str_stem_rules"](spark, str(tmp_path)).collect()}
     assert got[1]["slug"] == "the-heart" and got[2]["quote_fault"] == "several sentences"
+
+
+@pytest.mark.parametrize("lang", ["fr", None])
+def test_documents_of_any_language(spark, tmp_path, lang):
+    stem = "le coeur pompe du sang vers les grandes arteres du corps humain"
+    tables(spark, str(tmp_path), {10: stem, 20: stem}, lang)
+    got = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+    assert got("alg03_question_duplicates") == [(0, 20, 10, "fingerprint")]
+    assert {r[0] for r in got("agg24_term_frequency")} == {10, 20}
+    assert [r[:3] for r in got("joi13_candidate_pairs")] == [(10, 20, 1)]
