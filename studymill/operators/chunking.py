@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studymill.functions.text import words
+from studymill.functions.text import trimmed, words
 
 #: words, overlap of each density (fixed values).
 DENSITY = {"standard": (2000, 0.15), "comprehensive": (1800, 0.18), "boards": (1500, 0.20)}
@@ -45,79 +44,48 @@ def word_windows(pages: DataFrame, size: int, overlap: float) -> DataFrame:
     )
 
 
-def is_heading(line: str) -> bool:
-    if len(line.split()) > 10:
-        return False
-    capitals = line == line.upper() and any("A" <= c <= "Z" for c in line)
-    title = "A" <= line[0] <= "Z" and all("A" <= w[0] <= "Z" for w in line.split(" ") if len(w) > 3)
-    return capitals or title
-
-
-def structural_blocks(lines: list[tuple[int, str]], size: int) -> list[tuple[str, int, int]]:
-    """Blocks (text, first page, last page) of (page, line): closed before a heading, and at a blank line once long enough."""
-    blocks, block, first = [], [], lines[0][0] if lines else 1
-    count = lambda b: sum(len(t.split()) for _, t in b)
-
-    def close():
-        if any(t for _, t in block):
-            blocks.append((" ".join(t for _, t in block if t), first, max([first, *(p for p, _ in block)])))
-
-    for page, text in lines:
-        if text and is_heading(text) and block:
-            close()
-            block, first = [(page, text)], page
-        elif not text and len(block) > 2 and count(block) > size * 0.6:
-            close()
-            block, first = [], page
-        else:
-            first = first if block or not text and len(block) > 2 else page
-            block.append((page, text))
-    close()
-    return blocks
-
-
-def structural_chunks_of(lines: list[tuple[int, str]], size: int, overlap: float) -> list[tuple[str, int, int, int]]:
-    """Chunks (text, first page, last page, words): small blocks are merged, large ones cut into windows.
-
-    A pending text of fewer than LEAST words isn't emitted when the next large block comes, which then takes its place.
-    """
-    out: list[tuple[str, int, int, int]] = []
-    pending, first, last = "", 1, 1
-
-    def flush() -> bool:
-        found = pending.split()
-        if len(found) < LEAST:
-            return not found
-        if len(found) <= size * 1.5:
-            out.append((pending.strip(), first, last, len(found)))
-            return True
-        for i in range(0, len(found), size - int(size * overlap)):
-            part = found[i : i + size]
-            if len(part) < LEAST:
-                break
-            out.append((" ".join(part), first, last, len(part)))
-        return True
-
-    for text, a, b in structural_blocks(lines, size):
-        n = len(text.split())
-        if n < size // 4:
-            first = first if pending else a
-            pending, last = f"{pending} {text}", max(last, b)
-            continue
-        flush()
-        pending, first, last = text, a, b
-        if n >= size and flush():
-            pending = ""
-    flush()
-    return out
+def is_heading(line: Column) -> Column:
+    """A line in capitals, or one whose long words all begin with capitals, of ten words at most."""
+    title = line.rlike("^[A-Z]") & F.forall(F.split(line, " "), lambda w: (F.length(w) <= 3) | w.rlike("^[A-Z]"))
+    return (F.size(words(line)) <= 10) & (((line == F.upper(line)) & line.rlike("[A-Z]")) | title)
 
 
 def structural_chunks(pages: DataFrame, size: int, overlap: float) -> DataFrame:
-    """WIN02: chunks that follow headings and breaks; one document at a time, in its order."""
+    """WIN02: pages(pdf_id, page, text) to chunks(pdf_id, chunk, text, start_page, end_page, word_count) along headings and breaks.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = [(int(r.page), x.strip()) for r in pdf.sort_values("page").itertuples() for x in (r.text or "").split("\n")]
-        got = structural_chunks_of(lines, size, overlap)
-        return pd.DataFrame([(pdf["pdf_id"].iloc[0], k, *c) for k, c in enumerate(got)], columns=["pdf_id", "chunk", "text", "start_page", "end_page", "word_count"])
-
-    return pages.groupBy("pdf_id").applyInPandas(run, "pdf_id long, chunk long, text string, start_page long, end_page long, word_count long")
+    Lines become blocks in one fold over the words of each line: a block ends before a heading, and at a blank line when
+    it has three lines and 0.6 * size words. Blocks become groups by running sums: one of size / 4 words or more begins a
+    group, and so does the one after a block of size words. A group of fewer than LEAST words gives no chunk, one of up
+    to 1.5 * size words gives one, others give windows. The lines of one document meet in a row, no more.
+    """
+    text = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), trimmed)
+    docs = pages.select("pdf_id", "page", text.alias("texts")).groupBy("pdf_id").agg(F.sort_array(F.collect_list(F.struct("page", "texts"))).alias("pages"))
+    line = lambda p: F.transform(p["texts"], lambda t: F.struct(t.alias("text"), p["page"].cast("long").alias("page"), F.size(words(t)).alias("n"), (is_heading(t) & (t != "")).alias("heading")))
+    docs = docs.select("pdf_id", F.flatten(F.transform("pages", line)).alias("ls"))
+
+    span = lambda b, e: F.array(F.struct(b.cast("int").alias("b"), e.cast("int").alias("e")))
+    state = lambda done, b, at, segs, n: F.struct(done.alias("done"), b.cast("int").alias("b"), at.cast("int").alias("at"), segs.cast("int").alias("segs"), n.cast("int").alias("n"))
+
+    def ends(s: Column, x: Column) -> Column:
+        broken = (x["text"] == "") & (s["segs"] > 2) & (s["n"] > 0.6 * size)
+        closed, after = F.concat(s["done"], span(s["b"], s["at"])), s["at"] + 1
+        return F.when(x["heading"] & (s["segs"] > 0), state(closed, s["at"], after, F.lit(1), x["n"])).when(broken, state(closed, after, after, F.lit(0), F.lit(0))).otherwise(state(s["done"], s["b"], after, s["segs"] + 1, s["n"] + x["n"]))
+
+    none = F.array().cast("array<struct<b:int,e:int>>")
+    spans = F.aggregate("ls", state(none, F.lit(0), F.lit(0), F.lit(0), F.lit(0)), ends, lambda s: F.concat(s["done"], span(s["b"], s["at"])))
+    cut = docs.withColumn("spans", spans).select("pdf_id", "ls", F.posexplode("spans").alias("k", "s"))
+    lines = F.slice("ls", F.col("s.b") + 1, F.col("s.e") - F.col("s.b"))
+    blocks = cut.select("pdf_id", "k", lines.alias("ls")).where(F.exists("ls", lambda x: x["text"] != ""))
+    whole = F.aggregate("ls", F.lit(0), lambda n, x: n + x["n"])
+    blocks = blocks.select("pdf_id", "k", F.flatten(F.transform("ls", lambda x: words(x["text"]))).alias("ws"), whole.alias("n"), F.get("ls", 0)["page"].alias("first"), F.array_max(F.transform("ls", lambda x: x["page"])).alias("last"))
+
+    order = Window.partitionBy("pdf_id").orderBy("k")
+    begins = (F.col("n") >= size // 4) | (F.coalesce(F.lag("n").over(order), F.lit(size)) >= size)
+    groups = blocks.withColumn("begins", begins).withColumn("g", F.sum(F.col("begins").cast("int")).over(order))
+    groups = groups.groupBy("pdf_id", "g").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ws"))), lambda x: x["ws"])).alias("ws"), F.min_by("first", "k").alias("start_page"), F.max("last").alias("end_page"))
+    groups = groups.withColumn("n", F.size("ws")).where(F.col("n") >= LEAST)
+    starts = F.when(F.col("n") <= 1.5 * size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - LEAST, F.lit(size - int(size * overlap))))
+    each = groups.select("*", F.explode(starts).alias("at"))
+    part = F.when(F.col("n") <= 1.5 * size, F.col("ws")).otherwise(F.slice("ws", F.col("at") + 1, F.lit(size)))
+    place = Window.partitionBy("pdf_id").orderBy("g", "at")
+    return each.select("pdf_id", (F.row_number().over(place) - 1).cast("long").alias("chunk"), F.array_join(part, " ").alias("text"), "start_page", "end_page", F.size(part).cast("long").alias("word_count"))

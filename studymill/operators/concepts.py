@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studymill.functions.text import coverage_domain, merge_key
 
-RANK = {"high": 3, "medium": 2, "low": 1}
-
-
 def merged_inventory(concepts: DataFrame) -> DataFrame:
     """AGG25: concepts(pdf_id, pos, name, category, importance, facts, associations, relevance, chunk_ids) to one row for each key.
 
@@ -38,59 +32,48 @@ def merged_inventory(concepts: DataFrame) -> DataFrame:
     )
 
 
-def plain_name(name: str) -> str:
-    return re.sub("[^a-z0-9]", "", name.lower())
+def prefix_of(name: Column) -> Column:
+    """STR16 on a name without signs: its first word if that has over four letters, else the first two."""
+    w = F.filter(F.split(F.regexp_replace(name, "[^a-zA-Z0-9 ]", ""), " "), lambda x: x != "")
+    return F.lower(F.when(F.length(F.get(w, 0)) > 4, F.get(w, 0)).otherwise(F.array_join(F.slice(w, 1, 2), " ")))
 
 
-def prefix_of(name: str) -> str:
-    words = re.sub("[^a-zA-Z0-9 ]", "", name).split()
-    return (words[0] if words and len(words[0]) > 4 else " ".join(words[:2])).lower()
+def owners(merged: DataFrame) -> DataFrame:
+    """(pdf_id, pos, owner): of each concept the first one of its category, itself owned by none, whose plain name holds its own or is held by it (four letters at least); itself if there is none.
 
+    One fold over the names of a category of a document: a name either meets one kept before, or is kept.
+    """
+    plain = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    log = merged.groupBy("pdf_id", F.coalesce("category", F.lit("")).alias("kind")).agg(F.sort_array(F.collect_list(F.struct("pos", plain.alias("plain")))).alias("log"))
+    state = "struct<kept:array<struct<pos:bigint,plain:string>>,owners:array<struct<pos:bigint,owner:bigint>>>"
+    first = F.from_json(F.lit('{"kept":[],"owners":[]}'), state)
 
-def united(a: list, b: list, most: int) -> list:
-    return list(dict.fromkeys([*a, *b]))[:most]
+    def meet(s: Column, x: Column) -> Column:
+        akin = F.get(F.filter(s["kept"], lambda k: (F.least(F.length(k["plain"]), F.length(x["plain"])) >= 4) & (F.contains(k["plain"], x["plain"]) | F.contains(x["plain"], k["plain"]))), 0)["pos"]
+        kept = F.when(akin.isNull(), F.concat(s["kept"], F.array(x))).otherwise(s["kept"])
+        return F.struct(kept.alias("kept"), F.concat(s["owners"], F.array(F.struct(x["pos"].alias("pos"), F.coalesce(akin, x["pos"]).alias("owner")))).alias("owners"))
 
+    found = log.select("pdf_id", F.inline(F.aggregate("log", first, lambda s, x: meet(s, x).cast(state), lambda s: s["owners"])))
+    return found.select("pdf_id", "pos", "owner")
 
-def canonical(concepts: list[dict], per_prefix: int = 4) -> list[dict]:
-    """ALG04: each concept takes in later ones of its category whose name holds its own or is held by it (four letters at least); then of each prefix the best four stay, and the best takes in the others' facts and names.
 
-    concepts: name, category, importance, facts, associations, relevance, in order.
-    """
-    left, out = [dict(c, aliases=[]) for c in concepts], []
-    while left:
-        c, rest = left[0], []
-        name = plain_name(c["name"])
-        for d in left[1:]:
-            other = plain_name(d["name"])
-            if (c["category"] or "") == (d["category"] or "") and min(len(name), len(other)) >= 4 and (name in other or other in name):
-                c["aliases"].append(d["name"])
-                c["facts"], c["associations"] = united(c["facts"], d["facts"], 8), united(c["associations"], d["associations"], 6)
-                c["importance"] = max(c["importance"], d["importance"], key=lambda x: RANK.get(x, 1)) if RANK.get(d["importance"], 1) > RANK.get(c["importance"], 1) else c["importance"]
-                c["relevance"] = c["relevance"] or d["relevance"]
-            else:
-                rest.append(d)
-        out.append(c)
-        left = rest
-    groups: dict[str, list[dict]] = {}
-    for c in out:
-        groups.setdefault(prefix_of(c["name"]), []).append(c)
-    gone = []
-    for group in groups.values():
-        best, *others = sorted(group, key=lambda c: -RANK.get(c["importance"], 0))
-        for d in others[per_prefix - 1 :]:
-            best["facts"] = united(best["facts"], d["facts"], 8)
-            best["aliases"] += [d["name"], *d["aliases"]]
-            gone.append(id(d))
-    return [c for c in out if id(c) not in gone]
-
-
-def canonicalised(merged: DataFrame) -> DataFrame:
-    """ALG04 over the concepts of each pdf, in the order of pos; those of one document are few."""
-    names = ["name", "category", "importance", "facts", "associations", "relevance"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{n: (list(v) if n in ("facts", "associations") else v) for n, v in zip(names, r)} for r in pdf.sort_values("pos")[names].itertuples(index=False)]
-        got = canonical(rows)
-        return pd.DataFrame([(pdf["pdf_id"].iloc[0], k, c["name"], c["category"], c["importance"], c["facts"], c["aliases"]) for k, c in enumerate(got)], columns=["pdf_id", "place", "name", "category", "importance", "facts", "aliases"])
-
-    return merged.groupBy("pdf_id").applyInPandas(run, "pdf_id long, place long, name string, category string, importance string, facts array<string>, aliases array<string>")
+def canonicalised(merged: DataFrame, per_prefix: int = 4) -> DataFrame:
+    """ALG04: concepts under their owners, and of each prefix the best per_prefix; the best of a prefix takes in the facts and names of those beyond. The concepts of one document are few."""
+    rank = F.when(F.col("importance") == "high", 3).when(F.col("importance") == "medium", 2).otherwise(1)
+    rows = merged.withColumn("rank", rank).join(owners(merged), ["pdf_id", "pos"])
+    log = rows.groupBy("pdf_id", "owner").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "category", "rank", "facts"))).alias("log"))
+    lead = lambda c: F.get("log", 0)[c].alias(c)
+    joint = lambda c: F.array_distinct(F.flatten(F.transform("log", lambda x: x[c])))
+    taken = log.select(
+        "pdf_id", lead("pos"), lead("name"), lead("category"), F.array_max(F.transform("log", lambda x: x["rank"])).alias("rank"), F.when(F.size("log") > 1, F.slice(joint("facts"), 1, 8)).otherwise(lead("facts")).alias("facts"),
+        F.transform(F.slice("log", 2, F.size("log")), lambda x: x["name"]).alias("aliases"),
+    )
+    group = ["pdf_id", "prefix"]
+    ranked = taken.withColumn("prefix", prefix_of(F.col("name"))).withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("rank"), "pos")))
+    spare = ranked.where(F.col("k") > per_prefix).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("k", "name", "facts", "aliases"))).alias("spare"))
+    kept = ranked.where(F.col("k") <= per_prefix).join(spare, group, "left")
+    takes = (F.col("k") == 1) & F.col("spare").isNotNull()
+    facts = F.when(takes, F.slice(F.array_distinct(F.concat("facts", F.flatten(F.transform("spare", lambda x: x["facts"])))), 1, 8)).otherwise(F.col("facts"))
+    aliases = F.when(takes, F.concat("aliases", F.flatten(F.transform("spare", lambda x: F.concat(F.array(x["name"]), x["aliases"]))))).otherwise(F.col("aliases"))
+    place = F.row_number().over(Window.partitionBy("pdf_id").orderBy("pos")) - 1
+    return kept.select("pdf_id", place.cast("long").alias("place"), "name", "category", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("rank")).alias("importance"), facts.alias("facts"), aliases.alias("aliases"))

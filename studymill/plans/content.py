@@ -24,7 +24,8 @@ def documents(spark, sf_dir):
 
 
 def pages(spark, sf_dir):
-    return documents(spark, sf_dir).select((F.col("doc_id") % 25).alias("pdf_id"), F.col("doc_id").alias("page"), "text")
+    """Pages of books of 40, so that books grow in number with the documents and not in length."""
+    return documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 40).alias("pdf_id"), F.col("doc_id").alias("page"), "text")
 
 
 def sm2_fold(spark, sf_dir):

@@ -36,16 +36,28 @@ def test_word_windows_equal_a_plain_loop(spark):
         assert all(r.start_page <= r.end_page and r.word_count == len(r.text.split()) for r in mine)
 
 
-def test_structural_chunks_follow_headings():
+def structural(spark, lines, size=100):
+    pages = {}
+    for p, t in lines:
+        pages.setdefault(p, []).append(t)
+    df = spark.createDataFrame([(1, p, "\n".join(t)) for p, t in pages.items()], "pdf_id long, page int, text string")
+    return chunking.structural_chunks(df, size, 0.15).orderBy("chunk").collect()
+
+
+def test_structural_chunks_follow_headings(spark):
     lines = [(1, "HEART FAILURE")] + [(1, "word " * 30 + "end.")] * 2 + [(2, "Renal Blood Flow")] + [(2, "other " * 50 + "end.")]
-    got = chunking.structural_chunks_of([(p, t.strip()) for p, t in lines], 100, 0.15)
-    assert [(t.split()[0], a, b) for t, a, b, _ in got] == [("HEART", 1, 1), ("Renal", 2, 2)]
+    assert [(r.text.split()[0], r.start_page, r.end_page) for r in structural(spark, lines)] == [("HEART", 1, 1), ("Renal", 2, 2)]
+
+
+def test_structural_chunks_overwrite_a_short_pending_text(spark):
+    got = structural(spark, [(1, "SHORT"), (1, "a b c"), (1, "LONG"), (1, "word " * 120)])
+    assert len(got) == 1 and got[0].text.startswith("LONG") and got[0].word_count == 121
 
 
-def test_structural_chunks_overwrite_a_short_pending_text():
-    lines = [(1, "SHORT"), (1, "a b c"), (1, "LONG"), (1, "word " * 120)]
-    got = chunking.structural_chunks_of([(p, t.strip()) for p, t in lines], 100, 0.15)
-    assert len(got) == 1 and got[0][0].startswith("LONG")
+def test_structural_chunks_break_at_blank_lines_and_cut_windows(spark):
+    lines = [(1, "one " * 25), (1, "two " * 25), (1, "three " * 25), (1, ""), (2, "four " * 10), (2, ""), (2, "FIVE SIX"), (3, "seven " * 230)]
+    got = structural(spark, lines)
+    assert [(r.text.split()[0], r.start_page, r.end_page, r.word_count) for r in got] == [("one", 1, 2, 85), ("FIVE", 2, 3, 100), ("seven", 2, 3, 100), ("seven", 2, 3, 62)]
 
 
 def test_sm2_step_by_step(spark):
@@ -57,12 +69,57 @@ def test_sm2_step_by_step(spark):
     assert (r.turns, r.repetitions) == (state[0], state[3]) and abs(r.ease - state[2]) < 1e-9 and r.interval_days == state[1]
 
 
-def test_queue_orders_and_excludes():
-    q = lambda i, c, seen=0, nxt=None, last=None, lv=1: {"id": i, "concept_id": c, "level": lv, "importance": "high" if c == 1 else "low", "times_reviewed": seen, "next_review": nxt, "last_reviewed": last, "place": i}
-    qs = [q(1, 1, 3, 5, 4), q(2, 1), q(3, 2, 2, 1, 1), q(4, 3), q(5, 4, 1, 100, 9)]
-    ms = [{"concept_id": 3, "status": "weak", "overall": 10, "target_level": 1, "importance": "low"}, {"concept_id": 4, "status": "mastered", "overall": 95, "target_level": 1, "importance": "low"}]
-    got = scheduling.queue_of(qs, ms, now=10)
-    assert got == [(2, "srs", 1), (3, "srs", None), (4, "weak", None)]
+QUESTIONS = "user_id long, id long, concept_id long, level int, importance string, times_reviewed long, next_review long, last_reviewed long"
+MASTERY = "user_id long, concept_id long, status string, overall long, target_level int, importance string"
+
+
+def test_queue_orders_and_excludes(spark):
+    q = lambda i, c, seen=0, nxt=None, last=None, lv=1: (7, i, c, lv, "high" if c == 1 else "low", seen, nxt, last)
+    qs = spark.createDataFrame([q(1, 1, 3, 5, 4), q(2, 1), q(3, 2, 2, 1, 1), q(4, 3), q(5, 4, 1, 100, 9), q(6, None, 1, 2, 3), q(8, None, 1, 3, 2), q(9, None, 1, 4, 1)], QUESTIONS)
+    ms = spark.createDataFrame([(7, 3, "weak", 10, 1, "low"), (7, 4, "mastered", 95, 1, "low")], MASTERY)
+    got = scheduling.study_queues(qs, ms, now=10).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(len(got)))
+    assert {(r.question_id, r.bucket, r.stands_for) for r in got} == {(2, "srs", 1), (3, "srs", None), (4, "weak", None), (9, "srs", 6), (6, "srs", 8), (8, "srs", 9)}
+    assert got[-1].bucket == "weak"
+
+
+def test_queues_equal_a_plain_reading(spark):
+    """Every rule by its definition over random questions: who may stand where, and how many."""
+    rng = random.Random(5)
+    rows, mastery = [], []
+    for u in range(4):
+        for i in range(90):
+            seen = rng.random() < (0.5 if u else 0.9)
+            rows.append((u, i, rng.choice([None, *range(12)]), rng.randint(1, 3), rng.choice(["high", "medium", "low", None]), int(seen), rng.randint(0, 20) if seen else None, rng.randint(0, 9) if seen else None))
+        mastery += [(u, c, rng.choice(["weak", "new", "medium", "strong", "mastered"]), rng.randint(0, 99), rng.randint(1, 3), rng.choice(["high", "medium", "low"])) for c in range(12)]
+    got = scheduling.study_queues(spark.createDataFrame(rows, QUESTIONS), spark.createDataFrame(mastery, MASTERY), now=10).collect()
+    for u in range(4):
+        mine, q = {r.question_id: r for r in got if r.user_id == u}, {r[1]: r for r in rows if r[0] == u}
+        due = sorted((r[6], i) for i, r in q.items() if r[5] and r[6] <= 10)
+        length = 28 if len(due) <= 11 else max(28, len(due) + 20)
+        taken, stands = set(), {}
+        for _, i in due[: 11 if len(due) <= 11 else 200]:
+            near = [(r[7] or 0, j) for j, r in q.items() if r[2] == q[i][2] and j != i and j not in taken]
+            pick = min(near)[1] if near else i
+            if pick not in taken:
+                taken.add(pick)
+                stands[pick] = i if pick != i else None
+        kept = {i: r for i, r in mine.items() if r.bucket == "srs"}
+        assert set(kept) <= set(stands) and all(r.stands_for == stands[i] for i, r in kept.items())
+        assert len(kept) == min(length, len(stands)) and len(mine) <= length
+        rank = {"high": 3, "medium": 2, "low": 1}
+        weak = sorted((m for m in mastery if m[0] == u and m[2] in ("weak", "new")), key=lambda m: (-rank[m[5]], m[3], m[1]))[:9]
+        fit = {(m[1], m[4]) for m in weak}
+        for i, r in mine.items():
+            assert (r.bucket == "srs") == (i in taken)
+            if r.bucket == "weak":
+                assert (q[i][2], q[i][3]) in fit and (not q[i][5] or q[i][6] <= 10)
+            if r.bucket == "medium":
+                assert q[i][3] in (2, 3)
+            if r.bucket == "new":
+                assert not q[i][5] and not any(m[1] == q[i][2] and m[2] == "mastered" for m in mastery if m[0] == u)
+        order = [r.bucket for r in sorted(mine.values(), key=lambda r: r.place)]
+        assert order == sorted(order, key=["srs", "weak", "medium", "new"].index)
 
 
 def test_question_dedup_keeps_the_important_one(spark):
@@ -128,10 +185,27 @@ def test_inventories_merge_by_key(spark):
     assert concepts.canonicalised(concepts.merged_inventory(spark.createDataFrame(rows, schema))).count() == 2
 
 
-def test_canonical_names_absorb_and_cap():
-    c = lambda name, imp="low", cat="x": {"name": name, "category": cat, "importance": imp, "facts": [name], "associations": [], "relevance": ""}
-    got = concepts.canonical([c("Gastric ulcer"), c("ulcer", "high"), c("Gastric ulcer", cat="y")])
-    assert [(g["name"], g["importance"], g["aliases"]) for g in got] == [("Gastric ulcer", "high", ["ulcer"]), ("Gastric ulcer", "low", [])]
-    got = concepts.canonical([c(f"Esophageal {k}", "high" if k == "zz" else "low", k) for k in ("aa", "bb", "cc", "dd", "ee", "zz")])
-    assert [g["name"] for g in got] == ["Esophageal aa", "Esophageal bb", "Esophageal cc", "Esophageal zz"]
-    assert got[-1]["aliases"] == ["Esophageal dd", "Esophageal ee"]
+def canonical(spark, rows):
+    schema = "pdf_id long, pos long, name string, category string, importance string, facts array<string>"
+    df = spark.createDataFrame([(1, k, n, c, i, [n]) for k, (n, i, c) in enumerate(rows)], schema)
+    return concepts.canonicalised(df).orderBy("place").collect()
+
+
+def test_canonical_names_absorb_and_cap(spark):
+    got = canonical(spark, [("Gastric ulcer", "low", "x"), ("ulcer", "high", "x"), ("Gastric ulcer", "low", "y")])
+    assert [(g.name, g.importance, g.aliases) for g in got] == [("Gastric ulcer", "high", ["ulcer"]), ("Gastric ulcer", "low", [])]
+    got = canonical(spark, [(f"Esophageal {k}", "high" if k == "zz" else "low", k) for k in ("aa", "bb", "cc", "dd", "ee", "zz")])
+    assert [g.name for g in got] == ["Esophageal aa", "Esophageal bb", "Esophageal cc", "Esophageal zz"]
+    assert got[-1].aliases == ["Esophageal dd", "Esophageal ee"] and got[-1].facts == ["Esophageal zz", "Esophageal dd", "Esophageal ee"]
+
+
+def test_owned_names_own_none(spark):
+    """Against the definition: the owner is the first earlier name without an owner that holds or is held."""
+    rng, names = random.Random(3), []
+    for _ in range(60):
+        names.append("".join(rng.choice("ab") for _ in range(rng.randint(3, 8))))
+    df = spark.createDataFrame([(1, k, n, "c") for k, n in enumerate(names)], "pdf_id long, pos long, name string, category string")
+    want = {}
+    for j, n in enumerate(names):
+        want[j] = next((i for i in range(j) if want[i] == i and min(len(n), len(names[i])) >= 4 and (n in names[i] or names[i] in n)), j)
+    assert {r.pos: r.owner for r in concepts.owners(df).collect()} == want
