@@ -39,6 +39,7 @@ MARKERS = {
     "HEAD": (r"slice(\1, 1, \2)", r"list_slice(\1, 1, \2)"),
     "TEXTOF": (r"array_join(\1, ' ')", r"array_to_string(\1, ' ')"),
     "HOLDS": (r"contains(\1, \2)", r"contains(\1, \2)"),
+    "PARTS": (r"split(\1, '[|]')", r"string_split(\1, '|')"),
 }
 
 
