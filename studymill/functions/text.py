@@ -303,7 +303,7 @@ def key_mismatch(options: Column, answer: Column, explanation: Column) -> Column
 
 def is_copied_stem(stem: Column, source: Column) -> Column:
     """WIN06: a run of min(28, max(18, 45 % of its words)) words of a question stem stands in the source."""
-    asks = stem.rlike(rf"\?|(?i){L}which of the following{R}|(?i){L}what is (the )?most likely{R}|(?i){L}most likely to be (recorded|observed|seen|found|present){R}")
+    asks = stem.rlike(rf"\?|(?i){L}which of the following{R}|(?i){L}what is (the )?most likely{R}|(?i){L}most likely to be (recorded|observed|seen|found|present){R}|(?i){L}[a-z]-year-old{S}+(man|woman|male|female|boy|girl){R}")
     def held(x: Column) -> Column:
         tokens, text = F.split(x["stem"], " "), x["text"]
         run = F.least(F.lit(28), F.greatest(F.lit(18), F.floor(F.size(tokens) * 0.45))).cast("int")

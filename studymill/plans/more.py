@@ -39,39 +39,28 @@ SQL = {
     "fil07_optional_filters": "SELECT id FROM {questions} WHERE pdf_id = 4 AND level = 2 AND NOT flagged",
     "fil11_ownership": "SELECT id, name FROM {pdfs} WHERE user_id = 12",
     "fil13_malformed": "SELECT id FROM {questions} WHERE length(trim(stem)) > 0 AND n_options >= 2",
-    "fil14_discarded": "SELECT id FROM {attempts} WHERE coalesce(flag_reason, '') <> 'off_topic'",
-    "fil18_template_stems": "SELECT id, MATCHES(lower(s), '^(which of the following|what is the)') AS template FROM {samples}",
     "fil19_uncategorised": "SELECT id FROM {pdfs} WHERE deck_id IS NULL",
-    "fil20_fact_check": "SELECT id, NOT flagged AND n_options = 4 AS accurate, stem IS NOT NULL AND stem <> 'UNGROUNDED' AS sourced FROM {questions}",
     "joi05_point_lookup": "SELECT q.id, q.level, s.times_reviewed, p.processed FROM (SELECT * FROM {questions} WHERE id = 42) q LEFT JOIN {srs_state} s ON s.question_id = q.id AND s.user_id = 8 LEFT JOIN {pdfs} p ON p.id = q.pdf_id",
     "joi08_scoped_states": "SELECT user_id, question_id FROM {srs_state} s WHERE user_id = 8 AND EXISTS (SELECT 1 FROM {pdfs} p WHERE p.id = s.pdf_id AND p.processed)",
     "joi18_association_peers": "SELECT a.id, b.id AS peer FROM (SELECT x.association, y.name FROM (SELECT DISTINCT ITEM(WORDS(name), 1) AS association FROM {concepts}) x JOIN (SELECT DISTINCT name FROM {concepts}) y ON HOLDS(lower(y.name), lower(x.association))) p JOIN (SELECT id, ITEM(WORDS(name), 1) AS association FROM {concepts}) a ON a.association = p.association JOIN {concepts} b ON b.name = p.name AND a.id <> b.id",
-    "joi21_exemplars": "SELECT query_id, id, place FROM (SELECT c.id AS query_id, q.id, CAST(row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN q.level = 2 THEN 0 ELSE 1 END, q.id) AS BIGINT) AS place FROM {concepts} c JOIN {questions} q ON q.concept_id = c.id) AS x WHERE place <= 2",
     "agg05_mean_time": "SELECT question_id, " + ROUND("CAST(sum(time_spent_ms) AS DOUBLE) / count(*)") + " AS mean_ms FROM {attempts} GROUP BY question_id",
     "agg12_accuracy": "SELECT user_id, CASE WHEN count(*) > 0 THEN " + ROUND("100.0e0 * count(CASE WHEN is_correct THEN 1 END) / count(*)") + " END AS accuracy FROM {attempts} GROUP BY user_id",
     "agg14_all_mastery": "SELECT concept_id, count(*) AS users, min(overall) AS lowest, max(overall) AS highest FROM {mastery} GROUP BY concept_id",
-    "agg19_flag_frequency": "SELECT word, count(*) AS n FROM (SELECT EXPLODED(WORDS(p_name)) AS word FROM {part}) AS x GROUP BY word",
     "agg21_nested_groups": "SELECT concept_id, JOINED(CAST(id AS STRING), id) AS ids, count(*) AS n FROM {questions} GROUP BY concept_id",
     "agg32_deck_groups": "SELECT b.title, count(p.id) AS sources, coalesce(sum(p.question_count), 0) AS questions FROM {shared_banks} b JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id GROUP BY b.title",
-    "agg35_max_number": "SELECT id, CASE WHEN MATCHES(s, '[0-9]') THEN greatest(0, CAST(coalesce(nullif(PICK(s, '([0-9]+)[^0-9]*$'), ''), '0') AS BIGINT)) ELSE 0 END AS last_number FROM {samples}",
     "agg37_upper_median": "SELECT id, " + THIRD + " AS upper_median FROM {option_lengths}",
     "agg38_confusable": "SELECT category, name, id FROM (SELECT category, name, id, row_number() OVER (PARTITION BY category, name ORDER BY pos) AS first_kept FROM {concepts}) AS x WHERE first_kept = 1",
     "win05_bigrams": "SELECT id, concat(a, ' ', b) AS bigram, count(*) AS n FROM (SELECT id, ITEM(ws, i) AS a, ITEM(ws, i + 1) AS b FROM (SELECT id, ws, EXPLODED(UPTO(0, CAST(SIZE(ws) AS INT) - 2)) AS i FROM (SELECT id, WORDS(" + PLAIN("text") + ") AS ws FROM {chunks}) AS t WHERE SIZE(ws) >= 2) AS u) AS x GROUP BY id, concat(a, ' ', b)",
     "win08_rank_positions": "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS place FROM {bm25}",
-    "win15_headings": "SELECT doc_id, line_no, CAST(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS next_heading FROM (SELECT c_custkey % 20 AS doc_id, c_custkey AS line_no FROM {customer} WHERE c_custkey % 7 = 0) AS x",
-    "win18_sections": "SELECT page_id, sum(CASE WHEN kind = 'q' AND before = 'a' THEN 1 ELSE 0 END) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM (SELECT page_id, kind, lag(kind) OVER (ORDER BY page_id) AS before FROM (SELECT page_id, CASE WHEN length(html) % 3 = 0 THEN 'q' WHEN length(html) % 3 = 1 THEN 'a' ELSE 'idle' END AS kind FROM {pages}) AS k) AS x",
     "srt01_ordered": "SELECT id, CAST(row_number() OVER (ORDER BY page_count DESC, id) AS BIGINT) AS place FROM {pdfs}",
     "srt03_importance_name": "SELECT pdf_id, id, CAST(row_number() OVER (PARTITION BY pdf_id ORDER BY CASE importance WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, lower(name), id) AS BIGINT) AS place FROM {concepts}",
     "srt05_switchable": "SELECT question_id, CAST(row_number() OVER (ORDER BY flags DESC, question_id) AS BIGINT) AS by_flags, CAST(row_number() OVER (ORDER BY n DESC, question_id) AS BIGINT) AS by_attempts FROM (SELECT question_id, count(flag_reason) AS flags, count(*) AS n FROM {attempts} GROUP BY question_id) AS x",
-    "srt06_relevance": "SELECT id, CAST(instr(lower(name), '1') - 1 AS BIGINT) AS relevance FROM {pdfs} WHERE instr(lower(name), '12') > 0",
     "srt08_capped": "SELECT pdf_id, id FROM (SELECT pdf_id, id, row_number() OVER (PARTITION BY pdf_id ORDER BY pos) AS place FROM {concepts}) AS x WHERE place <= 8",
     "srt09_newest": "SELECT id, place FROM (SELECT id, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS BIGINT) AS place FROM {questions}) AS x WHERE place <= 20",
     "srt10_red_zone": "SELECT id, balance, place FROM (SELECT id, balance, CAST(row_number() OVER (ORDER BY balance, id) AS BIGINT) AS place FROM {pdfs} WHERE balance < 0) AS x",
     "set03_array_union": "SELECT id, TEXTOF(HEAD(UNIQUE(WORDS(concat(o0, ' ', o1, ' ', o3))), 6)) AS words FROM {option_sets}",
-    "set05_shared_tokens": "SELECT a.id, count(DISTINCT a.word) AS shared FROM (SELECT id, EXPLODED(WORDS(lower(o1))) AS word FROM {option_sets}) a JOIN (SELECT id, EXPLODED(WORDS(lower(o3))) AS word FROM {option_sets}) b ON a.id = b.id AND a.word = b.word GROUP BY a.id",
     "set06_recursive_union": "SELECT ancestor, count(*) AS members FROM {closure} GROUP BY ancestor",
     "set07_grants": "SELECT p.id FROM {pdfs} p WHERE EXISTS (SELECT 1 FROM {shared_banks} b WHERE b.source_pdf_id = p.id AND b.visibility = 'public') UNION SELECT p.id FROM {pdfs} p JOIN {closure} c ON c.id = p.deck_id JOIN {shared_banks} b ON b.source_deck_id = c.ancestor WHERE b.visibility = 'public'",
-    "str02_fingerprints": "SELECT id, TEXTOF(toks) AS fingerprint FROM {prints}",
     "str03_bm25_tokens": "SELECT id, SIZE(WORDS(SWAP(lower(text), '[^a-z0-9]', ' '))) AS n FROM {chunks}",
     "str08_labels": "SELECT id, trim(SWAP(lower(s), '[^a-z0-9]+', ' ')) AS label FROM {samples}",
     "str09_option_texts": "SELECT id, trim(SWAP(SWAP(SWAP(lower(s), '^[a-e][.)] *', ''), '[^a-z0-9 ]', ' '), ' +', ' ')) AS option_text FROM {samples}",
@@ -81,11 +70,7 @@ SQL = {
     "str15_merge_keys": "SELECT id, concat(substring(SWAP(lower(name), '[^a-z0-9]', ''), 1, 30), '|', substring(SWAP(lower(category), '[^a-z]', ''), 1, 10)) AS merge_key FROM {concepts}",
     "str16_prefixes": "SELECT id, lower(CASE WHEN length(ITEM(WORDS(name), 0)) > 4 THEN ITEM(WORDS(name), 0) ELSE TEXTOF(HEAD(WORDS(name), 2)) END) AS prefix FROM {concepts}",
     "str17_slugs": "SELECT id, coalesce(nullif(substring(SWAP(SWAP(trim(lower(s)), '[^a-z0-9]+', '-'), '^-+|-+$', ''), 1, 48), ''), 'bank') AS slug FROM {samples}",
-    "str24_negation": "SELECT id, MATCHES(lower(s), '(^|[^a-z0-9_])(not|except|least)($|[^a-z0-9_])') AS negation, MATCHES(lower(s), '^ *a +[0-9]+-year-old +(male|female) +present') AS opens_with_case FROM {samples}",
-    "str28_domains": "SELECT id, CASE WHEN HOLDS(lower(name), 'small') THEN 'pressure_volume_quantitative' WHEN HOLDS(lower(category), 'economy') THEN 'comparison_differential' ELSE 'entity_recall' END AS domain FROM {concepts}",
     "str31_overlap": "SELECT a.id, " + R6("CAST(count(DISTINCT a.word) AS DOUBLE) / least(min(a.n), min(b.n))") + " AS overlap FROM (SELECT id, EXPLODED(UNIQUE(WORDS(lower(o1)))) AS word, SIZE(UNIQUE(WORDS(lower(o1)))) AS n FROM {option_sets}) a JOIN (SELECT id, EXPLODED(UNIQUE(WORDS(lower(o3)))) AS word, SIZE(UNIQUE(WORDS(lower(o3)))) AS n FROM {option_sets}) b ON a.id = b.id AND a.word = b.word GROUP BY a.id",
-    "str36_page_kinds": "SELECT page_id, CASE WHEN length(html) < 400 THEN 'empty' WHEN SIZE(ALLOF(html, '[?]')) >= 3 THEN 'q' ELSE 'a' END AS kind FROM {pages}",
-    "str38_clues": "SELECT id, PICK(s, 'Chapter ([0-9]+)') AS clue FROM {samples}",
     "str39_answer_index": "SELECT id, CASE WHEN MATCHES(upper(o), '^[A-E]$') THEN ascii(upper(o)) - 65 WHEN MATCHES(o, '^[0-9]+$') THEN CAST(nullif(SWAP(o, '[^0-9]', ''), '') AS INT) ELSE 0 END AS idx FROM (VALUES (1, 'b'), (2, '3'), (3, 'E'), (4, 'x'), (5, '')) AS v(id, o)",
     "mth02_cosine_distance": "SELECT query_id, id, " + R6("1 - similarity") + " AS distance FROM {nearest}",
     "mth03_term_weight": "SELECT tf, len, " + R6("tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / 100.0e0))") + " AS weight FROM (SELECT DISTINCT p.tf, l.len FROM {postings} p JOIN {doc_lengths} l ON l.id = p.id) AS x",

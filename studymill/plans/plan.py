@@ -39,6 +39,9 @@ MARKERS = {
     "HEAD": (r"slice(\1, 1, \2)", r"list_slice(\1, 1, \2)"),
     "TEXTOF": (r"array_join(\1, ' ')", r"array_to_string(\1, ' ')"),
     "HOLDS": (r"contains(\1, \2)", r"contains(\1, \2)"),
+    "GATHERED": (r"transform(array_sort(collect_list(named_struct('a', \2, 'b', \3))), s -> s.b)", r"list(\1 ORDER BY \2, \3)"),
+    "LINES": (r"listagg(\1, '\n\n') WITHIN GROUP (ORDER BY \2)", r"string_agg(\1, E'\n\n' ORDER BY \2)"),
+    "REPEATED": (r"repeat(\1, \2)", r"repeat(\1, \2)"),
     "PARTS": (r"split(\1, '[|]')", r"string_split(\1, '|')"),
 }
 

@@ -36,9 +36,7 @@ SQL = {
     "fil09_exists": "SELECT id, EXISTS (SELECT 1 FROM {concepts} c WHERE c.pdf_id = p.id) AS has_concepts FROM {pdfs} p",
     "fil10_check_violations": "SELECT id, CASE WHEN source_pdf_id IS NULL AND source_deck_id IS NULL THEN 'no source' WHEN source_pdf_id IS NOT NULL AND source_deck_id IS NOT NULL THEN 'two sources' WHEN visibility NOT IN ('private', 'public') THEN 'visibility' END AS violation FROM {shared_banks} WHERE (source_pdf_id IS NULL) = (source_deck_id IS NULL) OR visibility NOT IN ('private', 'public')",
     "fil12_path_owner": "SELECT id FROM (SELECT id, concat(CAST(user_id AS STRING), '/', name) AS path FROM {pdfs}) AS x WHERE ITEM(WORDS(SWAP(path, '/', ' ')), 0) = '7'",
-    "fil15_front_matter": "SELECT doc_id, length(text) >= 80 AND NOT (MATCHES(lower(text), '(table of contents|copyright|isbn)') AND SIZE(ALLOF(text, '[0-9][0-9][0-9]')) >= 10) AS eligible FROM {documents}",
     "fil16_request_split": "SELECT id, CASE WHEN selected_option < 0 THEN 'bad option' WHEN time_spent_ms > 300000 THEN 'bad time' END AS problem FROM {attempts}",
-    "fil17_slugs": "SELECT id, MATCHES(slug, '^[a-z0-9][a-z0-9-]*$') AS plain, MATCHES(SWAP(slug, '#', '-'), '^[a-z0-9][a-z0-9-]*$') AS fixed FROM {shared_banks}",
     # 2.3 joins
     "joi01_inner": "SELECT q.id, p.name FROM {questions} q JOIN {pdfs} p ON p.id = q.pdf_id",
     "joi02_lapsed": "SELECT s.user_id, q.id AS question_id, p.name FROM {srs_state} s JOIN {questions} q ON q.id = s.question_id JOIN {pdfs} p ON p.id = q.pdf_id WHERE s.lapsed",
@@ -140,8 +138,6 @@ SQL = {
             SELECT pdf_id, id, tokens, exact, CAST(floor(exact) AS BIGINT) AS whole FROM (
               SELECT pdf_id, id, tokens, 40.0e0 * tokens / sum(tokens) OVER (PARTITION BY pdf_id) AS exact FROM (SELECT doc_id % 25 AS pdf_id, doc_id AS id, length(text) AS tokens FROM {documents}) AS d) AS e) AS w) AS x""",
     "alg08_sm2_fold": "SELECT user_id, question_id, turns, floor(interval_days * 10000 + 0.5e0) / 10000 AS interval_days, floor(ease * 10000 + 0.5e0) / 10000 AS ease, repetitions FROM {sm2}",
-    "joi13_candidate_pairs": "SELECT i, j, CAST(max(same) AS BIGINT) AS same_fingerprint, CAST(max(shared) AS BIGINT) AS shared FROM {candidate_pairs} GROUP BY i, j",
-    "str01_stem_tokens": "SELECT id, SIZE(toks) AS n, ITEM(toks, 0) AS first_token FROM (SELECT id, WORDS(SWAP(lower(text), '[^a-z0-9 ]', ' ')) AS toks FROM {chunks}) AS x",
     "str21_word_count": "SELECT doc_id, SIZE(WORDS(SWAP(text, '[ \\t\\n\\r]+', ' '))) AS words, CAST(ceil(length(text) / 4.0e0) AS BIGINT) AS tokens FROM {documents}",
     "str35_levenshtein": "SELECT a.n_name AS a, b.r_name AS b, CAST(DISTANCE(a.n_name, b.r_name) AS BIGINT) AS distance FROM {nation} a CROSS JOIN {region} b",
     # 2.6, 2.7 orders and sets
@@ -157,9 +153,7 @@ SQL = {
     "mth13_estimates": "SELECT id, q AS target, CAST(floor(q * 0.75e0) AS BIGINT) AS low, CAST(ceil(q * 1.25e0) AS BIGINT) AS high, 5 * q + 10 * page_count + 60 AS seconds FROM (SELECT id, page_count, page_count * 4 AS q FROM {pdfs}) AS x",
     "mth16_level_split": "SELECT id, question_count AS total, CASE WHEN question_count >= 2 THEN greatest(1, " + ROUND("0.45e0 * question_count") + ") ELSE 0 END AS level3 FROM {pdfs}",
     "dat01_days_left": "SELECT user_id, question_id, CAST(ceil((next_review - " + AS_OF + ") / 86400000000.0e0) AS BIGINT) AS days_left FROM {srs_state}",
-    "dat03_month_reset": "SELECT id, year(TIMESTAMP '2024-01-08 00:00:00') * 12 + 1 > CAST(floor(created_at / 2592000000000.0e0) AS BIGINT) AS reset FROM {attempts}",
     "alg09_target_level": "SELECT user_id, concept_id, CASE WHEN l1 < 60 THEN 1 WHEN l2 < 60 THEN 2 WHEN l3 < 60 THEN 3 WHEN l1 <= l2 AND l1 <= l3 THEN 1 WHEN l2 <= l3 THEN 2 ELSE 3 END AS target_level FROM {mastery}",
-    "alg30_plan_gate": "SELECT user_id, plan_name, used, used < CASE plan_name WHEN 'HOUSEHOLD' THEN 2 WHEN 'BUILDING' THEN 10 ELSE 1000000 END AS allowed FROM (SELECT user_id, coalesce(plan_name, '') AS plan_name, count(*) AS used FROM {pdf_jobs} GROUP BY user_id, coalesce(plan_name, '')) AS x",
     # retrieval
     "joi15_bm25": "SELECT query_id, id, score, CAST(rank AS BIGINT) AS rank FROM {bm25} WHERE rank <= 10",
     "alg02_rrf": "SELECT query_id, id, score, place FROM {fused} WHERE place <= 4",

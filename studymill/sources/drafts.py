@@ -22,7 +22,7 @@ DRAFTS = FIXTURES | {
     "draft_parts": """
         SELECT id, source, raw, coalesce(lower(ITEM(ws, 0)), 'alpha') AS a, coalesce(lower(ITEM(ws, 3)), 'beta') AS b, coalesce(lower(ITEM(ws, 5)), 'gamma') AS c, coalesce(lower(ITEM(ws, 7)), 'delta') AS d,
           coalesce(ITEM(ss, 0), 'No sentence of this kind is here.') AS s0, coalesce(ITEM(ss, 1), 'Nor a second one.') AS s1 FROM {draft_words}""",
-    "draft_options": "SELECT id, source, raw, a, b, c, d, s0, s1, CAST(id % 3 AS INT) + 1 AS level, CAST(CASE id % 11 WHEN 10 THEN 7 ELSE id % 4 END AS INT) AS answer, PARTS(options) AS options FROM (SELECT *, "
+    "draft_options": "SELECT id, source, raw, a, b, c, d, s0, s1, CAST(id % 3 AS INT) + 1 AS level, CAST(CASE id % 17 WHEN 10 THEN 7 ELSE id % 4 END AS INT) AS answer, PARTS(options) AS options FROM (SELECT *, "
     + pick(
         "options",
         "concat(a, ' level|', b, ' level|', c, ' level|', d, ' level')",
@@ -36,6 +36,8 @@ DRAFTS = FIXTURES | {
         "concat('A. ', a, 'ies|b) ', b, 's|C. ', c, '|D) ', d)",
         "'12 mg/dL|14 mg/dL|16 mg/dL|-18.5 mg/dL'",
         "concat(a, '|', b, '|', s0, ' because ', s1, '|', d)",
+        "concat(a, ' ', b, ' ', c, ' and some more of it, because that rises and then falls again|', b, ' and some more of it here|', c, ' with a few more words|', d, ' as long as the others are')",
+        "concat(a, ' and then some more words|', b, ' of which no more is said|', c, ' alone, since nothing else in the whole of the text above would do|', d, ' for want of any other')",
     )
     + " FROM {draft_parts}) AS o",
     "drafts": "SELECT id, source, level, answer, options, a, b, s0, "
