@@ -49,7 +49,7 @@ SQL = {
     "agg21_nested_groups": "SELECT concept_id, JOINED(CAST(id AS STRING), id) AS ids, count(*) AS n FROM {questions} GROUP BY concept_id",
     "agg32_deck_groups": "SELECT b.title, count(p.id) AS sources, coalesce(sum(p.question_count), 0) AS questions FROM {shared_banks} b JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id GROUP BY b.title",
     "agg37_upper_median": "SELECT id, " + THIRD + " AS upper_median FROM {option_lengths}",
-    "agg38_confusable": "SELECT category, name, id FROM (SELECT category, name, id, row_number() OVER (PARTITION BY category, name ORDER BY pos) AS first_kept FROM {concepts}) AS x WHERE first_kept = 1",
+    "agg38_confusable": "SELECT topic, JOINED(name, pos) AS concepts FROM (SELECT ITEM(WORDS(category), 0) AS topic, name, min(pos) AS pos FROM {concepts} GROUP BY ITEM(WORDS(category), 0), name) AS x GROUP BY topic",
     "win05_bigrams": "SELECT id, concat(a, ' ', b) AS bigram, count(*) AS n FROM (SELECT id, ITEM(ws, i) AS a, ITEM(ws, i + 1) AS b FROM (SELECT id, ws, EXPLODED(UPTO(0, CAST(SIZE(ws) AS INT) - 2)) AS i FROM (SELECT id, WORDS(" + PLAIN("text") + ") AS ws FROM {chunks}) AS t WHERE SIZE(ws) >= 2) AS u) AS x GROUP BY id, concat(a, ' ', b)",
     "win08_rank_positions": "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS place FROM {bm25}",
     "srt01_ordered": "SELECT id, CAST(row_number() OVER (ORDER BY page_count DESC, id) AS BIGINT) AS place FROM {pdfs}",
@@ -80,16 +80,13 @@ SQL = {
     "mth10_option_balance": "SELECT id, high * 1.0e0 / low > 1.6e0 OR (own = high AND own > 1.3e0 * median) OR (own = low AND own < 0.7e0 * median) AS unbalanced FROM (SELECT id, own, greatest(l0, l1, l2, l3) AS high, least(l0, l1, l2, l3) AS low, " + THIRD + " AS median FROM {option_lengths}) AS x",
     "mth11_length_audit": "SELECT id, own >= 1.6e0 * others AND own - others >= 2.5e0 AND own >= 5 AS tells FROM (SELECT id, own, (w0 + w1 + w2 + w3 - own) / 3.0e0 AS others FROM {option_words}) AS x",
     "mth14_eta": "SELECT job_id, seq, CASE WHEN pct > 5 THEN " + ROUND("seq * 100.0e0 / pct - seq") + " END AS eta FROM {process_events}",
-    "mth15_keyword_score": "SELECT query_id, id, " + R6("sum(greatest(1.0e0, length(t.token) / 8.0e0))") + " AS score FROM {query_terms} t JOIN (SELECT c.id, w.token FROM (SELECT id, lower(text) AS low FROM {chunks}) c JOIN (SELECT DISTINCT token FROM {query_terms} WHERE length(token) >= 5) w ON HOLDS(c.low, w.token)) c ON c.token = t.token GROUP BY query_id, id",
-    "dat02_next_review": "SELECT user_id, question_id, last_reviewed + CAST(floor(times_reviewed * 1.5e0 * 86400000000 + 0.5e0) AS BIGINT) AS next_review FROM {srs_state}",
+    "dat02_next_review": "SELECT user_id, question_id, " + AS_OF + " + CAST(floor(interval_days * 86400000000 + 0.5e0) AS BIGINT) AS next_review FROM {sm2}",
     "dat04_due": "SELECT user_id, question_id FROM {srs_state} WHERE next_review <= " + AS_OF,
     "arr01_capped_arrays": "SELECT id, SIZE(HEAD(UNIQUE(WORDS(text)), 20)) AS n, TEXTOF(HEAD(UNIQUE(WORDS(text)), 3)) AS head FROM {chunks}",
     "arr02_append": "SELECT id, TEXTOF(PUT(WORDS(name), category)) AS words FROM {concepts}",
     "map01_counts": "SELECT question_id, JOINED(concat(flag_reason, '=', CAST(n AS STRING)), flag_reason) AS counts FROM (SELECT question_id, flag_reason, count(*) AS n FROM {attempts} WHERE flag_reason IS NOT NULL GROUP BY question_id, flag_reason) AS x GROUP BY question_id",
     "jsn03_field": "SELECT event_id, JSONTEXT(props, '$.k') AS k, JSONTEXT(props, '$.criterion') AS criterion FROM {events}",
     "alg11_scope": "SELECT v.id, v.origin FROM {visible} v JOIN {pdfs} p ON p.id = v.id JOIN {closure} c ON c.id = p.deck_id WHERE c.ancestor = 'r2'",
-    "alg27_relevant_chunks": "SELECT query_id, id, place FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS place FROM {bm25}) AS x WHERE place <= 4",
-    "qrk07_empty_fingerprints": "SELECT a.id AS i, b.id AS j FROM {prints} a JOIN {prints} b ON a.id < b.id WHERE SIZE(a.toks) = 0 AND SIZE(b.toks) = 0",
     "qrk22_half_up": "SELECT x, " + ROUND("x") + " AS rounded FROM (VALUES (-0.5e0), (0.5e0), (1.5e0), (-1.5e0), (2.4e0)) AS v(x)",
 }
 

@@ -113,7 +113,7 @@ class Plan:
         body = in_dialect(self.sql, 1)
         head = f"WITH RECURSIVE {', '.join(ctes)} " if ctes else ""
         text = f"{head}SELECT * FROM ({body}) AS q"
-        return re.sub(r"\{(\w+)\}", r"\1", text)
+        return re.sub(r"\{([a-z]\w*)\}", r"\1", text)
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.frame(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))

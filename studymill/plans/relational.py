@@ -15,13 +15,13 @@ R6 = "floor(({0}) * 1000000 + 0.5e0) / 1000000".format
 SQL = {
     # 2.1 scans and sinks
     "src01_scan": "SELECT id, question_id, user_id, is_correct, created_at FROM {attempts} WHERE pdf_id = 3",
-    "src08_plan_changes": "SELECT user_id, max(CASE WHEN newest = 1 THEN plan_name END) AS plan_name FROM (SELECT user_id, coalesce(nullif(plan_name, ''), 'free') AS plan_name, row_number() OVER (PARTITION BY user_id ORDER BY finished_at DESC, id DESC) AS newest FROM {pdf_jobs} WHERE finished_at IS NOT NULL) AS x GROUP BY user_id",
+    "src08_plan_changes": "SELECT user_id, plan FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'free' WHEN k % 3 = 0 THEN 'student' WHEN k % 3 = 1 THEN 'boards' ELSE 'institution' END AS plan, row_number() OVER (PARTITION BY user_id ORDER BY at_us DESC, event_id DESC) AS newest FROM {keyed_events} WHERE event_type IN ('purchase', 'error')) AS x WHERE newest = 1",
     "src11_presample": "SELECT pdf_id, pages, words, CAST(floor(words * pages + 0.5e0) AS BIGINT) AS estimated_words FROM (SELECT pdf_id, count(*) AS pages, " + R6("avg(CASE WHEN page <= 3 THEN CAST(n AS DOUBLE) END)") + " AS words FROM (SELECT doc_id % 25 AS pdf_id, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) AS page, SIZE(WORDS(text)) AS n FROM {documents}) AS p GROUP BY pdf_id) AS x",
     "snk02_upsert": "SELECT user_id, question_id, quality, reviewed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY reviewed_at DESC, id DESC) AS newest FROM {reviews}) AS x WHERE newest = 1",
     "snk03_patch": "SELECT id, CASE WHEN deck_id IS NULL THEN 'inbox' ELSE deck_id END AS deck_id, CASE WHEN id % 9 = 0 THEN NULL ELSE display_name END AS display_name FROM {pdfs}",
     "snk04_delete_cascade": "SELECT a.id, a.question_id FROM {attempts} a WHERE NOT EXISTS (SELECT 1 FROM {questions} q WHERE q.id = a.question_id AND q.flagged)",
     "snk04_delete_set_null": "SELECT p.id, CASE WHEN g.id IS NULL THEN p.deck_id END AS deck_id FROM {pdfs} p LEFT JOIN (SELECT id FROM {decks} WHERE parent_id = 'n3') g ON g.id = p.deck_id",
-    "snk09_pending_migrations": "SELECT n_name AS file FROM {nation} WHERE NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_nationkey = n_nationkey AND s_suppkey < 20)",
+    "snk09_pending_migrations": "SELECT n_name AS file FROM {nation} n WHERE NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey % 2 = 0)",
     "snk10_owner_rows": "SELECT shared_bank_id, user_id, min(role) AS role FROM (SELECT id AS shared_bank_id, owner_user_id AS user_id, 'a_owner' AS role FROM {shared_banks} UNION ALL SELECT shared_bank_id, user_id, 'member' FROM {members}) AS x GROUP BY shared_bank_id, user_id",
     # 2.2 projections and filters
     "prj02_flatten": "SELECT q.id, q.level, c.name AS concept_name FROM {questions} q LEFT JOIN {concepts} c ON c.id = q.concept_id",
@@ -50,10 +50,13 @@ SQL = {
     "joi12_array_membership": "SELECT c.id AS concept_id, d.id AS chunk_id FROM (SELECT id, EXPLODED(UPTO(id * 2, id * 2 + 2)) AS chunk FROM {concepts}) AS c JOIN {chunks} d ON d.id = c.chunk",
     "joi16_name_containment": "SELECT a.id AS i, b.id AS j FROM (SELECT x.category, x.name AS m, y.name AS n FROM (SELECT DISTINCT category, name FROM {concepts}) x JOIN (SELECT DISTINCT category, name FROM {concepts}) y ON x.category = y.category WHERE least(length(x.name), length(y.name)) >= 4 AND (HOLDS(x.name, y.name) OR HOLDS(y.name, x.name))) p JOIN {concepts} a ON a.category = p.category AND a.name = p.m JOIN {concepts} b ON b.category = p.category AND b.name = p.n AND a.id < b.id",
     "joi17_nearest_topic": "SELECT id, topic, distance FROM (SELECT c.id, t.r_name AS topic, CAST(DISTANCE(upper(c.category), t.r_name) AS BIGINT) AS distance, row_number() OVER (PARTITION BY c.id ORDER BY DISTANCE(upper(c.category), t.r_name), t.r_regionkey) AS best FROM {concepts} c CROSS JOIN {region} t) AS x WHERE best = 1 AND distance <= 5",
-    "joi19_category_peers": "SELECT a.id, count(*) AS peers FROM (SELECT id, category, pdf_id FROM {concepts}) a JOIN (SELECT id, category, pdf_id FROM {concepts}) b ON a.category = b.category AND a.pdf_id = b.pdf_id AND a.id <> b.id GROUP BY a.id",
-    "joi20_sibling": "SELECT id, sibling FROM (SELECT a.id, b.id AS sibling, row_number() OVER (PARTITION BY a.id ORDER BY coalesce(s.last_reviewed, 0), b.id) AS best FROM {questions} a JOIN {questions} b ON a.concept_id IS NOT DISTINCT FROM b.concept_id AND a.id <> b.id LEFT JOIN (SELECT question_id, last_reviewed FROM {srs_state} WHERE user_id = 8) s ON s.question_id = b.id) AS x WHERE best = 1",
-    "joi22_dimension_lookup": "SELECT m.user_id, m.concept_id, coalesce(c.importance, 'low') AS importance, m.overall FROM {mastery} m LEFT JOIN (SELECT id, importance FROM {concepts} WHERE id < 15) c ON c.id = m.concept_id",
-    "joi25_scenarios": "SELECT r_name AS tier, price, pdfs, " + R6("price - pdfs * 6.4e0") + " AS margin FROM {region} CROSS JOIN (SELECT DISTINCT CAST(p_size AS DOUBLE) * 10 AS price FROM {part} WHERE p_size <= 4) a CROSS JOIN (SELECT DISTINCT CAST(p_size AS BIGINT) AS pdfs FROM {part} WHERE p_size <= 3) b",
+    "joi19_category_peers": "SELECT id, peers FROM (SELECT id, count(*) OVER (PARTITION BY category, pdf_id) - 1 AS peers FROM {concepts}) AS x WHERE peers > 0",
+    "joi20_sibling": """
+        SELECT id, CASE WHEN first_id = id THEN second_id ELSE first_id END AS sibling FROM (SELECT id, max(CASE WHEN place = 1 THEN id END) OVER (PARTITION BY concept_id) AS first_id, max(CASE WHEN place = 2 THEN id END) OVER (PARTITION BY concept_id) AS second_id FROM (
+          SELECT q.id, q.concept_id, row_number() OVER (PARTITION BY q.concept_id ORDER BY coalesce(s.last_reviewed, 0), q.id) AS place FROM {questions} q LEFT JOIN (SELECT question_id, last_reviewed FROM {srs_state} WHERE user_id = 8) s ON s.question_id = q.id) AS r) AS x WHERE second_id IS NOT NULL""",
+    "joi22_dimension_lookup": "SELECT m.user_id, m.concept_id, coalesce(c.importance, 'low') AS importance, m.overall FROM {mastery} m LEFT JOIN (SELECT id, importance FROM {concepts} WHERE importance <> 'medium') c ON c.id = m.concept_id",
+    "joi25_scenarios": "SELECT r_name AS tier, price, pdfs, " + R6("price - pdfs * 6.4e0") + " AS margin FROM {region} CROSS JOIN (SELECT DISTINCT CAST(p_size AS DOUBLE) * 10 AS price FROM {part}) a CROSS JOIN (SELECT DISTINCT CAST(p_size AS BIGINT) AS pdfs FROM {part}) b",
+    "joi23_chapter_metrics": "SELECT p.id, coalesce(m.l1, 0) AS l1, coalesce(m.l2, 0) AS l2, coalesce(m.l3, 0) AS l3 FROM {pdfs} p LEFT JOIN (SELECT pdf_id, count(CASE WHEN level = 1 THEN 1 END) AS l1, count(CASE WHEN level = 2 THEN 1 END) AS l2, count(CASE WHEN level = 3 THEN 1 END) AS l3 FROM {questions} GROUP BY pdf_id) m ON m.pdf_id = p.id",
     # hierarchies
     "hie01_deck_tree": "SELECT id, depth FROM (SELECT id, max(depth) AS depth FROM {closure} GROUP BY id) AS x",
     "hie02_descendants": "SELECT ancestor AS root, id, depth FROM {closure} WHERE ancestor IN ('r1', 'n4')",
@@ -108,7 +111,10 @@ SQL = {
     "agg26_symmetric_map": "SELECT a, JOINED(b, b) AS peers FROM (SELECT DISTINCT a, b FROM (SELECT n_name AS a, r_name AS b FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey) AS e) AS x GROUP BY a",
     "agg28_judge_means": "SELECT event_type, coalesce(" + R6("avg(value)") + ", 0) AS mean_score, count(*) AS n FROM {events} GROUP BY event_type",
     "agg29_text_quality": "SELECT pdf_id, CASE WHEN mean_chars < 1 THEN 'empty' WHEN mean_chars < 100 OR low_ratio > 0.4e0 THEN 'poor' ELSE 'ok' END AS quality, " + R6("low_ratio") + " AS low_ratio FROM (SELECT doc_id % 25 AS pdf_id, avg(CAST(length(text) AS DOUBLE)) AS mean_chars, avg(CASE WHEN length(text) < 50 OR length(ASCIILESS(text)) > 0.15e0 * length(text) THEN 1.0e0 ELSE 0.0e0 END) AS low_ratio FROM {documents} GROUP BY doc_id % 25) AS x",
-    "agg30_bank_preview": "SELECT b.id, coalesce(sum(p.question_count), 0) AS questions, coalesce(sum(p.page_count), 0) AS pages, count(p.id) AS sources, max(coalesce(m.n, 0)) AS members FROM {shared_banks} b LEFT JOIN (SELECT ancestor, id FROM {closure}) c ON c.ancestor = b.source_deck_id LEFT JOIN {pdfs} p ON p.id = b.source_pdf_id OR p.deck_id = c.id LEFT JOIN (SELECT shared_bank_id, count(*) AS n FROM {members} GROUP BY shared_bank_id) m ON m.shared_bank_id = b.id GROUP BY b.id",
+    "agg30_bank_preview": """
+        SELECT b.id, coalesce(sum(p.question_count), 0) AS questions, coalesce(sum(p.page_count), 0) AS pages, count(p.id) AS sources, max(coalesce(m.n, 0)) AS members FROM {shared_banks} b
+        LEFT JOIN (SELECT id AS bank, source_pdf_id AS pdf FROM {shared_banks} WHERE source_pdf_id IS NOT NULL UNION SELECT s.id, p.id FROM {shared_banks} s JOIN {closure} c ON c.ancestor = s.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id) x ON x.bank = b.id
+        LEFT JOIN {pdfs} p ON p.id = x.pdf LEFT JOIN (SELECT shared_bank_id, count(*) AS n FROM {members} GROUP BY shared_bank_id) m ON m.shared_bank_id = b.id GROUP BY b.id""",
     "agg31_pdfs_per_deck": "SELECT deck_id, count(*) AS n FROM {pdfs} WHERE deck_id IS NOT NULL GROUP BY deck_id",
     "agg33_concepts_by_category": "SELECT category, count(*) AS n, count(CASE WHEN importance = 'high' THEN 1 END) AS high FROM {concepts} GROUP BY category",
     "agg34_mode": "SELECT category, fact FROM (SELECT category, fact, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, min(pos)) AS best FROM {concepts} GROUP BY category, fact) AS x WHERE best = 1",
@@ -131,7 +137,7 @@ SQL = {
             SELECT id, user_id, a, b, max(b) OVER (PARTITION BY user_id ORDER BY a, b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
             FROM (SELECT id, user_id, time_spent_ms AS a, time_spent_ms + 400 + id % 900 AS b FROM {attempts}) AS s) AS r) AS x GROUP BY user_id, island""",
     "win19_next_position": "SELECT d.id, coalesce(max(c.position) + 1, 0) AS next_position FROM {decks} d LEFT JOIN {decks} c ON c.parent_id = d.id GROUP BY d.id",
-    "win20_deck_rank": "SELECT p.id, r.rank FROM {pdfs} p LEFT JOIN (SELECT id, CAST(dense_rank() OVER (ORDER BY position, name) AS BIGINT) AS rank FROM {decks}) r ON r.id = p.deck_id",
+    "win20_deck_rank": "SELECT p.id, r.rank FROM {pdfs} p LEFT JOIN (SELECT id, CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS rank FROM {deck_paths}) r ON r.id = p.deck_id",
     "win22_apportion": """
         SELECT pdf_id, id, whole + CASE WHEN place <= 40 - given THEN 1 ELSE 0 END AS target FROM (
           SELECT pdf_id, id, whole, sum(whole) OVER (PARTITION BY pdf_id) AS given, row_number() OVER (PARTITION BY pdf_id ORDER BY exact - whole DESC, tokens DESC, id) AS place FROM (
@@ -148,7 +154,7 @@ SQL = {
     "set02_visible": "SELECT id, 'owned' AS origin FROM {pdfs} WHERE user_id = 7 UNION ALL SELECT p.id, 'shared' FROM {pdfs} p JOIN {shared_banks} b ON b.source_pdf_id = p.id WHERE p.user_id <> 7 AND b.visibility = 'public'",
     "set04_added": "SELECT id FROM {pdfs} WHERE processed EXCEPT SELECT source_pdf_id FROM {shared_banks}",
     # 2.8 arithmetic
-    "mth06_token_cost": "SELECT event_id, " + R6("CASE event_type WHEN 'view' THEN (greatest(value, 0) * 3 + k * 15) / 1000000 WHEN 'click' THEN (greatest(value, 0) * 0.8e0 + k * 4) / 1000000 ELSE 0.0e0 END") + " AS usd FROM {keyed_events}",
+    "mth06_token_cost": "SELECT event_id, CASE WHEN p.model IS NULL THEN 0.0e0 ELSE " + R6("(greatest(value - 50, 0) * p.input + k * p.output) / 1000000") + " END AS usd FROM {keyed_events} e LEFT JOIN {prices} p ON p.model = e.event_type",
     "mth08_margins": "SELECT pdfs, price, " + R6("price - cost * pdfs") + " AS margin, " + R6("(price - cost * pdfs) / price * 100") + " AS margin_pct, " + R6("price / cost") + " AS break_even_pdfs, " + R6("price / pdfs") + " AS break_even_cost, " + R6("cost * pdfs / (1 - 0.6e0)") + " AS required_price, CAST(floor(price * (1 - 0.6e0) / cost + 1e-9) AS BIGINT) AS max_pdfs FROM (SELECT DISTINCT CAST(p_size AS DOUBLE) AS pdfs FROM {part}) a CROSS JOIN (SELECT DISTINCT CAST(c_nationkey AS DOUBLE) * 7 + 9 AS price FROM {customer}) b CROSS JOIN (SELECT 6.4e0 AS cost FROM {region} WHERE r_regionkey = 0) c",
     "mth13_estimates": "SELECT id, q AS target, CAST(floor(q * 0.75e0) AS BIGINT) AS low, CAST(ceil(q * 1.25e0) AS BIGINT) AS high, 5 * q + 10 * page_count + 60 AS seconds FROM (SELECT id, page_count, page_count * 4 AS q FROM {pdfs}) AS x",
     "mth16_level_split": "SELECT id, question_count AS total, CASE WHEN question_count >= 2 THEN greatest(1, " + ROUND("0.45e0 * question_count") + ") ELSE 0 END AS level3 FROM {pdfs}",

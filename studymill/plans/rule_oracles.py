@@ -228,6 +228,21 @@ SQL = {
         pairs AS (SELECT a.id AS i, b.id AS j, a.t = b.t AS same, len(list_filter(a.t, lambda w: list_contains(b.t, w))) AS shared FROM p a JOIN p b ON a.id < b.id)
         SELECT i, j, CASE WHEN same THEN 1 ELSE 0 END AS same_fingerprint, CAST(shared AS BIGINT) AS shared FROM pairs WHERE same OR shared >= 6""",
 }
+SQL |= {
+    "mth15_keyword_score": f"""
+        WITH t AS (SELECT query_id, unnest(list_distinct(list_filter(string_split({plain("text")}, ' '), lambda w: length(w) >= 4))) AS term FROM {{queries}}), c AS (SELECT id, {plain("coalesce(text, '')")} AS x FROM {{chunks}})
+        SELECT query_id, id, floor(sum(greatest(1, length(term) / 8.0)) * 1000000 + 0.5) / 1000000 AS score FROM t JOIN c ON contains(x, term) GROUP BY query_id, id""",
+    "win03_headers": rf"""
+        WITH l AS (SELECT id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip("x")}), lambda t: length(t) >= 4 AND len({words("t")}) BETWEEN 1 AND 8) AS ls FROM {{bank_pages}})
+        SELECT id, array_to_string(list_slice(list_filter(ls, lambda t: (t = upper(t) AND regexp_matches(t, '[A-Z]')) OR (regexp_matches(t, '^[A-Z]') AND len(list_filter(string_split(t, ' '), lambda w: length(w) > 3 AND NOT regexp_matches(w, '^[A-Z]'))) = 0)), 1, 3), ' ~ ') AS headers FROM l""",
+    "qrk07_empty_fingerprints": f"SELECT id, min(id) OVER () AS class FROM {{chunks}} WHERE len({stem_tokens("coalesce(text, '')")}) = 0",
+    "jsn04_coerced_questions": """
+        SELECT event_id AS id, concat(event_type, ' a ~ ', event_id, ' ~ true ~ b') AS options, CAST(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS answer, CAST(CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END AS BIGINT) AS level FROM events""",
+    "stm05_coupled_reviews": """
+        SELECT user_id, question_id, count(*) AS reviews, CAST(sum(own) AS BIGINT) AS counted FROM (SELECT user_id, question_id, 1 AS own FROM {answers} UNION ALL SELECT user_id, proxied_from_id, 0 FROM {answers} WHERE proxied_from_id IS NOT NULL AND quality >= 3) AS x GROUP BY user_id, question_id""",
+}
+SQL["alg27_relevant_chunks"] = f"""
+    SELECT query_id, id, CAST(k AS BIGINT) AS place FROM (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(s.score, 0) DESC, c.id) AS k FROM {{queries}} q CROSS JOIN {{chunks}} c LEFT JOIN ({SQL["mth15_keyword_score"]}) s ON s.query_id = q.query_id AND s.id = c.id) AS x WHERE k <= 4"""
 SQL["stm02_until_terminal"] = f"""
     WITH e AS ({SQL["src09_event_blocks"]}), f AS (SELECT *, min(place) FILTER (phase = 7 OR lower(trim(message)) = 'done') OVER (PARTITION BY job_id) AS stop FROM e)
     SELECT job_id, count(*) AS events, max_by(phase, place) AS phase, max_by(message, place) AS message FROM f WHERE stop IS NULL OR place <= stop GROUP BY job_id"""

@@ -13,6 +13,7 @@ from studymill.sources.drafts import DRAFTS
 from studymill.sources.fixtures import FIXTURES
 
 from .plan import Plan
+from .relational import SQL as RELATIONAL
 from .rule_oracles import SQL
 
 FIX = DRAFTS | FIXTURES
@@ -101,6 +102,69 @@ def keyword_terms(spark, sf_dir):
     return q.select("query_id", F.explode(F.array_distinct(F.filter(F.split(T.plain(C("text")), " "), lambda w: F.length(w) >= 4))).alias("term"))
 
 
+def keyword_scores(spark, sf_dir):
+    """MTH15: for each query and chunk the sum of max(1, length / 8) of the query's terms that the chunk's plain text holds. Terms meet the words of the corpus once, and the words their chunks."""
+    words = table("chunks")(spark, sf_dir).select("id", F.explode(F.array_distinct(F.split(T.plain(F.coalesce("text", F.lit(""))), " "))).alias("word"))
+    terms = keyword_terms(spark, sf_dir)
+    held = terms.select("term").distinct().join(words.select("word").distinct(), F.contains("word", "term"))
+    met = terms.join(held, "term").join(words, "word").select("query_id", "id", "term").distinct()
+    return met.groupBy("query_id", "id").agg((F.floor(F.sum(F.greatest(F.lit(1.0), F.length("term") / 8)) * 1000000 + 0.5) / 1000000).alias("score"))
+
+
+def relevant_chunks(spark, sf_dir):
+    """ALG27: the four chunks of the highest keyword score, ties to the smaller id; chunks of score 0 fill up."""
+    found = keyword_scores(spark, sf_dir)
+    first = table("chunks")(spark, sf_dir).select("id").orderBy("id").limit(8)  # at least four of these, or all, are left for those with less than four scores
+    fill = table("queries")(spark, sf_dir).select("query_id").join(F.broadcast(first), how="cross").join(found, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
+    return found.unionByName(fill).withColumn("place", place).where("place <= 4").select("query_id", "id", "place")
+
+
+def line_headers(spark, sf_dir):
+    """WIN03: the first three lines of up to eight words and at least four letters in capitals or title case."""
+    lines = F.filter(F.transform(F.split("text", "\n"), T.trimmed), lambda t: (F.size(T.words(t)).between(1, 8)) & (F.length(t) >= 4))
+    title = lambda t: t.rlike("^[A-Z]") & F.forall(F.split(t, " "), lambda w: (F.length(w) <= 3) | w.rlike("^[A-Z]"))
+    heads = F.slice(F.filter(lines, lambda t: ((t == F.upper(t)) & t.rlike("[A-Z]")) | title(t)), 1, 3)
+    return table("bank_pages")(spark, sf_dir).select("id", F.array_join(heads, " ~ ").alias("headers"))
+
+
+def empty_prints(spark, sf_dir):
+    """QRK07: texts without any word but stop words have one fingerprint, and so are one class."""
+    empty = table("chunks")(spark, sf_dir).where(T.fingerprint(F.coalesce("text", F.lit(""))) == "").select("id")
+    return empty.join(F.broadcast(empty.agg(F.min("id").alias("class"))), how="cross")
+
+
+def coerced_questions(spark, sf_dir):
+    """JSN04: options as texts without empty ones, the answer as a number, the level from 1 to 3, whatever types a model wrote."""
+    raw = table("raw_questions")(spark, sf_dir)
+    read = F.from_json("json", "options array<string>, answer string, level string")
+    options = F.filter(F.transform(F.coalesce(read["options"], F.array().cast("array<string>")), lambda o: T.trimmed(F.coalesce(o, F.lit("")))), lambda o: o != "")
+    return raw.select("id", joined(options).alias("options"), F.coalesce(T.answer_index(read["answer"]), F.lit(0)).cast("long").alias("answer"), F.coalesce(T.question_level(read["level"]), F.lit(1)).cast("long").alias("level"))
+
+
+def coupled_reviews(spark, sf_dir):
+    """STM05: the reviews of each question, those that come from a sibling's answer among them."""
+    from studymill.streaming.states import proxied
+
+    got = proxied(table("answers")(spark, sf_dir))
+    return got.groupBy("user_id", "question_id").agg(F.count("*").alias("reviews"), F.count_if("counts").alias("counted"))
+
+
+def scheduled_states(spark, sf_dir):
+    """STM04 as a batch: the state of each key after all its reviews, which the stream reaches too."""
+    from studymill.operators import scheduling
+
+    return scheduling.rounded(scheduling.fold(table("reviews")(spark, sf_dir)))
+
+
+def verdicts(spark, sf_dir):
+    n = len(VERDICT_ISSUES)
+    texts = F.array(*[F.lit(x) for x, _ in VERDICT_ISSUES])
+    at = (C("id") % n).cast("int")
+    issues = F.when(C("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.get(texts, at), F.get(texts, (at * 5 + 2) % n)))
+    return table("bank_pages")(spark, sf_dir).select("id", T.verdict(issues).alias("verdict"))
+
+
 def distractor_pool(spark, sf_dir):
     """ALG19: for each concept up to eight candidates: peers of its category, then confusion targets (which take over a peer of their name), then concepts whose label holds an association; each label once, never the concept's own.
 
@@ -299,13 +363,38 @@ QUERIES = {
     "fil18_template_stems": over("drafts", lambda: ["id", C("stem").rlike("""(?i)^In the source passage, which named concept is described by ["']""").alias("template")]),
     "str38_clues": over("drafts", lambda: ["id", F.coalesce(F.nullif(F.regexp_extract("stem", f"""(?i)described by ["'](.+?)["'](?:{T.S}|[?])*$""", 1), F.lit("")), "stem").alias("clue")]),
     "fil20_fact_check": over("drafts", lambda: ["id", ((C("id") % 4 != 0) & (F.size(T.option_flags(C("options"), C("answer"))) == 0)).alias("accurate"), ((F.trim(F.concat_ws(" ", F.nullif("quote", F.lit("")), F.when(C("id") % 3 == 0, "chunk"))) != "") & (F.coalesce("quote", F.lit("")) != "UNGROUNDED")).alias("sourced")]),
+    "mth15_keyword_score": keyword_scores,
+    "alg27_relevant_chunks": relevant_chunks,
+    "win03_headers": line_headers,
+    "qrk07_empty_fingerprints": empty_prints,
+    "jsn04_coerced_questions": coerced_questions,
+    "stm04_scheduled_states": scheduled_states,
+    "stm05_coupled_reviews": coupled_reviews,
+    "alg14_verdicts": verdicts,
     "fil16_request_faults": over("attempt_requests", lambda: ["id", F.when(F.coalesce("question", F.lit("")) == "", "questionId is required").when(C("option").isNull() | (C("option") < -1) | (C("option") != F.floor("option")), "selectedOption must be an integer >= -1").when(C("correct").isNull(), "isCorrect must be a boolean").when(C("ms").isNull() | (C("ms") < 0) | (C("ms") != F.floor("ms")), "timeSpentMs must be a non-negative integer").when(C("reason").isNotNull() & ~C("reason").isin("wrong_answer", "ambiguous", "off_topic", "other"), "Invalid flagReason").alias("fault")]),
 }
 
+#: Issue texts, and the group of rules that each belongs to.
+VERDICT_ISSUES = [
+    ("Question is missing a grounded source quote from the PDF.", "EVIDENCE_GROUNDING"),
+    ("Deciding clue is not clearly supported by the quoted PDF evidence.", "EVIDENCE_GROUNDING"),
+    (V.FLAG_ISSUES["LENGTH_OUTLIER"], "OPTION_SET_HOMOGENEITY"),
+    (V.FLAG_ISSUES["MIXED_CATEGORY"], "OPTION_SET_HOMOGENEITY"),
+    (V.OVERLAP_ISSUE, "OPTION_SET_HOMOGENEITY"),
+    ("Question is missing the required whyTempting rationale.", "CLINICAL_PEDAGOGY"),
+    ("Explanation is too short to teach.", "CLINICAL_PEDAGOGY"),
+    ("Level 1 questions should avoid negation stems such as NOT/EXCEPT/LEAST.", "STEM_LEVEL_FIDELITY"),
+    ("Level 3 questions must open with an age, sex, and presentation vignette.", "STEM_LEVEL_FIDELITY"),
+    ("Stem is not phrased as a question.", "DETERMINISTIC_VALIDATION"),
+    ("Something else.", "DETERMINISTIC_VALIDATION"),
+]
+
 # Issue texts of each canonical form.
 CANONICAL = ["The key distinction is missing", "Explanation does not name a distractor", "Source quote could not be verified", "Correct answer is not clearly supported", "Explanation fits a different answer choice", "A fabricated distractor", "Something else, entirely"]
 
 FIX |= {
+    "raw_questions": "SELECT event_id AS id, concat(chr(123), '\"options\": [\"', event_type, ' a\", ', CAST(event_id AS STRING), ', true, null, \" \", \" b \"], \"answer\": ', CASE event_id % 5 WHEN 0 THEN '\"B\"' WHEN 1 THEN '3' WHEN 2 THEN '\" 2 \"' WHEN 3 THEN 'null' ELSE '\"zz\"' END, ', \"level\": ', CASE event_id % 4 WHEN 0 THEN '2' WHEN 1 THEN '\"L3\"' WHEN 2 THEN '\"x\"' ELSE 'null' END, chr(125)) AS json FROM {events}",
+    "answers": "SELECT user_id, question_id, CASE WHEN id % 4 = 0 THEN (question_id + 20) % 100 END AS proxied_from_id, quality, reviewed_at, id FROM {reviews}",
     "domain_concepts": "SELECT p_partkey AS id, concat(p_name, CASE p_partkey % 9 WHEN 0 THEN ' pathway' WHEN 1 THEN ' Pressure' WHEN 2 THEN ' vs odd' WHEN 3 THEN ' therapy' WHEN 4 THEN ' starling' ELSE '' END) AS name, CASE p_partkey % 7 WHEN 0 THEN 'Drug class' WHEN 1 THEN 'Classic association' WHEN 2 THEN 'Mechanism' WHEN 3 THEN 'Condition' ELSE p_type END AS category, CASE p_partkey % 11 WHEN 0 THEN 'mechanism_causal' ELSE 'entity_recall' END AS domain FROM {part}",
     "paths": "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN concat(' ', c_name, ' ') WHEN 1 THEN lower(replace(c_name, '#', '-')) WHEN 2 THEN '' WHEN 3 THEN concat(lower(replace(c_name, '#', '-')), REPEATED('x', 90)) WHEN 4 THEN 'A-1' END AS slug, CASE c_custkey % 7 WHEN 0 THEN '/app' WHEN 1 THEN '//evil' WHEN 2 THEN concat('/s/Bank-', CAST(c_custkey AS STRING), '?a=1') WHEN 3 THEN '/app/x' WHEN 4 THEN '/app#top' WHEN 5 THEN 'app' END AS path FROM {customer}",
     "attempt_requests": "SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '' ELSE 'q' END AS question, CASE event_id % 8 WHEN 0 THEN CAST(NULL AS DOUBLE) WHEN 1 THEN -2.0e0 WHEN 2 THEN 1.5e0 ELSE CAST(event_id % 5 AS DOUBLE) - 1 END AS option, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 2 = 0 END AS correct, CASE event_id % 7 WHEN 0 THEN -1.0e0 WHEN 1 THEN 0.5e0 ELSE CAST(event_id AS DOUBLE) END AS ms, CASE event_id % 4 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'none' END AS reason FROM {events}",
@@ -320,4 +409,4 @@ def candidate_pairs(spark, sf_dir):
 
 
 QUERIES["joi13_candidate_pairs"] = candidate_pairs
-ORACLE = {name: Plan(sql, FIX).duckdb() for name, sql in SQL.items()}
+ORACLE = {name: Plan(sql, FIX).duckdb() for name, sql in SQL.items()} | {"stm04_scheduled_states": Plan(RELATIONAL["alg08_sm2_fold"], FIX).duckdb()}

@@ -55,6 +55,13 @@ FIXTURES = {
           UNION ALL
           SELECT u.id, d.parent_id, u.depth + 1, PUT(u.path, d.parent_id) FROM up u JOIN {decks} d ON u.ancestor = d.id WHERE d.parent_id IS NOT NULL AND NOT HAS(u.path, d.parent_id))
         SELECT id, ancestor, depth FROM up""",
+    "deck_paths": """
+        WITH RECURSIVE down(id, path, depth) AS (
+          SELECT id, concat(CAST(1000000 + position AS STRING), name), CAST(0 AS BIGINT) FROM {decks} WHERE parent_id IS NULL
+          UNION ALL
+          SELECT d.id, concat(w.path, '/', CAST(1000000 + d.position AS STRING), d.name), w.depth + 1 FROM down w JOIN {decks} d ON d.parent_id = w.id WHERE w.depth < 50)
+        SELECT id, path FROM down""",
+    "prices": "SELECT 'view' AS model, 0.15e0 AS input, 0.6e0 AS output FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'click', 2.5e0, 10.0e0 FROM {region} WHERE r_regionkey = 0",
     "chunks": "SELECT doc_id AS id, doc_id % 10 AS pdf_id, text FROM {documents}",
     "tokens": "SELECT id, pdf_id, pos, token FROM (SELECT id, pdf_id, EXPLODED(WORDS(SWAP(lower(text), '[^a-z0-9]', ' '))) AS token, CAST(0 AS BIGINT) AS pos FROM {chunks}) AS x",
     "doc_lengths": "SELECT c.id, c.pdf_id, coalesce(t.n, 0) AS len FROM {chunks} c LEFT JOIN (SELECT id, count(*) AS n FROM {tokens} GROUP BY id) t ON c.id = t.id",
