@@ -161,7 +161,7 @@ def verdicts(spark, sf_dir):
     n = len(VERDICT_ISSUES)
     texts = F.array(*[F.lit(x) for x, _ in VERDICT_ISSUES])
     at = (C("id") % n).cast("int")
-    issues = F.when(C("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.get(texts, at), F.get(texts, (at * 5 + 2) % n)))
+    issues = F.when(C("id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.get(texts, at), F.get(texts, F.when(C("id") % 3 == 0, at).otherwise((at * 5 + 2) % n))))
     return table("bank_pages")(spark, sf_dir).select("id", T.verdict(issues).alias("verdict"))
 
 
