@@ -312,6 +312,66 @@ def simple_explanation(explanation: Column, answer: Column) -> Column:
     return F.when((a == "") | (t == ""), t).when(F.startswith(T.label(t), T.label(a)), rest(a)).when(T.overlap_share(split(first), split(a), F.greatest) >= 0.8, rest(first)).otherwise(t)
 
 
+def sentence_score(sentence: Column, keywords: Column) -> Column:
+    """STR43: how well a sentence of sound shape speaks of the keywords; 0 if its shape is at fault."""
+    said, n = T.plain(sentence), F.size(T.words(sentence))
+
+    def gain(k: Column) -> Column:
+        ws = F.split(k, " ")
+        met = F.size(F.filter(ws, lambda w: F.contains(said, w)))
+        return F.when(F.contains(said, k), F.greatest(F.lit(4), F.size(ws))).when(met >= F.greatest(F.lit(2), F.ceil(F.size(ws) / 2)), met).otherwise(0)
+
+    known = F.filter(F.transform(keywords, T.plain), lambda k: k != "")
+    heading = sentence.rlike("^[A-Z][A-Za-z0-9 ,:/()-]{0,90}$") & ~sentence.rlike("[.!?]$")
+    total = F.aggregate(F.transform(known, gain), F.lit(0).cast("long"), lambda a, g: a + g) + F.when(n >= 10, 1).otherwise(0) - F.when(heading, 2).otherwise(0)
+    return F.when((said == "") | T.quote_fault(sentence).isNotNull(), 0).otherwise(total).cast("long")
+
+
+def better_sentence(source: Column, quote: Column, keywords: Column) -> Column:
+    """STR43: the first sentence of the source of the highest score, if that is above the quote's own; the quote otherwise."""
+    scored = F.transform(evidence_sentences(source), lambda s, i: F.struct(sentence_score(s, keywords).alias("n"), (-i).alias("i"), s.alias("s")))
+    own = F.when(missing(quote), F.lit(0).cast("long")).otherwise(sentence_score(quote, keywords))
+    return bound(F.array_max(scored), lambda b: F.when(b["n"] > own, b["s"]).otherwise(quote))
+
+
+def aligned_quote(quote: Column, source: Column) -> Column:
+    """ALG18: the sentence of the source that holds the quote, else the first of the most shared words of four letters, if at least 0.4 of the shorter one's are; else the quote."""
+    q = trimmed(F.coalesce(quote, F.lit("")))
+    long = lambda c: F.filter(F.split(T.plain(c), " "), lambda w: F.length(w) >= 4)
+    share = lambda s: T.overlap_share(long(q), long(s))
+
+    def choose(ss: Column) -> Column:
+        holder = F.get(F.filter(ss, lambda s: F.contains(s, q)), 0)
+        best = F.array_max(F.transform(ss, lambda s, i: F.struct(share(s).alias("n"), (-i).alias("i"), s.alias("s"))))
+        return F.coalesce(holder, F.when(best["n"] >= 0.4, best["s"]), quote)
+
+    return F.when((q == "") | (q == "UNGROUNDED") | (trimmed(F.coalesce(source, F.lit(""))) == ""), quote).otherwise(bound(evidence_sentences(source), choose))
+
+
+def nearest_distractor(options: Column, answer: Column) -> Column:
+    """ALG18: the wrong option that is most like the key, the first of equals; null without a key or a wrong option."""
+    key = F.get(options, answer)
+    scored = F.transform(options, lambda o, i: F.when(i != answer, F.struct(T.option_similarity(o, key).alias("n"), (-i).alias("i"), o.alias("o"))))
+    return F.when(~missing(key), F.array_max(F.filter(scored, lambda x: x.isNotNull()))["o"])
+
+
+def repaired_draft(quote: Column, options: Column, answer: Column, clue: Column, explanation: Column, concept: Column, source: Column) -> Column:
+    """ALG18: struct(quote, distractor, clue, answer) of a draft: the quote becomes a sentence of the source, the distractor the wrong option most like the key, the clue a run of the quote, the answer the option that the explanation speaks for, and a quote that isn't of the clue, key and concept gives way to a better sentence."""
+    o = F.transform(options, T.without_label)
+    q = aligned_quote(quote, source)
+    c = F.coalesce(clue_span(clue, q), clue)
+    told = inferred_answer(o, answer, F.coalesce(explanation, F.lit("")))
+    a = F.when(told >= 0, told).otherwise(answer)
+
+    def upgraded(x: Column) -> Column:
+        keywords = F.filter(F.array(F.coalesce(x["c"], F.lit("")), F.coalesce(F.get(o, x["a"]), F.lit("")), trimmed(F.coalesce(concept, F.lit("")))), lambda k: k != "")
+        sound = (F.length(x["q"]) >= 20) & F.contains(source, x["q"]) & (sentence_score(x["q"], keywords) > 1)
+        return F.when(F.coalesce(sound, F.lit(False)) | (F.size(keywords) == 0) | (trimmed(source) == ""), x["q"]).otherwise(better_sentence(source, x["q"], keywords))
+
+    first = F.struct(F.coalesce(trimmed(q), F.lit("")).alias("q"), c.alias("c"), a.cast("int").alias("a"))
+    return bound(first, lambda x: bound(upgraded(x), lambda nq: F.struct(nq.alias("quote"), nearest_distractor(o, answer).alias("distractor"), F.coalesce(clue_span(x["c"], nq), x["c"]).alias("clue"), x["a"].alias("answer"))))
+
+
 # Fixed value: signs of a clinical presentation.
 CLINICAL = "patient|presents?|year.old|male|female|complain|symptom|sign|vital|lab|imaging|exam|diagnosis|management|treatment|history|physical|workup|finding|fever|pain|dyspnea|fatigue|nausea|vomiting|diarrhea|rash|edema|tachycardia|bradycardia|hypertension|hypotension|biopsy|CBC|BMP|CXR|CT|MRI|EKG|ECG"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from studymill.functions import costs
 from studymill.functions import pages as P
 from studymill.functions import text as T
 from studymill.functions import validation as V
@@ -157,6 +158,20 @@ def scheduled_states(spark, sf_dir):
     return scheduling.rounded(scheduling.fold(table("reviews")(spark, sf_dir)))
 
 
+def cost_estimates(spark, sf_dir):
+    """MTH09: both pipelines at each density for the page counts there are."""
+    pages = table("pdfs")(spark, sf_dir).select((C("page_count") * 12).alias("pages")).distinct()
+    kinds = [(d, r) for d in costs.DENSITIES for r in (False, True)]
+    each = pages.select("pages", F.explode(F.array(*[F.struct(F.lit(d).alias("density"), F.lit(r).alias("rewritten"), costs.estimate(C("pages"), d, r).alias("e")) for d, r in kinds])).alias("x"))
+    return each.select("pages", "x.density", "x.rewritten", "x.e.*")
+
+
+def repaired_rows(spark, sf_dir):
+    d = table("drafts")(spark, sf_dir)
+    x = V.repaired_draft(C("quote"), C("options"), C("answer"), C("clue"), C("explanation"), C("a"), C("source"))
+    return d.select("id", x.alias("x")).select("id", "x.*")
+
+
 def verdicts(spark, sf_dir):
     n = len(VERDICT_ISSUES)
     texts = F.array(*[F.lit(x) for x, _ in VERDICT_ISSUES])
@@ -371,6 +386,11 @@ QUERIES = {
     "stm04_scheduled_states": scheduled_states,
     "stm05_coupled_reviews": coupled_reviews,
     "alg14_verdicts": verdicts,
+    "mth09_cost_estimates": cost_estimates,
+    "alg18_repaired_drafts": repaired_rows,
+    "str43_sentence_scores": over("drafts", lambda: ["id", V.sentence_score(C("s0"), F.array("a", F.concat("a", F.lit(" "), "b"), F.lit("zz yy"))).alias("score"), md5(F.coalesce(V.better_sentence(C("source"), C("quote"), F.array("a", "b")), F.lit(""))).alias("better")]),
+    "win04_fuzzy_ratios": over("drafts", lambda: ["id", (F.floor(T.fuzzy_ratio(F.regexp_replace("s0", " ", " indeed "), F.concat_ws(" ", F.lit("Before it"), "s0", "quote", "s0")) * 1000000 + 0.5) / 1000000).alias("plain"), (F.floor(T.fuzzy_ratio(C("s0"), F.concat_ws(" ", F.lit("Before it"), "quote", "s0")) * 1000000 + 0.5) / 1000000).alias("ratio")]),
+    "str30_clause_matches": over("drafts", lambda: ["id", T.clause_match(F.concat(C("s0"), F.lit("; "), F.when(C("id") % 3 == 0, "an invented clause").otherwise(F.lit("short")), F.lit("• "), F.when(C("id") % 2 == 0, C("s0")).otherwise(F.lit("x, y and some more"))), C("source")).alias("confidence")]),
     "fil16_request_faults": over("attempt_requests", lambda: ["id", F.when(F.coalesce("question", F.lit("")) == "", "questionId is required").when(C("option").isNull() | (C("option") < -1) | (C("option") != F.floor("option")), "selectedOption must be an integer >= -1").when(C("correct").isNull(), "isCorrect must be a boolean").when(C("ms").isNull() | (C("ms") < 0) | (C("ms") != F.floor("ms")), "timeSpentMs must be a non-negative integer").when(C("reason").isNotNull() & ~C("reason").isin("wrong_answer", "ambiguous", "off_topic", "other"), "Invalid flagReason").alias("fault")]),
 }
 

@@ -234,6 +234,71 @@ def test_flag_reasons_keep_their_order(spark, drafts):
     assert kept == {i for i, x in reason.items() if x != "SOURCE_STEM_COPY"}
 
 
+def score(sentence, keywords, fault):
+    said = plain(sentence)
+    if not said or fault:
+        return 0
+    total = (len(sentence.split()) >= 10) - 2 * bool(re.fullmatch(r"[A-Z][A-Za-z0-9 ,:/()-]{0,90}", sentence) and sentence[-1] not in ".!?")
+    for k in filter(None, map(plain, keywords)):
+        met = sum(w in said for w in k.split())
+        total += max(4, len(k.split())) if k in said else met if met >= max(2, -(-len(k.split()) // 2)) else 0
+    return total
+
+
+def test_sentences_are_scored_by_their_keywords(spark, drafts):
+    found = got(spark, "str43_sentence_scores", "score")
+    s0 = rules.table("drafts")(spark, SF).select("id", V.quote_issue(rules.C("s0")).alias("f")).collect()
+    fault = {r.id: r.f for r in s0}
+    assert found == {d.id: score(d.s0, [d.a, f"{d.a} {d.b}", "zz yy"], fault[d.id]) for d in drafts} and len(set(found.values())) > 3
+
+
+def test_repaired_drafts(spark, drafts):
+    found = {r.id: r for r in rules.QUERIES["alg18_repaired_drafts"](spark, SF).collect()}
+    answers, n = got(spark, "alg17_inferred_answers", "answer"), 0
+    tokens = lambda t: {w for w in plain(re.sub(r"^[a-e][.)]\s*", "", t.lower())).split(" ") if len(w) >= 4}
+    for d in drafts:
+        r = found[d.id]
+        assert r.answer == (answers[d.id] if answers[d.id] >= 0 else d.answer)
+        if 0 <= d.answer < len(d.options):
+            key, likeness = tokens(bare(d.options[d.answer])), []
+            for i, o in enumerate(d.options):
+                w = tokens(bare(o))
+                if i != d.answer:
+                    likeness.append((-(len(w & key) / min(len(w), len(key)) if w and key else 0), i, bare(o)))
+            assert r.distractor == min(likeness)[2]
+        if r.quote and r.quote != (d.quote or "").strip():
+            assert r.quote in d.source and len(r.quote) >= 30
+            n += 1
+    assert n > 20
+
+
+def test_fuzzy_ratios_and_clauses(spark, drafts):
+    squeezed = lambda x: re.sub(r"([.,;:!?])[.,;:!?]+", r"\1", " ".join(x.split())).lower()
+    tokens = lambda t: re.findall(r"(?<![A-Za-z0-9_])[a-z0-9][a-z0-9'-]*(?<=[a-z0-9])(?![A-Za-z0-9_])", squeezed(t))
+    content = lambda ws: [w for w in ws if len(w) >= 3 and w not in STOP]
+    pairs = lambda ws: list(zip(ws, ws[1:]))
+
+    def ratio(q, s):
+        q, s = tokens(q), tokens(s)
+        want = set(pairs(content(q)))
+        if len(q) < 4 or len(s) < len(q) or not want:
+            return 0.0
+        return max(sum(p in want for p in pairs(content(s[i : i + len(q)]))) / len(want) for i in range(0, len(s) - len(q) + 1, max(1, len(q) // 4)))
+
+    found = got(spark, "win04_fuzzy_ratios", "ratio")
+    for d in drafts:
+        assert abs(found[d.id] - ratio(d.s0, " ".join(filter(None, ["Before it", d.quote, d.s0])))) < 1e-5
+    clauses = got(spark, "str30_clause_matches", "confidence")
+    for d in drafts:
+        q = f"{d.s0}; {'an invented clause' if d.id % 3 == 0 else 'short'}• {d.s0 if d.id % 2 == 0 else 'x, y and some more'}"
+        parts = [p for p in map(squeezed, re.split("[;•]", q)) if len(p) >= 12]
+        hits = [p for p in parts if p in squeezed(d.source)]
+        share = sum(map(len, hits)) / max(1, sum(map(len, parts)))
+        want = max(0.84, min(0.9, share)) if len(parts) >= 2 and (len(hits) == len(parts) or share >= 0.85) else None
+        assert (clauses[d.id] is None) == (want is None) and (want is None or abs(clauses[d.id] - want) < 1e-9)
+    assert len({x is None for x in clauses.values()}) == 2
+
+
 def test_simple_explanations(spark, drafts):
     found = got(spark, "str34_explanations", "simple")
     for d in drafts:
