@@ -247,9 +247,9 @@ SQL["mth09_cost_estimates"] = """
     b AS (SELECT *, least(concepts, cap) AS included, CAST(floor(least(concepts, cap) * levels + 0.5) AS BIGINT) AS questions, CAST(ceil(chunks / 3) AS BIGINT) AS batches FROM a),
     c AS (SELECT *, floor(questions * 1.08::DOUBLE + 0.5) AS slots, ceil(included / 3) AS groups, floor(questions * CASE WHEN rewritten THEN 0.18::DOUBLE ELSE 0.35::DOUBLE END + 0.5) AS revised FROM b),
     d AS (SELECT *, floor((chunks * 431 + included * 58 + included * 25) / 1000000.0::DOUBLE * 0.02::DOUBLE * 1000000.0::DOUBLE + 0.5) AS embeddings, floor((batches * (650 + floor(words * 3 * 1.38::DOUBLE + 0.5)) / 1000000.0::DOUBLE * 0.15::DOUBLE + batches * 1350 / 1000000.0::DOUBLE * 0.6::DOUBLE) * 1000000.0::DOUBLE + 0.5) AS inventory, floor(((500 + included * CASE WHEN rewritten THEN 10 ELSE 8 END) / 1000000.0::DOUBLE * 0.15::DOUBLE + 800 / 1000000.0::DOUBLE * 0.6::DOUBLE) * 1000000.0::DOUBLE + 0.5) AS confusion,
-      CASE WHEN rewritten THEN floor(slots * 3355 * 2.5::DOUBLE + slots * 250 * 10 + 0.5) ELSE floor((groups * 5200 + included * 850) * 2.5::DOUBLE + questions * 240 * 10 + 0.5) END AS writer,
-      CASE WHEN rewritten THEN floor((greatest(1, ceil(questions / 8)) * 1500 + questions * 280) * 2.5::DOUBLE + questions * 60 * 10 + 0.5) ELSE floor((groups * 1500 + questions * 300) * 2.5::DOUBLE + questions * 65 * 10 + 0.5) END AS auditor,
-      CASE WHEN rewritten THEN floor(revised * 1850 * 2.5::DOUBLE + revised * 245 * 10 + 0.5) ELSE floor(revised * 1750 * 2.5::DOUBLE + revised * 250 * 10 + 0.5) END AS revisions FROM c)
+      CASE WHEN rewritten THEN floor((slots * 3355 / 1000000.0::DOUBLE * 2.5::DOUBLE + slots * 250 / 1000000.0::DOUBLE * 10) * 1000000.0::DOUBLE + 0.5) ELSE floor(((groups * 5200 + included * 850) / 1000000.0::DOUBLE * 2.5::DOUBLE + questions * 240 / 1000000.0::DOUBLE * 10) * 1000000.0::DOUBLE + 0.5) END AS writer,
+      CASE WHEN rewritten THEN floor(((greatest(1, ceil(questions / 8)) * 1500 + questions * 280) / 1000000.0::DOUBLE * 2.5::DOUBLE + questions * 60 / 1000000.0::DOUBLE * 10) * 1000000.0::DOUBLE + 0.5) ELSE floor(((groups * 1500 + questions * 300) / 1000000.0::DOUBLE * 2.5::DOUBLE + questions * 65 / 1000000.0::DOUBLE * 10) * 1000000.0::DOUBLE + 0.5) END AS auditor,
+      CASE WHEN rewritten THEN floor((revised * 1850 / 1000000.0::DOUBLE * 2.5::DOUBLE + revised * 245 / 1000000.0::DOUBLE * 10) * 1000000.0::DOUBLE + 0.5) ELSE floor((revised * 1750 / 1000000.0::DOUBLE * 2.5::DOUBLE + revised * 250 / 1000000.0::DOUBLE * 10) * 1000000.0::DOUBLE + 0.5) END AS revisions FROM c)
     SELECT pages, density, rewritten, CAST(chunks AS BIGINT) AS chunks, CAST(concepts AS BIGINT) AS concepts, CAST(included AS BIGINT) AS included, questions, (embeddings + inventory + confusion + writer + auditor + revisions) / 1000000 AS total FROM d"""
 SQL["alg27_relevant_chunks"] = f"""
     SELECT query_id, id, CAST(k AS BIGINT) AS place FROM (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(s.score, 0) DESC, c.id) AS k FROM {{queries}} q CROSS JOIN {{chunks}} c LEFT JOIN ({SQL["mth15_keyword_score"]}) s ON s.query_id = q.query_id AND s.id = c.id) AS x WHERE k <= 4"""
