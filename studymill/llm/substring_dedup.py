@@ -12,7 +12,8 @@ between them is not.
 
 The first of equal runs is the one of the smallest (doc_id, place). The join needs a run only once for each document and
 decides which document has the first; where a document repeats a run itself, that is seen in its own text. So the rows
-that are shuffled are pairs of two integers, and the smallest document is combined before the shuffle. A text without
+that are shuffled are three integers, and the smallest document is combined before the shuffle. The third is a second
+hash of 32 bits of the same words, which must be that of the first document too before anything is removed. A text without
 any repeated run is returned unchanged, character by character; of a line that loses words, the rest is joined by single
 spaces.
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, Memo, documents, mixed, stored
+from .common import MIX_A, MIX_B, Memo, documents, mixed, stored
 
 LEAST, LONG, PICK = 20, 8, 4
 ENDS = ".!?。！？…"
@@ -69,8 +70,12 @@ class Sentences:
         return h, np.flatnonzero(begins)
 
 
-def runs_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, number of sentences) of the run that starts at each sentence and is complete."""
+#: Of the second hash: odd, like the first one's factor, and unrelated to it.
+SECOND = MIX_B | 1
+
+
+def runs_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, first sentence, number of sentences) of the run that starts at each sentence and is complete."""
     n = len(h)
     ends = np.r_[at[1:], n]
     # the first sentence whose end is LEAST words away, the next one at least
@@ -78,37 +83,43 @@ def runs_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     ok = last < len(at)
     first, last = np.flatnonzero(ok), last[ok]
     # hash of words [a, b): difference of sums of hash * power, times the power that moves it to a common place
-    powers, back = (np.cumprod(np.full(n, np.uint64(x)), dtype=np.uint64) for x in (MIX_A, pow(MIX_A, -1, 1 << 64)))
-    sums = np.r_[np.uint64(0), np.cumsum(h * powers, dtype=np.uint64)]
     a, b = at[first], ends[last]
-    value = (sums[b] - sums[a]) * back[a]
-    return mixed(value ^ (b - a).astype(np.uint64)).view(np.int64), first, last - first + 1
+
+    def value(factor: int) -> np.ndarray:
+        powers, back = (np.cumprod(np.full(n, np.uint64(x)), dtype=np.uint64) for x in (factor, pow(factor, -1, 1 << 64)))
+        sums = np.r_[np.uint64(0), np.cumsum(h * powers, dtype=np.uint64)]
+        return mixed((sums[b] - sums[a]) * back[a] ^ (b - a).astype(np.uint64))
+
+    return value(MIX_A).view(np.int64), (value(SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32), first, last - first + 1
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(span, doc_id): the runs of sentences of each document, each once."""
+    """(span, second, doc_id): the runs of sentences of each document, each once."""
 
     def run(batches):
         cut = Sentences()
         for x in batches:
             for at in range(0, x.num_rows, 64):
                 part = x.slice(at, 64)
-                spans, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                spans, seconds, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
                 for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     h, starts = cut(t)
-                    span = np.unique(runs_of(h, starts)[0]) if len(starts) > 1 else spans[0]
-                    spans.append(span)
-                    ids.append(np.full(len(span), i, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (spans, ids)], ["span", "doc_id"])
+                    if len(starts) > 1:
+                        span, second, _, _ = runs_of(h, starts)
+                        span, first = np.unique(span, return_index=True)
+                        spans.append(span)
+                        seconds.append(second[first])
+                        ids.append(np.full(len(span), i, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (spans, seconds, ids)], ["span", "second", "doc_id"])
 
-    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "span long, doc_id long")
+    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "span long, second int, doc_id long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(gone_id, spans): the runs of each document that a document of a smaller id has too."""
     spans = stored(span_rows(docs), "spans")  # both sides of the join; the texts are cut once
-    shared = spans.groupBy("span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("span", "lo")
-    later = spans.join(stored(shared, "repeated"), "span").where("doc_id > lo")
+    shared = spans.groupBy("span", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("span", "second", "lo")
+    later = spans.join(stored(shared, "repeated"), ["span", "second"]).where("doc_id > lo")
     return later.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("span").alias("spans"))
 
 
@@ -117,7 +128,7 @@ def without(text: str, spans: list[int] | None, cut: Sentences) -> tuple[str, in
     h, at = cut(text)
     if len(at) < 2:
         return text, len(at), 0
-    value, first, n = runs_of(h, at)
+    value, _, first, n = runs_of(h, at)
     again = np.ones(len(value), bool)
     again[np.unique(value, return_index=True)[1]] = False
     if spans:
