@@ -6,15 +6,19 @@ probabilities, from 0 to 3; a document is toxic if P(grade >= 1) is at least one
 
 Features are words without outer signs, in lower case, and their beginnings of 3 to 5 letters (so that inflected forms
 of one stem share a feature), valued log(1 + count). Those are kept which labelled toxic documents have in MIN_DOCS
-documents at least and which labelled clean ones hardly have. Labels tell toxic or not; the grades of the toxic ones are
-made from how many of such words a document has: 1 for up to 3, 2 for up to 9, 3 beyond (documents labelled toxic
-without any have grade 1).
+documents at least and which labelled clean ones hardly have.
 
-The model is fitted on at most TRAIN labelled rows, which a hash picks; all whole documents are scored.
+Labels tell toxic or not: an ordinal outcome that is censored above grade 0. Grades of the toxic documents are therefore
+estimated before the model is fitted, out of sample: FOLDS models of toxic or not, each fitted without one fold of the
+documents, give every document a linear predictor that hasn't seen its label, and the toxic ones are graded 1, 2 or 3 by
+the thirds of these predictors. Shared weights and all thresholds are then fitted to these grades by likelihood.
+
+The model is fitted on at most TRAIN labelled documents, which a hash picks; all whole documents are scored.
 
 Defined results: a null or empty text has no features and so the lowest severity; rows without a label or with a null
-label aren't learnt from; without labelled toxic rows there are no features and every severity is 0; repeated rows have
-equal results.
+label aren't learnt from; of several labels of a document the greatest counts, and of several texts of one id the one of
+the least hash is learnt from; without labelled toxic rows there are no features and every severity is 0; repeated rows
+have equal results.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import Memo, documents
 
 #: Labelled rows, and features of the model, at most.
-TRAIN, VOCABULARY = 20_000, 4096
+TRAIN, VOCABULARY = 20_000, 1024
 MIN_DOCS, MIN_SHARE = 4, 0.8
-GRADES = 3
+GRADES, FOLDS = 3, 5
+#: Labels that are broadcast; more of them are joined by shuffle.
+BROADCAST_LABELS = 200_000
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿–—"
 
 
@@ -43,8 +49,8 @@ def features_of(word: str) -> list[int]:
 
 
 def sampled_labels(labels: DataFrame, train: int) -> DataFrame:
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train)
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
 
 
 def screened(labelled: DataFrame, size: int = VOCABULARY) -> list[int]:
@@ -114,15 +120,22 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(eta - self.thresholds, -500, 500)))
 
 
-def grade(found: dict[int, int], toxic: int) -> int:
-    """The grade of a labelled document. A word has up to four features, on average some two and a half of them known."""
-    n = sum(found.values()) / 2.5
-    return 0 if not toxic else 1 if n <= 3 else 2 if n <= 9 else 3
+def graded(x: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Grades from 0 to GRADES: 0 of clean documents, the third of the out-of-fold predictor of toxic ones."""
+    score = np.zeros(len(x))
+    for k in np.unique(fold):
+        here = fold == k
+        score[here] = x[here] @ Ordinal.fit(x[~here], toxic[~here], grades=1).weights if (~here).any() else 0
+    bad = toxic > 0
+    cuts = np.quantile(score[bad], np.arange(1, GRADES) / GRADES) if bad.any() else []
+    return np.where(bad, 1 + np.searchsorted(cuts, score, side="left"), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple[Ordinal | None, list[int]]:
-    chosen = F.broadcast(sampled_labels(labels, train).withColumnRenamed("doc_id", "of"))  # train rows at most
-    labelled = docs.join(chosen, docs["doc_id"] == chosen["of"]).select("text", "toxic")
+    chosen = sampled_labels(labels, train).withColumnRenamed("doc_id", "of")
+    if train <= BROADCAST_LABELS:
+        chosen = F.broadcast(chosen)
+    labelled = docs.join(chosen, docs["doc_id"] == chosen["of"]).groupBy("of", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     vocabulary = screened(labelled)
     if not vocabulary:
         return None, []
@@ -130,20 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple[Ordinal
     def run(batches):
         memo = known_features(vocabulary)
         for x in batches:
-            got = [(counts(t, memo), y) for t, y in zip(x["text"].to_pylist(), x["toxic"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([list(c) for c, _ in got], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in got], pa.list_(pa.int32())), pa.array([y for _, y in got], pa.int32())],
-                ["places", "counts", "toxic"],
-            )
-
-    rows = labelled.mapInArrow(run, "places array<int>, counts array<int>, toxic int").groupBy("places", "counts", "toxic").count().collect()
-    x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.zeros(len(rows), int)
+            for at in range(0, x.num_rows, 64):
+                part = x.slice(at, 64)
+                got = [counts(t, memo) for t in part["text"].to_pylist()]
+                cols = [pa.array(c, pa.list_(pa.int32())) for c in ([list(c) for c in got], [list(c.values()) for c in got])]
+                yield pa.RecordBatch.from_arrays([part["of"], *cols, part["toxic"]], ["of", "places", "counts", "toxic"])
+
+    of = dict(labelled.dtypes)["of"]
+    rows = sorted(labelled.select("of", "text", "toxic").mapInArrow(run, f"of {of}, places array<int>, counts array<int>, toxic int").collect(), key=lambda r: r.of)  # train rows at most
+    x, toxic = np.zeros((len(rows), len(vocabulary)), np.float32), np.zeros(len(rows), int)
     for k, r in enumerate(rows):
-        x[k, r.places] = np.log1p(r["counts"])
-        y[k] = grade(dict(zip(r.places, r["counts"], strict=True)), r.toxic)
-    # documents alike are one row; clean ones without any feature get their weight back as repeated rows, at most as many as others
-    again = np.repeat(np.arange(len(rows)), [min(r["count"], max(1, len(rows))) for r in rows])
-    return Ordinal.fit(x[again], y[again]), vocabulary
+        x[k, r.places], toxic[k] = np.log1p(r["counts"]), r.toxic > 0
+    fold = np.array([xxhash.xxh3_64_intdigest(str(r.of)) % FOLDS for r in rows])
+    return Ordinal.fit(x, graded(x, toxic, fold)), vocabulary
 
 
 def severity(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFrame:
