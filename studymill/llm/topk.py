@@ -8,9 +8,13 @@ product. Pairs are tested from few segments to many, and only the survivors' pro
 Queries and rows meet in the cells of a grid: each row goes to the cells of its column, each query to those of its
 line, so a task holds a bounded block of either and a query meets each row once. Each cell returns k rows for a query.
 
+A row moves once for every CELL_QUERIES queries, a query once for every CELL_ROWS rows. Where the queries are a share of
+the rows, both that and the comparisons grow with the square of the table, the movement with 1 / CELL_QUERIES of it.
+
 Defined results: vectors that are null or hold a null or a component that isn't finite, and rows without id, take no
 part; equal scores go to the smaller id; a query is never its own answer, nor are rows of its id; vectors of unequal
-lengths are compared over the shorter length; of rows with one id, one counts.
+lengths are compared over the shorter length; of rows with one id the least vector counts (element by element), and is
+the query's if any of them is one; scores beyond 64 bits stand at the greatest or the least long, and tie there.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 SCALE, K = 256.0, 5
 #: Rows and queries of a cell, on average.
-CELL_ROWS, CELL_QUERIES = 8192, 1024
+CELL_ROWS, CELL_QUERIES = 16384, 4096
 STEP = 1024
 #: Integers up to this size are exact as doubles.
 EXACT = float(1 << 53)
@@ -114,7 +118,8 @@ def top_k(df: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", embedding
     """query_id, rank, vec_id, score. is_query: a condition on the column named by vec_id."""
     usable = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & F.forall(F.col(embedding), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = df.where(usable).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    n, n_q = rows.agg(F.count("*"), F.count_if("q")).first()
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    n, n_q = df.where(usable).agg(F.count("*"), F.count_if(F.coalesce(is_query, F.lit(False)))).first()  # repeated ids make the cells smaller
     cols, lines = max(1, -(-n // cell_rows)), max(1, -(-n_q // cell_queries))
     cols = max(cols, min(32, n // 256 + 1))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -126,12 +131,7 @@ def top_k(df: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", embedding
     def cell(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        def once(rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by("id")
-            ids = rows["id"].to_numpy()
-            return rows.take(np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)]))
-
-        asks, there = once(table.filter(table["q"])), once(table.filter(pc.invert(table["q"])))
+        asks, there = (rows.sort_by("id") for rows in (table.filter(table["q"]), table.filter(pc.invert(table["q"]))))
         x, q = matrix(there["v"]), matrix(asks["v"])
         dim = max(x.shape[1], q.shape[1])
         wide = lambda m: np.pad(m, ((0, 0), (0, dim - m.shape[1])))
