@@ -86,15 +86,17 @@ def unfiltered(raw: np.ndarray) -> np.ndarray:
 
 
 def read_png(media: bytes) -> np.ndarray:
-    """The samples of a grey 8-bit PNG without interlacing; every chunk's sum is tested."""
+    """The samples of a grey 8-bit PNG without interlacing; every chunk's sum is tested, and that the header comes first and once, and the data in one row."""
     if media[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, size, packed, ended = 8, None, [], False
+    at, size, packed, ended, before = 8, None, [], False, b""
     while at < len(media) and not ended:
         (n,), kind = struct.unpack_from(">I", media, at), media[at + 4 : at + 8]
         data = media[at + 8 : at + 8 + n]
         if len(data) != n or struct.unpack_from(">I", media, at + 8 + n)[0] != zlib.crc32(data, zlib.crc32(kind)):
             raise ValueError(f"damaged PNG chunk {kind!r}")
+        if (kind == b"IHDR") != (at == 8) or (kind == b"IDAT" and packed and before != b"IDAT"):
+            raise ValueError(f"PNG chunk {kind!r} out of order")
         if kind == b"IHDR":
             w, h, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", data)
             if (depth, colour, interlaced) != (8, 0, 0):
@@ -102,7 +104,7 @@ def read_png(media: bytes) -> np.ndarray:
             size = h, w
         elif kind == b"IDAT":
             packed.append(data)
-        ended = kind == b"IEND"
+        ended, before = kind == b"IEND", kind
         at += 12 + n
     if size is None or not ended:
         raise ValueError("PNG without header or end")
