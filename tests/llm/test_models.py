@@ -134,3 +134,91 @@ def test_search_with_large_integers():
 
 def test_word_pattern_is_ascii_white_space():
     assert re.findall(mixing.WORD, "a\x0bb\x1cc d e") == ["a", "b\x1cc d", "e"]
+
+
+def test_expectation_maximisation_recovers_accuracies():
+    """Simulated votes of labellers of known accuracies, which abstain at random."""
+    rng = np.random.default_rng(3)
+    n, m = 60_000, len(quality.LABELLERS)
+    bad = rng.random(n) < 0.2
+    sees, wrong = rng.uniform(0.25, 0.55, m), rng.uniform(0.002, 0.008, m)
+    vote = (rng.random((n, m)) < np.where(bad[:, None], sees, wrong)).astype(int)
+    vote[rng.random((n, m)) < 0.15] = 2
+    patterns = Counter("".join(map(str, v)) for v in vote)
+    posterior, accused, share = quality.estimate(sorted(patterns.items()))
+    assert abs(share - 0.2) < 0.02
+    assert np.abs(accused[1] - sees).max() < 0.03 and np.abs(accused[0] - wrong).max() < 0.004
+    kept = np.array([posterior["".join(map(str, v))] < 0.5 for v in vote[:5000]])
+    best = np.array([np.prod(np.where(v == 1, wrong, np.where(v == 0, 1 - wrong, 1))) * 0.8 > np.prod(np.where(v == 1, sees, np.where(v == 0, 1 - sees, 1))) * 0.2 for v in vote[:5000]])
+    assert (kept == best).mean() > 0.98  # the decision of the true model
+
+
+def test_long_words_count_in_full():
+    read = quality.Reader()
+    letters = read.signals("word " + "é" * 100)[0]
+    assert letters[3] == 0 and read.signals("#" * 50 + "é" * 50)[0][3] == 0.5
+    assert abs(read.signals("#" * 60_000 + "é" * 60_000)[0][3] - 0.5) < 1e-3
+
+
+def test_ordinal_fit_equals_a_plain_optimiser():
+    """The fitted probabilities are those of plain gradient descent on the written-out likelihood."""
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 4)).astype(np.float32)
+    y = np.digitize(x @ np.array([3.0, -2.0, 1.0, 0.0]) + rng.normal(0, 0.5, 300), [0.5, 1.2, 2.0])
+    model = toxicity.Ordinal.fit(x, y, rounds=4000, ridge=1e-2)
+    cost = [[0.5 / np.mean(y < k), 0.5 / np.mean(y >= k)] for k in (1, 2, 3)]
+
+    def loss(w, t):
+        total = 0.5e-2 * w @ w
+        for k in range(3):
+            p = 1 / (1 + np.exp(-(x @ w - t[k])))
+            total -= np.mean(np.where(y > k, cost[k][1] * np.log(p), cost[k][0] * np.log(1 - p)))
+        return total
+
+    p = np.array([0.0, 0, 0, 0, 0, 1, 2])
+    for _ in range(6000):
+        z = 1 / (1 + np.exp(-((x @ p[:4])[:, None] - p[4:])))
+        e = np.stack([np.where(y > k, cost[k][1], cost[k][0]) * (z[:, k] - (y > k)) for k in range(3)], axis=1) / len(y)
+        p -= 0.5 * np.r_[x.T @ e.sum(axis=1) + 1e-2 * p[:4], -e.sum(axis=0)]
+    assert abs(loss(model.weights, model.thresholds) - loss(p[:4], p[4:])) < 1e-3
+    assert np.all(np.diff(model.thresholds) > 0)
+
+
+def test_grades_are_out_of_sample():
+    x = np.zeros((60, 2), np.float32)
+    toxic = np.r_[np.zeros(30, int), np.ones(30, int)]
+    x[30:, 0] = np.linspace(0.5, 3, 30)
+    got = toxicity.graded(x, toxic, np.arange(60) % 5)
+    assert not got[:30].any() and set(got[30:]) == {1, 2, 3} and got[30] == 1 and got[59] == 3
+
+
+def test_ring_walk_against_a_plain_walk():
+    """Each overflowing row walks on by single steps; the operator's runs give the same shards."""
+    rng = random.Random(2)
+    counts = {p: rng.randint(1, 4) for p in rng.sample(range(sharding.PLACES), 700)}
+    for slack in (0.0, 0.25):
+        nodes, total = sharding.ring(6), sum(counts.values())
+        room = [total // 6 + (s < total % 6) if not slack else int((1 + slack) * total / 6) + 1 for s in range(6)]
+        want, late = {}, []
+        for place in sorted(counts):
+            k = next((i for i, (p, _) in enumerate(nodes) if p >= place), 0)
+            for r in range(counts[place]):
+                if room[nodes[k][1]]:
+                    want[place, r] = nodes[k][1]
+                    room[nodes[k][1]] -= 1
+                else:
+                    late.append((place, r, k))
+        for place, r, k in late:
+            while not room[nodes[k][1]]:
+                k = (k + 1) % len(nodes)
+            want[place, r] = nodes[k][1]
+            room[nodes[k][1]] -= 1
+        assert {(p, r): s for p, a, b, s, _ in sharding.assign(counts, 6, slack=slack) for r in range(a, b)} == want
+
+
+def test_rows_law_moves_little():
+    rng = random.Random(4)
+    counts = Counter(rng.randrange(sharding.PLACES) for _ in range(100_000))
+    where = lambda k: {(p, r): s for p, a, b, s, _ in sharding.assign(counts, k) for r in range(a, b)}
+    old, new = where(24), where(25)
+    assert sum(old[x] != new[x] for x in old) < 0.08 * len(old)  # 4 % must move
