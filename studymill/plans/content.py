@@ -47,7 +47,7 @@ def structural(spark, sf_dir):
 def questions_with_vectors(spark, sf_dir):
     d = documents(spark, sf_dir)
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return d.join(v, d["doc_id"] == v["vec_id"], "left").select((F.col("doc_id") % 10).alias("bank"), F.col("doc_id").alias("id"), F.col("text").alias("stem"), (F.col("doc_id") % 3 + 1).cast("int").alias("level"), F.when(F.col("doc_id") % 5 == 0, "high").otherwise("low").alias("importance"), F.lit(None).cast("string").alias("chunk_id"), "embedding")
+    return d.join(v, d["doc_id"] == v["vec_id"], "left").select(F.floor(F.col("doc_id") / 1000).alias("bank"), F.col("doc_id").alias("id"), F.col("text").alias("stem"), (F.col("doc_id") % 3 + 1).cast("int").alias("level"), F.when(F.col("doc_id") % 5 == 0, "high").otherwise("low").alias("importance"), F.lit(None).cast("string").alias("chunk_id"), "embedding")
 
 
 def question_duplicates(spark, sf_dir):

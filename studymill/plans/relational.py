@@ -16,7 +16,7 @@ SQL = {
     # 2.1 scans and sinks
     "src01_scan": "SELECT id, question_id, user_id, is_correct, created_at FROM {attempts} WHERE pdf_id = 3",
     "src08_plan_changes": "SELECT user_id, plan FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'free' WHEN k % 3 = 0 THEN 'student' WHEN k % 3 = 1 THEN 'boards' ELSE 'institution' END AS plan, row_number() OVER (PARTITION BY user_id ORDER BY at_us DESC, event_id DESC) AS newest FROM {keyed_events} WHERE event_type IN ('purchase', 'error')) AS x WHERE newest = 1",
-    "src11_presample": "SELECT pdf_id, pages, words, CAST(floor(words * pages + 0.5e0) AS BIGINT) AS estimated_words FROM (SELECT pdf_id, count(*) AS pages, " + R6("avg(CASE WHEN page <= 3 THEN CAST(n AS DOUBLE) END)") + " AS words FROM (SELECT doc_id % 25 AS pdf_id, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) AS page, SIZE(WORDS(text)) AS n FROM {documents}) AS p GROUP BY pdf_id) AS x",
+    "src11_presample": "SELECT pdf_id, pages, words, CAST(floor(words * pages + 0.5e0) AS BIGINT) AS estimated_words FROM (SELECT pdf_id, count(*) AS pages, " + R6("avg(CASE WHEN page <= 3 THEN CAST(n AS DOUBLE) END)") + " AS words FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS pdf_id, row_number() OVER (PARTITION BY CAST(floor(doc_id / 40) AS BIGINT) ORDER BY doc_id) AS page, SIZE(WORDS(text)) AS n FROM {documents}) AS p GROUP BY pdf_id) AS x",
     "snk02_upsert": "SELECT user_id, question_id, quality, reviewed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY reviewed_at DESC, id DESC) AS newest FROM {reviews}) AS x WHERE newest = 1",
     "snk03_patch": "SELECT id, CASE WHEN deck_id IS NULL THEN 'inbox' ELSE deck_id END AS deck_id, CASE WHEN id % 9 = 0 THEN NULL ELSE display_name END AS display_name FROM {pdfs}",
     "snk04_delete_cascade": "SELECT a.id, a.question_id FROM {attempts} a WHERE NOT EXISTS (SELECT 1 FROM {questions} q WHERE q.id = a.question_id AND q.flagged)",
@@ -110,7 +110,7 @@ SQL = {
     "agg24_term_frequency": "SELECT id, token, tf FROM {postings}",
     "agg26_symmetric_map": "SELECT a, JOINED(b, b) AS peers FROM (SELECT DISTINCT a, b FROM (SELECT n_name AS a, r_name AS b FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey) AS e) AS x GROUP BY a",
     "agg28_judge_means": "SELECT event_type, coalesce(" + R6("avg(value)") + ", 0) AS mean_score, count(*) AS n FROM {events} GROUP BY event_type",
-    "agg29_text_quality": "SELECT pdf_id, CASE WHEN mean_chars < 1 THEN 'empty' WHEN mean_chars < 100 OR low_ratio > 0.4e0 THEN 'poor' ELSE 'ok' END AS quality, " + R6("low_ratio") + " AS low_ratio FROM (SELECT doc_id % 25 AS pdf_id, avg(CAST(length(text) AS DOUBLE)) AS mean_chars, avg(CASE WHEN length(text) < 50 OR length(ASCIILESS(text)) > 0.15e0 * length(text) THEN 1.0e0 ELSE 0.0e0 END) AS low_ratio FROM {documents} GROUP BY doc_id % 25) AS x",
+    "agg29_text_quality": "SELECT pdf_id, CASE WHEN mean_chars < 1 THEN 'empty' WHEN mean_chars < 100 OR low_ratio > 0.4e0 THEN 'poor' ELSE 'ok' END AS quality, " + R6("low_ratio") + " AS low_ratio FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS pdf_id, avg(CAST(length(text) AS DOUBLE)) AS mean_chars, avg(CASE WHEN length(text) < 50 OR length(ASCIILESS(text)) > 0.15e0 * length(text) THEN 1.0e0 ELSE 0.0e0 END) AS low_ratio FROM {documents} GROUP BY CAST(floor(doc_id / 40) AS BIGINT)) AS x",
     "agg30_bank_preview": """
         SELECT b.id, coalesce(sum(p.question_count), 0) AS questions, coalesce(sum(p.page_count), 0) AS pages, count(p.id) AS sources, max(coalesce(m.n, 0)) AS members FROM {shared_banks} b
         LEFT JOIN (SELECT id AS bank, source_pdf_id AS pdf FROM {shared_banks} WHERE source_pdf_id IS NOT NULL UNION SELECT s.id, p.id FROM {shared_banks} s JOIN {closure} c ON c.ancestor = s.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id) x ON x.bank = b.id
@@ -142,7 +142,7 @@ SQL = {
         SELECT pdf_id, id, whole + CASE WHEN place <= 40 - given THEN 1 ELSE 0 END AS target FROM (
           SELECT pdf_id, id, whole, sum(whole) OVER (PARTITION BY pdf_id) AS given, row_number() OVER (PARTITION BY pdf_id ORDER BY exact - whole DESC, tokens DESC, id) AS place FROM (
             SELECT pdf_id, id, tokens, exact, CAST(floor(exact) AS BIGINT) AS whole FROM (
-              SELECT pdf_id, id, tokens, 40.0e0 * tokens / sum(tokens) OVER (PARTITION BY pdf_id) AS exact FROM (SELECT doc_id % 25 AS pdf_id, doc_id AS id, length(text) AS tokens FROM {documents}) AS d) AS e) AS w) AS x""",
+              SELECT pdf_id, id, tokens, 40.0e0 * tokens / sum(tokens) OVER (PARTITION BY pdf_id) AS exact FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS pdf_id, doc_id AS id, length(text) AS tokens FROM {documents}) AS d) AS e) AS w) AS x""",
     "alg08_sm2_fold": "SELECT user_id, question_id, turns, floor(interval_days * 10000 + 0.5e0) / 10000 AS interval_days, floor(ease * 10000 + 0.5e0) / 10000 AS ease, repetitions FROM {sm2}",
     "str21_word_count": "SELECT doc_id, SIZE(WORDS(SWAP(text, '[ \\t\\n\\r]+', ' '))) AS words, CAST(ceil(length(text) / 4.0e0) AS BIGINT) AS tokens FROM {documents}",
     "str35_levenshtein": "SELECT a.n_name AS a, b.r_name AS b, CAST(DISTANCE(a.n_name, b.r_name) AS BIGINT) AS distance FROM {nation} a CROSS JOIN {region} b",
