@@ -112,11 +112,20 @@ def option_audit(spark, sf_dir):
     return p.select("p_partkey", F.array_join(T.option_flags(options, (F.col("p_partkey") % 4).cast("int")), ",").alias("flags"), T.length_fault(options, (F.col("p_partkey") % 4).cast("int")).alias("length_fault"))
 
 
+#: Elements whose end begins a new line, and named entities (fixed values).
+LINE_ENDS = "p|div|li|ul|h[1-6]|article|title|nav|tr|table|section"
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
+
+
 def page_texts(spark, sf_dir):
-    """SRC03 by analogy: the text of pages, without markup."""
-    h = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " ")
-    t = F.regexp_replace(F.regexp_replace(h, r"(?s)<[^>]*>", " "), r"&(amp|lt|gt|quot|nbsp|#\d+);", " ")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.squeezed(t).alias("text"))
+    """SRC03 by analogy: the text of pages, without markup, a line for each block; blank lines are passed over."""
+    t = F.col("html")
+    for pattern, to in ((r"(?is)<script\b.*?</script>", " "), (r"(?is)<style\b.*?</style>", " "), (r"(?s)<!--.*?-->", " "), (r"[\t\n\r]+", " "), (rf"(?i)<br */?>|</({LINE_ENDS})>", "\n"), (r"(?s)<[^>]*>", " ")):
+        t = F.regexp_replace(t, pattern, to)
+    for name, sign in ENTITIES.items():
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(sign))
+    lines = F.filter(F.transform(F.split(t, "\n"), T.squeezed), lambda x: x != "")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(lines, "\n").alias("text"))
 
 
 def repaired_json(spark, sf_dir):
@@ -181,6 +190,11 @@ ORACLE = {
         FROM k WHERE b - a >= 20 AND (before IS NULL OR before < n)""",
     "str04_text_forms": r"""
         SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS plain, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS label FROM documents""",
+    "src03_page_texts": r"""
+        WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '[\t\n\r]+', ' ', 'g') AS t FROM pages),
+        d AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br */?>|</(p|div|li|ul|h[1-6]|article|title|nav|tr|table|section)>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM c),
+        e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM d)
+        SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM e""",
     "stm03_job_states": "WITH e AS (SELECT conv_id AS job_id, turn AS seq, least(100, turn * 15) AS pct, role AS phase, length(text) % 3 AS metric FROM conversations) SELECT job_id, arg_max(pct, seq) AS pct, arg_max(phase, seq) AS phase, max(seq) AS seq, CAST(arg_max(metric, seq) FILTER (metric <> 0) AS BIGINT) AS metric FROM e GROUP BY job_id",
     "jsn02_repaired_json": """SELECT event_id, '[{"id":' || event_id || ',"kind":"' || event_type || '"}]' AS json FROM events""",
 }
