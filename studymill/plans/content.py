@@ -174,7 +174,7 @@ QUERIES = {
 ORACLE = {
     "agg25_inventory": """
         WITH c AS (
-          SELECT p_partkey % 40 AS pdf_id, p_partkey AS pos, concat(substring(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 1, 30), '|', substring(regexp_replace(lower(p_type), '[^a-z]', '', 'g'), 1, 10)) AS merge_key,
+          SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS pdf_id, p_partkey AS pos, concat(substring(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 1, 30), '|', substring(regexp_replace(lower(p_type), '[^a-z]', '', 'g'), 1, 10)) AS merge_key,
             CASE WHEN p_size > 33 THEN 3 WHEN p_size > 16 THEN 2 ELSE 1 END AS rank, p_brand AS fact, p_partkey % 7 AS chunk FROM part),
         f AS (SELECT pdf_id, merge_key, fact, row_number() OVER (PARTITION BY pdf_id, merge_key ORDER BY min(pos)) AS n FROM c GROUP BY pdf_id, merge_key, fact),
         g AS (SELECT pdf_id, merge_key, string_agg(fact, ',' ORDER BY n) AS facts FROM f WHERE n <= 6 GROUP BY pdf_id, merge_key)

@@ -79,7 +79,7 @@ FIXTURES = {
           CROSS JOIN (SELECT CAST(sum(len) AS DOUBLE) / greatest(count(*), 1) AS mean_len FROM {doc_lengths}) s
           GROUP BY q.query_id, p.id) s ON s.query_id = a.query_id AND s.id = a.id) AS x""",
     "concepts": """
-        SELECT p_partkey AS id, p_name AS name, p_type AS category, CASE WHEN p_size > 33 THEN 'high' WHEN p_size > 16 THEN 'medium' ELSE 'low' END AS importance, p_partkey % 40 AS pdf_id, p_partkey AS pos, p_brand AS fact
+        SELECT p_partkey AS id, p_name AS name, p_type AS category, CASE WHEN p_size > 33 THEN 'high' WHEN p_size > 16 THEN 'medium' ELSE 'low' END AS importance, CAST(floor(p_partkey / 50) AS BIGINT) AS pdf_id, p_partkey AS pos, p_brand AS fact
         FROM {part}""",
     "level_scores": """
         SELECT q.concept_id, s.user_id, q.level, sum(s.times_reviewed) AS reviewed, sum(s.times_correct) AS correct
