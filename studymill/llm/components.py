@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,6 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels["id"] == near["u"]).select("id", F.col("component").alias("was"), F.least("component", "m").alias("to"))
         of = labels.select(F.col("id").alias("at"), F.col("component").alias("up"))
         new = stored(step.join(of, step["to"] == of["at"]).select("id", "was", F.least("to", "up").alias("component")), "labels")
+        done = new.where("was <> component").isEmpty()
+        forget(labels)
         labels = new.select("id", "component")
-        if new.where("was <> component").isEmpty():
+        labels._stored_at = new._stored_at
+        if done:
             return labels

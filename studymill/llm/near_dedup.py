@@ -12,16 +12,17 @@ linked partner may be above the limit have both sketches, so any two sets that c
 No pairs of a whole group: documents with equal sets are one node. In a bucket of the blocking table only the pairs with
 a centre are tested (first the smallest id, then the one of the least hash). Buckets whose rows are then still in
 several components are searched completely, but for pairs within one component, which can't change the result: small
-ones by pairs; large ones in blocks within bounded tasks, which estimate, verify on full sets, and return only links
-that join components. So a group of near copies costs rows in proportion to its size, and no link between components
-is left out.
+ones by pairs; the sets of all documents in larger ones by an exact search over their rarest shingles (crowded_pairs).
+So a group of near copies, or of texts around one passage, costs rows in proportion to its size, and no link between
+components is left out.
 
 Probability that a pair at the threshold 0.8 shares no band of 5 registers among 36: 6e-7; that its estimate falls below
 the threshold less 5 standard deviations: 3e-7.
 
 Defined results: a text without words (or null) has an empty set, is its own component and kept; a text with fewer words
 than a shingle has its whole sequence as the one shingle; documents with equal sets, repeated rows among them, are
-linked; rows without id have no component and are kept.
+linked; rows without id have no component and are kept; different texts of one id are one document, which is linked if
+any of them is (n_shingles is the row's own).
 """
 
 from __future__ import annotations
@@ -32,14 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_rows, mixed, shingle_hashes, stored
+from .common import WordHashes, forget, map_rows, mixed, shingle_hashes, stored
 from .components import components
 
 BANDS, ROWS = 36, 5
 M = BANDS * ROWS
 FILL, MANTISSA = 16, 10
-#: Rows of a bucket that is searched by pairs in the plan; larger ones are searched in blocks of BLOCK rows.
-SMALL, BLOCK = 24, 128
+#: Rows of a bucket that is searched by pairs in the plan; rows a side of a cell of the exact search of larger ones.
+SMALL, CELL, SALTS = 24, 4096, 8
+#: The order of the exact search counts shingles by 2 ** ORDER_BITS buckets: 48 MB on the driver, and broadcast, at most.
+ORDER_BITS = 22
 #: Bits of the filter that keeps texts of no candidate pair out of the shuffle; 16 MB at most.
 FILTER_BITS = 1 << 27
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -148,8 +151,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of at least the documents with these ids; a filter of bounded size keeps most others out."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, repeated: bool = True) -> DataFrame:
+    """(doc_id, shingles) of at least the documents with these ids; a filter of bounded size keeps most others out. repeated: ids may stand in several rows, of which each different set is kept once."""
     n = ids.count()
     if n * 8 > FILTER_BITS:  # the filter would be full: the texts are shuffled instead
         docs, words = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), None
@@ -172,19 +175,25 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(hashed(words_of(t)), width)).view(np.int64) for t in part["text"].to_pylist()]
                 cuts = np.cumsum([0, *map(len, sets)])
                 flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], ["doc_id", "shingles"])
+                key = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], key, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], ["doc_id", "key", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    sets = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, key long, shingles array<long>")
+    if repeated:
+        sets = sets.groupBy("doc_id", "key").agg(F.first("shingles").alias("shingles"))
+    return sets.select("doc_id", "shingles")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(shingle_sets(docs, ids, width), "sets")
     of = lambda s: sets.select(F.col("doc_id").alias(f"doc_{s}"), F.col("shingles").alias(f"set_{s}"))
     met = pairs.join(of("a"), F.col("a") == F.col("doc_a")).join(of("b"), F.col("b") == F.col("doc_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return met.where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b")
+    return met.where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b").distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
 def labelled(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -208,113 +217,130 @@ def few_pairs(rows: DataFrame) -> DataFrame:
     return few.join(other, "band").where("doc_id < other and component <> other_component").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def exact_similar(sets: list[np.ndarray], wanted: np.ndarray, percent: int) -> np.ndarray:
-    """Of a square table of wanted pairs, those whose full sets reach the threshold."""
-    size = np.array([len(x) for x in sets])
-    value, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(times > 1) - 1
-    row = np.repeat(np.arange(len(sets)), size)
-    keep = (times > 1)[place]
-    row, column = row[keep], shared[place[keep]]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(shared[-1]) + 1 if len(value) else 0, 4096):
-        here = (column >= at) & (column < at + 4096)
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[row[here], column[here] - at] = 1
-        both += part @ part.T
-    return wanted & (both * 100 >= (size[:, None] + size[None, :] - both) * percent)
-
-
-def forest(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """Numbers of the links (a, b), of rows, that join components not joined by the ones before."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
-
-    out = []
-    for k, (x, y) in enumerate(zip(component[a].tolist(), component[b].tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append(k)
-    return np.array(out, np.int64)
-
-
-def block_edges(rows: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b), verified on the full sets, among the rows (band, doc_id, component, n) of large buckets.
-
-    A bucket is dealt into blocks of about BLOCK rows, and each two blocks meet in one bounded group. There, pairs of
-    different components are estimated, what may reach the threshold is verified, and only links that join components
-    not yet joined in the group are returned: fewer than it has rows, however many pairs are similar.
+def common_buckets(crowded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of the shingles' buckets that several components share: 2 ** ORDER_BITS of them at most."""
+
+    def run(batches):
+        for x in batches:
+            for at in range(0, x.num_rows, 256):
+                part = x.slice(at, 256)
+                flat, component = part["shingles"].flatten().to_numpy(), np.repeat(part["component"].to_numpy(), part["shingles"].value_lengths().to_numpy())
+                bucket, place, n = np.unique(order_bucket(flat), return_inverse=True, return_counts=True)
+                lo, hi = np.full(len(bucket), np.iinfo(np.int64).max), np.full(len(bucket), np.iinfo(np.int64).min)
+                np.minimum.at(lo, place, component)
+                np.maximum.at(hi, place, component)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n), pa.array(lo), pa.array(hi)], ["bucket", "n", "lo", "hi"])
+
+    each = crowded.select("component", "shingles").mapInArrow(run, "bucket int, n long, lo long, hi long")
+    got = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").orderBy("bucket").select("bucket", "n").toArrow()
+    return got["bucket"].to_numpy(), got["n"].to_numpy()
+
+
+def order_bucket(shingles: np.ndarray) -> np.ndarray:
+    return (mixed(shingles.view(np.uint64)) >> np.uint64(64 - ORDER_BITS)).astype(np.int32)
+
+
+def first_places(crowded: DataFrame, percent: int) -> DataFrame:
+    """(token, doc_id, component, n, place): the first shingles of each set, rare ones first, that other components may have too."""
+    bucket, count = common_buckets(crowded)
+
+    def run(batches):
+        for x in batches:
+            for at in range(0, x.num_rows, 256):
+                part = x.slice(at, 256)
+                size = part["shingles"].value_lengths().to_numpy().astype(np.int64)
+                flat, row = part["shingles"].flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+                which = order_bucket(flat)
+                found = np.minimum(np.searchsorted(bucket, which), max(0, len(bucket) - 1))
+                often = np.where(bucket[found] == which, count[found], 0) if len(bucket) else np.zeros(len(flat), np.int64)
+                order = np.lexsort((flat, often, row))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                flat, often = flat[order], often[order]
+                keep = (often > 0) & (place < (size - -(-percent * size // 100) + 1)[row])
+                cols = (flat[keep], part["doc_id"].to_numpy()[row[keep]], part["component"].to_numpy()[row[keep]], size[row[keep]], place[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["token", "doc_id", "component", "n", "place"])
+
+    return crowded.mapInArrow(run, "token long, doc_id long, component long, n long, place long")
+
+
+def crowded_pairs(crowded: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components among these sets (doc_id, component, shingles) that may be linked: an exact search.
+
+    All sets are put in one order of shingles, rare ones first. Two linked sets have their first common shingle early in
+    both, at places that leave enough shingles behind it; so sets meet by (shingle, size class), the smaller one among
+    few first places, and a pair is kept only if its sizes and places allow a link. Such meetings are dealt into cells
+    of CELL rows a side, which hold numbers alone, and return what passes. A shingle that all of a group shares comes
+    last in each of its sets, behind the ones that tell them apart.
     """
-    least = floor_of(percent)
-    crowded = stored(rows.select(F.col("doc_id").alias("id")).distinct(), "crowded")
-    sets = shingle_sets(docs, crowded, width).withColumnRenamed("doc_id", "of")
-    known = nodes.join(sets, nodes["doc_id"] == sets["of"]).select("doc_id", "n_shingles", "small", "large", "shingles")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    cell = mine.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("band", "doc_id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    cell = cell.join(known, "doc_id")
+    rows = first_places(crowded, percent)
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("int")
+    least = F.ceil(F.col("n") * percent / 100).cast("long")
+    most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent).cast("long") - F.col("n")  # sizes of partners
+    small = rows.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).select("*", size_class(F.col("n")).alias("size_class"), F.lit(True).alias("smaller"))
+    large = rows.where(least <= most).select("*", F.explode(F.sequence(size_class(least), size_class(F.least("n", most)))).alias("size_class"), F.lit(False).alias("smaller"))
+    met = small.unionByName(large)
+    key = ["token", "size_class"]
+    groups = met.groupBy(*key).agg(F.count_if("smaller").alias("n_small"), F.count_if(~F.col("smaller")).alias("n_large"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n_small > 0 and n_large > 0")
+    groups = groups.select(*key, F.ceil(F.col("n_small") / CELL).cast("int").alias("small_cells"), F.ceil(F.col("n_large") / CELL).cast("int").alias("large_cells"))
+    # salted: the rows of a common shingle are joined in several tasks, and its cells dealt anew
+    met = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*key, "salt"])
+    own = lambda cells: F.pmod(F.xxhash64("doc_id"), F.col(cells)).cast("int")
+    every = lambda cells: F.sequence(F.lit(0), F.col(cells) - 1)
+    cells = F.when(F.col("smaller"), F.transform(every("large_cells"), lambda c: F.struct(own("small_cells").alias("i"), c.alias("j")))).otherwise(F.transform(every("small_cells"), lambda c: F.struct(c.alias("i"), own("large_cells").alias("j"))))
+    met = met.select("*", F.inline(cells))
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comp, part, n = (t[c].to_numpy() for c in ("doc_id", "component", "mine", "n_shingles"))
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        wanted = np.triu(comp[:, None] != comp[None, :], 1)
-        if i != j:
-            wanted &= part[:, None] != part[None, :]
-        may = np.zeros_like(wanted)
-        for kind, share in (("small", 1.0), ("large", 1.0 / M)):
-            regs = t[kind].to_pylist()
-            at = np.flatnonzero([x is not None for x in regs])
-            if not len(at):
-                continue
-            table = np.frombuffer(b"".join(regs[k] for k in at), np.uint16).reshape(-1, M)
-            for x, row in zip(at, table):
-                y = wanted[x, at]
-                if y.any():
-                    e = estimates((table[y] == row).sum(axis=1), n[at[y]] * share, np.full(int(y.sum()), n[x] * share))
-                    may[x, at[y]] |= e >= least
-        used = np.flatnonzero(may.any(axis=0) | may.any(axis=1))
-        a = b = np.empty(0, np.int64)
-        if len(used):
-            lists = t["shingles"].take(used).combine_chunks()
-            flat, cuts = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-            sure = exact_similar([flat[p:q] for p, q in zip(cuts, cuts[1:])], may[np.ix_(used, used)], percent)
-            a, b = (used[x] for x in np.nonzero(sure))
-            keep = forest(a, b, comp)
-            a, b = ids[a[keep]], ids[b[keep]]
+        side = t["smaller"].to_numpy()
+        (x_id, x_c, x_n, x_p), (y_id, y_c, y_n, y_p) = ([t[c].to_numpy()[k] for c in ("doc_id", "component", "n", "place")] for k in (side, ~side))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(x_id), 256):
+            s = slice(at, at + 256)
+            n = x_n[s, None] + y_n[None, :]
+            shared = -(-percent * n // (100 + percent))
+            may = (x_c[s, None] != y_c) & (x_n[s, None] <= y_n) & (x_n[s, None] * 100 >= y_n * percent)
+            may &= (x_n[s, None] - x_p[s, None] >= shared) & (y_n - y_p >= shared)
+            i, j = np.nonzero(may)
+            a.append(x_id[s][i])
+            b.append(y_id[j])
+        a, b = np.concatenate(a), np.concatenate(b)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return cell.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return met.groupBy(*key, "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of df."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = stored(sketches(docs, width, percent), "sketches")
-    groups = table.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    sets = stored(groups, "groups")
+    whole = table.where("n_shingles > 0 and doc_id is not null")
+    sets = stored(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "groups")
     nodes = stored(table.join(sets, "set_key").where("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "small", "large"), "nodes")
     bands = band_rows(nodes)
-    edges, labels = None, None
+    several = stored(whole.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("*").alias("n")).where("n > 1"), "several")
+    repeated = not several.isEmpty()
+    edges = stored(whole.join(several.where("lo < hi").select("doc_id"), "doc_id").join(sets, "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "edges")
+    labels = None if edges.isEmpty() else components(edges)
     for centre in (F.lit(0), F.xxhash64("doc_id", F.lit(7))):
         pairs = stored(estimated(star_pairs(bands, labels, centre), nodes, percent), "pairs")
         if pairs.isEmpty():
             continue
-        found = stored(verified(pairs, docs, width, percent), "edges")
-        edges = found if edges is None else edges.unionByName(found)
+        full = stored(shingle_sets(docs, ends(pairs), width, repeated), "sets")
+        edges = edges.unionByName(stored(verified(pairs, full, percent), "edges"))
+        forget(pairs, full, labels)
         labels = components(edges)
     # what still lies in several components of one bucket
     rows = labelled(bands, labels)
     open_bands = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
     rest = stored(rows.join(open_bands, "band"), "open")
-    last = stored(estimated(few_pairs(rest), nodes, percent), "pairs")
-    found = stored(verified(last, docs, width, percent).unionByName(block_edges(rest.where(F.col("n") > SMALL), nodes, docs, width, percent)), "edges")
+    few = stored(estimated(few_pairs(rest), nodes, percent), "pairs")
+    crowded = rest.where(F.col("n") > SMALL).groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"))
+    full = stored(shingle_sets(docs, ends(few).unionByName(crowded.select("id")).distinct(), width, repeated), "sets")
+    many = estimated(crowded_pairs(full.join(crowded, full["doc_id"] == crowded["id"]), percent), nodes, percent)
+    found = stored(verified(few.unionByName(many).distinct(), full, percent), "edges")
+    forget(rest, few, full, nodes)
     if not found.isEmpty():
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
+        forget(labels)
         labels = components(edges)
     out = table.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left")
     if labels is not None:

@@ -8,6 +8,8 @@ import numpy as np
 from studymill.llm import near_dedup, substring_dedup
 from studymill.llm.components import components
 
+from .conftest import sentence
+
 
 def sets_of(texts, width):
     out = {}
@@ -73,9 +75,9 @@ def test_chains_and_large_buckets(spark):
     assert want[11][1] == 0
 
 
-def test_large_buckets_are_searched_in_blocks(spark, monkeypatch):
+def test_large_buckets_are_searched_in_cells(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "CELL", 4)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
     shared = [word() for _ in range(100)]
@@ -83,10 +85,41 @@ def test_large_buckets_are_searched_in_blocks(spark, monkeypatch):
     for k in range(20):  # pairs of near copies, each pair over one long common passage
         own = [word() for _ in range(45)]
         pairs += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + own[:-1] + [word()]))]
+    for k in range(60):  # near copies of one text, about the threshold
+        copy = list(shared)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(100)] = word()
+        pairs.append((100 + k, " ".join(copy[: rng.choice([100, 100, 96])])))
     df = spark.createDataFrame(pairs, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, width=4).collect()} == brute(pairs)
 
 
+def test_crowded_pairs_hold_every_link(spark, monkeypatch):
+    """The exact search finds each pair of sets at the threshold, without the sketches."""
+    monkeypatch.setattr(near_dedup, "CELL", 8)
+    rng = random.Random(6)
+    sets = []
+    for k in range(150):
+        base = random.Random(k % 5).sample(range(10**6), 60)
+        sets.append(sorted({x if rng.random() > 0.04 * (k % 4) else rng.randrange(10**6) for x in base[: rng.randint(48, 60)]}))
+    df = spark.createDataFrame([(k, k, x) for k, x in enumerate(sets)], "doc_id long, component long, shingles array<long>").repartition(3)
+    got = {(r.a, r.b) for r in near_dedup.crowded_pairs(df, 80).collect()}
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+    assert want and want <= got and len(got) < 150 * 149 / 4
+
+
+def test_repeated_rows_and_texts_of_one_id(spark):
+    """A repeated row adds no rows to the pairs; texts of one id are one document, linked by any of them."""
+    rng = random.Random(8)
+    text = [sentence(rng) for _ in range(12)]
+    near, other = " ".join(text[:11]), " ".join(sentence(rng) for _ in range(9))
+    rows = [(1, " ".join(text))] * 200 + [(2, near)] * 200 + [(2, other), (7, other), (9, "alone among them all")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 7: 1, 9: 9}
+    sets = near_dedup.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,), (2,)], "id long"), 4)
+    assert sorted(r.doc_id for r in sets.where("doc_id <= 2").collect()) == [1, 2, 2]
+
+
 def test_estimates_are_near():
     rng = np.random.default_rng(1)
     for n in (50, 500, 20_000):
@@ -152,3 +185,31 @@ def test_spans_bear_the_edges(docs, empty):
         assert (r.n_tokens, r.band, r.rank) == (7, "b", 0.5)
         if r.n_removed_words == 0:
             assert (r.doc_id, r.text) in texts
+
+
+def test_removed_sentences_equal_brute_force(spark):
+    """Runs as tuples of words, compared with all runs of all documents before."""
+    rng = random.Random(12)
+    pool = [sentence(rng, rng.randint(2, 14)) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for k in range(60)]
+    cut, runs, want = substring_dedup.Sentences(), {}, {}
+    for k, t in rows:
+        w, at = t.split(), cut(t)[1].tolist()
+        ends = [*at[1:], len(w)]
+        for i in range(len(at)):
+            j = next((j for j in range(i + 1, len(at)) if ends[j] >= at[i] + substring_dedup.LEAST), None)
+            if j is not None:
+                runs.setdefault(tuple(w[at[i] : ends[j]]), []).append((k, i, j))
+    for k, t in rows:
+        w, at = t.split(), cut(t)[1].tolist()
+        gone = {x for found in runs.values() for n, (d, i, j) in enumerate(found) if d == k and n for x in range(i, j + 1)}
+        want[k] = [x for s, (a, b) in enumerate(zip(at, [*at[1:], len(w)])) if s not in gone for x in w[a:b]]
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {k: r.text.split() for k, r in got.items()} == want and sum(r.n_removed_words for r in got.values()) > 50
+
+
+def test_a_run_needs_both_hashes(spark, monkeypatch):
+    """Equal first hashes alone remove nothing."""
+    spans = spark.createDataFrame([(5, 1, 1), (5, 2, 2), (6, 3, 1), (6, 3, 4)], "span long, second int, doc_id long")
+    monkeypatch.setattr(substring_dedup, "span_rows", lambda docs: spans)
+    assert {(r.gone_id, tuple(r.spans)) for r in substring_dedup.repeated_spans(None).collect()} == {(4, (6,))}
