@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -137,10 +136,7 @@ def unsigned_crc32(column) -> F.Column:
 
 
 def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
-    """Path of a public vocabulary file; never copied into this repository."""
-    try:
-        import public_tokenizers
+    """Path of a public vocabulary file, on the machine that asks; never copied into this repository."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return os.path.join("/opt/tokenizers", name)
+    return public_tokenizers.path(name)

@@ -97,10 +97,9 @@ class Counter:
 
 def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
-    path = path or default_tokenizer()
 
     def make():
-        counter = Counter(path)
+        counter = Counter(path or default_tokenizer())
 
         def run(ids, texts):
             out = []
