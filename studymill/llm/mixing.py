@@ -10,7 +10,8 @@ the earlier caps leave doesn't exceed its own cap fixes the level of all later o
 
 Defined results: a null text has size 0; documents of size 0 are taken 0 words, and emitted by the rate of their source
 like others (a source without words has the rate 0); an empty table gives no rows; rows repeated exactly share their
-hash, so all of them get the additional copy or none.
+hash, so all of them get the additional copy or none, and so do rows without id. Rates are found in windows over the
+sources, in one task: a row of some 100 bytes for each source.
 """
 
 from __future__ import annotations
@@ -49,21 +50,21 @@ def seeded(doc_id: str, seed: str = SEED):
 
 
 def mix_plan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and the columns of keep, one row for each document."""
-    sized = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    """doc_id, source, size, source_size, target, copies, taken and the columns of keep as kept_0, kept_1 and so on, one row for each document."""
+    sized = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)))
     rates = stored(source_rates(sized.select("source", "size")), "rates").withColumnRenamed("source", "of")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     out = sized.join(rates, sized["source"].eqNullSafe(rates["of"]), "left")
     whole = F.floor("rate")
     out = out.withColumn("copies", (whole + (seeded("doc_id", seed) < F.col("rate") - whole).cast("long")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(F.col(f"kept_{c}").alias(f"kept_{c}") for c in keep))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(f"kept_{k}" for k in range(len(keep))))
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """The rows of df, each emitted as often as the mix takes it; the columns of df."""
     plan = mix_plan(df, doc_id, text, source, tuple(df.columns), seed).where("copies > 0")
-    return plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"kept_{c}").alias(c) for c in df.columns))
+    return plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"kept_{k}").alias(c) for k, c in enumerate(df.columns)))
 
 
 def op5(spark, sf_dir):

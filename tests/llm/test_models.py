@@ -83,6 +83,8 @@ def test_mixing_reaches_its_targets(spark, docs, empty):
     mixed = Counter(r.doc_id for r in mixing.mix(df).select("doc_id").collect())
     assert mixed == Counter({r.doc_id: r.copies for r in got if r.copies})
     assert mixing.mix_plan(df).collect() and sorted(mixing.mix_plan(df).collect()) == sorted(got)
+    dotted = mixing.mix(df.withColumn("a.b", F.lit(3)))
+    assert dotted.columns[-1] == "a.b" and dotted.select("`a.b`").distinct().collect()[0][0] == 3
     assert mixing.mix(empty).count() == 0 and mixing.mix_plan(docs).count() == docs.count() and mixing.mix(docs).columns == docs.columns
 
 
