@@ -273,7 +273,7 @@ def crowded_pairs(crowded: DataFrame, percent: int) -> DataFrame:
     last in each of its sets, behind the ones that tell them apart.
     """
     rows = first_places(crowded, percent)
-    size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(100 / percent))).cast("int")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(100 / min(percent, 99)))).cast("int")
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent).cast("long") - F.col("n")  # sizes of partners
     small = rows.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).select("*", size_class(F.col("n")).alias("size_class"), F.lit(True).alias("smaller"))
