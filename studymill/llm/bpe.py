@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +27,10 @@ from .common import Memo, default_tokenizer, map_rows
 SPACE, NO_SPACE = r"\p{White_Space}", r"\P{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|{SPACE}+(?!{NO_SPACE})|{SPACE}+"
 SHORT = 48
+#: After ASCII letters, each of these signs is a pre-token of its own where a stretch ends with it.
+MARKS = frozenset(".,;:!?")
+#: A space where a cut would not be a boundary of the pattern in every case: beside white space, or at an end.
+ODD_SPACE = re.compile(r" \s|\s |\A\s|\s\Z")
 NEVER = 1 << 60
 
 
@@ -53,28 +58,53 @@ class ByteBpe:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         #: pair of ids -> rank << 20 | merged id
         self.pairs = {vocab[a] << 20 | vocab[b]: r << 20 | vocab[a + b] for r, (a, b) in enumerate(pairs)}
+        #: ranks of the pairs of single bytes
+        self.of_bytes = [[self.pairs.get(a << 20 | b, NEVER) for b in self.first] for a in self.first]
         self.findall = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.names = {i: str(i) for i in self.bytes_of}
         self.words = Memo(self._word, 300_000)
+        self.known = Memo(self.stretch, 250_000)
+        self.pieces = Memo(self._coded, 100_000)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        ids = [self.first[b] for b in word.encode("utf-8", "surrogatepass")]
-        return tuple(self.merged(ids) if len(ids) <= SHORT else self.merged_long(ids))
-
-    def merged(self, ids: list[int]) -> list[int]:
+        data = word.encode("utf-8", "surrogatepass")
+        ids = list(map(self.first.__getitem__, data))
+        if len(ids) > SHORT:
+            return tuple(self.merged_long(ids))
+        table = self.of_bytes
+        return tuple(self.merged(ids, [table[a][b] for a, b in zip(data, data[1:])]))
+
+    def _coded(self, word: str) -> tuple[str, bytes]:
+        ids = self._word(word)
+        return ",".join(map(self.names.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def stretch(self, s: str) -> tuple[str, bytes]:
+        """(ids joined by commas, the bytes that the decoder makes of these ids) of a text without special strings."""
+        if s.isascii():
+            body = s[1:] if s[:1] == " " else s
+            if body.isalpha():
+                return self._coded(s)
+            if body[-1:] in MARKS and body[:-1].isalpha():
+                (a, x), (b, y) = self.known[s[:-1]], self.pieces[s[-1]]
+                return f"{a},{b}", x + y
+        found = [self.pieces[w] for w in self.findall(s)]
+        return ",".join(a for a, _ in found), b"".join(x for _, x in found)
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def merged(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """The parts ids of a word, whose neighbours have these ranks, after all merges."""
         get = self.pairs.get
-        ranks = [get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
+        while ranks and (best := min(ranks)) != NEVER:
             i = ranks.index(best)
-            ids[i : i + 2] = [best & 0xFFFFF]
-            del ranks[i]
+            ids[i] = new = best & 0xFFFFF
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], NEVER)
+                ranks[i - 1] = get(ids[i - 1] << 20 | new, NEVER)
             if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], NEVER)
+                ranks[i] = get(new << 20 | ids[i + 1], NEVER)
         return ids
 
     def merged_long(self, ids: list[int]) -> list[int]:
@@ -104,7 +134,7 @@ class ByteBpe:
         return out
 
     def encode(self, text: str) -> list[int]:
-        if not self.specials or not self.specials.search(text):
+        if not self.has_special(text):
             return self.plain(text)
         return [i for k, part in enumerate(self.specials.split(text)) for i in ([self.special[part]] if k % 2 else self.plain(part))]
 
@@ -118,19 +148,17 @@ def stretches(text: str) -> list[str] | None:
     A space between two characters that are no white space always begins a new pre-token: white-space runs can't end
     there and no other alternative holds a space but as its first character.
     """
-    parts = text.split(" ")
-    for p in parts:
-        if not p or p[0].isspace() or p[-1].isspace():
-            return None
-    return [parts[0], *(" " + p for p in parts[1:])]
+    if not text or ODD_SPACE.search(text):
+        return None
+    first, *rest = text.split(" ")
+    return [first, *(" " + p for p in rest)]
 
 
 def token_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids array<int>, decoded: the operator's full results."""
-    path = path or default_tokenizer()
 
     def make():
-        bpe = ByteBpe(path)
+        bpe = ByteBpe(path or default_tokenizer())
 
         def run(ids, texts):
             out = []
@@ -147,24 +175,27 @@ def token_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
 def encode_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every whole text encoded, and decoded from the ids alone.
 
-    Texts are handled in stretches between proven pre-token boundaries, and the ids of a stretch seen before are
-    reused; the concatenation of the stretches' ids is the text's id sequence, which alone the decoder gets.
+    Texts are handled in stretches between proven pre-token boundaries. A stretch's ids, and the bytes that the decoder
+    makes of these ids alone, are reused where it comes again; the text's ids and bytes are those of its stretches, one
+    after the other, for the decoder maps each id to its bytes. UTF-8 is decoded from the bytes of the whole text.
     """
-    path = path or default_tokenizer()
 
     def make():
-        bpe = ByteBpe(path)
-        coded = Memo(lambda s: ",".join(map(str, bpe.encode(s))), 250_000)
-        plain = Memo(lambda s: b"".join(bpe.bytes_of[int(i)] for i in s.split(",")) if s else b"", 250_000, 400)
+        bpe = ByteBpe(path or default_tokenizer())
+        known = bpe.known.__getitem__
 
         def run(ids, texts):
             out = []
             for i, t in zip(ids, texts, strict=True):
                 t = t or ""
-                parts = stretches(t) if t else []
-                runs = list(map(coded.__getitem__, parts)) if parts is not None else [",".join(map(str, bpe.encode(t)))]
-                joined = ",".join(runs)
-                back = b"".join(map(plain.__getitem__, runs)).decode("utf-8", "replace").encode()
+                parts = None if bpe.has_special(t) else stretches(t)
+                if parts is None:
+                    got = bpe.encode(t)
+                    joined, back = ",".join(map(str, got)), b"".join(map(bpe.bytes_of.__getitem__, got))
+                else:
+                    found, made = zip(*map(known, parts), strict=True)
+                    joined, back = ",".join(found), b"".join(made)
+                back = back.decode("utf-8", "replace").encode()
                 out.append((i, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
             return out
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from studymill.llm import bpe, media, token_counts
+from studymill.llm.bpe import NEVER
 from studymill.llm.common import default_tokenizer
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -55,7 +56,7 @@ def test_long_words_merge_in_the_same_order():
     coder, rng = bpe.ByteBpe(default_tokenizer()), random.Random(5)
     for _ in range(30):
         ids = [coder.first[rng.choice(b"aabcdeinrst")] for _ in range(rng.randint(1, 200))]
-        assert coder.merged(list(ids)) == coder.merged_long(list(ids))
+        assert coder.merged(list(ids), [coder.pairs.get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:])]) == coder.merged_long(list(ids))
 
 
 def test_media_round_trip(docs, empty):
@@ -90,3 +91,35 @@ def test_a_damaged_png_is_an_error():
     png[60] ^= 1
     with pytest.raises(ValueError):
         media.read_png(bytes(png))
+
+
+def test_png_chunks_out_of_order_are_refused():
+    rng = random.Random(4)
+    payload = bytes(rng.randrange(256) for _ in range(192 * 900))
+    good, at, parts = media.png_bytes(payload), 8, []
+    while at < len(good):
+        n = int.from_bytes(good[at : at + 4], "big") + 12
+        parts.append(good[at : at + n])
+        at += n
+    assert media.read_png(good).tobytes() == payload and [x[4:8] for x in parts] == [b"IHDR", *[b"IDAT"] * (len(parts) - 2), b"IEND"] and len(parts) > 3
+    text = media.chunk(b"tEXt", b"k\0v")
+    head, first, rest, end = parts[0], parts[1], b"".join(parts[2:-1]), parts[-1]
+    assert media.read_png(good[:8] + head + text + first + rest + end).tobytes() == payload
+    for bad in (first + head + rest + end, head + head + first + rest + end, head + first + text + rest + end, text + head + first + rest + end):
+        with pytest.raises(ValueError):
+            media.read_png(good[:8] + bad)
+
+
+def test_cosine_hash_against_the_plain_sum():
+    """The feature re-derived by its definition: means of the cells, the plain double sum of each coefficient, the median."""
+    rng = np.random.default_rng(2)
+    for rows in (1, 5, 33, 100):
+        x = rng.integers(0, 256, (rows, 192)).astype(np.uint8)
+        cut = lambda n, k: [range(n * i // 32, n * (i + 1) // 32) if n >= 32 else [i * n // 32] for i in range(32)][k]
+        cells = [[np.mean([x[r, c] for r in cut(rows, i) for c in cut(192, j)]) for j in range(32)] for i in range(32)]
+        low = []
+        for u in range(8):
+            for v in range(8):
+                low.append(round(sum(cells[i][j] * np.cos(np.pi * u * (2 * i + 1) / 64) * np.cos(np.pi * v * (2 * j + 1) / 64) for i in range(32) for j in range(32)), 6))
+        middle = sorted(low[1:])[31]
+        assert media.cosine_hash(x) == f"{int(''.join('1' if z > middle else '0' for z in low), 2):016x}"
