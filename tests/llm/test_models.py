@@ -129,6 +129,12 @@ def test_search_is_exact(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_of_repeated_ids_the_least_vector_counts(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.5, 9.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [2.0, 0.0]), (8, [3.0, 0.0])] * 40
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") % 50 == 0, k=3, cell_rows=2, cell_queries=1).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(50, 7, 128 * 256 + 9 * 256 * 256), (50, 8, 128 * 512)]
+
+
 def test_search_with_large_integers():
     a = np.array([[2.0**40, 3.0], [1.0, 2.0**41]])
     assert topk.exact_products(a, a[::-1]).tolist() == [2**40 + 3 * 2**41] * 2
