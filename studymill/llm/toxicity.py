@@ -95,21 +95,23 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int = GRADES, rounds: int = 400, ridge: float = 1e-4) -> Ordinal:
-        """x: documents by features, y: grades from 0."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int = GRADES, rounds: int = 400, ridge: float = 1e-4, times: np.ndarray | None = None) -> Ordinal:
+        """x: documents by features, y: grades from 0, times: how many documents are such a row."""
         n, d = x.shape
+        times = np.ones(n) if times is None else times
+        total = max(1.0, float(times.sum()))
         p = np.zeros(d + grades)  # weights, first threshold, logs of the steps
         m, s = np.zeros_like(p), np.zeros_like(p)
         over = (y[:, None] >= np.arange(1, grades + 1)).astype(float)
-        share = 0.5 / np.clip(over.mean(axis=0), 0.02, 0.98)  # each threshold's two sides weigh alike
-        rest = 0.5 / np.clip(1 - over.mean(axis=0), 0.02, 0.98)
-        cost = np.where(over > 0, share, rest)
+        mean = times @ over / total
+        share, rest = 0.5 / np.clip(mean, 0.02, 0.98), 0.5 / np.clip(1 - mean, 0.02, 0.98)  # each threshold's two sides weigh alike
+        cost = np.where(over > 0, share, rest) * (times / total)[:, None]
         for k in range(1, rounds + 1):
             steps = np.exp(p[d + 1 :])
             t = p[d] + np.r_[0, np.cumsum(steps)]
-            z = 1 / (1 + np.exp(-np.clip((x @ p[:d])[:, None] - t, -30, 30)))
-            e = cost * (z - over) / max(1, n)
-            g = np.r_[x.T @ e.sum(axis=1) + ridge * p[:d], -e.sum(), np.array([-e[:, j + 1 :].sum() * steps[j] for j in range(grades - 1)])]
+            z = 1 / (1 + np.exp(-np.clip((x @ p[:d].astype(x.dtype)).astype(float)[:, None] - t, -30, 30)))
+            e = cost * (z - over)
+            g = np.r_[(e.sum(axis=1).astype(x.dtype) @ x).astype(float) + ridge * p[:d], -e.sum(), np.array([-e[:, j + 1 :].sum() * steps[j] for j in range(grades - 1)])]
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             p -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
         return cls(p[:d], p[d] + np.r_[0, np.cumsum(np.exp(p[d + 1 :]))])
@@ -120,14 +122,14 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(eta - self.thresholds, -500, 500)))
 
 
-def graded(x: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def graded(x: np.ndarray, toxic: np.ndarray, fold: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Grades from 0 to GRADES: 0 of clean documents, the third of the out-of-fold predictor of toxic ones."""
     score = np.zeros(len(x))
     for k in np.unique(fold):
         here = fold == k
-        score[here] = x[here] @ Ordinal.fit(x[~here], toxic[~here], grades=1).weights if (~here).any() else 0
+        score[here] = x[here] @ Ordinal.fit(x[~here], toxic[~here], grades=1, times=times[~here]).weights if (~here).any() else 0
     bad = toxic > 0
-    cuts = np.quantile(score[bad], np.arange(1, GRADES) / GRADES) if bad.any() else []
+    cuts = np.quantile(np.repeat(score[bad], times[bad]), np.arange(1, GRADES) / GRADES) if bad.any() else []
     return np.where(bad, 1 + np.searchsorted(cuts, score, side="left"), 0)
 
 
@@ -145,17 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple[Ordinal
         for x in batches:
             for at in range(0, x.num_rows, 64):
                 part = x.slice(at, 64)
-                got = [counts(t, memo) for t in part["text"].to_pylist()]
-                cols = [pa.array(c, pa.list_(pa.int32())) for c in ([list(c) for c in got], [list(c.values()) for c in got])]
-                yield pa.RecordBatch.from_arrays([part["of"], *cols, part["toxic"]], ["of", "places", "counts", "toxic"])
+                got = [sorted(counts(t, memo).items()) for t in part["text"].to_pylist()]
+                cols = [pa.array([[x[k] for x in c] for c in got], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, part["toxic"]], ["places", "counts", "toxic"])
 
-    of = dict(labelled.dtypes)["of"]
-    rows = sorted(labelled.select("of", "text", "toxic").mapInArrow(run, f"of {of}, places array<int>, counts array<int>, toxic int").collect(), key=lambda r: r.of)  # train rows at most
-    x, toxic = np.zeros((len(rows), len(vocabulary)), np.float32), np.zeros(len(rows), int)
+    alike = labelled.select("text", "toxic").mapInArrow(run, "places array<int>, counts array<int>, toxic int").groupBy("places", "counts", "toxic").agg(F.count("*").alias("times"))
+    rows = sorted(alike.collect(), key=lambda r: (r.toxic, r.places, r["counts"]))  # train rows at most
+    x, toxic, times = np.zeros((len(rows), len(vocabulary)), np.float32), np.zeros(len(rows), int), np.array([r.times for r in rows])
     for k, r in enumerate(rows):
         x[k, r.places], toxic[k] = np.log1p(r["counts"]), r.toxic > 0
-    fold = np.array([xxhash.xxh3_64_intdigest(str(r.of)) % FOLDS for r in rows])
-    return Ordinal.fit(x, graded(x, toxic, fold)), vocabulary
+    # documents alike are in one fold, whatever their label
+    fold = np.array([xxhash.xxh3_64_intdigest(str((r.places, r["counts"]))) % FOLDS for r in rows])
+    return Ordinal.fit(x, graded(x, toxic, fold, times), times=times), vocabulary
 
 
 def severity(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFrame:

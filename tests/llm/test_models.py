@@ -196,7 +196,7 @@ def test_grades_are_out_of_sample():
     x = np.zeros((60, 2), np.float32)
     toxic = np.r_[np.zeros(30, int), np.ones(30, int)]
     x[30:, 0] = np.linspace(0.5, 3, 30)
-    got = toxicity.graded(x, toxic, np.arange(60) % 5)
+    got = toxicity.graded(x, toxic, np.arange(60) % 5, np.ones(60, int))
     assert not got[:30].any() and set(got[30:]) == {1, 2, 3} and got[30] == 1 and got[59] == 3
 
 
