@@ -112,7 +112,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of byte words, kept for the words seen lately."""
 
-    def __init__(self, cap: int = 400_000):
+    def __init__(self, cap: int = 250_000):
         self.memo = Memo(xxhash.xxh3_64_intdigest, cap)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
