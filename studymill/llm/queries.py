@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, topk, toxicity
+from . import bpe, media, mixing, near_dedup, periodic, quality, sharding, substring_dedup, token_counts, topk, toxicity
 from .common import documents
 
 
@@ -25,5 +25,6 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8,
     "op9_ring_sharding": sharding.op9,
     "op10_topk_search": topk.op10,
+    "op11_periodic_runs": periodic.op11,
 }
 ORACLE = {"op5_source_mix": mixing.ORACLE, "op10_topk_search": topk.ORACLE}
