@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, importance, media, mixing, near_dedup, periodic, quality, sharding, substring_dedup, token_counts, topk, toxicity
+from . import bpe, importance, language, media, mixing, near_dedup, periodic, quality, sharding, substring_dedup, token_counts, topk, toxicity
 from .common import documents
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_ring_sharding": sharding.op9,
     "op10_topk_search": topk.op10,
     "op11_periodic_runs": periodic.op11,
+    "op12_language_id": language.op12,
     "op13_importance_resampling": importance.op13,
 }
 ORACLE = {"op5_source_mix": mixing.ORACLE, "op10_topk_search": topk.ORACLE, "op13_importance_resampling": importance.ORACLE}
