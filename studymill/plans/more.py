@@ -51,7 +51,7 @@ SQL = {
     "agg37_upper_median": "SELECT id, " + THIRD + " AS upper_median FROM {option_lengths}",
     "agg38_confusable": "SELECT topic, JOINED(name, pos) AS concepts FROM (SELECT ITEM(WORDS(category), 0) AS topic, name, min(pos) AS pos FROM {concepts} GROUP BY ITEM(WORDS(category), 0), name) AS x GROUP BY topic",
     "win05_bigrams": "SELECT id, concat(a, ' ', b) AS bigram, count(*) AS n FROM (SELECT id, ITEM(ws, i) AS a, ITEM(ws, i + 1) AS b FROM (SELECT id, ws, EXPLODED(UPTO(0, CAST(SIZE(ws) AS INT) - 2)) AS i FROM (SELECT id, WORDS(" + PLAIN("text") + ") AS ws FROM {chunks}) AS t WHERE SIZE(ws) >= 2) AS u) AS x GROUP BY id, concat(a, ' ', b)",
-    "win08_rank_positions": "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS place FROM {bm25}",
+    "win08_rank_positions": "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS place FROM {bm25} WHERE rank <= 20",
     "srt01_ordered": "SELECT id, CAST(row_number() OVER (ORDER BY page_count DESC, id) AS BIGINT) AS place FROM {pdfs}",
     "srt03_importance_name": "SELECT pdf_id, id, CAST(row_number() OVER (PARTITION BY pdf_id ORDER BY CASE importance WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, lower(name), id) AS BIGINT) AS place FROM {concepts}",
     "srt05_switchable": "SELECT question_id, CAST(row_number() OVER (ORDER BY flags DESC, question_id) AS BIGINT) AS by_flags, CAST(row_number() OVER (ORDER BY n DESC, question_id) AS BIGINT) AS by_attempts FROM (SELECT question_id, count(flag_reason) AS flags, count(*) AS n FROM {attempts} GROUP BY question_id) AS x",
@@ -72,7 +72,7 @@ SQL = {
     "str17_slugs": "SELECT id, coalesce(nullif(substring(SWAP(SWAP(trim(lower(s)), '[^a-z0-9]+', '-'), '^-+|-+$', ''), 1, 48), ''), 'bank') AS slug FROM {samples}",
     "str31_overlap": "SELECT a.id, " + R6("CAST(count(DISTINCT a.word) AS DOUBLE) / least(min(a.n), min(b.n))") + " AS overlap FROM (SELECT id, EXPLODED(UNIQUE(WORDS(lower(o1)))) AS word, SIZE(UNIQUE(WORDS(lower(o1)))) AS n FROM {option_sets}) a JOIN (SELECT id, EXPLODED(UNIQUE(WORDS(lower(o3)))) AS word, SIZE(UNIQUE(WORDS(lower(o3)))) AS n FROM {option_sets}) b ON a.id = b.id AND a.word = b.word GROUP BY a.id",
     "str39_answer_index": "SELECT id, CASE WHEN MATCHES(upper(o), '^[A-E]$') THEN ascii(upper(o)) - 65 WHEN MATCHES(o, '^[0-9]+$') THEN CAST(nullif(SWAP(o, '[^0-9]', ''), '') AS INT) ELSE 0 END AS idx FROM (VALUES (1, 'b'), (2, '3'), (3, 'E'), (4, 'x'), (5, '')) AS v(id, o)",
-    "mth02_cosine_distance": "SELECT query_id, id, " + R6("1 - similarity") + " AS distance FROM {nearest}",
+    "mth02_cosine_distance": "SELECT query_id, id, " + R6("1 - similarity") + " AS distance FROM {nearest} WHERE place <= 20",
     "mth03_term_weight": "SELECT tf, len, " + R6("tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / 100.0e0))") + " AS weight FROM (SELECT DISTINCT p.tf, l.len FROM {postings} p JOIN {doc_lengths} l ON l.id = p.id) AS x",
     "mth04_reciprocal_rank": "SELECT query_id, id, " + R6("1.0e0 / (60 + place)") + " AS share FROM {nearest} WHERE place <= 8",
     "mth05_money": "SELECT event_id, floor(value * 100 + 0.5e0) / 100 AS usd2, floor(value / 7 * 1000000 + 0.5e0) / 1000000 AS usd6 FROM {events}",

@@ -4,7 +4,8 @@ A plan names its input tables in braces. For Spark every input is a DataFrame th
 Catalyst sees one tree from the Parquet scans on and no view is left behind. The same text, with the inputs as common
 table expressions, is the DuckDB query that the plan is held against.
 
-Where the two dialects differ, the text has one of the markers below.
+Where the two dialects differ, the text has one of the markers below. Fixtures that have a program in forms.FORMS are made
+by it on Spark.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .forms import FORMS
+
 #: marker: (Spark, DuckDB); \1, \2 are its arguments, which hold no comma at their top level
 MARKERS = {
     "JSONTEXT": (r"get_json_object(\1, \2)", r"json_extract_string(\1, \2)"),
@@ -97,16 +100,20 @@ class Plan:
 
     def frame(self, spark: SparkSession, tables: Callable[[str], DataFrame]) -> DataFrame:
         made: dict[str, DataFrame] = {}
-        text = in_dialect(self.sql, 0)
 
-        def given(sql: str) -> dict[str, DataFrame]:
-            names = set(re.findall(r"\{(\w+)\}", sql))
-            return {n: made[n] if n in made else tables(n) for n in names}
+        def named(name: str) -> DataFrame:
+            if name not in made:
+                if name not in self.fixtures:
+                    return tables(name)
+                program, needs = FORMS.get(name, (None, ()))
+                made[name] = program(*map(named, needs)) if program else run(self.fixtures[name])
+            return made[name]
+
+        def run(sql: str) -> DataFrame:
+            text = in_dialect(sql, 0)
+            return spark.sql(text, **{n: named(n) for n in set(re.findall(r"\{(\w+)\}", text))})
 
-        for name in self.inputs():
-            sql = in_dialect(self.fixtures[name], 0)
-            made[name] = spark.sql(sql, **given(sql))
-        return spark.sql(text, **given(text))
+        return run(self.sql)
 
     def duckdb(self) -> str:
         ctes = [f"{n} AS ({in_dialect(self.fixtures[n], 1)})" for n in self.inputs()]
