@@ -63,8 +63,8 @@ class ByteBpe:
         self.findall = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.names = {i: str(i) for i in self.bytes_of}
-        self.words = Memo(self._word, 300_000)
-        self.known = Memo(self.stretch, 250_000)
+        self.words = Memo(self._word, 120_000)
+        self.known = Memo(self.stretch, 120_000)
         self.pieces = Memo(self._coded, 100_000)
 
     def _word(self, word: str) -> tuple[int, ...]:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from studymill.sources.scratch import checkpoint_dir, forget, stored  # noqa: F401 - the operators take them from here
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,41 +37,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable]], schema:
                 cols = list(zip(*got, strict=True)) if got else [()] * len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, schema)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set and the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    made = tempfile.mkdtemp(prefix="studymill-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    return df.mapInArrow(lean(run), schema)
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet below the checkpoint folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/studymill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, after which the task's freed memory goes back to the system: workers are reused, and a memo would stay with them."""
 
+    def f(batches):
+        yield from run(batches)
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
 
-def forget(*tables: DataFrame | None) -> None:
-    """Delete tables that stored() wrote and that no later plan reads."""
-    for t in tables:
-        if path := getattr(t, "_stored_at", None) if t is not None else None:
-            spark = t.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return f
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +92,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of byte words, kept for the words seen lately."""
 
-    def __init__(self, cap: int = 250_000):
+    def __init__(self, cap: int = 120_000):
         self.memo = Memo(xxhash.xxh3_64_intdigest, cap)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

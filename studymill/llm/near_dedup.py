@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, map_rows, mixed, shingle_hashes, stored
+from .common import WordHashes, forget, lean, map_rows, mixed, shingle_hashes, stored
 from .components import components
 
 BANDS, ROWS = 36, 5
@@ -178,7 +178,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, repeated: bool = T
                 key = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], key, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], ["doc_id", "key", "shingles"])
 
-    sets = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, key long, shingles array<long>")
+    sets = docs.where("doc_id is not null").mapInArrow(lean(run), "doc_id long, key long, shingles array<long>")
     if repeated:
         sets = sets.groupBy("doc_id", "key").agg(F.first("shingles").alias("shingles"))
     return sets.select("doc_id", "shingles")

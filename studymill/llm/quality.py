@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, shingle_hashes, stored
+from .common import Memo, documents, lean, shingle_hashes, stored
 
 #: Documents from which the scorer learns, about; and hashed features.
 TRAIN, DIM = 8192, 1024
@@ -68,7 +68,7 @@ def word_code(word: str) -> int:
 
 class Reader:
     def __init__(self):
-        self.memo = Memo(word_code, 400_000)
+        self.memo = Memo(word_code, 150_000)
 
     def signals(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """(the labellers' signals, the words' shapes); None without words."""
@@ -143,7 +143,7 @@ def features(df: DataFrame, text: str, kept: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(x[c] for c in kept), pa.array(pattern, pa.string()), *lists], [*kept, "pattern", "places", "vals"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "pattern string, places array<smallint>, vals array<float>"])
-    return df.select(*kept, F.col(text).alias("text_read")).mapInArrow(run, schema)
+    return df.select(*kept, F.col(text).alias("text_read")).mapInArrow(lean(run), schema)
 
 
 #: Bounds of what is estimated. Low quality comes in kinds and a labeller sees one or two, so none is taken to see more

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, Memo, documents, mixed, stored
+from .common import MIX_A, MIX_B, Memo, documents, lean, mixed, stored
 
 LEAST, LONG, PICK = 20, 8, 4
 ENDS = ".!?。！？…"
@@ -49,7 +49,7 @@ class Sentences:
     """Cuts texts into sentences, and hashes words."""
 
     def __init__(self):
-        self.code = Memo(word_code, 400_000).__getitem__
+        self.code = Memo(word_code, 120_000).__getitem__
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of the words, index of each sentence's first word)."""
@@ -112,7 +112,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
                         ids.append(np.full(len(span), i, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (spans, seconds, ids)], ["span", "second", "doc_id"])
 
-    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "span long, second int, doc_id long")
+    return docs.where("doc_id is not null and text is not null").mapInArrow(lean(run), "span long, second int, doc_id long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 cols = [pa.array(texts, pa.string()) if n == text_at else part[n] for n in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int32()), pa.array(words, pa.int32())], [*names, "n_sentences", "n_removed_words"])
 
-    out = met.mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names) + ", n_sentences int, n_removed_words int")
+    out = met.mapInArrow(lean(run), ", ".join(f"{n} {types[n]}" for n in names) + ", n_sentences int, n_removed_words int")
     return out.select(*(F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)), "n_sentences", "n_removed_words")
 
 
