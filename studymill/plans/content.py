@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from studymill.functions import text as T
 from studymill.functions.jsonrepair import repair_json
-from studymill.operators import chunking, concepts, dedup, scheduling
+from studymill.operators import chunking, concepts, dedup, matching, scheduling
+from studymill.operators.ranking import checked
 from studymill.sources.fixtures import FIXTURES
+from studymill.sources.scratch import stored
 from studymill.streaming.states import latest_states
 
 from .plan import Plan
@@ -71,15 +73,17 @@ def evidence_candidates(quotes, docs):
     """(item_id, doc_id) of all pairs of quotes(item_id, quote) and docs(doc_id, text) that ALG05 can accept.
 
     The text holds the quote or one of its clauses, or it has the quote's content word pairs 0.6 times their number or
-    more, counted as often as they stand in it: no window of a fuzzy match can hold more.
+    more, counted as often as they stand in it: no window of a fuzzy match can hold more. A quote of white space alone is
+    taken as missing.
     """
     pairs = lambda c: T.pairs_of(T.content_words(T.evidence_words(T.evidence_text(F.col(c)))))
-    parts = F.array_union(F.array(T.evidence_text(F.col("quote"))), F.filter(F.transform(F.split("quote", "[;•]"), T.evidence_text), lambda x: F.length(x) >= 12))
-    q = quotes.select("item_id", "quote", parts.alias("parts"))
-    d = docs.select("doc_id", "text", T.evidence_text(F.col("text")).alias("plain"))
-    held = q.join(d, F.contains("text", "quote") | F.exists("parts", lambda x: F.contains("plain", x))).select("item_id", "doc_id")
+    part = F.explode(F.array_union(F.array(T.evidence_text(F.col("quote"))), F.filter(F.transform(F.split("quote", "[;•]"), T.evidence_text), lambda x: F.length(x) >= 12)))
+    whole = matching.contained(quotes, docs, "item_id", "quote", "doc_id", "text")
+    clauses = matching.contained(quotes.select("item_id", part.alias("part")), docs.select("doc_id", T.evidence_text(F.col("text")).alias("plain")), "item_id", "part", "doc_id", "plain")
+    held = whole.union(clauses).select(F.col("needle_id").alias("item_id"), F.col("text_id").alias("doc_id"))
     wanted = quotes.select("item_id", F.array_distinct(pairs("quote")).alias("pairs")).select("item_id", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
-    shared = docs.select("doc_id", F.explode(pairs("text")).alias("pair")).join(F.broadcast(wanted), "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
+    wanted = checked(stored(wanted, "wanted"))
+    shared = docs.select("doc_id", F.explode(pairs("text")).alias("pair")).join(wanted, "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
     return held.union(shared.where(F.col("hits") / F.col("n") >= 0.6).select("item_id", "doc_id")).distinct()
 
 

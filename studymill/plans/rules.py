@@ -10,6 +10,7 @@ from studymill.functions import pages as P
 from studymill.functions import text as T
 from studymill.functions import validation as V
 from studymill.functions.text import bound
+from studymill.operators import matching
 from studymill.sources.drafts import DRAFTS
 from studymill.sources.fixtures import FIXTURES
 
@@ -93,7 +94,9 @@ def exemplars(spark, sf_dir):
     concepts, exam = table("concepts")(spark, sf_dir), table("exemplars")(spark, sf_dir)
     order = [F.when(C("level") == 2, 0).otherwise(1), C("exemplar")]
     word = concepts.select("id", F.explode(F.array_distinct(T.words(F.lower("name")))).alias("word"))
-    best = word.select("word").distinct().join(exam, F.contains("topic", "word")).withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where("k <= 2").drop("k", "topic")
+    topics = exam.select("topic").distinct().withColumn("key", F.xxhash64("topic"))
+    held = matching.contained(word.select("word").distinct(), topics, "word", "word", "key", "topic").join(topics, C("text_id") == C("key")).select(C("needle_id").alias("word"), "topic")
+    best = held.join(exam, "topic").withColumn("k", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where("k <= 2").drop("k", "topic")
     met = word.join(best, "word").select("id", "exemplar", "level").distinct()
     return met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order)).cast("long")).where("place <= 2").select("id", "exemplar", "place")
 
@@ -107,7 +110,7 @@ def keyword_scores(spark, sf_dir):
     """MTH15: for each query and chunk the sum of max(1, length / 8) of the query's terms that the chunk's plain text holds. Terms meet the words of the corpus once, and the words their chunks."""
     words = table("chunks")(spark, sf_dir).select("id", F.explode(F.array_distinct(F.split(T.plain(F.coalesce("text", F.lit(""))), " "))).alias("word"))
     terms = keyword_terms(spark, sf_dir)
-    held = terms.select("term").distinct().join(words.select("word").distinct(), F.contains("word", "term"))
+    held = matching.contained(terms.select("term").distinct(), words.select("word").distinct(), "term", "term", "word", "word").select(C("needle_id").alias("term"), C("text_id").alias("word"))
     met = terms.join(held, "term").join(words, "word").select("query_id", "id", "term").distinct()
     return met.groupBy("query_id", "id").agg((F.floor(F.sum(F.greatest(F.lit(1.0), F.length("term") / 8)) * 1000000 + 0.5) / 1000000).alias("score"))
 
@@ -207,19 +210,12 @@ def key_sweep(spark, sf_dir):
 
 
 def provenance(spark, sf_dir):
-    """ALG07: for each quote the first chunk that holds it as it is, with its place; a quote meets chunks by the rarest of its inner words, one of up to two words by a search of each text for each such different quote."""
+    """ALG07: for each quote the first chunk that holds it as it is, with its place."""
     q = table("drafts")(spark, sf_dir).where("quote is not null and length(trim(quote)) > 0").select("id", T.trimmed(C("quote")).alias("target"))
     chunks = table("chunks")(spark, sf_dir).where("text is not null").select(C("id").alias("chunk"), "text")
-    word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")))
-    df = chunks.select(word(C("text")).alias("word")).groupBy("word").count()
-    # a chunk that holds the target holds each whole word within it: the first and the last may be parts of longer ones
-    inner = F.split(F.lower("target"), "[^a-z0-9]+")
-    asked = q.select("id", F.explode(F.array_distinct(F.filter(F.slice(inner, F.lit(2), F.greatest(F.lit(0), F.size(inner) - 2)), lambda w: w != ""))).alias("word")).join(df, "word", "left")
-    rare = asked.groupBy("id").agg(F.min_by("word", F.struct(F.coalesce("count", F.lit(0)), "word")).alias("word"))
-    met = rare.join(chunks.select("chunk", word(C("text")).alias("word")), "word").join(q, "id").join(chunks, "chunk").where(F.contains("text", "target"))
-    short = q.join(rare, "id", "left_anti")
-    found = short.select("target").distinct().join(chunks, F.contains("text", "target")).groupBy("target").agg(F.min_by(F.struct("chunk", "text"), "chunk").alias("x")).select("target", "x.*")
-    met = met.select("id", "target", "chunk", "text").unionByName(short.join(found, "target").select("id", "target", "chunk", "text"))
+    held = matching.contained(q.select("target").distinct(), chunks, "target", "target", "chunk", "text")
+    where = held.groupBy(C("needle_id").alias("target")).agg(F.min("text_id").alias("chunk")).join(chunks, "chunk")
+    met = q.join(where, "target")
     first = met.groupBy("id").agg(F.min_by(F.struct("chunk", F.instr("text", C("target")).alias("at"), F.length("target").alias("n")), "chunk").alias("x"))
     return first.select("id", C("x.chunk").alias("chunk"), (C("x.at") - 1).cast("long").alias("start"), (C("x.at") - 1 + C("x.n")).cast("long").alias("end"))
 
