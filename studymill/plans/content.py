@@ -76,14 +76,15 @@ def evidence_candidates(quotes, docs):
     more, counted as often as they stand in it: no window of a fuzzy match can hold more. A quote of white space alone is
     taken as missing.
     """
-    pairs = lambda c: T.pairs_of(T.content_words(T.evidence_words(T.evidence_text(F.col(c)))))
+    pairs = lambda plain: T.pairs_of(T.content_words(T.evidence_words(plain)))
+    plain = stored(docs.select("doc_id", T.evidence_text(F.col("text")).alias("plain")), "plain")
     part = F.explode(F.array_union(F.array(T.evidence_text(F.col("quote"))), F.filter(F.transform(F.split("quote", "[;•]"), T.evidence_text), lambda x: F.length(x) >= 12)))
     whole = matching.contained(quotes, docs, "item_id", "quote", "doc_id", "text")
-    clauses = matching.contained(quotes.select("item_id", part.alias("part")), docs.select("doc_id", T.evidence_text(F.col("text")).alias("plain")), "item_id", "part", "doc_id", "plain")
+    clauses = matching.contained(quotes.select("item_id", part.alias("part")), plain, "item_id", "part", "doc_id", "plain")
     held = whole.union(clauses).select(F.col("needle_id").alias("item_id"), F.col("text_id").alias("doc_id"))
-    wanted = quotes.select("item_id", F.array_distinct(pairs("quote")).alias("pairs")).select("item_id", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
+    wanted = quotes.select("item_id", F.array_distinct(pairs(T.evidence_text(F.col("quote")))).alias("pairs")).select("item_id", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
     wanted = checked(stored(wanted, "wanted"))
-    shared = docs.select("doc_id", F.explode(pairs("text")).alias("pair")).join(wanted, "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
+    shared = plain.select("doc_id", F.explode(pairs(F.col("plain"))).alias("pair")).join(wanted, "pair").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
     return held.union(shared.where(F.col("hits") / F.col("n") >= 0.6).select("item_id", "doc_id")).distinct()
 
 

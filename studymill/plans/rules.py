@@ -13,6 +13,7 @@ from studymill.functions.text import bound
 from studymill.operators import matching
 from studymill.sources.drafts import DRAFTS
 from studymill.sources.fixtures import FIXTURES
+from studymill.sources.scratch import stored
 
 from .plan import Plan
 from .relational import SQL as RELATIONAL
@@ -108,7 +109,7 @@ def keyword_terms(spark, sf_dir):
 
 def keyword_scores(spark, sf_dir):
     """MTH15: for each query and chunk the sum of max(1, length / 8) of the query's terms that the chunk's plain text holds. Terms meet the words of the corpus once, and the words their chunks."""
-    words = table("chunks")(spark, sf_dir).select("id", F.explode(F.array_distinct(F.split(T.plain(F.coalesce("text", F.lit(""))), " "))).alias("word"))
+    words = stored(table("chunks")(spark, sf_dir).select("id", F.explode(F.array_distinct(F.split(T.plain(F.coalesce("text", F.lit(""))), " "))).alias("word")), "words")
     terms = keyword_terms(spark, sf_dir)
     held = matching.contained(terms.select("term").distinct(), words.select("word").distinct(), "term", "term", "word", "word").select(C("needle_id").alias("term"), C("text_id").alias("word"))
     met = terms.join(held, "term").join(words, "word").select("query_id", "id", "term").distinct()

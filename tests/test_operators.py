@@ -130,7 +130,7 @@ def test_question_dedup_keeps_the_important_one(spark):
 
 
 def test_dropped_questions_drop_no_other():
-    assert dedup.greedy([(1, 2, True, True), (2, 3, True, True), (3, 4, False, False)]) == [(2, 1, "fingerprint"), (3, 4, "embedding")]
+    assert dedup.eliminated({1: (1, 2, ""), 2: (1, 2, ""), 3: (3, 1, ""), 4: (4, 2, "")}, [(2, 3), (3, 4)]) == [(2, 1, "fingerprint"), (3, 4, "embedding")]
 
 
 @pytest.mark.parametrize("text,want", [
