@@ -21,16 +21,11 @@ FIXTURES = FIXTURES | {
     "option_sets": "SELECT p_partkey AS id, p_partkey % 4 AS answer, p_name AS o0, concat(p_type, ' ', p_name) AS o1, p_brand AS o2, concat(p_name, ' of the kind that is ', lower(p_type)) AS o3 FROM {part}",
     "option_lengths": "SELECT id, answer, length(o0) AS l0, length(o1) AS l1, length(o2) AS l2, length(o3) AS l3, CASE answer WHEN 0 THEN length(o0) WHEN 1 THEN length(o1) WHEN 2 THEN length(o2) ELSE length(o3) END AS own FROM {option_sets}",
     "option_words": "SELECT id, answer, SIZE(WORDS(o0)) AS w0, SIZE(WORDS(o1)) AS w1, SIZE(WORDS(o2)) AS w2, SIZE(WORDS(o3)) AS w3, CASE answer WHEN 0 THEN SIZE(WORDS(o0)) WHEN 1 THEN SIZE(WORDS(o1)) WHEN 2 THEN SIZE(WORDS(o2)) ELSE SIZE(WORDS(o3)) END AS own FROM {option_sets}",
-    "visible": """
-        SELECT id, min(origin) AS origin FROM (
-          SELECT id, '1 owned' AS origin FROM {pdfs} WHERE user_id = 7
-          UNION ALL SELECT b.source_pdf_id, '2 shared' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id WHERE m.user_id = 7 AND b.is_active AND b.source_pdf_id IS NOT NULL
-          UNION ALL SELECT p.id, '3 deck' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE m.user_id = 7 AND b.is_active) AS x
-        GROUP BY id""",
+    "visible": "SELECT user_id, id, min(kind) AS origin FROM {origins} GROUP BY user_id, id",
 }
 
 SQL = {
-    "src02_match_chunks": "SELECT id, similarity FROM {nearest} WHERE query_id = 0 AND place <= 5",
+    "src02_match_chunks": "SELECT query_id, id, similarity FROM {nearest} WHERE place <= 5",
     "prj01_projection": "SELECT id, pdf_id, level FROM {questions}",
     "prj06_concept_rows": "SELECT id, name AS summary, category, importance, concat(CASE WHEN category IS NULL THEN '' ELSE category END, '') AS coverage_domain FROM {concepts}",
     "prj07_question_records": "SELECT id, level, stem, n_options, answer FROM {questions} WHERE NOT flagged",
@@ -41,7 +36,7 @@ SQL = {
     "fil13_malformed": "SELECT id FROM {questions} WHERE length(trim(stem)) > 0 AND n_options >= 2",
     "fil19_uncategorised": "SELECT id FROM {pdfs} WHERE deck_id IS NULL",
     "joi05_point_lookup": "SELECT q.id, q.level, s.times_reviewed, p.processed FROM (SELECT * FROM {questions} WHERE id = 42) q LEFT JOIN {srs_state} s ON s.question_id = q.id AND s.user_id = 8 LEFT JOIN {pdfs} p ON p.id = q.pdf_id",
-    "joi08_scoped_states": "SELECT user_id, question_id FROM {srs_state} s WHERE user_id = 8 AND EXISTS (SELECT 1 FROM {pdfs} p WHERE p.id = s.pdf_id AND p.processed)",
+    "joi08_scoped_states": "SELECT user_id, question_id FROM {srs_state} s WHERE EXISTS (SELECT 1 FROM {pdfs} p WHERE p.id = s.pdf_id AND p.processed)",
     "joi18_association_peers": "SELECT a.id, b.id AS peer FROM (SELECT x.association, y.name FROM (SELECT DISTINCT ITEM(WORDS(name), 1) AS association FROM {concepts}) x JOIN (SELECT DISTINCT name FROM {concepts}) y ON HOLDS(lower(y.name), lower(x.association))) p JOIN (SELECT id, ITEM(WORDS(name), 1) AS association FROM {concepts}) a ON a.association = p.association JOIN {concepts} b ON b.name = p.name AND a.id <> b.id",
     "agg05_mean_time": "SELECT question_id, " + ROUND("CAST(sum(time_spent_ms) AS DOUBLE) / count(*)") + " AS mean_ms FROM {attempts} GROUP BY question_id",
     "agg12_accuracy": "SELECT user_id, CASE WHEN count(*) > 0 THEN " + ROUND("100.0e0 * count(CASE WHEN is_correct THEN 1 END) / count(*)") + " END AS accuracy FROM {attempts} GROUP BY user_id",
@@ -86,7 +81,7 @@ SQL = {
     "arr02_append": "SELECT id, TEXTOF(PUT(WORDS(name), category)) AS words FROM {concepts}",
     "map01_counts": "SELECT question_id, JOINED(concat(flag_reason, '=', CAST(n AS STRING)), flag_reason) AS counts FROM (SELECT question_id, flag_reason, count(*) AS n FROM {attempts} WHERE flag_reason IS NOT NULL GROUP BY question_id, flag_reason) AS x GROUP BY question_id",
     "jsn03_field": "SELECT event_id, JSONTEXT(props, '$.k') AS k, JSONTEXT(props, '$.criterion') AS criterion FROM {events}",
-    "alg11_scope": "SELECT v.id, v.origin FROM {visible} v JOIN {pdfs} p ON p.id = v.id JOIN {closure} c ON c.id = p.deck_id WHERE c.ancestor = 'r2'",
+    "alg11_scope": "SELECT v.user_id, c.ancestor AS scope, v.id, v.origin FROM {visible} v JOIN {pdfs} p ON p.id = v.id JOIN {closure} c ON c.id = p.deck_id",
     "qrk22_half_up": "SELECT x, " + ROUND("x") + " AS rounded FROM (VALUES (-0.5e0), (0.5e0), (1.5e0), (-1.5e0), (2.4e0)) AS v(x)",
 }
 

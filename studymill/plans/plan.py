@@ -29,6 +29,7 @@ MARKERS = {
     "SWAP": (r"regexp_replace(\1, \2, \3)", r"regexp_replace(\1, \2, \3, 'g')"),
     "MATCHES": (r"(\1 RLIKE \2)", r"regexp_matches(\1, \2)"),
     "EXPLODED": (r"explode(\1)", r"unnest(\1)"),
+    "PDF_OF": (r"(\1 % 10 + 10 * CAST(floor(\1 / 100) AS BIGINT))", r"(\1 % 10 + 10 * CAST(floor(\1 / 100) AS BIGINT))"),
     "HAS": (r"array_contains(\1, \2)", r"list_contains(\1, \2)"),
     "PUT": (r"concat(\1, array(\2))", r"list_append(\1, \2)"),
     "ONE": (r"array(\1)", r"[\1]"),

@@ -14,7 +14,7 @@ R6 = "floor(({0}) * 1000000 + 0.5e0) / 1000000".format
 
 SQL = {
     # 2.1 scans and sinks
-    "src01_scan": "SELECT id, question_id, user_id, is_correct, created_at FROM {attempts} WHERE pdf_id = 3",
+    "src01_scan": "SELECT id, pdf_id, question_id, user_id, is_correct, created_at FROM {attempts}",
     "src08_plan_changes": "SELECT user_id, plan FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'free' WHEN k % 3 = 0 THEN 'student' WHEN k % 3 = 1 THEN 'boards' ELSE 'institution' END AS plan, row_number() OVER (PARTITION BY user_id ORDER BY at_us DESC, event_id DESC) AS newest FROM {keyed_events} WHERE event_type IN ('purchase', 'error')) AS x WHERE newest = 1",
     "src11_presample": "SELECT pdf_id, pages, words, CAST(floor(words * pages + 0.5e0) AS BIGINT) AS estimated_words FROM (SELECT pdf_id, count(*) AS pages, " + R6("avg(CASE WHEN page <= 3 THEN CAST(n AS DOUBLE) END)") + " AS words FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS pdf_id, row_number() OVER (PARTITION BY CAST(floor(doc_id / 40) AS BIGINT) ORDER BY doc_id) AS page, SIZE(WORDS(text)) AS n FROM {documents}) AS p GROUP BY pdf_id) AS x",
     "snk02_upsert": "SELECT user_id, question_id, quality, reviewed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY reviewed_at DESC, id DESC) AS newest FROM {reviews}) AS x WHERE newest = 1",
@@ -27,7 +27,7 @@ SQL = {
     "prj02_flatten": "SELECT q.id, q.level, c.name AS concept_name FROM {questions} q LEFT JOIN {concepts} c ON c.id = q.concept_id",
     "prj03_display_name": "SELECT id, CASE WHEN display_name IS NOT NULL THEN display_name ELSE SWAP(name, '[.][pP][dD][fF]$', '') END AS title FROM {pdfs}",
     "prj04_answer_text": "SELECT id, coalesce(ITEM(options, answer), '') AS answer_text FROM (SELECT id, answer + id % 3 AS answer, WORDS(concat('alpha beta gamma delta', CASE WHEN n_options = 5 THEN ' epsilon' ELSE '' END)) AS options FROM {questions}) AS x",
-    "prj05_owned_shared": "SELECT id, user_id = 7 AS owned, CASE WHEN user_id = 7 THEN 'owner' ELSE 'shared' END AS access FROM {pdfs}",
+    "prj05_owned_shared": "SELECT g.user_id, p.id, p.user_id = g.user_id AS owned, CASE WHEN p.user_id = g.user_id THEN 'owner' ELSE 'shared' END AS access FROM {grants} g JOIN {pdfs} p ON p.id = g.pdf_id",
     "fil03_null_checks": "SELECT id FROM {pdfs} WHERE deck_id IS NULL AND display_name IS NOT NULL",
     "fil04_contains": "SELECT user_id, question_id FROM {reviews} GROUP BY user_id, question_id HAVING sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) > 0",
     "fil05_ilike": "SELECT id, name FROM {pdfs} WHERE name ILIKE '%00012%.pdf'",
@@ -41,28 +41,30 @@ SQL = {
     "joi01_inner": "SELECT q.id, p.name FROM {questions} q JOIN {pdfs} p ON p.id = q.pdf_id",
     "joi02_lapsed": "SELECT s.user_id, q.id AS question_id, p.name FROM {srs_state} s JOIN {questions} q ON q.id = s.question_id JOIN {pdfs} p ON p.id = q.pdf_id WHERE s.lapsed",
     "joi03_left": "SELECT m.user_id, m.shared_bank_id, b.title FROM {members} m LEFT JOIN {shared_banks} b ON b.id = m.shared_bank_id AND b.is_active",
-    "joi04_questions_srs": "SELECT q.id, s.user_id, coalesce(s.times_reviewed, 0) AS times_reviewed, s.next_review FROM {questions} q LEFT JOIN {srs_state} s ON s.question_id = q.id AND s.user_id = 8",
+    "joi04_questions_srs": "SELECT q.id, s.user_id, coalesce(s.times_reviewed, 0) AS times_reviewed, s.next_review FROM {questions} q LEFT JOIN {srs_state} s ON s.question_id = q.id",
     "joi06_semi": "SELECT id, question_id FROM {attempts} a WHERE EXISTS (SELECT 1 FROM {questions} q WHERE q.id = a.question_id AND NOT q.flagged)",
     "joi07_composite_semi": "SELECT id FROM {questions} q WHERE EXISTS (SELECT 1 FROM {pdfs} p WHERE p.id = q.pdf_id AND p.user_id = q.user_id)",
-    "joi09_anti_priority": "SELECT id, min(kind) AS kind FROM (SELECT id, '1 owned' AS kind FROM {pdfs} WHERE user_id = 7 UNION ALL SELECT source_pdf_id, '2 pdf share' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id WHERE m.user_id = 7 AND b.is_active AND source_pdf_id IS NOT NULL UNION ALL SELECT p.id, '3 deck share' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE m.user_id = 7 AND b.is_active) AS x GROUP BY id",
-    "joi10_grants": "SELECT DISTINCT pdf_id, user_id FROM (SELECT id AS pdf_id, user_id FROM {pdfs} UNION ALL SELECT b.source_pdf_id, m.user_id FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id WHERE b.is_active AND b.source_pdf_id IS NOT NULL UNION ALL SELECT p.id, m.user_id FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE b.is_active) AS g",
+    "joi09_anti_priority": "SELECT user_id, id, min(kind) AS kind FROM {origins} GROUP BY user_id, id",
+    "joi10_grants": "SELECT pdf_id, user_id FROM {grants}",
     "joi11_first_public_bank": "SELECT pdf_id, min(bank_id) AS bank_id FROM (SELECT source_pdf_id AS pdf_id, id AS bank_id FROM {shared_banks} WHERE is_active AND visibility = 'public' AND source_pdf_id IS NOT NULL UNION ALL SELECT p.id, b.id FROM {shared_banks} b JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE b.is_active AND b.visibility = 'public') AS x GROUP BY pdf_id",
     "joi12_array_membership": "SELECT c.id AS concept_id, d.id AS chunk_id FROM (SELECT id, EXPLODED(UPTO(id * 2, id * 2 + 2)) AS chunk FROM {concepts}) AS c JOIN {chunks} d ON d.id = c.chunk",
     "joi16_name_containment": "SELECT a.id AS i, b.id AS j FROM (SELECT x.category, x.name AS m, y.name AS n FROM (SELECT DISTINCT category, name FROM {concepts}) x JOIN (SELECT DISTINCT category, name FROM {concepts}) y ON x.category = y.category WHERE least(length(x.name), length(y.name)) >= 4 AND (HOLDS(x.name, y.name) OR HOLDS(y.name, x.name))) p JOIN {concepts} a ON a.category = p.category AND a.name = p.m JOIN {concepts} b ON b.category = p.category AND b.name = p.n AND a.id < b.id",
     "joi17_nearest_topic": "SELECT id, topic, distance FROM (SELECT c.id, t.r_name AS topic, CAST(DISTANCE(upper(c.category), t.r_name) AS BIGINT) AS distance, row_number() OVER (PARTITION BY c.id ORDER BY DISTANCE(upper(c.category), t.r_name), t.r_regionkey) AS best FROM {concepts} c CROSS JOIN {region} t) AS x WHERE best = 1 AND distance <= 5",
     "joi19_category_peers": "SELECT id, peers FROM (SELECT id, count(*) OVER (PARTITION BY category, pdf_id) - 1 AS peers FROM {concepts}) AS x WHERE peers > 0",
     "joi20_sibling": """
-        SELECT id, CASE WHEN first_id = id THEN second_id ELSE first_id END AS sibling FROM (SELECT id, max(CASE WHEN place = 1 THEN id END) OVER (PARTITION BY concept_id) AS first_id, max(CASE WHEN place = 2 THEN id END) OVER (PARTITION BY concept_id) AS second_id FROM (
-          SELECT q.id, q.concept_id, row_number() OVER (PARTITION BY q.concept_id ORDER BY coalesce(s.last_reviewed, 0), q.id) AS place FROM {questions} q LEFT JOIN (SELECT question_id, last_reviewed FROM {srs_state} WHERE user_id = 8) s ON s.question_id = q.id) AS r) AS x WHERE second_id IS NOT NULL""",
+        SELECT user_id, id, CASE WHEN first_id = id THEN second_id ELSE first_id END AS sibling FROM (SELECT user_id, id, max(CASE WHEN place = 1 THEN id END) OVER (PARTITION BY user_id, concept_id) AS first_id, max(CASE WHEN place = 2 THEN id END) OVER (PARTITION BY user_id, concept_id) AS second_id FROM (
+          SELECT u.user_id, q.id, q.concept_id, row_number() OVER (PARTITION BY u.user_id, q.concept_id ORDER BY coalesce(s.last_reviewed, 0), q.id) AS place
+          FROM (SELECT DISTINCT s.user_id, q.concept_id FROM {srs_state} s JOIN {questions} q ON q.id = s.question_id) u JOIN {questions} q ON q.concept_id = u.concept_id
+          LEFT JOIN {srs_state} s ON s.question_id = q.id AND s.user_id = u.user_id) AS r) AS x WHERE second_id IS NOT NULL""",
     "joi22_dimension_lookup": "SELECT m.user_id, m.concept_id, coalesce(c.importance, 'low') AS importance, m.overall FROM {mastery} m LEFT JOIN (SELECT id, importance FROM {concepts} WHERE importance <> 'medium') c ON c.id = m.concept_id",
     "joi25_scenarios": "SELECT r_name AS tier, price, pdfs, " + R6("price - pdfs * 6.4e0") + " AS margin FROM {region} CROSS JOIN (SELECT DISTINCT CAST(p_size AS DOUBLE) * 10 AS price FROM {part}) a CROSS JOIN (SELECT DISTINCT CAST(p_size AS BIGINT) AS pdfs FROM {part}) b",
     "joi23_chapter_metrics": "SELECT p.id, coalesce(m.l1, 0) AS l1, coalesce(m.l2, 0) AS l2, coalesce(m.l3, 0) AS l3 FROM {pdfs} p LEFT JOIN (SELECT pdf_id, count(CASE WHEN level = 1 THEN 1 END) AS l1, count(CASE WHEN level = 2 THEN 1 END) AS l2, count(CASE WHEN level = 3 THEN 1 END) AS l3 FROM {questions} GROUP BY pdf_id) m ON m.pdf_id = p.id",
     # hierarchies
     "hie01_deck_tree": "SELECT id, depth FROM (SELECT id, max(depth) AS depth FROM {closure} GROUP BY id) AS x",
-    "hie02_descendants": "SELECT ancestor AS root, id, depth FROM {closure} WHERE ancestor IN ('r1', 'n4')",
-    "hie03_ancestors": "SELECT id, ancestor, depth FROM {closure} WHERE id = 'n4-BUILDING'",
+    "hie02_descendants": "SELECT ancestor AS root, id, depth FROM {closure}",
+    "hie03_ancestors": "SELECT id, ancestor, depth FROM {closure}",
     "hie04_exam_deadline": "SELECT id, due_day FROM (SELECT c.id, d.due_day, row_number() OVER (PARTITION BY c.id ORDER BY c.depth) AS nearest FROM {closure} c JOIN {decks} d ON d.id = c.ancestor WHERE d.is_exam_block AND d.due_day IS NOT NULL) AS x WHERE nearest = 1",
-    "hie05_subtree_has_pdf": "SELECT d.id, h.ancestor IS NOT NULL AS has_pdf FROM {decks} d LEFT JOIN (SELECT DISTINCT c.ancestor FROM {closure} c JOIN {pdfs} p ON p.deck_id = c.id WHERE p.id = 78) h ON h.ancestor = d.id",
+    "hie05_subtree_has_pdf": "SELECT DISTINCT c.ancestor AS id, p.id AS pdf_id FROM {closure} c JOIN {pdfs} p ON p.deck_id = c.id",
     "hie06_rollup": "SELECT c.ancestor AS id, sum(n.n) AS pdfs FROM {closure} c JOIN (SELECT deck_id, count(*) AS n FROM {pdfs} WHERE deck_id IS NOT NULL GROUP BY deck_id) n ON n.deck_id = c.id GROUP BY c.ancestor",
     "hie07_source_folder": "SELECT coalesce(c.ancestor, CASE WHEN p.deck_id IS NULL THEN 'Unfiled' ELSE 'Other' END) AS folder, count(*) AS pdfs FROM {pdfs} p LEFT JOIN (SELECT c.id, c.ancestor FROM {closure} c JOIN {decks} d ON d.id = c.ancestor WHERE d.parent_id = 'r1') c ON c.id = p.deck_id GROUP BY coalesce(c.ancestor, CASE WHEN p.deck_id IS NULL THEN 'Unfiled' ELSE 'Other' END)",
     # 2.4 aggregates
@@ -89,10 +91,10 @@ SQL = {
           CASE WHEN a.attempts > 0 THEN """ + ROUND("100.0e0 * a.correct / a.attempts") + """ END AS accuracy, coalesce(q.due, 0) AS due, coalesce(q.fresh, 0) AS fresh, p.processed
         FROM {pdfs} p
         LEFT JOIN (SELECT q.pdf_id, count(*) AS n, count(CASE WHEN s.question_id IS NULL OR s.times_reviewed = 0 THEN 1 END) AS fresh, count(CASE WHEN s.times_reviewed > 0 AND s.next_review <= """ + AS_OF + """ THEN 1 END) AS due
-          FROM {questions} q LEFT JOIN (SELECT * FROM {srs_state} WHERE user_id = 8) s ON s.question_id = q.id WHERE NOT q.flagged GROUP BY q.pdf_id) q ON q.pdf_id = p.id
+          FROM {questions} q JOIN {pdfs} o ON o.id = q.pdf_id LEFT JOIN {srs_state} s ON s.question_id = q.id AND s.user_id = o.user_id WHERE NOT q.flagged GROUP BY q.pdf_id) q ON q.pdf_id = p.id
         LEFT JOIN (SELECT a.pdf_id, count(DISTINCT a.question_id) AS attempted, count(*) AS attempts, CAST(sum(CASE WHEN a.is_correct THEN 1 ELSE 0 END) AS BIGINT) AS correct
-          FROM {attempts} a WHERE a.user_id = 8 AND EXISTS (SELECT 1 FROM {questions} q WHERE q.id = a.question_id AND NOT q.flagged) GROUP BY a.pdf_id) a ON a.pdf_id = p.id""",
-    "agg10_summary": "SELECT count(*) AS attempts, count(DISTINCT question_id) AS attempted, count(DISTINCT pdf_id) AS sources, " + ROUND("100.0e0 * avg(CASE WHEN is_correct THEN 1.0e0 ELSE 0.0e0 END)") + " AS accuracy FROM {attempts} WHERE user_id = 8",
+          FROM {attempts} a JOIN {pdfs} o ON o.id = a.pdf_id AND o.user_id = a.user_id WHERE EXISTS (SELECT 1 FROM {questions} q WHERE q.id = a.question_id AND NOT q.flagged) GROUP BY a.pdf_id) a ON a.pdf_id = p.id""",
+    "agg10_summary": "SELECT user_id, count(*) AS attempts, count(DISTINCT question_id) AS attempted, count(DISTINCT pdf_id) AS sources, " + ROUND("100.0e0 * avg(CASE WHEN is_correct THEN 1.0e0 ELSE 0.0e0 END)") + " AS accuracy FROM {attempts} GROUP BY user_id",
     "agg11_due_new": "SELECT s.user_id, count(CASE WHEN s.next_review <= " + AS_OF + " THEN 1 END) AS due, max(t.n) - count(*) AS fresh FROM {srs_state} s CROSS JOIN (SELECT count(*) AS n FROM {questions}) t GROUP BY s.user_id",
     "agg13_mastery": "SELECT user_id, concept_id, l1, l2, l3, overall, CASE WHEN overall < 40 THEN 'weak' WHEN overall < 70 THEN 'medium' WHEN overall < 90 THEN 'strong' ELSE 'mastered' END AS status FROM {mastery}",
     "agg15_mastery_summary": "SELECT user_id, count(*) AS studied, count(CASE WHEN overall < 40 THEN 1 END) AS weak, " + ROUND("avg(CAST(overall AS DOUBLE))") + " AS mean_overall FROM {mastery} GROUP BY user_id",
@@ -151,7 +153,7 @@ SQL = {
     "srt04_alphabetical_importance": "SELECT pdf_id, id, CAST(row_number() OVER (PARTITION BY pdf_id ORDER BY importance DESC, name, id) AS BIGINT) AS place FROM {concepts}",
     "srt07_top_failures": "SELECT question_id, missed FROM (SELECT question_id, count(*) AS missed, row_number() OVER (ORDER BY count(*) DESC, question_id) AS place FROM {attempts} WHERE NOT is_correct GROUP BY question_id) AS x WHERE place <= 12",
     "set01_flagged_or_lapsed": "SELECT DISTINCT source, question_id FROM (SELECT 'flagged' AS source, id AS question_id FROM {questions} WHERE flagged UNION ALL SELECT 'lapsed', question_id FROM {srs_state} WHERE lapsed) AS x",
-    "set02_visible": "SELECT id, 'owned' AS origin FROM {pdfs} WHERE user_id = 7 UNION ALL SELECT p.id, 'shared' FROM {pdfs} p JOIN {shared_banks} b ON b.source_pdf_id = p.id WHERE p.user_id <> 7 AND b.visibility = 'public'",
+    "set02_visible": "SELECT user_id, id, 'owned' AS origin FROM {pdfs} UNION ALL SELECT DISTINCT m.user_id, p.id, 'shared' FROM {members} m JOIN {shared_banks} b ON b.id = m.shared_bank_id AND b.visibility = 'public' JOIN {pdfs} p ON p.id = b.source_pdf_id WHERE p.user_id <> m.user_id",
     "set04_added": "SELECT id FROM {pdfs} WHERE processed EXCEPT SELECT source_pdf_id FROM {shared_banks}",
     # 2.8 arithmetic
     "mth06_token_cost": "SELECT event_id, CASE WHEN p.model IS NULL THEN 0.0e0 ELSE " + R6("(greatest(value - 50, 0) * p.input + k * p.output) / 1000000") + " END AS usd FROM {keyed_events} e LEFT JOIN {prices} p ON p.model = e.event_type",

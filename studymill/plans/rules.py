@@ -411,7 +411,7 @@ CANONICAL = ["The key distinction is missing", "Explanation does not name a dist
 
 FIX |= {
     "raw_questions": "SELECT event_id AS id, concat(chr(123), '\"options\": [\"', event_type, ' a\", ', CAST(event_id AS STRING), ', true, null, \" \", \" b \"], \"answer\": ', CASE event_id % 5 WHEN 0 THEN '\"B\"' WHEN 1 THEN '3' WHEN 2 THEN '\" 2 \"' WHEN 3 THEN 'null' ELSE '\"zz\"' END, ', \"level\": ', CASE event_id % 4 WHEN 0 THEN '2' WHEN 1 THEN '\"L3\"' WHEN 2 THEN '\"x\"' ELSE 'null' END, chr(125)) AS json FROM {events}",
-    "answers": "SELECT user_id, question_id, CASE WHEN id % 4 = 0 THEN (question_id + 20) % 100 END AS proxied_from_id, quality, reviewed_at, id FROM {reviews}",
+    "answers": "SELECT user_id, question_id, CASE WHEN id % 4 = 0 THEN question_id - question_id % 100 + (question_id + 20) % 100 END AS proxied_from_id, quality, reviewed_at, id FROM {reviews}",
     "domain_concepts": "SELECT p_partkey AS id, concat(p_name, CASE p_partkey % 9 WHEN 0 THEN ' pathway' WHEN 1 THEN ' Pressure' WHEN 2 THEN ' vs odd' WHEN 3 THEN ' therapy' WHEN 4 THEN ' starling' ELSE '' END) AS name, CASE p_partkey % 7 WHEN 0 THEN 'Drug class' WHEN 1 THEN 'Classic association' WHEN 2 THEN 'Mechanism' WHEN 3 THEN 'Condition' ELSE p_type END AS category, CASE p_partkey % 11 WHEN 0 THEN 'mechanism_causal' ELSE 'entity_recall' END AS domain FROM {part}",
     "paths": "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN concat(' ', c_name, ' ') WHEN 1 THEN lower(replace(c_name, '#', '-')) WHEN 2 THEN '' WHEN 3 THEN concat(lower(replace(c_name, '#', '-')), REPEATED('x', 90)) WHEN 4 THEN 'A-1' END AS slug, CASE c_custkey % 7 WHEN 0 THEN '/app' WHEN 1 THEN '//evil' WHEN 2 THEN concat('/s/Bank-', CAST(c_custkey AS STRING), '?a=1') WHEN 3 THEN '/app/x' WHEN 4 THEN '/app#top' WHEN 5 THEN 'app' END AS path FROM {customer}",
     "attempt_requests": "SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '' ELSE 'q' END AS question, CASE event_id % 8 WHEN 0 THEN CAST(NULL AS DOUBLE) WHEN 1 THEN -2.0e0 WHEN 2 THEN 1.5e0 ELSE CAST(event_id % 5 AS DOUBLE) - 1 END AS option, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 2 = 0 END AS correct, CASE event_id % 7 WHEN 0 THEN -1.0e0 WHEN 1 THEN 0.5e0 ELSE CAST(event_id AS DOUBLE) END AS ms, CASE event_id % 4 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'none' END AS reason FROM {events}",

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+#: Users come in groups of 50, each with a bank of 100 items in ten documents of its own, so that items, documents and
+#: concepts grow in number with the users. PDF_OF is a marker of plans.plan.
+
 #: The instant that stands for "now" wherever a rule compares with it.
 AS_OF = "MICROS(TIMESTAMP '2024-01-08 00:00:00')"
 
 FIXTURES = {
-    "keyed_events": "SELECT *, CAST(JSONTEXT(props, '$.k') AS BIGINT) AS k, MICROS(ts) AS at_us FROM {events}",
+    "keyed_events": "SELECT *, CAST(JSONTEXT(props, '$.k') AS BIGINT) + 100 * CAST(floor(user_id / 50) AS BIGINT) AS k, MICROS(ts) AS at_us FROM {events}",
     "attempts": """
-        SELECT event_id AS id, k AS question_id, user_id, k % 10 AS pdf_id, CAST(event_id % 6 AS INT) - 1 AS selected_option,
+        SELECT event_id AS id, k AS question_id, user_id, PDF_OF(k) AS pdf_id, CAST(event_id % 6 AS INT) - 1 AS selected_option,
           event_type IN ('click', 'purchase') AS is_correct, CAST(floor(value * 1000 + 0.5e0) AS BIGINT) AS time_spent_ms,
           CASE event_type WHEN 'signup' THEN true WHEN 'view' THEN false END AS explanation_helpful,
           CASE WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'wrong_answer' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'off_topic' ELSE 'other' END END AS flag_reason,
           at_us AS created_at
         FROM {keyed_events}""",
     "questions": """
-        SELECT k AS id, k % 10 AS pdf_id, CAST(k % 3 AS INT) + 1 AS level, k % 20 AS concept_id, CAST(CASE WHEN k % 3 = 0 THEN 5 ELSE 4 END AS BIGINT) AS n_options,
-          k % 4 AS answer, (k % 10) * 7 % 50 AS user_id, k % 17 = 0 AS flagged, k * 1000 AS created_at, concat('Stem of item ', CAST(k AS STRING)) AS stem
-        FROM (SELECT DISTINCT k FROM {keyed_events} UNION SELECT DISTINCT k + 100 FROM {keyed_events} WHERE k < 10) AS x""",
+        SELECT id, pdf_id, CAST(k % 3 AS INT) + 1 AS level, k % 20 + 20 * CAST(floor(k / 100) AS BIGINT) AS concept_id, CAST(CASE WHEN k % 3 = 0 THEN 5 ELSE 4 END AS BIGINT) AS n_options,
+          k % 4 AS answer, CAST(floor(pdf_id / 10) AS BIGINT) + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS user_id, k % 17 = 0 AS flagged, k * 1000 AS created_at, concat('Stem of item ', CAST(id AS STRING)) AS stem
+        FROM (SELECT k AS id, k, PDF_OF(k) AS pdf_id FROM (SELECT DISTINCT k FROM {keyed_events}) AS a UNION ALL SELECT k + 1000000000, k, PDF_OF(k) FROM (SELECT DISTINCT k FROM {keyed_events} WHERE k % 100 < 10) AS b) AS x""",
     "reviews": """
-        SELECT event_id AS id, user_id, k AS question_id, k % 10 AS pdf_id, CAST(event_id % 4 AS INT) + 1 AS quality, at_us AS reviewed_at,
+        SELECT event_id AS id, user_id, k AS question_id, PDF_OF(k) AS pdf_id, CAST(event_id % 4 AS INT) + 1 AS quality, at_us AS reviewed_at,
           row_number() OVER (PARTITION BY user_id, k ORDER BY at_us, event_id) AS turn
         FROM {keyed_events}""",
     "srs_state": """
@@ -39,16 +42,16 @@ FIXTURES = {
         SELECT concat('n', CAST(c_nationkey AS STRING), '-', c_mktsegment), concat('n', CAST(c_nationkey AS STRING)), c_mktsegment, CAST(length(c_mktsegment) AS BIGINT), false, CAST(NULL AS INT), CAST(0 AS BIGINT)
         FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM {customer}) AS x""",
     "pdfs": """
-        SELECT c_custkey AS id, c_custkey % 50 AS user_id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE concat('n', CAST(c_nationkey AS STRING), '-', c_mktsegment) END AS deck_id,
+        SELECT c_custkey AS id, CAST(floor(c_custkey / 10) AS BIGINT) AS user_id, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE concat('n', CAST(c_nationkey AS STRING), '-', c_mktsegment) END AS deck_id,
           concat(c_name, CASE c_custkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '' END) AS name, CASE WHEN c_custkey % 5 = 0 THEN concat('Chapter ', CAST(c_custkey AS STRING)) END AS display_name,
           CAST(c_custkey % 40 + 1 AS BIGINT) AS page_count, CAST(c_custkey % 90 AS BIGINT) AS question_count, c_custkey % 4 <> 0 AS processed, c_acctbal AS balance
         FROM {customer}""",
     "shared_banks": """
-        SELECT s_suppkey AS id, s_suppkey % 50 AS owner_user_id, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 3 END AS source_pdf_id,
+        SELECT s_suppkey AS id, s_suppkey AS owner_user_id, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 3 END AS source_pdf_id,
           CASE WHEN s_suppkey % 2 = 1 THEN concat('n', CAST(s_nationkey AS STRING)) END AS source_deck_id, s_name AS title, lower(s_name) AS slug,
           CASE s_suppkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' ELSE 'link' END AS visibility, s_suppkey % 7 <> 0 AS is_active
         FROM {supplier}""",
-    "members": "SELECT DISTINCT o_custkey % 50 AS user_id, s_suppkey AS shared_bank_id FROM {orders} JOIN {supplier} ON o_orderkey % 97 = s_suppkey",
+    "members": "SELECT DISTINCT CAST(floor(o_custkey / 10) AS BIGINT) AS user_id, s_suppkey AS shared_bank_id FROM {orders} JOIN {supplier} ON o_orderkey % 9973 = s_suppkey",
     "closure": """
         WITH RECURSIVE up(id, ancestor, depth, path) AS (
           SELECT id, id, CAST(0 AS BIGINT), ONE(id) FROM {decks}
@@ -61,6 +64,11 @@ FIXTURES = {
           UNION ALL
           SELECT d.id, concat(w.path, '/', CAST(1000000 + d.position AS STRING), d.name), w.depth + 1 FROM down w JOIN {decks} d ON d.parent_id = w.id WHERE w.depth < 50)
         SELECT id, path FROM down""",
+    "origins": """
+        SELECT user_id, id, '1 owned' AS kind FROM {pdfs}
+        UNION ALL SELECT m.user_id, b.source_pdf_id, '2 pdf share' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id WHERE b.is_active AND b.source_pdf_id IS NOT NULL
+        UNION ALL SELECT m.user_id, p.id, '3 deck share' FROM {shared_banks} b JOIN {members} m ON m.shared_bank_id = b.id JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id WHERE b.is_active""",
+    "grants": "SELECT DISTINCT id AS pdf_id, user_id FROM {origins}",
     "prices": "SELECT 'view' AS model, 0.15e0 AS input, 0.6e0 AS output FROM {region} WHERE r_regionkey = 0 UNION ALL SELECT 'click', 2.5e0, 10.0e0 FROM {region} WHERE r_regionkey = 0",
     "chunks": "SELECT doc_id AS id, doc_id % 10 AS pdf_id, text FROM {documents}",
     "tokens": "SELECT id, pdf_id, pos, token FROM (SELECT id, pdf_id, EXPLODED(WORDS(SWAP(lower(text), '[^a-z0-9]', ' '))) AS token, CAST(0 AS BIGINT) AS pos FROM {chunks}) AS x",

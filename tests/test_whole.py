@@ -23,7 +23,7 @@ def tables(spark, sf_dir, texts=TEXTS, lang="en", asked=((0, "gears turning"), (
     put("nation", [(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
     put("customer", [(i, 0, "SEG", f"Customer#{i}", 1.0) for i in (4990, 5001, 5030)], "c_custkey long, c_nationkey int, c_mktsegment string, c_name string, c_acctbal double")
     put("supplier", [(8, 0, "S8")], "s_suppkey long, s_nationkey int, s_name string")
-    put("orders", [(97 + 8, 4990)], "o_orderkey long, o_custkey long")
+    put("orders", [(9973 + 8, 4990)], "o_orderkey long, o_custkey long")
     spark.sql("SELECT 1L AS event_id, 8L AS user_id, 'click' AS event_type, 1.0D AS value, '{\"k\": 5}' AS props, TIMESTAMP '2024-01-01 00:00:00' AS ts").coalesce(1).write.mode("overwrite").parquet(f"{sf_dir}/events.parquet")
     put("documents", [(i, t, lang, "web", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     put("benchmark", list(asked), "item_id long, text string")
@@ -77,7 +77,7 @@ def test_array_membership(spark, tmp_path):
 
 
 def test_grants_and_sources(rows):
-    assert rows("joi10_grants") == [(24, 40), (4990, 40), (5001, 1), (5030, 30)]
+    assert rows("joi10_grants") == [(24, 499), (4990, 499), (5001, 500), (5030, 503)]
     assert [r[0] for r in rows("fil09_exists")] == [4990, 5001, 5030]
     assert [r[0] for r in rows("agg09_dashboard")] == [4990, 5001, 5030]
 
