@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from studymill.operators import matching, ranking, retrieval
 from studymill.sources.drafts import DRAFTS
 from studymill.sources.fixtures import FIXTURES
+from studymill.sources.scratch import stored
 
 from .plan import Plan
 
@@ -113,3 +114,119 @@ QUERIES = {
     "qrk12_list_search": list_search,
 }
 ORACLE: dict[str, str] = {}
+
+
+# contexts, samples, answers, progress ----------------------------------------------------------------------------------
+
+FIX |= {
+    # a concept for each document: named by its first words, at home in its own chunk and the next one of its book of 40
+    "context_words": "SELECT doc_id AS id, CAST(floor(doc_id / 40) AS BIGINT) AS book, WORDS(SWAP(lower(coalesce(text, '')), '[^a-z0-9]', ' ')) AS ws FROM {documents}",
+    "context_concepts": "SELECT id, book, HEAD(ws, 3) AS facts, CASE id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS importance, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('about ', ITEM(ws, 0)) END AS relevance, HEAD(ws, 5) AS associations FROM {context_words}",
+    "context_terms": "SELECT DISTINCT id, book, term FROM (SELECT id, book, EXPLODED(HEAD(ws, 6)) AS term FROM {context_words}) AS x",
+    "context_postings": "SELECT id AS chunk, book, term, count(*) AS tf FROM (SELECT id, book, EXPLODED(ws) AS term FROM {context_words}) AS x GROUP BY id, book, term",
+    "context_scores": "SELECT t.id, p.chunk, floor(sum(p.tf * 2.5e0 / (p.tf + 1.5e0)) * 1e6 + 0.5e0) / 1e6 AS score FROM {context_terms} t JOIN {context_postings} p ON p.book = t.book AND p.term = t.term GROUP BY t.id, p.chunk",
+    "context_near": "SELECT c.id, s.chunk, s.score FROM {context_concepts} c JOIN {context_scores} s ON s.id = c.id + 1 WHERE c.id % 5 <> 0",
+    "context_own": "SELECT id, id AS chunk, 0 AS pos FROM {documents_ids} UNION ALL SELECT a.id, b.id, 1 FROM {documents_ids} a JOIN {documents_ids} b ON b.id = a.id + 1 WHERE CAST(floor(a.id / 40) AS BIGINT) = CAST(floor(b.id / 40) AS BIGINT) AND a.id % 2 = 0",
+    "documents_ids": "SELECT doc_id AS id FROM {documents}",
+    "context_chunks": "SELECT doc_id AS chunk, concat(coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN ' a patient with \"fever\"' ELSE '' END) AS text, CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS start_page, CASE doc_id % 2 WHEN 0 THEN doc_id ELSE doc_id + 1 END AS end_page FROM {documents}",
+    "leveled": "SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN 'L1' WHEN 1 THEN 'L2' WHEN 2 THEN 'L3' WHEN 3 THEN 'L9' WHEN 4 THEN NULL ELSE concat('L', CAST(doc_id % 3 + 1 AS STRING)) END AS level FROM {documents}",
+    "model_texts": """
+        SELECT event_id AS id, CASE event_id % 12
+          WHEN 0 THEN concat('```json', chr(10), '[', o, ', ', o, ']', chr(10), '```')
+          WHEN 1 THEN concat('Here it is: ', o)
+          WHEN 2 THEN concat('```', chr(10), o, chr(10), '``` and some more')
+          WHEN 3 THEN concat('[', o, ', ', o, '] as asked')
+          WHEN 4 THEN concat('[', o, ', ', chr(123), '\"id\": 4, \"kin')
+          WHEN 5 THEN 'nothing of the kind'
+          WHEN 6 THEN concat(o, ', ', o)
+          WHEN 7 THEN concat(chr(123), '\"id\": ', CAST(event_id AS STRING), ', \"in\": ', o, ', \"s\": \"a ', chr(125), ' b [ ', chr(92), '\" \"', chr(125), ' thanks')
+          WHEN 8 THEN concat('  ', chr(123), chr(125), ' ')
+          WHEN 9 THEN concat(o, ']')
+          WHEN 10 THEN concat('[1, \"', event_type, '\", null, [true]]')
+          ELSE concat(chr(123), '\"id\": ', CAST(event_id AS STRING), ', \"cut\": [1, 2') END AS text
+        FROM (SELECT *, concat(chr(123), '\"id\": ', CAST(event_id AS STRING), ', \"kind\": \"', event_type, '\"', chr(125)) AS o FROM {events}) AS x""",
+    "progress_events": "SELECT conv_id AS job_id, turn AS seq, 1704067200000000 + conv_id * 1000000 + turn * (10 + conv_id % 5 * 17) * 1000000 AS at_us, CAST(least(7, turn + conv_id % 3) AS INT) AS phase, CAST(least(100, turn * 15) AS INT) AS pct, CASE WHEN conv_id % 3 = 0 AND turn = 4 THEN ' Done ' ELSE role END AS message FROM {conversations}",
+}
+
+
+def contexts(spark, sf_dir):
+    from studymill.operators.contexts import concept_contexts
+
+    of = lambda n: table(n)(spark, sf_dir)
+    scores = stored(of("context_scores"), "scores")
+    near = scores.select((C("id") - 1).alias("id"), "chunk", "score").where("id % 5 <> 0").join(of("documents_ids"), "id", "left_semi")  # as the fixture context_near
+    got = concept_contexts(of("context_concepts").drop("book"), of("context_own"), scores, near, of("context_chunks"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return got.select("id", text("chunks").alias("chunks"), text("levels").alias("levels"), "facts", F.md5("passages").alias("passages"), F.md5(F.array_join("neighbours", "|")).alias("neighbours"))
+
+
+def golden(spark, sf_dir):
+    from studymill.operators.sampling import golden_set
+
+    return golden_set(table("leveled")(spark, sf_dir), ["L1", "L2", "L3"])
+
+
+def parsed_texts(spark, sf_dir):
+    """JSN01: kind, number of parts and id of what is read of each text; nulls where nothing is."""
+    from studymill.functions.jsonparse import parsed
+
+    t = table("model_texts")(spark, sf_dir).select("id", parsed(C("text")).alias("v"))
+    items, fields = F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", "$", "map<string,variant>")
+    kind = F.when(items.isNotNull(), "array").when(fields.isNotNull(), "object")
+    return t.select("id", kind.alias("kind"), F.when(items.isNotNull(), F.size(items)).when(fields.isNotNull(), F.size(fields)).cast("long").alias("n"), F.coalesce(F.try_variant_get("v", "$.id", "long"), F.try_variant_get("v", "$[0].id", "long")).alias("found"))
+
+
+def progress_rows(spark, sf_dir):
+    from studymill.streaming.ordered import progress
+
+    e = table("progress_events")(spark, sf_dir)
+    return progress(e.select("job_id", "seq", F.timestamp_micros("at_us").alias("at"), "phase", "pct", "message"))
+
+
+QUERIES |= {"alg24_contexts": contexts, "srt12_golden_set": golden, "jsn01_parsed": parsed_texts, "stm01_progress": progress_rows}
+
+
+def duck(sql: str) -> str:
+    return Plan(sql, FIX).duckdb()
+
+
+ORACLE |= {
+    "srt12_golden_set": duck("""
+        SELECT id, level, place FROM (
+          SELECT id, level, row_number() OVER (ORDER BY l, nth) AS place FROM (
+            SELECT id, level, l, row_number() OVER (PARTITION BY l ORDER BY md5('golden:' || id), id) AS nth FROM (SELECT id, level, coalesce(level, 'L2') AS l FROM {leveled}) a WHERE l IN ('L1', 'L2', 'L3')) b WHERE nth <= 17) c
+        WHERE place <= 50"""),
+    "alg24_contexts": duck(r"""
+        SELECT c.id, coalesce(x.chunks, '') AS chunks,
+          CASE WHEN importance = 'high' THEN CASE WHEN coalesce(x.clinical, false) THEN '1,2,3' ELSE '1,2' END WHEN importance = 'low' THEN '1' ELSE '1,2' END AS levels,
+          array_to_string(list_filter(list_concat(facts, [relevance], associations[1:3]), lambda f: f <> ''), '; ') AS facts, md5(coalesce(x.passages, '')) AS passages, md5(coalesce(y.snippets, '')) AS neighbours
+        FROM {context_concepts} c
+        LEFT JOIN (
+          SELECT p.id, string_agg(CAST(p.chunk AS VARCHAR), ',' ORDER BY place) AS chunks,
+            string_agg('> "' || replace(text[1:700], '"', '''') || '" [' || CASE WHEN start_page <> end_page THEN 'pages ' || start_page || '–' || end_page ELSE 'page ' || coalesce(CAST(start_page AS VARCHAR), '?') END || ']', chr(10) ORDER BY place) AS passages,
+            bool_or(regexp_matches(text, '(?i)(^|[^a-z0-9_])(patient|presents?|year.old|male|female|complain|symptom|sign|vital|lab|imaging|exam|diagnosis|management|treatment|history|physical|workup|finding|fever|pain|dyspnea|fatigue|nausea|vomiting|diarrhea|rash|edema|tachycardia|bradycardia|hypertension|hypotension|biopsy|CBC|BMP|CXR|CT|MRI|EKG|ECG)($|[^a-z0-9_])') AND len(regexp_split_to_array(text, '\s+')) <= 400) AS clinical
+          FROM (
+            SELECT id, chunk, row_number() OVER (PARTITION BY id ORDER BY kind, rank, chunk) AS place FROM (
+              SELECT id, chunk, 0 AS kind, CAST(pos AS DOUBLE) AS rank FROM {context_own}
+              UNION ALL SELECT s.id, s.chunk, 1, 0 - s.score FROM {context_scores} s WHERE NOT EXISTS (SELECT 1 FROM {context_own} o WHERE o.id = s.id AND o.chunk = s.chunk)) u) p
+          JOIN {context_chunks} k ON k.chunk = p.chunk WHERE place <= 4 GROUP BY p.id) x ON x.id = c.id
+        LEFT JOIN (
+          SELECT n.id, string_agg(k.text[1:200], '|' ORDER BY place) AS snippets FROM (SELECT id, chunk, row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk) AS place FROM {context_near}) n
+          JOIN {context_chunks} k ON k.chunk = n.chunk WHERE place <= 2 GROUP BY n.id) y ON y.id = c.id"""),
+    "jsn01_parsed": duck(r"""
+        SELECT id, CASE json_type(v) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END AS kind,
+          CASE json_type(v) WHEN 'ARRAY' THEN CAST(json_array_length(v) AS BIGINT) WHEN 'OBJECT' THEN CAST(len(json_keys(v)) AS BIGINT) END AS n,
+          CAST(coalesce(json_extract_string(v, '$.id'), json_extract_string(v, '$[0].id')) AS BIGINT) AS found
+        FROM (
+          SELECT id, CASE WHEN json_valid(s) THEN CAST(s AS JSON) WHEN s[1] = chr(123) AND json_valid(o) THEN CAST(o AS JSON) END AS v FROM (
+            SELECT id, s, CASE WHEN id % 12 = 7 THEN regexp_replace(s, ' thanks$', '') WHEN id % 12 = 6 THEN s ELSE regexp_extract(s, '^[{][^{}]*[}]') END AS o FROM (
+              SELECT id, regexp_extract(trim(regexp_replace(regexp_replace(text, '```json\n?', '', 'g'), '```\n?', '', 'g'), E' \t\n\r'), '[\[{](.|\n)*') AS s FROM {model_texts}) a) b) c"""),
+    "stm01_progress": duck("""
+        WITH e AS (SELECT job_id, seq, CAST(at_us // 1000 AS BIGINT) AS t, phase, pct, coalesce(phase = 7 OR lower(trim(message)) = 'done', false) AS ends FROM {progress_events}),
+        f AS (SELECT job_id, min(t) AS t0, min(t) FILTER (ends) AS stop FROM e GROUP BY job_id),
+        g AS (SELECT e.*, t0 + 285000 AS lim FROM e JOIN f ON f.job_id = e.job_id WHERE t <= t0 + 285000 AND (stop IS NULL OR t <= stop)),
+        h AS (SELECT *, lead(t) OVER (PARTITION BY job_id ORDER BY t, seq) AS nxt FROM g)
+        SELECT job_id, t AS at_ms, 'event' AS kind, seq, phase, pct FROM h
+        UNION ALL SELECT job_id, b, 'heartbeat', NULL, NULL, NULL FROM (SELECT job_id, unnest(generate_series(t + 20000, coalesce(nxt, lim) - 1, 20000)) AS b FROM h WHERE NOT ends) q
+        UNION ALL SELECT job_id, lim, 'timeout', NULL, NULL, NULL FROM h WHERE nxt IS NULL AND NOT ends"""),
+}
