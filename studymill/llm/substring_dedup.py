@@ -6,8 +6,8 @@ global join; and sentences covered by a run that isn't the first of its kind are
 A sentence ends after . ! or ? (also the full-width ones) with closing signs, at a line's end, and before a word that
 begins with a capital letter - so that a passage pasted into the middle of a sentence begins a sentence of its own. From
 LONG words after such a beginning on, a sentence is also cut after words that a hash picks, which depends on no more
-than the last LONG words. A run starts at every sentence and holds at least two of them and LEAST words, no more than needed: both are given by the
-sentences themselves, so a passage has the same runs wherever it stands. Words are compared as they are, white space
+than the last LONG words. A run starts at every sentence and holds two of them, or as many more as ``least`` words need:
+that is given by the sentences themselves, so a passage has the same runs wherever it stands. Words are compared as they are, white space
 between them is not.
 
 The first of equal runs is the one of the smallest (doc_id, place). The join needs a run only once for each document and
@@ -34,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import MIX_A, MIX_B, Memo, documents, lean, mixed, stored
 
-LEAST, LONG, PICK = 20, 8, 4
+LONG, PICK = 8, 4
+#: Words of a run at least, in the queries: shorter repeats, down to two sentences of a word each, stand in clean texts by
+#: chance. The operator's own default is none: every run of two sentences.
+LEAST = 20
 ENDS = ".!?。！？…"
 CLOSING = "\"')]}»”’"
 
@@ -74,12 +77,12 @@ class Sentences:
 SECOND = MIX_B | 1
 
 
-def runs_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(h: np.ndarray, at: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, second hash, first sentence, number of sentences) of the run that starts at each sentence and is complete."""
     n = len(h)
     ends = np.r_[at[1:], n]
-    # the first sentence whose end is LEAST words away, the next one at least
-    last = np.maximum(np.searchsorted(ends, at + LEAST), np.arange(len(at)) + 1)
+    # the first sentence whose end is least words away, the next one at least
+    last = np.maximum(np.searchsorted(ends, at + least), np.arange(len(at)) + 1)
     ok = last < len(at)
     first, last = np.flatnonzero(ok), last[ok]
     # hash of words [a, b): difference of sums of hash * power, times the power that moves it to a common place
@@ -93,7 +96,7 @@ def runs_of(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return value(MIX_A).view(np.int64), (value(SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32), first, last - first + 1
 
 
-def span_rows(docs: DataFrame) -> DataFrame:
+def span_rows(docs: DataFrame, least: int = 0) -> DataFrame:
     """(span, second, doc_id): the runs of sentences of each document, each once."""
 
     def run(batches):
@@ -105,7 +108,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
                 for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     h, starts = cut(t)
                     if len(starts) > 1:
-                        span, second, _, _ = runs_of(h, starts)
+                        span, second, _, _ = runs_of(h, starts, least)
                         span, first = np.unique(span, return_index=True)
                         spans.append(span)
                         seconds.append(second[first])
@@ -115,20 +118,20 @@ def span_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").mapInArrow(lean(run), "span long, second int, doc_id long")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 0) -> DataFrame:
     """(gone_id, spans): the runs of each document that a document of a smaller id has too."""
-    spans = stored(span_rows(docs), "spans")  # both sides of the join; the texts are cut once
+    spans = stored(span_rows(docs, least), "spans")  # both sides of the join; the texts are cut once
     shared = spans.groupBy("span", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("span", "second", "lo")
     later = spans.join(stored(shared, "repeated"), ["span", "second"]).where("doc_id > lo")
     return later.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("span").alias("spans"))
 
 
-def without(text: str, spans: list[int] | None, cut: Sentences) -> tuple[str, int, int]:
+def without(text: str, spans: list[int] | None, cut: Sentences, least: int = 0) -> tuple[str, int, int]:
     """(the text without the sentences of these runs and of its own repeated runs, sentences it had, words removed)."""
     h, at = cut(text)
     if len(at) < 2:
         return text, len(at), 0
-    value, _, first, n = runs_of(h, at)
+    value, _, first, n = runs_of(h, at, least)
     again = np.ones(len(value), bool)
     again[np.unique(value, return_index=True)[1]] = False
     if spans:
@@ -152,10 +155,10 @@ def without(text: str, spans: list[int] | None, cut: Sentences) -> tuple[str, in
     return "\n".join(out), len(at), int(drop.sum())
 
 
-def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df with repeated sentences removed, and n_sentences, n_removed_words besides."""
+def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 0) -> DataFrame:
+    """The rows of df with repeated sentences removed, and n_sentences, n_removed_words besides. least: words of a run at least."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    gone = repeated_spans(docs)
+    gone = repeated_spans(docs, least)
     names = [f"c{k}" for k in range(len(df.columns))]  # the caller's names may clash with ours
     wide = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)))
     id_at, text_at = names[df.columns.index(doc_id)], names[df.columns.index(text)]
@@ -169,7 +172,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 part = x.slice(at, 64)
                 texts, sizes, words = [], [], []
                 for i, t, spans in zip(part[id_at].to_pylist(), part[text_at].to_pylist(), part["spans"].to_pylist(), strict=True):
-                    got = (t, 0, 0) if t is None or i is None else without(t, spans, cut)
+                    got = (t, 0, 0) if t is None or i is None else without(t, spans, cut, least)
                     for c, v in zip((texts, sizes, words), got, strict=True):
                         c.append(v)
                 cols = [pa.array(texts, pa.string()) if n == text_at else part[n] for n in names]
@@ -180,5 +183,5 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op4(spark, sf_dir):
-    out = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    out = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), least=LEAST)
     return out.select("doc_id", "text", "n_removed_words", (F.col("n_removed_words") > 0).alias("changed"))

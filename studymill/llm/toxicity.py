@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import Memo, documents
 
-#: Labelled rows, and features of the model, at most.
-TRAIN, VOCABULARY = 20_000, 1024
+#: Labelled rows, at most, and columns of the model. Features beyond so many share columns by their hash; none is left out.
+TRAIN, COLUMNS = 20_000, 1024
 MIN_DOCS, MIN_SHARE = 4, 0.8
 GRADES, FOLDS = 3, 5
 #: Labels that are broadcast; more of them are joined by shuffle.
@@ -53,8 +53,8 @@ def sampled_labels(labels: DataFrame, train: int) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
 
 
-def screened(labelled: DataFrame, size: int = VOCABULARY) -> list[int]:
-    """Hashes of the features that tell toxic documents. labelled: text, toxic."""
+def screened(labelled: DataFrame) -> list[int]:
+    """Hashes of the features that tell toxic documents, all of them, those of most documents first. labelled: text, toxic."""
 
     def run(batches):
         memo = Memo(features_of, 300_000)
@@ -71,11 +71,11 @@ def screened(labelled: DataFrame, size: int = VOCABULARY) -> list[int]:
     each = labelled.select("text", "toxic").mapInArrow(run, "feature long, toxic int")
     n = each.groupBy("feature").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("bad"), F.count("*").alias("n"))
     told = n.where((F.col("bad") >= MIN_DOCS) & (F.col("bad") >= MIN_SHARE * F.col("n")))
-    return [r.feature for r in told.orderBy(F.desc("bad"), "feature").limit(size).collect()]
+    return told.orderBy(F.desc("bad"), "feature").select("feature").toArrow()["feature"].to_pylist()  # words of train documents at most
 
 
 def counts(text: str | None, memo: Memo) -> dict[int, int]:
-    """Count of each known feature, by its number."""
+    """Count of each known feature's column."""
     out: dict[int, int] = {}
     for places in map(memo.__getitem__, (text or "").split()):
         for p in places:
@@ -83,8 +83,8 @@ def counts(text: str | None, memo: Memo) -> dict[int, int]:
     return out
 
 
-def known_features(vocabulary: list[int]) -> Memo:
-    place = {f: k for k, f in enumerate(vocabulary)}
+def known_features(vocabulary: list[int], columns: int = COLUMNS) -> Memo:
+    place = {f: k if k < columns else f % columns for k, f in enumerate(vocabulary)}
     return Memo(lambda w: tuple(place[f] for f in features_of(w) if f in place), 400_000)
 
 
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple[Ordinal
 
     alike = labelled.select("text", "toxic").mapInArrow(run, "places array<int>, counts array<int>, toxic int").groupBy("places", "counts", "toxic").agg(F.count("*").alias("times"))
     rows = sorted(alike.collect(), key=lambda r: (r.toxic, r.places, r["counts"]))  # train rows at most
-    x, toxic, times = np.zeros((len(rows), len(vocabulary)), np.float32), np.zeros(len(rows), int), np.array([r.times for r in rows])
+    x, toxic, times = np.zeros((len(rows), min(COLUMNS, len(vocabulary))), np.float32), np.zeros(len(rows), int), np.array([r.times for r in rows])
     for k, r in enumerate(rows):
         x[k, r.places], toxic[k] = np.log1p(r["counts"]), r.toxic > 0
     # documents alike are in one fold, whatever their label

@@ -5,6 +5,8 @@ import re
 
 import numpy as np
 
+import pytest
+
 from studymill.llm import near_dedup, substring_dedup
 from studymill.llm.components import components
 
@@ -166,7 +168,7 @@ def test_passages_over_50_words_stay_once(spark):
         else:
             clean.append(k)
         texts.append((k, " ".join(w)))
-    got = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()}
+    got = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), least=substring_dedup.LEAST).collect()}
     seen = {}
     for k, t in sorted(got.items()):
         for g in windows(t):
@@ -187,7 +189,8 @@ def test_spans_bear_the_edges(docs, empty):
             assert (r.doc_id, r.text) in texts
 
 
-def test_removed_sentences_equal_brute_force(spark):
+@pytest.mark.parametrize("least", [0, substring_dedup.LEAST])
+def test_removed_sentences_equal_brute_force(spark, least):
     """Runs as tuples of words, compared with all runs of all documents before."""
     rng = random.Random(12)
     pool = [sentence(rng, rng.randint(2, 14)) for _ in range(60)]
@@ -197,19 +200,27 @@ def test_removed_sentences_equal_brute_force(spark):
         w, at = t.split(), cut(t)[1].tolist()
         ends = [*at[1:], len(w)]
         for i in range(len(at)):
-            j = next((j for j in range(i + 1, len(at)) if ends[j] >= at[i] + substring_dedup.LEAST), None)
+            j = next((j for j in range(i + 1, len(at)) if ends[j] >= at[i] + least), None)
             if j is not None:
                 runs.setdefault(tuple(w[at[i] : ends[j]]), []).append((k, i, j))
     for k, t in rows:
         w, at = t.split(), cut(t)[1].tolist()
         gone = {x for found in runs.values() for n, (d, i, j) in enumerate(found) if d == k and n for x in range(i, j + 1)}
         want[k] = [x for s, (a, b) in enumerate(zip(at, [*at[1:], len(w)])) if s not in gone for x in w[a:b]]
-    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), least=least).collect()}
     assert {k: r.text.split() for k, r in got.items()} == want and sum(r.n_removed_words for r in got.values()) > 50
 
 
 def test_a_run_needs_both_hashes(spark, monkeypatch):
     """Equal first hashes alone remove nothing."""
     spans = spark.createDataFrame([(5, 1, 1), (5, 2, 2), (6, 3, 1), (6, 3, 4)], "span long, second int, doc_id long")
-    monkeypatch.setattr(substring_dedup, "span_rows", lambda docs: spans)
+    monkeypatch.setattr(substring_dedup, "span_rows", lambda docs, least: spans)
     assert {(r.gone_id, tuple(r.spans)) for r in substring_dedup.repeated_spans(None).collect()} == {(4, (6,))}
+
+
+def test_short_runs_go_unless_a_length_is_asked(spark):
+    lines = ["Foo bar baz qux. All rights reserved here."] * 6
+    rows = [(k, f"{w} alone stands first. {t}") for k, (w, t) in enumerate(zip("abcdef", lines))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed_words for r in substring_dedup.dedup_substrings(df).orderBy("doc_id").collect()] == [0, 8, 8, 8, 8, 8]
+    assert not any(r.n_removed_words for r in substring_dedup.dedup_substrings(df, least=20).collect())

@@ -230,3 +230,12 @@ def test_rows_law_moves_little():
     where = lambda k: {(p, r): s for p, a, b, s, _ in sharding.assign(counts, k) for r in range(a, b)}
     old, new = where(24), where(25)
     assert sum(old[x] != new[x] for x in old) < 0.08 * len(old)  # 4 % must move
+
+
+def test_features_beyond_the_columns_share_them():
+    known = toxicity.known_features(list(range(10, 30)), columns=8)
+    real, toxicity.features_of = toxicity.features_of, lambda w: [int(w)]
+    try:
+        assert [known[str(f)] for f in (10, 17, 18, 29, 99)] == [(0,), (7,), (18 % 8,), (29 % 8,), ()]
+    finally:
+        toxicity.features_of = real
