@@ -28,7 +28,7 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated sentence spans; one of which nothing is left goes."""
-    out = substring_dedup.dedup_substrings(docs)
+    out = substring_dedup.dedup_substrings(docs, least=substring_dedup.LEAST)
     out = out.where((F.col("n_removed_words") == 0) | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(F.col("n_removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
