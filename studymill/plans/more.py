@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from studymill.sources.fixtures import AS_OF, FIXTURES
+from studymill.sources.drafts import DRAFTS
+from studymill.sources.fixtures import AS_OF
 
 from .plan import Plan
 from .relational import R6, ROUND
 
-#: Texts that the invented documents lack, as literal rows (id, s).
-SAMPLES = """(VALUES (1, 'A. Renin (enzyme)'), (2, ' b) ADH  release '), (3, 'All of the above'), (4, 'Which of the following is a secretion'), (5, 'A 45-year-old male presents with pain'),
-  (6, 'Bodies, losses and cats'), (7, 'Hello  World!!'), (8, '!!'), (9, 'It does NOT rise'), (10, 'Chapter 12: Heart - a table of contents 101 102 103')) AS v(id, s)"""
 #: An option text in lower case, without label and signs.
 PLAIN = "trim(SWAP(SWAP(lower({0}), '[^a-z0-9 ]', ' '), ' +', ' '))".format
 
-#: The third smallest of four lengths, their upper median.
-THIRD = "greatest(least(l0, l1), least(l2, l3), least(greatest(l0, l1), greatest(l2, l3)))"
+#: Words of each of some texts; the upper median of some lengths (index floor(n / 2) in order).
+COUNTS, UPPER = "EACH({0}, SIZE(WORDS(x)))".format, "ITEM(SORTED({0}), floor(SIZE({0}) / 2))".format
 
-FIXTURES = FIXTURES | {
-    "samples": f"SELECT id, s FROM {SAMPLES}",
+FIXTURES = DRAFTS | {
+    "samples": """
+        SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN concat('A. ', p_name, ' (enzyme)') WHEN 1 THEN concat(' b) ADH  ', p_name, ' ') WHEN 2 THEN 'All of the above' WHEN 3 THEN concat('Which of the following is a ', p_type)
+          WHEN 4 THEN concat('A 45-year-old ', p_name, ' presents with pain') WHEN 5 THEN concat(p_name, 's, losses and ', lower(p_type), 'ies') WHEN 6 THEN concat('Hello  ', p_name, '!!') WHEN 7 THEN '!!' WHEN 8 THEN concat('It does NOT ', p_name)
+          ELSE concat('Chapter 12: ', p_name, ' - a table of contents 101 102 103') END AS s FROM {part}""",
+    "answer_texts": "SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'b' WHEN 1 THEN CAST(p_partkey % 9 AS STRING) WHEN 2 THEN 'E' WHEN 3 THEN p_name WHEN 4 THEN '' WHEN 5 THEN '17' ELSE 'F' END AS o FROM {part}",
     "option_sets": "SELECT p_partkey AS id, p_partkey % 4 AS answer, p_name AS o0, concat(p_type, ' ', p_name) AS o1, p_brand AS o2, concat(p_name, ' of the kind that is ', lower(p_type)) AS o3 FROM {part}",
-    "option_lengths": "SELECT id, answer, length(o0) AS l0, length(o1) AS l1, length(o2) AS l2, length(o3) AS l3, CASE answer WHEN 0 THEN length(o0) WHEN 1 THEN length(o1) WHEN 2 THEN length(o2) ELSE length(o3) END AS own FROM {option_sets}",
-    "option_words": "SELECT id, answer, SIZE(WORDS(o0)) AS w0, SIZE(WORDS(o1)) AS w1, SIZE(WORDS(o2)) AS w2, SIZE(WORDS(o3)) AS w3, CASE answer WHEN 0 THEN SIZE(WORDS(o0)) WHEN 1 THEN SIZE(WORDS(o1)) WHEN 2 THEN SIZE(WORDS(o2)) ELSE SIZE(WORDS(o3)) END AS own FROM {option_sets}",
+    "option_lengths": "SELECT id, lens, own, " + UPPER("lens") + " AS median, ITEM(SORTED(lens), SIZE(lens) - 1) AS high, ITEM(SORTED(lens), 0) AS low FROM (SELECT id, EACH(options, length(x)) AS lens, CASE WHEN answer < SIZE(options) THEN length(ITEM(options, answer)) END AS own FROM {drafts}) AS x",
+    "option_words": "SELECT id, CAST(own AS DOUBLE) AS own, CASE WHEN SIZE(counts) > 1 THEN CAST(SUMOF(counts) - own AS DOUBLE) / (SIZE(counts) - 1) END AS others FROM (SELECT id, " + COUNTS("options") + " AS counts, CASE WHEN answer < SIZE(options) THEN SIZE(WORDS(ITEM(options, answer))) END AS own FROM {drafts}) AS x",
+    # concepts by document and prefix, the most important first
+    "prefixed": "SELECT *, CAST(row_number() OVER (PARTITION BY pdf_id, prefix ORDER BY CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, pos) AS BIGINT) AS place FROM (SELECT *, lower(CASE WHEN length(ITEM(WORDS(name), 0)) > 4 THEN ITEM(WORDS(name), 0) ELSE TEXTOF(HEAD(WORDS(name), 2)) END) AS prefix FROM (SELECT id, pdf_id, pos, SWAP(name, '[^a-zA-Z0-9 ]', '') AS name, importance, fact FROM {concepts}) AS a) AS b",
     "visible": "SELECT user_id, id, min(kind) AS origin FROM {origins} GROUP BY user_id, id",
 }
 
@@ -41,11 +45,17 @@ SQL = {
     "agg05_mean_time": "SELECT question_id, " + ROUND("CAST(sum(time_spent_ms) AS DOUBLE) / count(*)") + " AS mean_ms FROM {attempts} GROUP BY question_id",
     "agg12_accuracy": "SELECT user_id, CASE WHEN count(*) > 0 THEN " + ROUND("100.0e0 * count(CASE WHEN is_correct THEN 1 END) / count(*)") + " END AS accuracy FROM {attempts} GROUP BY user_id",
     "agg14_all_mastery": "SELECT concept_id, count(*) AS users, min(overall) AS lowest, max(overall) AS highest FROM {mastery} GROUP BY concept_id",
-    "agg21_nested_groups": "SELECT concept_id, JOINED(CAST(id AS STRING), id) AS ids, count(*) AS n FROM {questions} GROUP BY concept_id",
+    "agg21_nested_groups": "SELECT concept_id, JOINED(concat(CAST(level AS STRING), ':', ids), level) AS levels, CAST(sum(n) AS BIGINT) AS n FROM (SELECT concept_id, level, JOINED(CAST(id AS STRING), id) AS ids, count(*) AS n FROM {questions} GROUP BY concept_id, level) AS x GROUP BY concept_id",
+    "agg27_folded_prefixes": """
+        SELECT b.id, b.prefix, TEXTOF(HEAD(UNIQUE(GATHERED(x.fact, x.place, x.fact)), 8)) AS facts, coalesce(max(l.names), '') AS aliases
+        FROM {prefixed} b JOIN {prefixed} x ON x.pdf_id = b.pdf_id AND x.prefix = b.prefix AND (x.place = 1 OR x.place > 4)
+        LEFT JOIN (SELECT pdf_id, prefix, JOINED(name, place) AS names FROM {prefixed} WHERE place > 4 GROUP BY pdf_id, prefix) l ON l.pdf_id = b.pdf_id AND l.prefix = b.prefix
+        WHERE b.place = 1 GROUP BY b.id, b.prefix""",
     "agg32_deck_groups": "SELECT b.title, count(p.id) AS sources, coalesce(sum(p.question_count), 0) AS questions FROM {shared_banks} b JOIN {closure} c ON c.ancestor = b.source_deck_id JOIN {pdfs} p ON p.deck_id = c.id GROUP BY b.title",
-    "agg37_upper_median": "SELECT id, " + THIRD + " AS upper_median FROM {option_lengths}",
+    "agg37_upper_median": "SELECT id, median AS upper_median FROM {option_lengths}",
     "agg38_confusable": "SELECT topic, JOINED(name, pos) AS concepts FROM (SELECT ITEM(WORDS(category), 0) AS topic, name, min(pos) AS pos FROM {concepts} GROUP BY ITEM(WORDS(category), 0), name) AS x GROUP BY topic",
     "win05_bigrams": "SELECT id, concat(a, ' ', b) AS bigram, count(*) AS n FROM (SELECT id, ITEM(ws, i) AS a, ITEM(ws, i + 1) AS b FROM (SELECT id, ws, EXPLODED(UPTO(0, CAST(SIZE(ws) AS INT) - 2)) AS i FROM (SELECT id, WORDS(" + PLAIN("text") + ") AS ws FROM {chunks}) AS t WHERE SIZE(ws) >= 2) AS u) AS x GROUP BY id, concat(a, ' ', b)",
+    "win10_top_per_prefix": "SELECT id, prefix, place FROM {prefixed} WHERE place <= 4",
     "win08_rank_positions": "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS place FROM {bm25} WHERE rank <= 20",
     "srt01_ordered": "SELECT id, CAST(row_number() OVER (ORDER BY page_count DESC, id) AS BIGINT) AS place FROM {pdfs}",
     "srt03_importance_name": "SELECT pdf_id, id, CAST(row_number() OVER (PARTITION BY pdf_id ORDER BY CASE importance WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, lower(name), id) AS BIGINT) AS place FROM {concepts}",
@@ -66,14 +76,14 @@ SQL = {
     "str16_prefixes": "SELECT id, lower(CASE WHEN length(ITEM(WORDS(name), 0)) > 4 THEN ITEM(WORDS(name), 0) ELSE TEXTOF(HEAD(WORDS(name), 2)) END) AS prefix FROM {concepts}",
     "str17_slugs": "SELECT id, coalesce(nullif(substring(SWAP(SWAP(trim(lower(s)), '[^a-z0-9]+', '-'), '^-+|-+$', ''), 1, 48), ''), 'bank') AS slug FROM {samples}",
     "str31_overlap": "SELECT a.id, " + R6("CAST(count(DISTINCT a.word) AS DOUBLE) / least(min(a.n), min(b.n))") + " AS overlap FROM (SELECT id, EXPLODED(UNIQUE(WORDS(lower(o1)))) AS word, SIZE(UNIQUE(WORDS(lower(o1)))) AS n FROM {option_sets}) a JOIN (SELECT id, EXPLODED(UNIQUE(WORDS(lower(o3)))) AS word, SIZE(UNIQUE(WORDS(lower(o3)))) AS n FROM {option_sets}) b ON a.id = b.id AND a.word = b.word GROUP BY a.id",
-    "str39_answer_index": "SELECT id, CASE WHEN MATCHES(upper(o), '^[A-E]$') THEN ascii(upper(o)) - 65 WHEN MATCHES(o, '^[0-9]+$') THEN CAST(nullif(SWAP(o, '[^0-9]', ''), '') AS INT) ELSE 0 END AS idx FROM (VALUES (1, 'b'), (2, '3'), (3, 'E'), (4, 'x'), (5, '')) AS v(id, o)",
+    "str39_answer_index": "SELECT id, CASE WHEN MATCHES(upper(o), '^[A-E]$') THEN ascii(upper(o)) - 65 WHEN MATCHES(o, '^[0-9]+$') THEN CAST(nullif(SWAP(o, '[^0-9]', ''), '') AS INT) ELSE 0 END AS idx FROM {answer_texts}",
     "mth02_cosine_distance": "SELECT query_id, id, " + R6("1 - similarity") + " AS distance FROM {nearest} WHERE place <= 20",
     "mth03_term_weight": "SELECT tf, len, " + R6("tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / 100.0e0))") + " AS weight FROM (SELECT DISTINCT p.tf, l.len FROM {postings} p JOIN {doc_lengths} l ON l.id = p.id) AS x",
     "mth04_reciprocal_rank": "SELECT query_id, id, " + R6("1.0e0 / (60 + place)") + " AS share FROM {nearest} WHERE place <= 8",
     "mth05_money": "SELECT event_id, floor(value * 100 + 0.5e0) / 100 AS usd2, floor(value / 7 * 1000000 + 0.5e0) / 1000000 AS usd6 FROM {events}",
-    "mth07_cached_cost": "SELECT event_id, " + R6("(k * 1.25e0 * 3 + value * 0.1e0 * 3 + k * 15) / 1000000") + " AS usd FROM {keyed_events}",
-    "mth10_option_balance": "SELECT id, high * 1.0e0 / low > 1.6e0 OR (own = high AND own > 1.3e0 * median) OR (own = low AND own < 0.7e0 * median) AS unbalanced FROM (SELECT id, own, greatest(l0, l1, l2, l3) AS high, least(l0, l1, l2, l3) AS low, " + THIRD + " AS median FROM {option_lengths}) AS x",
-    "mth11_length_audit": "SELECT id, own >= 1.6e0 * others AND own - others >= 2.5e0 AND own >= 5 AS tells FROM (SELECT id, own, (w0 + w1 + w2 + w3 - own) / 3.0e0 AS others FROM {option_words}) AS x",
+    "mth07_cached_cost": "SELECT event_id, CASE WHEN p.model IS NULL THEN 0.0e0 ELSE " + R6("(greatest(value - 50, 0) * p.input + k * 1.25e0 * p.input + value * 0.1e0 * p.input + k * p.output) / 1000000") + " END AS usd FROM {keyed_events} e LEFT JOIN {prices} p ON p.model = e.event_type",
+    "mth10_option_balance": "SELECT id, coalesce(high > 1.6e0 * low, false) OR coalesce(own = high AND own > 1.3e0 * median, false) OR coalesce(own = low AND own < 0.7e0 * median, false) AS unbalanced FROM {option_lengths}",
+    "mth11_length_audit": "SELECT id, coalesce(own >= 1.6e0 * others AND own - others >= 2.5e0 AND own >= 5, false) AS tells FROM {option_words}",
     "mth14_eta": "SELECT job_id, seq, CASE WHEN pct > 5 THEN " + ROUND("seq * 100.0e0 / pct - seq") + " END AS eta FROM {process_events}",
     "dat02_next_review": "SELECT user_id, question_id, " + AS_OF + " + CAST(floor(interval_days * 86400000000 + 0.5e0) AS BIGINT) AS next_review FROM {sm2}",
     "dat04_due": "SELECT user_id, question_id FROM {srs_state} WHERE next_review <= " + AS_OF,
@@ -82,7 +92,7 @@ SQL = {
     "map01_counts": "SELECT question_id, JOINED(concat(flag_reason, '=', CAST(n AS STRING)), flag_reason) AS counts FROM (SELECT question_id, flag_reason, count(*) AS n FROM {attempts} WHERE flag_reason IS NOT NULL GROUP BY question_id, flag_reason) AS x GROUP BY question_id",
     "jsn03_field": "SELECT event_id, JSONTEXT(props, '$.k') AS k, JSONTEXT(props, '$.criterion') AS criterion FROM {events}",
     "alg11_scope": "SELECT v.user_id, c.ancestor AS scope, v.id, v.origin FROM {visible} v JOIN {pdfs} p ON p.id = v.id JOIN {closure} c ON c.id = p.deck_id",
-    "qrk22_half_up": "SELECT x, " + ROUND("x") + " AS rounded FROM (VALUES (-0.5e0), (0.5e0), (1.5e0), (-1.5e0), (2.4e0)) AS v(x)",
+    "qrk22_half_up": "SELECT event_id, x, " + ROUND("x") + " AS rounded FROM (SELECT event_id, (event_id % 41 - 20) / 2.0e0 AS x FROM {events}) AS e",
 }
 
 PLANS = {name: Plan(sql, FIXTURES) for name, sql in SQL.items()}

@@ -31,6 +31,9 @@ MARKERS = {
     "EXPLODED": (r"explode(\1)", r"unnest(\1)"),
     "PDF_OF": (r"(\1 % 10 + 10 * CAST(floor(\1 / 100) AS BIGINT))", r"(\1 % 10 + 10 * CAST(floor(\1 / 100) AS BIGINT))"),
     "HAS": (r"array_contains(\1, \2)", r"list_contains(\1, \2)"),
+    "EACH": (r"transform(\1, x -> \2)", r"list_transform(\1, lambda x: \2)"),
+    "SORTED": (r"sort_array(\1)", r"list_sort(\1)"),
+    "SUMOF": (r"aggregate(\1, 0L, (s, x) -> s + x)", r"list_sum(\1)"),
     "PUT": (r"concat(\1, array(\2))", r"list_append(\1, \2)"),
     "ONE": (r"array(\1)", r"[\1]"),
     "UPTO": (r"sequence(\1, \2)", r"generate_series(\1, \2)"),

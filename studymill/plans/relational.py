@@ -128,7 +128,6 @@ SQL = {
     "agg43_session_score": "SELECT user_id, count(*) AS revealed, count(CASE WHEN is_correct THEN 1 END) AS correct, count(CASE WHEN NOT is_correct THEN 1 END) AS missed, " + ROUND("100.0e0 * count(CASE WHEN is_correct THEN 1 END) / count(*)") + " AS percent FROM {attempts} WHERE selected_option >= 0 GROUP BY user_id",
     # 2.5 windows
     "win11_first_seen": "SELECT name, id FROM (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY pos) AS place FROM {concepts}) AS x WHERE place = 1",
-    "win10_top_per_prefix": "SELECT id, prefix, place FROM (SELECT id, prefix, CAST(row_number() OVER (PARTITION BY pdf_id, prefix ORDER BY CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, pos) AS BIGINT) AS place FROM (SELECT *, CASE WHEN length(ITEM(WORDS(name), 0)) > 4 THEN ITEM(WORDS(name), 0) ELSE name END AS prefix FROM {concepts}) AS a) AS x WHERE place <= 4",
     "win12_slots": """
         SELECT pdf_id, id, n_levels, running FROM (
           SELECT pdf_id, id, n_levels, CAST(sum(n_levels) OVER (PARTITION BY pdf_id ORDER BY pos) AS BIGINT) AS running, row_number() OVER (PARTITION BY pdf_id ORDER BY pos) AS place
