@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from studymill.sources.scratch import forget, stored
 K1, B = 1.5, 0.75
 #: Rarest terms of a query, from whose documents the bound of its k-th score comes. Scores are rounded to 6 places.
 LEAD, SLACK = 3, 1e-5
-#: Rows and queries of a block, on average.
+#: Rows of query terms that are broadcast; texts and queries of a block of scores.
+QUERY_TERMS, BLOCK_TEXTS, BLOCK_QUERIES = 1_000_000, 256, 512
+#: Rows and queries of a block of vectors, on average.
 CELL_ROWS, CELL_QUERIES = 16384, 4096
 #: The inverted file: lists, rows from which their centres are learnt, rounds of learning, and lists that a query reads.
 LISTS, SAMPLE, ROUNDS, PROBES = 100, 16384, 12, 40
@@ -23,9 +26,138 @@ def rounded(c):
     return F.floor(c * 1e6 + 0.5) / 1e6
 
 
-def bm25(queries: DataFrame, terms: DataFrame, postings: DataFrame, idf: DataFrame, lengths: DataFrame, k: int = 20) -> DataFrame:
+def filled(best: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """best(query_id, id, score) ranked, with documents of score 0, the smallest ids first, where a query has fewer than k."""
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    few = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(f"coalesce(n, 0) < {k}").select("query_id")
+    first = ids.orderBy("id").limit(2 * k)  # fewer than k of these have a score, so k are left, or all there are
+    fill = few.join(F.broadcast(first), how="cross").join(best, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return best.unionByName(fill).withColumn("rank", ranked).where(F.col("rank") <= k)
+
+
+class Terms(dict):
+    """The number of each query term, -1 of other words."""
+
+    def __missing__(self, word):
+        return -1
+
+
+#: Signs that part words: all bytes but a-z and 0-9.
+PARTS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def counted(texts: pa.Array, terms: Terms) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of words, the query terms that it has, how often) of each text, given in lower case."""
+    out = []
+    for t in texts.to_pylist():
+        words = (t or "").encode("utf-8", "surrogatepass").translate(PARTS).split()
+        found = np.fromiter(map(terms.__getitem__, words), np.int64, len(words))
+        out.append((len(words), *np.unique(found[found >= 0], return_counts=True)))
+    return out
+
+
+def merged(best: tuple[np.ndarray, ...], new: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The k first of each query of two lists (query, score, id), by score and then id."""
+    q, s, i = (np.concatenate(c) for c in zip(best, new, strict=True))
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], s[keep], i[keep]
+
+
+def bm25(queries: DataFrame, terms: DataFrame, chunks: DataFrame, k: int = 20, most: int = QUERY_TERMS) -> DataFrame:
     """JOI15: (query_id, id, score, rank), the k best documents of each query; ties to the smaller id, documents of score 0 fill up.
 
+    queries: query_id; terms: query_id, token, qtf, of one or more letters and digits; chunks: id (a number), text.
+
+    Texts stay where they are. The query terms are broadcast if there are no more than ``most`` rows of them. One pass counts
+    documents, words and the documents of each term; a second one multiplies the texts' term impacts with the terms'
+    counts in the queries, in blocks of texts and queries, and keeps the k best of each query. Only these are shuffled: k
+    rows for each query and task. Larger query sets take bm25_by_bounds, over postings. Scores are rounded to 6 places.
+    """
+    asked = stored(terms.select("query_id", "token", F.col("qtf").cast("long").alias("qtf")), "terms")
+    if asked.limit(most + 1).count() > most:
+        return by_postings(queries, asked, chunks, k)
+    got = asked.orderBy("query_id", "token").toArrow()
+    tokens = sorted(set(got["token"].to_pylist()))
+    number = Terms((t.encode(), n) for n, t in enumerate(tokens))
+    names = pc.unique(got["query_id"])
+    column = pc.index_in(got["query_id"], names).to_numpy()
+    line, weight = np.array([number[t.encode()] for t in got["token"].to_pylist()], np.int64), got["qtf"].to_numpy().astype(float)
+    n_terms, n_queries = len(tokens), len(names)
+    lower = chunks.where("id is not null").select("id", F.lower("text").alias("text"))
+
+    def sizes(batches):
+        df, words, docs = np.zeros(n_terms, np.int64), 0, 0
+        for x in batches:
+            for n, found, _ in counted(x["text"], number):
+                df[found] += 1
+                words, docs = words + n, docs + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, n_terms)), pa.array(np.r_[docs, words, df])], ["what", "n"])
+
+    total = lower.mapInArrow(sizes, "what long, n long").groupBy("what").agg(F.sum("n").alias("n")).toArrow()  # a row for each query term
+    number_of = np.zeros(n_terms + 2)
+    number_of[total["what"].to_numpy() + 2] = total["n"].to_numpy()
+    docs, words, df = number_of[0], number_of[1], number_of[2:]
+    idf, mean = np.log((docs - df + 0.5) / (df + 0.5) + 1), words / max(docs, 1)
+
+    def search(batches):
+        best = tuple(np.empty(0, t) for t in (np.int64, np.float64, np.int64))
+        blocks = []
+        for lo in range(0, n_queries, BLOCK_QUERIES):
+            here = (column >= lo) & (column < lo + BLOCK_QUERIES)
+            m = np.zeros((n_terms, min(BLOCK_QUERIES, n_queries - lo)), np.float64)
+            m[line[here], column[here] - lo] = weight[here]
+            blocks.append((lo, m))
+        floor = np.zeros(n_queries)
+        for x in batches:
+            for at in range(0, x.num_rows, BLOCK_TEXTS):
+                part = x.slice(at, BLOCK_TEXTS)
+                each = counted(part["text"], number)
+                size = np.array([len(f) for _, f, _ in each])
+                some = np.flatnonzero(size)
+                if not len(some):
+                    continue
+                found, tf = (np.concatenate([e[c] for e in each]) for c in (1, 2))
+                length = np.repeat(np.array([n for n, _, _ in each]), size)
+                impact = idf[found] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+                own, ids = np.repeat(np.arange(part.num_rows), size), part["id"].to_numpy()
+                for lo, m in blocks:
+                    s = np.zeros((part.num_rows, m.shape[1]))
+                    for d in some:
+                        mine = slice(*np.searchsorted(own, [d, d + 1]))
+                        s[d] = impact[mine] @ m[found[mine]]
+                    s = np.floor(s * 1e6 + 0.5) / 1e6
+                    d, q = np.nonzero((s > 0) & (s >= floor[lo : lo + m.shape[1]]))
+                    best = merged(best, (q + lo, s[d, q], ids[d]), k)
+                q, first = np.unique(best[0], return_index=True)
+                full = np.diff(np.r_[first, len(best[0])]) == k
+                floor[q[full]] = best[1][first[full] + k - 1]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), pa.array(best[2]), pa.array(best[1])], ["query_id", "id", "score"])
+
+    found = lower.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(search, f"query_id {dict(asked.dtypes)['query_id']}, id long, score double")
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    best = stored(found.withColumn("rank", ranked).where(F.col("rank") <= k).drop("rank"), "best")
+    return filled(best, queries, chunks.where("id is not null").select("id"), k)
+
+
+def by_postings(queries: DataFrame, terms: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """bm25_by_bounds() with postings made of the texts: the query terms' alone, each with its text's length."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", " "), " "), lambda w: w != "")
+    read = chunks.where("id is not null").select("id", words.alias("words"))
+    lengths = stored(read.select("id", F.size("words").cast("long").alias("len")), "lengths")
+    used = terms.select("token").distinct()
+    postings = read.select("id", F.explode("words").alias("token")).join(used, "token").groupBy("id", "token").agg(F.count("*").alias("tf"))
+    postings = stored(postings, "postings")
+    n = F.broadcast(lengths.agg(F.count("*").alias("n")))  # one row
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    idf = df.join(n, how="cross").select("token", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    return bm25_by_bounds(queries, terms, postings, idf, lengths, k)
+
+
+def bm25_by_bounds(queries: DataFrame, terms: DataFrame, postings: DataFrame, idf: DataFrame, lengths: DataFrame, k: int = 20) -> DataFrame:
+    """bm25() for query sets too large to be broadcast, by equi-joins alone.
+
     queries: query_id; terms: query_id, token, qtf; postings: id, token, tf; idf: token, idf; lengths: id, len.
 
     A posting's impact is what it adds to a score; the greatest one of a token, times its count in the query, bounds what the
@@ -64,10 +196,7 @@ def bm25(queries: DataFrame, terms: DataFrame, postings: DataFrame, idf: DataFra
     ranked = F.row_number().over(each.orderBy(F.desc("score"), "id"))
     best = stored(whole.withColumn("rank", ranked).where(F.col("rank") <= k).drop("rank"), "best")
     forget(asked, likely)
-    few = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(f"coalesce(n, 0) < {k}").select("query_id")
-    ids = lengths.select("id").orderBy("id").limit(2 * k)  # fewer than k of these have a score, so k are left, or all there are
-    fill = few.join(F.broadcast(ids), how="cross").join(best, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    return best.unionByName(fill).withColumn("rank", ranked).where(F.col("rank") <= k)
+    return filled(best, queries, lengths.select("id"), k)
 
 
 # vectors ---------------------------------------------------------------------------------------------------------------
@@ -90,8 +219,6 @@ def best_of_cells(met: DataFrame, k: int, *cell: str) -> DataFrame:
     """(query_id, id, similarity, place) from rows (id, v, q, the columns of cell): of each cell the rows with q false are searched for those with q true."""
 
     def search(t: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
         asks, there = t.filter(t["q"]), t.filter(pc.invert(t["q"]))
         out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if asks.num_rows and there.num_rows:

@@ -8,18 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studymill.operators import hierarchy, ranking, retrieval, scheduling
-from studymill.sources.scratch import stored
-
-
-def bm25(queries: DataFrame, terms: DataFrame, postings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The texts are cut into words once; lengths and document frequencies are sums of the stored postings."""
-    postings = stored(postings, "postings")
-    counted = postings.groupBy("id").agg(F.sum("tf").alias("len"))
-    lengths = stored(chunks.select("id").join(counted, "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len")), "lengths")
-    n = F.broadcast(lengths.agg(F.count("*").alias("n")))  # one row
-    df = postings.join(terms.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.join(n, how="cross").select("token", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    return retrieval.bm25(queries, terms, postings, idf, lengths)
 
 
 def nearest(vectors: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -40,7 +28,7 @@ def ranked_users(attempts: DataFrame) -> DataFrame:
 FORMS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "closure": (hierarchy.closure, ("decks",)),
     "deck_paths": (hierarchy.paths, ("closure", "decks")),
-    "bm25": (bm25, ("queries", "query_terms", "postings", "chunks")),
+    "bm25": (retrieval.bm25, ("queries", "query_terms", "chunks")),
     "nearest": (nearest, ("vectors", "benchmark")),
     "ranked_users": (ranked_users, ("attempts",)),
     "sm2": (scheduling.fold, ("reviews",)),
