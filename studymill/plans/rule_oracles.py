@@ -225,8 +225,10 @@ SQL = {
         SELECT id, len(list_filter(names, lambda x: contains(s, concat(' ', x, ' ')) OR contains(k, concat(' ', x, ' ')))) = 0 AS mismatch FROM z""",
     "joi13_candidate_pairs": f"""
         WITH p AS (SELECT id, list_slice({stem_tokens('text')}, 1, 12) AS t FROM {{chunks}}),
-        pairs AS (SELECT a.id AS i, b.id AS j, a.t = b.t AS same, len(list_filter(a.t, lambda w: list_contains(b.t, w))) AS shared FROM p a JOIN p b ON a.id < b.id)
-        SELECT i, j, CASE WHEN same THEN 1 ELSE 0 END AS same_fingerprint, CAST(shared AS BIGINT) AS shared FROM pairs WHERE same OR shared >= 6""",
+        c AS (SELECT t, min(id) AS rep FROM p WHERE t IS NOT NULL GROUP BY t),
+        pairs AS (SELECT a.rep AS i, b.rep AS j, len(list_filter(a.t, lambda w: list_contains(b.t, w))) AS shared FROM c a JOIN c b ON a.rep <> b.rep)
+        SELECT c.rep AS i, p.id AS j, 1 AS same_fingerprint, CAST(len(p.t) AS BIGINT) AS shared FROM p JOIN c ON c.t = p.t WHERE p.id <> c.rep
+        UNION ALL SELECT i, j, 0, CAST(shared AS BIGINT) FROM pairs WHERE shared >= 6""",
 }
 SQL |= {
     "mth15_keyword_score": f"""
