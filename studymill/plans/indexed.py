@@ -230,3 +230,29 @@ ORACLE |= {
         UNION ALL SELECT job_id, b, 'heartbeat', NULL, NULL, NULL FROM (SELECT job_id, unnest(generate_series(t + 20000, coalesce(nxt, lim) - 1, 20000)) AS b FROM h WHERE NOT ends) q
         UNION ALL SELECT job_id, lim, 'timeout', NULL, NULL, NULL FROM h WHERE nxt IS NULL AND NOT ends"""),
 }
+
+FIX |= {
+    "definition_drafts": """
+        SELECT id, CAST(floor(id / 40) AS BIGINT) AS book, CASE WHEN id % 9 = 0 THEN 2 ELSE 1 END AS level, CASE id % 4 WHEN 0 THEN 'entity_recall' WHEN 1 THEN 'pressure_volume_quantitative' ELSE 'definition_recall' END AS domain,
+          CASE id % 5 WHEN 0 THEN concat(a, ' (', b, ')') WHEN 1 THEN concat(a, '/', c) WHEN 2 THEN concat(a, ' pressure') ELSE concat(a, ' ', b, ' ', c) END AS name, CASE id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS importance,
+          CASE id % 6 WHEN 0 THEN PARTS(concat(a, '|', b, '|', c, '|', d)) WHEN 1 THEN PARTS(concat('The ', a, ' of the ', b, ' that is there|ability of ', c, ' to be more than it|Capacity of ', d, ' to be less than that|', a))
+            ELSE PARTS(concat('the ', a, ' ', b, ' in ', c, ' of it|Increase in ', d, ' when ', a, ' falls again|  The rate at which ', b, ' is made new|capacity of a thing to ', c, ' and more|', d)) END AS options,
+          CASE id % 7 WHEN 0 THEN 9 WHEN 1 THEN -1 ELSE id % 5 END AS answer, CASE id % 4 WHEN 1 THEN s0 END AS quote, CASE id % 5 WHEN 0 THEN concat(s0, ' ', s1, ' ', s0) WHEN 1 THEN concat(a, ' falls.') WHEN 2 THEN '.' END AS clue,
+          CASE id % 4 WHEN 0 THEN concat(' ', d, ' ', b) WHEN 1 THEN concat('The rate of ', a) WHEN 2 THEN a END AS distractor, CASE id % 3 WHEN 0 THEN 'It is near.' END AS tempting, CASE id % 8 WHEN 3 THEN 'It is not. ' END AS fails, PARTS(concat(d, ' ', c, '|', a, '|', b, ' disease')) AS candidates
+        FROM {draft_parts}""",
+}
+
+
+def rewritten_drafts(spark, sf_dir):
+    """ALG20: the drafts that are rewritten."""
+    from studymill.functions.rewrite import choice_pool, rewritten
+
+    d = table("definition_drafts")(spark, sf_dir)
+    books = d.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("id", "name", "domain", "importance"))).alias("siblings"))  # the concepts of a document
+    pool = choice_pool(C("candidates"), C("siblings"), C("id"), C("domain"))
+    got = d.join(books, "book").withColumn("pool", pool)
+    new = rewritten(C("level"), C("domain"), C("name"), F.array("name"), C("options"), C("answer"), C("quote"), C("clue"), C("distractor"), C("tempting"), C("fails"), C("pool"))
+    return got.select("id", new.alias("x")).where("x is not null").select("id", "x.stem", F.array_join("x.options", " ~ ").alias("options"), "x.answer", "x.distractor", "x.tempting", "x.fails", "x.explanation")
+
+
+QUERIES["alg20_rewritten"] = rewritten_drafts
