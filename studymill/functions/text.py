@@ -248,8 +248,8 @@ def anchor_support(anchor: Column, source: Column) -> Column:
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & ((shared >= 2) | (shared / F.size(a) >= 0.5)), F.lit(False))
 
 
-def evidence(quote: Column, source: Column, fuzzy: bool = True) -> Column:
-    """ALG05 without offsets: struct of type and confidence. exact, normalized, by clauses, fuzzy from 0.6."""
+def evidence(quote: Column, source: Column, fuzzy: bool = True, start: Column | None = None, end: Column | None = None) -> Column:
+    """ALG05: struct of type and confidence. exact, normalized, by clauses, fuzzy from 0.6; if start and end (places of signs, from 0) are given, last by what stands there."""
     q, clause = evidence_text(quote), clause_match(quote, source)
     made = lambda t, c: F.struct(F.lit(t).alias("type"), (F.lit(c) if isinstance(c, float) else c).alias("confidence"))
     found = (
@@ -261,6 +261,9 @@ def evidence(quote: Column, source: Column, fuzzy: bool = True) -> Column:
     if fuzzy:
         ratio = fuzzy_ratio(quote, source)
         found = found.when((F.length(quote) >= 20) & (ratio >= 0.6), made("fuzzy", ratio))
+    if start is not None:
+        there = evidence_text(F.substring(source, start + 1, end - start))
+        found = found.when((start >= 0) & (end > start) & (F.substring(source, start + 1, end - start) != "") & (there == q), made("normalized", 0.85))
     return found.otherwise(made("none", 0.0))
 
 

@@ -256,3 +256,23 @@ def rewritten_drafts(spark, sf_dir):
 
 
 QUERIES["alg20_rewritten"] = rewritten_drafts
+
+# a quote with the place that its writer gave: within a run of signs, where only the place tells it
+FIX |= {
+    "placed_quotes": """
+        SELECT id, source, CASE id % 5 WHEN 0 THEN concat(';  ', w0, ' ', substring(w1, 1, 6)) WHEN 1 THEN concat('; ', w0, ' ', substring(w1, 1, 6)) WHEN 2 THEN concat(w0, ' ', w1, ' ', w0) WHEN 3 THEN concat('; ', w1, ' ', w0, ' nowhere') END AS quote,
+          CASE WHEN id % 7 <> 0 THEN CAST(instr(source, '.; zq') AS INT) END AS a, CAST(instr(source, '.; zq') + CASE WHEN id % 11 = 0 THEN 1 ELSE length(concat('; ', w0, ' ', substring(w1, 1, 6))) END AS INT) AS b
+        FROM (SELECT doc_id AS id, concat(coalesce(text, ''), '.; zq', CAST(doc_id AS STRING), 'qz stands ', 'herein at last') AS source, concat('zq', CAST(doc_id AS STRING), 'qz') AS w0, 'stands herein' AS w1 FROM {documents}) AS x""",
+}
+
+
+def placed_evidence(spark, sf_dir):
+    """ALG05 for drafts whose chunk is given, with the places that the writer gave."""
+    from studymill.functions.text import evidence
+
+    d = table("placed_quotes")(spark, sf_dir)
+    e = evidence(C("quote"), C("source"), start=C("a"), end=C("b"))
+    return d.select("id", e.alias("e")).select("id", "e.type", (F.floor(C("e.confidence") * 1000 + 0.5) / 1000).alias("confidence"))
+
+
+QUERIES["alg05_given_places"] = placed_evidence

@@ -73,3 +73,26 @@ def test_rewritten_drafts_equal_the_rule(spark):
     want = [x for d in drafts if (x := expected(d, [s for s in drafts if s.book == d.book]))]
     got = sorted(tuple(r) for r in indexed.rewritten_drafts(spark, SF).collect())
     assert got == want and 30 < len(want) < len(drafts)
+
+
+def test_places_tell_where_nothing_else_does(spark):
+    def norm(t):
+        return re.sub(r"([.,;:!?])[.,;:!?]+", r"\1", re.sub(r"\s+", " ", t)).lower().strip()
+
+    rows = {r.id: r for r in indexed.table("placed_quotes")(spark, SF).collect()}
+    kinds = {}
+    for r in indexed.placed_evidence(spark, SF).collect():
+        d = rows[r.id]
+        kinds[r.type, r.confidence] = kinds.get((r.type, r.confidence), 0) + 1
+        if d.quote is None or len(d.quote) < 15:
+            want = ("none", 0.0)
+        elif d.quote in d.source:
+            want = ("exact", 1.0)
+        elif norm(d.quote) in norm(d.source):
+            want = ("normalized", 0.9)
+        elif d.a is not None and d.b > d.a and norm(d.source[d.a : d.b]) == norm(d.quote):
+            want = ("normalized", 0.85)
+        else:
+            continue  # clauses and fuzzy windows have tests of their own
+        assert (r.type, r.confidence) == want, d
+    assert kinds[("normalized", 0.85)] > 10 and kinds[("exact", 1.0)] > 10
