@@ -86,6 +86,7 @@ SQL = {
     "mth11_length_audit": "SELECT id, coalesce(own >= 1.6e0 * others AND own - others >= 2.5e0 AND own >= 5, false) AS tells FROM {option_words}",
     "mth14_eta": "SELECT job_id, seq, CASE WHEN pct > 5 THEN " + ROUND("seq * 100.0e0 / pct - seq") + " END AS eta FROM {process_events}",
     "dat02_next_review": "SELECT user_id, question_id, " + AS_OF + " + CAST(floor(interval_days * 86400000000 + 0.5e0) AS BIGINT) AS next_review FROM {sm2}",
+    "qrk09_ease_overflow": "SELECT user_id, question_id, floor(ease * 10000 + 0.5e0) / 10000 AS ease, ease >= 9.99995e0 AS overflows FROM {sm2}",
     "dat04_due": "SELECT user_id, question_id FROM {srs_state} WHERE next_review <= " + AS_OF,
     "arr01_capped_arrays": "SELECT id, SIZE(HEAD(UNIQUE(WORDS(text)), 20)) AS n, TEXTOF(HEAD(UNIQUE(WORDS(text)), 3)) AS head FROM {chunks}",
     "arr02_append": "SELECT id, TEXTOF(PUT(WORDS(name), category)) AS words FROM {concepts}",
