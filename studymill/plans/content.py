@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from studymill.functions import text as T
 from studymill.functions.jsonrepair import repair_json
+from studymill.functions.windows import window_ratios
 from studymill.operators import chunking, concepts, dedup, matching, scheduling
 from studymill.operators.ranking import checked
 from studymill.sources.fixtures import FIXTURES
@@ -89,8 +90,13 @@ def evidence_candidates(quotes, docs):
 
 
 def evidence_found(quotes, docs):
+    """(item_id, doc_id, type, confidence) of the pairs that ALG05 accepts; windows are tried only where nothing else holds."""
     met = evidence_candidates(quotes, docs).join(quotes, "item_id").join(docs, "doc_id")
-    return met.select("item_id", "doc_id", T.evidence(F.col("quote"), F.col("text")).alias("e")).where("e.type <> 'none'").select("item_id", "doc_id", "e.type", "e.confidence")
+    met = met.withColumn("e", T.evidence(F.col("quote"), F.col("text"), fuzzy=False))
+    open_ = (F.col("e.type") == "none") & (F.length("quote") >= 20) & (F.col("quote") != "UNGROUNDED")
+    met = met.withColumn("ratio", window_ratios(F.when(open_, T.evidence_text(F.col("quote"))), F.when(open_, T.evidence_text(F.col("text")))))
+    kind = F.when(F.col("e.type") != "none", F.col("e.type")).when(F.col("ratio") >= 0.6, "fuzzy")
+    return met.select("item_id", "doc_id", kind.alias("type"), F.when(kind == "fuzzy", F.col("ratio")).otherwise(F.col("e.confidence")).alias("confidence")).where("type is not null")
 
 
 def evidence_types(spark, sf_dir):
