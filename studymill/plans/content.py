@@ -140,7 +140,23 @@ def page_texts(spark, sf_dir):
 
 
 def repaired_json(spark, sf_dir):
-    broken = F.concat(F.lit("Here: ```json [{id: "), F.col("event_id").cast("string"), F.lit(", 'kind': '"), F.col("event_type"), F.lit("',}, "))
+    """JSN02: eleven kinds of damage, of which one leaves nothing to read."""
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    put = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    kinds = [
+        put("Here: ```json [{id: ", n, ", 'kind': '", kind, "',}, "),
+        put('```json\n[{"id": ', n, ', "kind": "', kind, '"}]\n```'),
+        put("[{“id”: ", n, ", “kind”: “", kind, "”}]"),
+        put('[{"id": ', n, ', "kind": "', kind, '"}, '),
+        put('It is {"id": ', n, ', "kind": "', kind, '"}'),
+        put('[{"id": ', n, ', "kind": "say "', kind, '" now"}]'),
+        put('[{"id": ', n, ', "kind": "', kind),
+        put('[{"id": ', n, ', "kind": "', kind, '"}] hope it helps'),
+        put('[{"id": ', n, ', "kind": "', kind, '",},]'),
+        put("no array for ", kind),
+        put('[{"id": ', n, ', kind: ["', kind, "', 'x"),
+    ]
+    broken = F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", repair_json(broken).alias("json"))
 
 
@@ -207,5 +223,7 @@ ORACLE = {
         e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM d)
         SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM e""",
     "stm03_job_states": "WITH e AS (SELECT conv_id AS job_id, turn AS seq, least(100, turn * 15) AS pct, role AS phase, length(text) % 3 AS metric FROM conversations) SELECT job_id, arg_max(pct, seq) AS pct, arg_max(phase, seq) AS phase, max(seq) AS seq, CAST(arg_max(metric, seq) FILTER (metric <> 0) AS BIGINT) AS metric FROM e GROUP BY job_id",
-    "jsn02_repaired_json": """SELECT event_id, '[{"id":' || event_id || ',"kind":"' || event_type || '"}]' AS json FROM events""",
+    "jsn02_repaired_json": r"""
+        SELECT event_id, CASE event_id % 11 WHEN 9 THEN NULL WHEN 5 THEN '[{"id":' || event_id || ',"kind":"say \"' || event_type || '\" now"}]'
+          WHEN 10 THEN '[{"id":' || event_id || ',"kind":["' || event_type || chr(39) || ', ' || chr(39) || 'x"]}]' ELSE '[{"id":' || event_id || ',"kind":"' || event_type || '"}]' END AS json FROM events""",
 }

@@ -21,7 +21,7 @@ SQL = {
     "snk03_patch": "SELECT id, CASE WHEN deck_id IS NULL THEN 'inbox' ELSE deck_id END AS deck_id, CASE WHEN id % 9 = 0 THEN NULL ELSE display_name END AS display_name FROM {pdfs}",
     "snk04_delete_cascade": "SELECT a.id, a.question_id FROM {attempts} a WHERE NOT EXISTS (SELECT 1 FROM {questions} q WHERE q.id = a.question_id AND q.flagged)",
     "snk04_delete_set_null": "SELECT p.id, CASE WHEN g.id IS NULL THEN p.deck_id END AS deck_id FROM {pdfs} p LEFT JOIN (SELECT id FROM {decks} WHERE parent_id = 'n3') g ON g.id = p.deck_id",
-    "snk09_pending_migrations": "SELECT n_name AS file FROM {nation} n WHERE NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey AND s.s_suppkey % 2 = 0)",
+    "snk09_pending_migrations": "SELECT p_partkey AS file FROM {part} p WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.p_partkey AND l.l_linenumber = 1)",
     "snk10_owner_rows": "SELECT shared_bank_id, user_id, min(role) AS role FROM (SELECT id AS shared_bank_id, owner_user_id AS user_id, 'a_owner' AS role FROM {shared_banks} UNION ALL SELECT shared_bank_id, user_id, 'member' FROM {members}) AS x GROUP BY shared_bank_id, user_id",
     # 2.2 projections and filters
     "prj02_flatten": "SELECT q.id, q.level, c.name AS concept_name FROM {questions} q LEFT JOIN {concepts} c ON c.id = q.concept_id",
@@ -110,7 +110,7 @@ SQL = {
     "agg22_runner_metrics": "SELECT count(*) AS generated, CAST(sum(quality) AS BIGINT) AS accepted, CAST(count(*) - sum(quality) AS BIGINT) AS rejected, floor(10000.0e0 * sum(quality) / count(*) + 0.5e0) / 10000 AS acceptance FROM {labels}",
     "agg23_idf": "SELECT token, df, " + R6("idf") + " AS idf FROM {idf}",
     "agg24_term_frequency": "SELECT id, token, tf FROM {postings}",
-    "agg26_symmetric_map": "SELECT a, JOINED(b, b) AS peers FROM (SELECT DISTINCT a, b FROM (SELECT n_name AS a, r_name AS b FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey) AS e) AS x GROUP BY a",
+    "agg26_symmetric_map": "SELECT a, JOINED(b, b) AS peers FROM (SELECT DISTINCT a, b FROM (SELECT name AS a, fact AS b FROM {concepts} WHERE id % 3 = 0 UNION ALL SELECT fact, name FROM {concepts} WHERE id % 3 = 0 UNION ALL SELECT name, category FROM {concepts} WHERE id % 7 = 0 UNION ALL SELECT category, name FROM {concepts} WHERE id % 7 = 0) AS e WHERE a <> b) AS x GROUP BY a",
     "agg28_judge_means": "SELECT event_type, coalesce(" + R6("avg(value)") + ", 0) AS mean_score, count(*) AS n FROM {events} GROUP BY event_type",
     "agg29_text_quality": "SELECT pdf_id, CASE WHEN mean_chars < 1 THEN 'empty' WHEN mean_chars < 100 OR low_ratio > 0.4e0 THEN 'poor' ELSE 'ok' END AS quality, " + R6("low_ratio") + " AS low_ratio FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS pdf_id, avg(CAST(length(text) AS DOUBLE)) AS mean_chars, avg(CASE WHEN length(text) < 50 OR length(ASCIILESS(text)) > 0.15e0 * length(text) THEN 1.0e0 ELSE 0.0e0 END) AS low_ratio FROM {documents} GROUP BY CAST(floor(doc_id / 40) AS BIGINT)) AS x",
     "agg30_bank_preview": """
@@ -146,7 +146,7 @@ SQL = {
               SELECT pdf_id, id, tokens, 40.0e0 * tokens / sum(tokens) OVER (PARTITION BY pdf_id) AS exact FROM (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS pdf_id, doc_id AS id, length(text) AS tokens FROM {documents}) AS d) AS e) AS w) AS x""",
     "alg08_sm2_fold": "SELECT user_id, question_id, turns, floor(interval_days * 10000 + 0.5e0) / 10000 AS interval_days, floor(ease * 10000 + 0.5e0) / 10000 AS ease, repetitions FROM {sm2}",
     "str21_word_count": "SELECT doc_id, SIZE(WORDS(SWAP(text, '[ \\t\\n\\r]+', ' '))) AS words, CAST(ceil(length(text) / 4.0e0) AS BIGINT) AS tokens FROM {documents}",
-    "str35_levenshtein": "SELECT a.n_name AS a, b.r_name AS b, CAST(DISTANCE(a.n_name, b.r_name) AS BIGINT) AS distance FROM {nation} a CROSS JOIN {region} b",
+    "str35_levenshtein": "SELECT p_partkey AS id, CAST(DISTANCE(lower(p_name), lower(p_type)) AS BIGINT) AS distance FROM {part}",
     # 2.6, 2.7 orders and sets
     "srt02_ranked_decks": "SELECT id, CAST(row_number() OVER (ORDER BY depth, position, name, id) AS BIGINT) AS place FROM (SELECT d.id, d.position, d.name, max(c.depth) AS depth FROM {decks} d JOIN {closure} c ON c.id = d.id GROUP BY d.id, d.position, d.name) AS x",
     "srt04_alphabetical_importance": "SELECT pdf_id, id, CAST(row_number() OVER (PARTITION BY pdf_id ORDER BY importance DESC, name, id) AS BIGINT) AS place FROM {concepts}",
