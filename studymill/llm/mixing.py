@@ -11,7 +11,8 @@ the earlier caps leave doesn't exceed its own cap fixes the level of all later o
 Defined results: a null text has size 0; documents of size 0 are taken 0 words, and emitted by the rate of their source
 like others (a source without words has the rate 0); an empty table gives no rows; rows repeated exactly share their
 hash, so all of them get the additional copy or none, and so do rows without id. Rates are found in windows over the
-sources, in one task: a row of some 100 bytes for each source.
+sources, in one task: a row of some 100 bytes for each source. Other columns are carried under names of their own and
+given back as they were, so they can't clash; a very long text is counted where it lies.
 """
 
 from __future__ import annotations

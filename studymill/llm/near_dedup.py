@@ -22,7 +22,9 @@ the threshold less 5 standard deviations: 3e-7.
 Defined results: a text without words (or null) has an empty set, is its own component and kept; a text with fewer words
 than a shingle has its whole sequence as the one shingle; documents with equal sets, repeated rows among them, are
 linked; rows without id have no component and are kept; different texts of one id are one document, which is linked if
-any of them is (n_shingles is the row's own).
+any of them is (n_shingles is the row's own). Ids are cast to long: one that is no number raises, or is taken as no id where
+casts are lenient. Only id and text are read and returned, so other columns can't clash. Of a very long text a task holds
+the words and a number for each shingle, and its set travels as one array.
 """
 
 from __future__ import annotations

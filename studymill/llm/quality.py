@@ -15,7 +15,9 @@ A document is rejected if its score, the probability of low quality, is at least
 
 Defined results: a text without words (null, empty, white space) has the score 1 and is rejected; texts of one or two
 words are scored like others; repeated rows have equal scores; an empty table gives no rows; the sample decides nothing
-but the scorer's weights, and is the same for the same table; counts of letters in a word of over 32,767 characters are
+but the scorer's weights, and is the same for the same table; further columns are carried under names of their own and
+given back as they were; no labeller accuses a text of under FEW words, and "variety" says nothing below 30: of these the
+scorer alone decides; of a very long text a task holds the words and a number for each; counts of letters in a word of over 32,767 characters are
 scaled to that length.
 """
 

@@ -11,7 +11,8 @@ these counts, and each row finds its shard from its rank within its place. The r
 
 Defined results: a null text has the size 8 and the CRC of no bytes; rows repeated exactly are counted as one group, so
 even a hot repeated row is aggregated before it is shuffled; rows without id are placed like others; an empty table has
-no rows.
+no rows. Only id and text are read and returned, so other columns can't clash; a very long text is measured and hashed where
+it lies.
 """
 
 from __future__ import annotations

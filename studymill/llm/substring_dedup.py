@@ -19,7 +19,9 @@ spaces.
 
 Defined results: null and empty texts are returned as they are; rows without id are returned unchanged and take no part;
 rows repeated exactly, and different texts of one id, count as one document, whose sentences aren't removed for their
-own sake; a text of which nothing stays is the empty text.
+own sake; a text of which nothing stays is the empty text. Ids are cast to long: one that is no number raises, or is taken as
+no id where casts are lenient. Other columns are carried under names of their own and given back as they were. Of a very
+long text a task holds the words and a number for each.
 """
 
 from __future__ import annotations

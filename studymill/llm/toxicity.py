@@ -18,7 +18,8 @@ The model is fitted on at most TRAIN labelled documents, which a hash picks; all
 Defined results: a null or empty text has no features and so the lowest severity; rows without a label or with a null
 label aren't learnt from; of several labels of a document the greatest counts, and of several texts of one id the one of
 the least hash is learnt from; without labelled toxic rows there are no features and every severity is 0; repeated rows
-have equal results.
+have equal results; only id and text are read and returned, so other columns can't clash; a very long text is counted word
+by word, and holds a count for each feature it has; an empty table gives no rows.
 """
 
 from __future__ import annotations
