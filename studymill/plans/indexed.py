@@ -276,3 +276,22 @@ def placed_evidence(spark, sf_dir):
 
 
 QUERIES["alg05_given_places"] = placed_evidence
+
+# Oracles from the rules for plans whose own text is another: prefix sums as lists, islands by their two ends, integer remainders.
+ORACLE |= {
+    "win12_slots": duck("""
+        SELECT pdf_id, id, n AS n_levels, CAST(list_sum(ns[1:k]) AS BIGINT) AS running FROM (
+          SELECT pdf_id, unnest(ids) AS id, unnest(ns) AS n, unnest(generate_series(1, len(ids))) AS k, ns FROM (
+            SELECT pdf_id, list(id ORDER BY pos) AS ids, list(CASE importance WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END ORDER BY pos) AS ns FROM {concepts} GROUP BY pdf_id) a) b
+        WHERE k = 1 OR list_sum(ns[1:k]) <= 30"""),
+    "win13_merged_intervals": duck("""
+        WITH i AS (SELECT DISTINCT user_id, time_spent_ms AS a, time_spent_ms + 400 + id % 900 AS b FROM {attempts}),
+        s AS (SELECT user_id, a, row_number() OVER (PARTITION BY user_id ORDER BY a) AS k FROM (SELECT DISTINCT user_id, a FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.user_id = i.user_id AND j.a < i.a AND j.b >= i.a)) x),
+        e AS (SELECT user_id, b, row_number() OVER (PARTITION BY user_id ORDER BY b) AS k FROM (SELECT DISTINCT user_id, b FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.user_id = i.user_id AND j.a <= i.b AND j.b > i.b)) x)
+        SELECT s.user_id, s.a, e.b FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k"""),
+    "win22_apportion": duck("""
+        WITH d AS (SELECT CAST(doc_id // 40 AS BIGINT) AS pdf_id, doc_id AS id, length(text) AS n FROM {documents}),
+        t AS (SELECT pdf_id, CAST(sum(n) AS BIGINT) AS total FROM d GROUP BY pdf_id),
+        r AS (SELECT d.pdf_id, id, n, 40 * n // total AS whole, 40 * n % total AS rest FROM d JOIN t ON t.pdf_id = d.pdf_id)
+        SELECT a.pdf_id, a.id, CAST(a.whole + CASE WHEN (SELECT count(*) FROM r b WHERE b.pdf_id = a.pdf_id AND (b.rest, b.n, -b.id) > (a.rest, a.n, -a.id)) < 40 - (SELECT sum(whole) FROM r c WHERE c.pdf_id = a.pdf_id) THEN 1 ELSE 0 END AS BIGINT) AS target FROM r a"""),
+}
