@@ -1,7 +1,6 @@
 """Chunking, scheduling, question dedup, JSON repair and streams on small inputs."""
 
 import random
-import time
 
 import pytest
 
@@ -146,24 +145,6 @@ def test_json_repair(text, want):
     assert repaired(text) == want
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    rng = random.Random(2)
-    log = [(rng.randint(1, 4), rng.randint(1, 3), rng.randint(1, 4), k, k) for k in range(60)]
-    schema = "user_id long, question_id long, quality int, reviewed_at long, id long"
-    for part in range(3):
-        spark.createDataFrame(log[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(1.1)  # files are read in the order of their times
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = states.scheduled(stream).writeStream.format("memory").queryName("sm2").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    got = {(r.user_id, r.question_id): r for r in spark.sql("SELECT * FROM sm2").orderBy("turns").collect()}
-    want = scheduling.fold(spark.createDataFrame(log, schema)).collect()
-    assert len(got) == len(want)
-    for w in want:
-        r = got[w.user_id, w.question_id]
-        assert (r.turns, r.repetitions) == (w.turns, w.repetitions) and abs(r.ease - w.ease) < 1e-9
-
-
 def test_siblings_also_review_the_original(spark):
     rows = [(1, 10, 11, 3, 1, 1), (1, 10, 11, 2, 2, 2), (1, 12, None, 4, 3, 3)]
     got = states.proxied(spark.createDataFrame(rows, "user_id long, question_id long, proxied_from_id long, quality int, reviewed_at long, id long"))
