@@ -24,6 +24,15 @@ def ranked_users(attempts: DataFrame) -> DataFrame:
     return r.select("pdf_id", "user_id", (F.col("down") <= cutoff).alias("top"), (F.col("n") + 1 - F.col("down") <= cutoff).alias("bottom"))
 
 
+def context_scores(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """What a chunk's words add for the concepts of its book. Books and words travel as one 64-bit hash of both."""
+    key = F.xxhash64("book", "term").alias("key")
+    asked = terms.select("id", key)
+    found = words.select(F.col("id").alias("chunk"), "book", F.explode("ws").alias("term")).select(key, "chunk").groupBy("key", "chunk").agg(F.count("*").alias("tf"))
+    met = asked.join(found, "key").groupBy("id", "chunk").agg(F.sum(F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("score"))
+    return met.select("id", "chunk", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
+
+
 #: fixture: (program, the fixtures and tables that it takes)
 FORMS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "closure": (hierarchy.closure, ("decks",)),
@@ -31,5 +40,6 @@ FORMS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "bm25": (retrieval.bm25, ("queries", "query_terms", "chunks")),
     "nearest": (nearest, ("vectors", "benchmark")),
     "ranked_users": (ranked_users, ("attempts",)),
+    "context_scores": (context_scores, ("context_terms", "context_words")),
     "sm2": (scheduling.fold, ("reviews",)),
 }
