@@ -31,8 +31,10 @@ def concept_contexts(concepts: DataFrame, own: DataFrame, found: DataFrame, near
     order = Window.partitionBy("id").orderBy("kind", "rank", "chunk")
     picked = first.unionByName(more).join(there, "chunk", "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CHUNKS)
     page = F.when(F.col("start_page") != F.col("end_page"), F.concat(F.lit("pages "), F.col("start_page").cast("string"), F.lit("–"), F.col("end_page").cast("string"))).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("start_page").cast("string"), F.lit("?"))))
-    passage = F.concat(F.lit('> "'), F.replace(F.substring("text", 1, PASSAGE), F.lit('"'), F.lit("'")), F.lit('" ['), page, F.lit("]"))
-    read = picked.join(chunks, "chunk").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk", passage.alias("passage")))).alias("c"), F.max(clinical_support(F.col("text"))).alias("clinical"))  # CHUNKS rows at most
+    quoted = F.concat(F.lit('> "'), F.replace(F.substring("text", 1, PASSAGE), F.lit('"'), F.lit("'")), F.lit('" ['), page, F.lit("]"))
+    # a chunk is read once; what travels to its concepts is a passage and a sign
+    told = chunks.select("chunk", quoted.alias("passage"), clinical_support(F.col("text")).alias("clinical"))
+    read = picked.join(told, "chunk").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk", "passage"))).alias("c"), F.max("clinical").alias("clinical"))  # CHUNKS rows at most
     best = near.groupBy("id", "chunk").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "chunk"))).where(F.col("place") <= NEIGHBOURS)
     beside = best.join(chunks.select("chunk", F.substring("text", 1, SNIPPET).alias("snippet")), "chunk").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "snippet"))).alias("n"))
     levels = F.lit(None)
