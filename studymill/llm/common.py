@@ -53,6 +53,15 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return f
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df with several small shuffle partitions to a task: a fifth of the shuffle partitions, but three tasks a core at least.
+
+    For narrow rows that are written or go to Python next: starting that costs a task more than its rows do.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

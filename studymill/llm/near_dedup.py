@@ -10,7 +10,7 @@ empty and say nothing, so each of its shingles enters every bucket, by the bucke
 linked partner may be above the limit have both sketches, so any two sets that can be linked share one kind.
 
 No pairs of a whole group: documents with equal sets are one node. In a bucket of the blocking table only the pairs with
-a centre are tested (first the smallest id, then the one of the least hash). Buckets whose rows are then still in
+one of two centres are tested (the smallest id and the one of the least hash). Buckets whose rows are then still in
 several components are searched completely, but for pairs within one component, which can't change the result: small
 ones by pairs; the sets of all documents in larger ones by an exact search over their rarest shingles (crowded_pairs).
 So a group of near copies, or of texts around one passage, costs rows in proportion to its size, and no link between
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, forget, lean, map_rows, mixed, shingle_hashes, stored
+from .common import WordHashes, forget, gathered, lean, map_rows, mixed, shingle_hashes, stored
 from .components import components
 
 BANDS, ROWS = 36, 5
@@ -150,18 +150,18 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 e = estimates((a == b).sum(axis=1), x["n_shingles_a"].to_numpy() * share, x["n_shingles_b"].to_numpy() * share)
                 yield x.select(["a", "b"]).filter(pa.array(e >= least))
 
-    return met.mapInArrow(run, "a long, b long")
+    return gathered(met).mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, repeated: bool = True) -> DataFrame:
-    """(doc_id, shingles) of at least the documents with these ids; a filter of bounded size keeps most others out. repeated: ids may stand in several rows, of which each different set is kept once."""
-    n = ids.count()
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, repeated: bool = True, n: int | None = None) -> DataFrame:
+    """(doc_id, shingles) of at least the documents with these ids (n rows at most, counted if not given; an id may come again); a filter of bounded size keeps most others out. repeated: ids may stand in several rows, of which each different set is kept once."""
+    n = ids.count() if n is None else n
     if n * 8 > FILTER_BITS:  # the filter would be full: the texts are shuffled instead
         docs, words = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), None
     else:
         bits = 1 << max(10, min(27, (16 * n).bit_length()))
         bit = F.pmod(F.xxhash64("id"), F.lit(bits))
-        got = ids.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("set")).toArrow()  # bits / 64 rows at most
+        got = gathered(ids.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))).alias("set"))).toArrow()  # bits / 64 rows at most
         words = np.zeros(bits // 64, np.int64)
         words[got["word"].to_numpy()] = got["set"].to_numpy()
         docs = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
@@ -187,15 +187,15 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, repeated: bool = T
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+    """The pairs whose full sets reach the threshold; a pair of ids with several sets may come again."""
     of = lambda s: sets.select(F.col("doc_id").alias(f"doc_{s}"), F.col("shingles").alias(f"set_{s}"))
     met = pairs.join(of("a"), F.col("a") == F.col("doc_a")).join(of("b"), F.col("b") == F.col("doc_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return met.where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b").distinct()
+    return met.where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
 def labelled(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -204,11 +204,14 @@ def labelled(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
     return bands.join(labels, bands["doc_id"] == labels["id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
 
 
-def star_pairs(bands: DataFrame, labels: DataFrame | None, centre) -> DataFrame:
-    """Pairs of each bucket's centre with its rows of other components."""
+def star_pairs(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs of each bucket's two centres, the smallest id and the one of the least hash, with its rows of other components."""
     rows = labelled(bands, labels)
-    mixed_up = rows.groupBy("band").agg(F.min(F.struct(centre.alias("rank"), F.col("doc_id").alias("centre"), F.col("component").alias("own"))).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "c.centre", "c.own")
-    met = rows.join(mixed_up, "band").where("component <> own")
+    ranks = F.col("doc_id"), F.xxhash64("doc_id", F.lit(7))
+    centres = [F.min_by(c, rank).alias(f"{c}_{k}") for k, rank in enumerate(ranks) for c in ("doc_id", "component")]
+    mixed_up = rows.groupBy("band").agg(*centres, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    both = F.array(*(F.struct(F.col(f"doc_id_{k}").alias("centre"), F.col(f"component_{k}").alias("own")) for k in range(len(ranks))))
+    met = rows.join(mixed_up.select("band", both.alias("centres")), "band").select("doc_id", "component", F.inline("centres")).where("component <> own")
     return met.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
 
 
@@ -262,7 +265,7 @@ def first_places(crowded: DataFrame, percent: int) -> DataFrame:
                 cols = (flat[keep], part["doc_id"].to_numpy()[row[keep]], part["component"].to_numpy()[row[keep]], size[row[keep]], place[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["token", "doc_id", "component", "n", "place"])
 
-    return crowded.mapInArrow(run, "token long, doc_id long, component long, n long, place long")
+    return gathered(crowded).mapInArrow(run, "token long, doc_id long, component long, n long, place long")
 
 
 def crowded_pairs(crowded: DataFrame, percent: int) -> DataFrame:
@@ -274,13 +277,19 @@ def crowded_pairs(crowded: DataFrame, percent: int) -> DataFrame:
     of CELL rows a side, which hold numbers alone, and return what passes. A shingle that all of a group shares comes
     last in each of its sets, behind the ones that tell them apart.
     """
-    rows = first_places(crowded, percent)
+    return meeting_pairs(stored(first_places(crowded, percent), "places"), percent)
+
+
+def meeting_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of crowded_pairs, from the stored rows of first_places."""
     size_class = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(100 / min(percent, 99)))).cast("int")
     least = F.ceil(F.col("n") * percent / 100).cast("long")
     most = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent).cast("long") - F.col("n")  # sizes of partners
-    small = rows.where(F.col("place") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).select("*", size_class(F.col("n")).alias("size_class"), F.lit(True).alias("smaller"))
-    large = rows.where(least <= most).select("*", F.explode(F.sequence(size_class(least), size_class(F.least("n", most)))).alias("size_class"), F.lit(False).alias("smaller"))
-    met = small.unionByName(large)
+    role = lambda smaller: lambda c: F.struct(c.alias("size_class"), F.lit(smaller).alias("smaller"))
+    small = F.when(F.col("place") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1, F.transform(F.array(size_class(F.col("n"))), role(True)))
+    large = F.when(least <= most, F.transform(F.sequence(size_class(least), size_class(F.least("n", most))), role(False)))
+    none = F.array().cast("array<struct<size_class:int,smaller:boolean>>")
+    met = rows.select("*", F.inline(F.concat(F.coalesce(small, none), F.coalesce(large, none))))
     key = ["token", "size_class"]
     groups = met.groupBy(*key).agg(F.count_if("smaller").alias("n_small"), F.count_if(~F.col("smaller")).alias("n_large"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and n_small > 0 and n_large > 0")
     groups = groups.select(*key, F.ceil(F.col("n_small") / CELL).cast("int").alias("small_cells"), F.ceil(F.col("n_large") / CELL).cast("int").alias("large_cells"))
@@ -315,31 +324,30 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = stored(sketches(docs, width, percent), "sketches")
     whole = table.where("n_shingles > 0 and doc_id is not null")
-    sets = stored(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "groups")
-    nodes = stored(table.join(sets, "set_key").where("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "small", "large"), "nodes")
+    sets = stored(gathered(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"))), "groups")
+    nodes = stored(gathered(table.join(sets, "set_key").where("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "small", "large")), "nodes")
     bands = band_rows(nodes)
-    several = stored(whole.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("*").alias("n")).where("n > 1"), "several")
+    several = stored(gathered(whole.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("*").alias("n")).where("n > 1")), "several")
     repeated = not several.isEmpty()
     edges = stored(whole.join(several.where("lo < hi").select("doc_id"), "doc_id").join(sets, "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "edges")
     labels = None if edges.isEmpty() else components(edges)
-    for centre in (F.lit(0), F.xxhash64("doc_id", F.lit(7))):
-        pairs = stored(estimated(star_pairs(bands, labels, centre), nodes, percent), "pairs")
-        if pairs.isEmpty():
-            continue
-        full = stored(shingle_sets(docs, ends(pairs), width, repeated), "sets")
-        edges = edges.unionByName(stored(verified(pairs, full, percent), "edges"))
+    pairs = stored(estimated(star_pairs(bands, labels), nodes, percent), "pairs")
+    if n_pairs := pairs.count():
+        full = stored(shingle_sets(docs, ends(pairs), width, repeated, 2 * n_pairs), "sets")
+        edges = edges.unionByName(stored(gathered(verified(pairs, full, percent)), "edges"))
         forget(pairs, full, labels)
         labels = components(edges)
     # what still lies in several components of one bucket
     rows = labelled(bands, labels)
     open_bands = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
-    rest = stored(rows.join(open_bands, "band"), "open")
+    rest = stored(gathered(rows.join(open_bands, "band")), "open")
     few = stored(estimated(few_pairs(rest), nodes, percent), "pairs")
-    crowded = rest.where(F.col("n") > SMALL).groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"))
-    full = stored(shingle_sets(docs, ends(few).unionByName(crowded.select("id")).distinct(), width, repeated), "sets")
-    many = estimated(crowded_pairs(full.join(crowded, full["doc_id"] == crowded["id"]), percent), nodes, percent)
-    found = stored(verified(few.unionByName(many).distinct(), full, percent), "edges")
-    forget(rest, few, full, nodes)
+    crowded = stored(gathered(rest.where(F.col("n") > SMALL).groupBy(F.col("doc_id").alias("id")).agg(F.min("component").alias("component"))), "crowded")
+    full = stored(shingle_sets(docs, ends(few).unionByName(crowded.select("id")), width, repeated, 2 * few.count() + crowded.count()), "sets")
+    places = stored(first_places(full.join(crowded, full["doc_id"] == crowded["id"]), percent), "places")
+    many = estimated(meeting_pairs(places, percent), nodes, percent)
+    found = stored(gathered(verified(few.unionByName(many).distinct(), full, percent)), "edges")
+    forget(rest, few, crowded, full, places, nodes)
     if not found.isEmpty():
         edges = edges.unionByName(found)
         forget(labels)
@@ -350,7 +358,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return gathered(out).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op8(spark, sf_dir):

@@ -122,6 +122,27 @@ def test_repeated_rows_and_texts_of_one_id(spark):
     assert sorted(r.doc_id for r in sets.where("doc_id <= 2").collect()) == [1, 2, 2]
 
 
+def test_small_partitions_share_tasks(spark):
+    """With many shuffle partitions, the rounds of a few edges start few tasks."""
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "")
+        found = components(spark.createDataFrame([(1, k) for k in range(2, 50)] + [(50, 51), (51, 52)], "a long, b long")).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.id: r.component for r in found} == {k: 1 if k < 50 else 50 for k in range(1, 53)}
+    track = sc.statusTracker()
+    stages = {i for job in track.getJobIdsForGroup("few-tasks") for i in track.getJobInfo(job).stageIds}
+    tasks = sum(x.numCompletedTasks for i in stages if (x := track.getStageInfo(i)))
+    assert 0 < tasks < 120, tasks
+
+
 def test_estimates_are_near():
     rng = np.random.default_rng(1)
     for n in (50, 500, 20_000):
