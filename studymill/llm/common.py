@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studymill.sources.scratch import checkpoint_dir, forget, stored  # noqa: F401 - the operators take them from here
+from studymill.sources.scratch import checkpoint_dir, forget, settled, stored  # noqa: F401 - the operators take them from here
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, Memo, documents, lean, mixed, stored
+from .common import MIX_A, MIX_B, Memo, documents, lean, mixed, settled, stored
 
 LONG, PICK = 8, 4
 #: Words of a run at least, in the queries: shorter repeats, down to two sentences of a word each, stand in clean texts by
@@ -121,11 +121,15 @@ def span_rows(docs: DataFrame, least: int = 0) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, least: int = 0) -> DataFrame:
-    """(gone_id, spans): the runs of each document that a document of a smaller id has too."""
-    spans = stored(span_rows(docs, least), "spans")  # both sides of the join; the texts are cut once
-    shared = spans.groupBy("span", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("span", "second", "lo")
-    later = spans.join(stored(shared, "repeated"), ["span", "second"]).where("doc_id > lo")
-    return later.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("span").alias("spans"))
+    """(gone_id, spans): the runs of each document that a document of a smaller id has too; stored, and the runs of all documents aren't kept."""
+
+    def found() -> DataFrame:
+        spans = stored(span_rows(docs, least), "spans")  # both sides of the join; the texts are cut once
+        shared = spans.groupBy("span", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("span", "second", "lo")
+        later = spans.join(stored(shared, "repeated"), ["span", "second"]).where("doc_id > lo")
+        return later.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("span").alias("spans"))
+
+    return settled(found, "gone")
 
 
 def without(text: str, spans: list[int] | None, cut: Sentences, least: int = 0) -> tuple[str, int, int]:

@@ -1,12 +1,15 @@
 """The pipeline stage by stage, each on its own input, and over an empty table."""
 
 import hashlib
+import os
+import re
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from studymill.llm.common import default_tokenizer, stored
+from studymill.llm import quality
+from studymill.llm.common import checkpoint_dir, default_tokenizer, stored
 from studymill.llm.mixing import mix_plan
 from tests.llm.conftest import corpus
 from tests.llm.test_dedup import brute, windows
@@ -50,3 +53,35 @@ def test_an_empty_table_passes(spark, table):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, ""), "empty")
     assert docs.count() == 0
+
+
+def kept_tables(spark):
+    """Names of the tables below the checkpoint folder, each with its number."""
+    top = f"{checkpoint_dir(spark).removeprefix('file:')}/studymill/{spark.sparkContext.applicationId}"
+    return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+
+def test_stages_keep_no_large_tables(spark, table):
+    """What a stage stores on its way is gone before the texts move: features, sketches and runs of sentences."""
+    docs = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, lazy = kept_tables(spark), stage(spark, docs, "")
+        assert {re.sub("-.*", "", x) for x in kept_tables(spark) - before} <= {"gone", "rates"}, name
+        docs = stored(lazy, name)
+
+
+def test_run_keeps_the_last_table(spark, table, tmp_path):
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    before = kept_tables(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {re.sub("-.*", "", x) for x in kept_tables(spark) - before} == {"source_mix"} and out.count() > 0
+
+
+def test_rejected_rows_are_named_by_id_and_text(spark, table):
+    """Rows without id and two texts of one id: the classifier's verdict on each row decides."""
+    more = [(None, "junk " * 300, "en", "s1", 1500), (None, None, "en", "s1", 0), (3, "junk " * 300, "en", "s1", 1500), (3, "", "en", "s1", 0)]
+    docs = table.unionByName(spark.createDataFrame(more, table.schema)).unionByName(table.where("doc_id = 3").selectExpr("cast(null as long) doc_id", *table.columns[1:]))
+    want = quality.scored(docs).where("quality_keep").select(*docs.columns).collect()
+    got = corpus_pipeline.quality_stage(spark, docs, "").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) < docs.count()
+    assert any(r.doc_id is None for r in got) and [r.text for r in got if r.doc_id == 3] == [r.text for r in table.where("doc_id = 3").collect()]
