@@ -32,6 +32,9 @@ MARKS = frozenset(".,;:!?")
 #: A space where a cut would not be a boundary of the pattern in every case: beside white space, or at an end.
 ODD_SPACE = re.compile(r" \s|\s |\A\s|\s\Z")
 NEVER = 1 << 60
+#: Entries of each generation of a memo: what fits beside the pipeline's other stages. The query alone has room for more, and
+#: then fewer words are merged again.
+MEMO, ROOMY = 120_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
@@ -64,7 +67,9 @@ class ByteBpe:
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.names = {i: str(i) for i in self.bytes_of}
         self.words = Memo(self._word, 120_000)
-        self.known = Memo(self.stretch, 120_000)
+        self.known = Memo(self.stretch, memo)
+        #: by what follows the space that begins the stretch
+        self.spaced = Memo(lambda s: self.stretch(" " + s), memo)
         self.pieces = Memo(self._coded, 100_000)
 
     def _word(self, word: str) -> tuple[int, ...]:
@@ -86,7 +91,7 @@ class ByteBpe:
             if body.isalpha():
                 return self._coded(s)
             if body[-1:] in MARKS and body[:-1].isalpha():
-                (a, x), (b, y) = self.known[s[:-1]], self.pieces[s[-1]]
+                (a, x), (b, y) = self.known[s[:-1]] if body is s else self.spaced[body[:-1]], self.pieces[s[-1]]
                 return f"{a},{b}", x + y
         found = [self.pieces[w] for w in self.findall(s)]
         return ",".join(a for a, _ in found), b"".join(x for _, x in found)
@@ -97,14 +102,15 @@ class ByteBpe:
     def merged(self, ids: list[int], ranks: list[int]) -> list[int]:
         """The parts ids of a word, whose neighbours have these ranks, after all merges."""
         get = self.pairs.get
-        while ranks and (best := min(ranks)) != NEVER:
+        never = NEVER
+        while ranks and (best := min(ranks)) != never:
             i = ranks.index(best)
             ids[i] = new = best & 0xFFFFF
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | new, NEVER)
+                ranks[i - 1] = get(ids[i - 1] << 20 | new, never)
             if i < len(ranks):
-                ranks[i] = get(new << 20 | ids[i + 1], NEVER)
+                ranks[i] = get(new << 20 | ids[i + 1], never)
         return ids
 
     def merged_long(self, ids: list[int]) -> list[int]:
@@ -142,16 +148,21 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def stretches(text: str) -> list[str] | None:
-    """The text cut before each single space; None where a cut would not be a boundary of the pattern in every case.
+def at_spaces(text: str) -> list[str] | None:
+    """The text cut at each single space; None where that would not be a boundary of the pattern in every case.
 
     A space between two characters that are no white space always begins a new pre-token: white-space runs can't end
     there and no other alternative holds a space but as its first character.
     """
     if not text or ODD_SPACE.search(text):
         return None
-    first, *rest = text.split(" ")
-    return [first, *(" " + p for p in rest)]
+    return text.split(" ")
+
+
+def stretches(text: str) -> list[str] | None:
+    """The same cuts, but each space stays with what follows it."""
+    parts = at_spaces(text)
+    return parts and [parts[0], *(" " + p for p in parts[1:])]
 
 
 def token_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -172,7 +183,7 @@ def token_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     return map_rows(df.select(doc_id, text), make, f"{doc_id} {dict(df.dtypes)[doc_id]}, ids array<int>, decoded string")
 
 
-def encode_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def encode_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, memo: int = MEMO) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every whole text encoded, and decoded from the ids alone.
 
     Texts are handled in stretches between proven pre-token boundaries. A stretch's ids, and the bytes that the decoder
@@ -181,19 +192,19 @@ def encode_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     """
 
     def make():
-        bpe = ByteBpe(path or default_tokenizer())
-        known = bpe.known.__getitem__
+        bpe = ByteBpe(path or default_tokenizer(), memo)
+        spaced = bpe.spaced.__getitem__
 
         def run(ids, texts):
             out = []
             for i, t in zip(ids, texts, strict=True):
                 t = t or ""
-                parts = None if bpe.has_special(t) else stretches(t)
+                parts = None if bpe.has_special(t) else at_spaces(t)
                 if parts is None:
                     got = bpe.encode(t)
                     joined, back = ",".join(map(str, got)), b"".join(map(bpe.bytes_of.__getitem__, got))
                 else:
-                    found, made = zip(*map(known, parts), strict=True)
+                    found, made = zip(bpe.known[parts[0]], *map(spaced, parts[1:]), strict=True)
                     joined, back = ",".join(found), b"".join(made)
                 back = back.decode("utf-8", "replace").encode()
                 out.append((i, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))

@@ -11,7 +11,7 @@ def op1(spark, sf_dir):
 
 
 def op2(spark, sf_dir):
-    return bpe.encode_digests(documents(spark, sf_dir))
+    return bpe.encode_digests(documents(spark, sf_dir), memo=bpe.ROOMY)
 
 
 QUERIES = {

@@ -123,3 +123,30 @@ def test_cosine_hash_against_the_plain_sum():
                 low.append(round(sum(cells[i][j] * np.cos(np.pi * u * (2 * i + 1) / 64) * np.cos(np.pi * v * (2 * j + 1) / 64) for i in range(32) for j in range(32)), 6))
         middle = sorted(low[1:])[31]
         assert media.cosine_hash(x) == f"{int(''.join('1' if z > middle else '0' for z in low), 2):016x}"
+
+
+def test_op2_merges_a_word_once_where_the_pipeline_merges_it_again(monkeypatch):
+    """The query's memo holds more words than the pipeline's; results don't depend on its size."""
+    from studymill.llm import queries
+
+    asked = {}
+    monkeypatch.setattr(queries.bpe, "encode_digests", lambda df, **kw: asked.update(kw))
+    monkeypatch.setattr(queries, "documents", lambda spark, sf_dir: None)
+    queries.op2(None, "")
+    assert asked["memo"] > 2 * 120_000
+    words = ["w" + "".join(chr(97 + k // 26**j % 26) for j in range(3)) for k in range(60)]
+    merged, found = {}, {}
+    for memo in (4, 200):  # 120 stretches in all
+        coder = bpe.ByteBpe(default_tokenizer(), memo)
+        merged[memo], plain = [], coder._coded
+        monkeypatch.setattr(coder, "_coded", lambda w, seen=merged[memo], plain=plain: seen.append(w) or plain(w))
+        found[memo] = [coder.spaced[w + sign] for _ in range(2) for w in words for sign in ("", ",")]
+    assert found[4] == found[200] and found[4][1] == coder.stretch(" " + words[0] + ",")
+    assert len(merged[200]) == len(words) < len(merged[4])
+
+
+def test_cuts_at_spaces_hold_the_whole_text():
+    for t in ("a b, c", "one", "x (y) z.\nQ r"):
+        assert " ".join(bpe.at_spaces(t)) == t == "".join(bpe.stretches(t))
+    for t in ("", " a", "a ", "a  b", "a \nb"):
+        assert bpe.at_spaces(t) is None and bpe.stretches(t) is None
