@@ -14,21 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studymill.llm import bpe, mixing, near_dedup, quality, substring_dedup
-from studymill.llm.common import forget, settled
+from studymill.llm.common import forget, gathered, settled
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier doesn't reject. Equal texts have equal scores, so a rejected row is named by id and text."""
     key = ["doc_id", F.xxhash64("text").alias("text_hash")]
     scored = lambda: quality.scored(docs.select("text", *key), keep=["doc_id", "text_hash"])
-    gone = settled(lambda: scored().where(~F.col("quality_keep")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    gone = settled(lambda: gathered(scored().where(~F.col("quality_keep")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()), "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates: shingles of five words, similarity 0.8. Documents without id stay."""
     found = lambda: near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = settled(lambda: found().where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = settled(lambda: gathered(found().where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()), "gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 

@@ -54,12 +54,13 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df with several small shuffle partitions to a task: a fifth of the shuffle partitions, but three tasks a core at least.
+    """df with several small shuffle partitions to a task: a fifth of the shuffle partitions, but a task a core at least.
 
-    For narrow rows that are written or go to Python next: starting that costs a task more than its rows do.
+    For narrow rows that are written or go to Python next: starting that costs a task more than its rows do. On a local
+    file system without Hadoop's native library each file written also makes the executor fork for chmod.
     """
     spark = df.sparkSession
-    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

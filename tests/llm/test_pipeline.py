@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from studymill.llm import quality
-from studymill.llm.common import checkpoint_dir, default_tokenizer, stored
+from studymill.llm.common import checkpoint_dir, default_tokenizer, gathered, stored
 from studymill.llm.mixing import mix_plan
 from tests.llm.conftest import corpus
 from tests.llm.test_dedup import brute, windows
@@ -85,3 +85,22 @@ def test_rejected_rows_are_named_by_id_and_text(spark, table):
     got = corpus_pipeline.quality_stage(spark, docs, "").collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) < docs.count()
     assert any(r.doc_id is None for r in got) and [r.text for r in got if r.doc_id == 3] == [r.text for r in table.where("doc_id = 3").collect()]
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality_stage, corpus_pipeline.near_dedup_stage])
+def test_narrow_tables_are_written_by_few_tasks(spark, table, stage):
+    """Each file that a task writes may cost the executor a fork: a task a core, not one for each shuffle partition."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in conf}
+    cores, before = spark.sparkContext.defaultParallelism, kept_tables(spark)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert gathered(spark.range(0, 100, 1, 24)).rdd.getNumPartitions() == max(cores, 24 // 5)
+        n = stage(spark, table, "").count()
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    top = f"{checkpoint_dir(spark).removeprefix('file:')}/studymill/{spark.sparkContext.applicationId}"
+    (gone,) = [x for x in kept_tables(spark) - before if x.startswith("gone-")]
+    assert 0 < n < table.count() and len([x for x in os.listdir(f"{top}/{gone}") if x.startswith("part-")]) <= max(cores, 24 // 5)
