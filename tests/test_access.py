@@ -62,7 +62,7 @@ def above_explode(plan: str) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("query", [indexed.seen_kinds, indexed.grants, indexed.scopes])
+@pytest.mark.parametrize("query", [indexed.seen_kinds, indexed.grants, indexed.owned_shared, indexed.scopes])
 def test_pairs_of_decks_are_not_shuffled(spark, query):
     """The expanded rows come last: no exchange, sort, join or aggregate stands above their explode."""
     above = above_explode(query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString())
