@@ -23,6 +23,12 @@ def test_drafts_split_their_source_twice(spark):
     assert x.count("|n+") == 2
 
 
+def test_sentences_are_made_plain_once(spark):
+    """STR43: words of keywords met a sentence that was made plain for each of them."""
+    x = text_of(V.better_sentence(C("source"), C("quote"), C("keywords")))
+    assert x.count("[^a-z0-9]+") == 3  # keywords, a sentence, the quote
+
+
 def test_signs_of_white_space(spark):
     assert all(re.fullmatch(T.S, x) for x in T.SPACES) and len(T.SPACES) == len(set(T.SPACES)) == sum(bool(re.fullmatch(T.S, chr(k))) for k in range(0x10000))
     texts = ["", " ", "a", "　A-b ﻿", "x .. y  z\n", "é İI", "a\x85b \x85", "--", "\U0001f600 a"]
