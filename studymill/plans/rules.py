@@ -203,7 +203,8 @@ def distractor_pool(spark, sf_dir):
 
 def key_sweep(spark, sf_dir):
     """ALG28: questions whose explanation speaks for another option: the reason is appended once, and a flag row is added where none is there."""
-    d = table("drafts")(spark, sf_dir).withColumn("mismatch", V.mismatch_issue(C("options"), C("answer"), F.coalesce("explanation", F.lit("")))).where("mismatch is not null")
+    d = table("drafts")(spark, sf_dir).select("id", V.mismatch_issue(C("options"), C("answer"), F.coalesce("explanation", F.lit(""))).alias("mismatch"))
+    d = stored(d, "mismatches").where("mismatch is not null")  # a condition on it would be evaluated once more at the scan, with all that it is made of put in at each use
     before = F.when(C("id") % 3 == 0, "ANSWER_KEY_MISMATCH | other").when(C("id") % 3 == 1, "other")
     known = table("drafts")(spark, sf_dir).where("id % 4 = 0").select("id", F.lit(True).alias("known"))
     after = F.when(F.contains(before, F.lit("ANSWER_KEY_MISMATCH")), before).otherwise(F.concat_ws(" | ", before, F.lit("ANSWER_KEY_MISMATCH")))

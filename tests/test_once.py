@@ -2,11 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from studymill.functions import text as T
 from studymill.functions import validation as V
-from studymill.plans import forms
+from studymill.plans import forms, rules
 from studymill.plans.plan import Plan
 from studymill.sources.drafts import DRAFTS
 
@@ -29,6 +30,14 @@ def test_sentences_are_made_plain_once(spark):
     assert x.count("[^a-z0-9]+") == 3  # keywords, a sentence, the quote
 
 
+@pytest.mark.parametrize("name", ["alg28_key_sweep"])
+def test_conditions_stand_on_what_is_stored(spark, name):
+    """ALG28: no condition is evaluated at the scan of the documents with all rules put in."""
+    plan = rules.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if re.match(r"^[\s:+-]*Filter", x)]
+    assert filters and not any("lambda" in x or "regexp" in x for x in filters)
+
+
 def test_signs_of_white_space(spark):
     assert all(re.fullmatch(T.S, x) for x in T.SPACES) and len(T.SPACES) == len(set(T.SPACES)) == sum(bool(re.fullmatch(T.S, chr(k))) for k in range(0x10000))
     texts = ["", " ", "a", "　A-b ﻿", "x .. y  z\n", "é İI", "a\x85b \x85", "--", "\U0001f600 a"]
