@@ -371,7 +371,7 @@ QUERIES = {
     "alg16_concept_mismatches": over("drafts", lambda: ["id", V.concept_mismatch(C("stem"), F.coalesce(F.get("options", C("answer")), F.lit("")), F.concat("a", F.lit(" "), "b"), F.array(F.lit("one (renin)"))).alias("mismatch")]),
     "alg17_inferred_answers": over("drafts", lambda: ["id", V.inferred_answer(C("options"), C("answer"), F.coalesce("explanation", F.lit(""))).cast("long").alias("answer")]),
     "alg26_flag_reasons": mapped_rows,
-    "fil14_discarded": lambda spark, sf_dir: mapped_rows(spark, sf_dir).where("not discarded").select("id", "flag_reason"),
+    "fil14_discarded": lambda spark, sf_dir: stored(mapped_rows(spark, sf_dir), "reasons").where("not discarded").select("id", "flag_reason"),  # stored, as in key_sweep
     "fil17_slugs": over("paths", lambda: ["id", F.when(T.trimmed(C("slug")).rlike("(?i)^[a-z0-9][a-z0-9-]{0,95}$"), T.trimmed(C("slug"))).alias("slug"), F.when(C("path").rlike(r"^/(app|s/(?i:[a-z0-9][a-z0-9-]{0,95}))([?#].*)?$"), C("path")).otherwise("/app").alias("path")]),
     "fil18_template_stems": over("drafts", lambda: ["id", C("stem").rlike("""(?i)^In the source passage, which named concept is described by ["']""").alias("template")]),
     "str38_clues": over("drafts", lambda: ["id", F.coalesce(F.nullif(F.regexp_extract("stem", f"""(?i)described by ["'](.+?)["'](?:{T.S}|[?])*$""", 1), F.lit("")), "stem").alias("clue")]),

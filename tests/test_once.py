@@ -30,9 +30,9 @@ def test_sentences_are_made_plain_once(spark):
     assert x.count("[^a-z0-9]+") == 3  # keywords, a sentence, the quote
 
 
-@pytest.mark.parametrize("name", ["alg28_key_sweep"])
+@pytest.mark.parametrize("name", ["fil14_discarded", "alg28_key_sweep"])
 def test_conditions_stand_on_what_is_stored(spark, name):
-    """ALG28: no condition is evaluated at the scan of the documents with all rules put in."""
+    """FIL14, ALG28: no condition is evaluated at the scan of the documents with all rules put in."""
     plan = rules.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     filters = [x for x in plan.splitlines() if re.match(r"^[\s:+-]*Filter", x)]
     assert filters and not any("lambda" in x or "regexp" in x for x in filters)
