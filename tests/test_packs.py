@@ -18,7 +18,7 @@ def test_pairs_of_packs(spark, monkeypatch, size, most):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("query", [indexed.association_peers])
+@pytest.mark.parametrize("query", [indexed.association_peers, indexed.name_containment])
 def test_pairs_are_expanded_last(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Generate explode")]
