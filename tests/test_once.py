@@ -55,3 +55,10 @@ def test_beginnings_give_parts_of_drafts(spark, tmp_path, monkeypatch):
     got = parts()
     monkeypatch.delitem(forms.FORMS, "draft_parts")
     assert len(got) == len(texts) and got == parts()
+
+
+def test_places_are_found_where_texts_are(spark):
+    """ALG07: the text of a chunk isn't joined to the drafts."""
+    plan = rules.provenance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, x in enumerate(plan) if "Join" in x)
+    assert "Aggregate" in "".join(plan[:at]) and not any("instr(" in x for x in plan[:at])
