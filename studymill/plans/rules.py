@@ -11,6 +11,7 @@ from studymill.functions import text as T
 from studymill.functions import validation as V
 from studymill.functions.text import bound
 from studymill.operators import matching
+from studymill.operators.ranking import checked
 from studymill.sources.drafts import DRAFTS
 from studymill.sources.fixtures import FIXTURES
 from studymill.sources.scratch import stored
@@ -107,13 +108,24 @@ def keyword_terms(spark, sf_dir):
     return q.select("query_id", F.explode(F.array_distinct(F.filter(F.split(T.plain(C("text")), " "), lambda w: F.length(w) >= 4))).alias("term"))
 
 
-def keyword_scores(spark, sf_dir):
-    """MTH15: for each query and chunk the sum of max(1, length / 8) of the query's terms that the chunk's plain text holds. Terms meet the words of the corpus once, and the words their chunks."""
-    words = stored(table("chunks")(spark, sf_dir).select("id", F.explode(F.array_distinct(F.split(T.plain(F.coalesce("text", F.lit(""))), " "))).alias("word")), "words")
+def keyword_weights(spark, sf_dir):
+    """(query_id, id, weight): a row for each term of a query that a chunk's plain text holds. Terms meet the words of the corpus once, the words their chunks, and chunks the queries as numbers of terms."""
+    words = table("chunks")(spark, sf_dir).select("id", F.explode(F.array_distinct(F.split(T.plain(F.coalesce("text", F.lit(""))), " "))).alias("word"))
     terms = keyword_terms(spark, sf_dir)
-    held = matching.contained(terms.select("term").distinct(), words.select("word").distinct(), "term", "term", "word", "word").select(C("needle_id").alias("term"), C("text_id").alias("word"))
-    met = terms.join(held, "term").join(words, "word").select("query_id", "id", "term").distinct()
-    return met.groupBy("query_id", "id").agg((F.floor(F.sum(F.greatest(F.lit(1.0), F.length("term") / 8)) * 1000000 + 0.5) / 1000000).alias("score"))
+    numbered = stored(terms.select("term").distinct().withColumn("number", F.monotonically_increasing_id()), "terms")
+    held = matching.contained(numbered, words.select("word").distinct(), "number", "term", "word", "word").select(C("needle_id").alias("number"), C("text_id").alias("word"))
+    met = words.join(checked(stored(held, "held")), "word").select("id", "number").distinct()
+    asked = checked(stored(terms.join(numbered, "term").select("query_id", "number", F.greatest(F.lit(1.0), F.length("term") / 8).alias("weight")), "asked"))
+    return met.join(asked, "number").select("query_id", "id", "weight")
+
+
+def summed(weights):
+    return weights.groupBy("query_id", "id").agg((F.floor(F.sum("weight") * 1000000 + 0.5) / 1000000).alias("score"))
+
+
+def keyword_scores(spark, sf_dir):
+    """MTH15: for each query and chunk the sum of max(1, length / 8) of the query's terms that the chunk's plain text holds."""
+    return summed(keyword_weights(spark, sf_dir))
 
 
 def relevant_chunks(spark, sf_dir):

@@ -62,3 +62,10 @@ def test_places_are_found_where_texts_are(spark):
     plan = rules.provenance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(k for k, x in enumerate(plan) if "Join" in x)
     assert "Aggregate" in "".join(plan[:at]) and not any("instr(" in x for x in plan[:at])
+
+
+def test_queries_meet_numbers_of_terms(spark):
+    """MTH15: terms of a chunk are told apart before they meet the queries, as numbers."""
+    plan = rules.keyword_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    distinct = [x for x in plan.splitlines() if "Aggregate [id#" in x]
+    assert len(distinct) == 1 and "number#" in distinct[0] and "query_id" not in distinct[0] and "term#" not in distinct[0]
