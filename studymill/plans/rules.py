@@ -130,11 +130,11 @@ def keyword_scores(spark, sf_dir):
 
 def relevant_chunks(spark, sf_dir):
     """ALG27: the four chunks of the highest keyword score, ties to the smaller id; chunks of score 0 fill up."""
-    found = keyword_scores(spark, sf_dir)
+    found = keyword_weights(spark, sf_dir)
     first = table("chunks")(spark, sf_dir).select("id").orderBy("id").limit(8)  # at least four of these, or all, are left for those with less than four scores
-    fill = table("queries")(spark, sf_dir).select("query_id").join(F.broadcast(first), how="cross").join(found, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
-    return found.unionByName(fill).withColumn("place", place).where("place <= 4").select("query_id", "id", "place")
+    fill = table("queries")(spark, sf_dir).select("query_id").join(F.broadcast(first), how="cross").distinct().withColumn("weight", F.lit(0.0))  # adds nothing where there is a score
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return summed(found.unionByName(fill)).withColumn("place", place).where("place <= 4").select("query_id", "id", C("place").cast("long"))
 
 
 def line_headers(spark, sf_dir):

@@ -69,3 +69,9 @@ def test_queries_meet_numbers_of_terms(spark):
     plan = rules.keyword_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     distinct = [x for x in plan.splitlines() if "Aggregate [id#" in x]
     assert len(distinct) == 1 and "number#" in distinct[0] and "query_id" not in distinct[0] and "term#" not in distinct[0]
+
+
+def test_fill_is_summed_with_the_scores(spark):
+    """ALG27: the scores are made once, not a second time to see what fills up."""
+    plan = rules.relevant_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "LeftAnti" not in plan
